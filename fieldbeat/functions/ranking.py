@@ -38,12 +38,13 @@ def with_position(
     one only the spans that occur in the group.
     """
     group = list(group)
-    keyed = df.withColumn("_key", key).withColumn("_block", F.shiftright("_key", BLOCK_BITS))
-    blocks = (
-        keyed.groupBy(*group, "_block")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_span", F.shiftright("_block", BLOCK_BITS))
-    )
+    # Not nullable: a null key fails, and no null filter makes the branches below differ,
+    # so that they share one shuffle of the counts.
+    missing = F.raise_error(F.lit("null position key")).cast("bigint")
+    keyed = df.withColumn("_key", F.coalesce(key, missing, F.lit(-1)))
+    keyed = keyed.withColumn("_block", F.shiftright("_key", BLOCK_BITS))
+    keyed = keyed.withColumn("_span", F.shiftright("_block", BLOCK_BITS))
+    blocks = keyed.groupBy(*group, "_span", "_block").agg(F.count("*").alias("_n"))
     spans = blocks.groupBy(*group, "_span").agg(F.sum("_n").alias("_span_n"))
 
     def before(count: str, window) -> Column:
@@ -52,17 +53,20 @@ def with_position(
 
     in_group = Window.partitionBy(*group).orderBy("_span")
     in_span = Window.partitionBy(*group, "_span").orderBy("_block")
+    in_block = Window.partitionBy(*group, "_span", "_block").orderBy("_key")
+    # One row per block, which the last grouping shows to the optimizer: where the position
+    # is not used, it then drops the left join and with it all of this.
     starts = (
         blocks.withColumn("_in_span", before("_n", in_span))
         .join(
             spans.withColumn("_before_span", before("_span_n", in_group)).drop("_span_n"),
             [*group, "_span"],
         )
-        .select(*group, "_block", (F.col("_before_span") + F.col("_in_span")).alias("_start"))
+        .groupBy(*group, "_span", "_block")
+        .agg(F.max(F.col("_before_span") + F.col("_in_span")).alias("_start"))
     )
-    in_block = Window.partitionBy(*group, "_block").orderBy("_key")
     return (
-        keyed.join(starts, [*group, "_block"])
+        keyed.join(starts, [*group, "_span", "_block"], "left")
         .withColumn(name, F.col("_start") + F.row_number().over(in_block))
         .select(*df.columns, name)
     )

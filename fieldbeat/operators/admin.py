@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import clamp, contains_text, id_number
@@ -13,31 +13,33 @@ from fieldbeat.operators.scope import Caller
 from fieldbeat.sources.tables import Tables
 
 
-def audit_trail(
-    tables: Tables, caller: Caller, action: str | None = None, limit: int = 50
-) -> DataFrame:
-    """Newest audit rows with the user's name; ``action`` is a contained text."""
+def _newest() -> list[Column]:
+    return [F.desc_nulls_first("created_at"), id_number(F.col("id"), "al")]
+
+
+def _newest_logs(tables: Tables, caller: Caller, action: str | None, limit: int) -> DataFrame:
     caller.require("Admin")
     logs = tables.audit_logs
     if action:
         logs = logs.where(contains_text(F.col("action"), action))
-    newest = [F.desc_nulls_first("created_at"), id_number(F.col("id"), "al")]
     names = tables.users.select(F.col("id").alias("user_id"), F.col("full_name").alias("user"))
-    return (
-        logs.orderBy(*newest).limit(clamp(limit, 200))
-        .join(names, "user_id", "left")
-        .orderBy(*newest)
-        .select("id", "action", "resource", "resource_id", "details", "created_at", "user")
-    )
+    return logs.orderBy(*_newest()).limit(clamp(limit, 200)).join(names, "user_id", "left")
+
+
+def audit_trail(
+    tables: Tables, caller: Caller, action: str | None = None, limit: int = 50
+) -> DataFrame:
+    """Newest audit rows with the user's name; ``action`` is a contained text."""
+    return _newest_logs(tables, caller, action, limit).orderBy(*_newest()).select(
+        "action", "resource", "resource_id", "details", "created_at", "user")
 
 
 def audit_page(
     tables: Tables, caller: Caller, action: str | None = None, limit: int = 50
 ) -> DataFrame:
-    """``audit_trail`` in the page layout, numbered ``log-0``, ``log-1`` … from the newest."""
-    window = Window.orderBy(F.desc_nulls_first("created_at"), id_number(F.col("id"), "al"))
-    position = F.row_number().over(window) - 1  # at most 200 rows
-    return audit_trail(tables, caller, action, limit).select(
+    """The same rows in the page layout, numbered ``log-0``, ``log-1`` … from the newest."""
+    position = F.row_number().over(Window.orderBy(*_newest())) - 1  # of at most 200 rows
+    return _newest_logs(tables, caller, action, limit).select(
         F.concat(F.lit("log-"), position.cast("string")).alias("id"),
         "action", "resource", F.col("user").alias("user_name"), "created_at",
     )

@@ -62,8 +62,10 @@ USER_REFERENCES = (
 
 @dataclass(frozen=True)
 class ChangeSet:
+    name: str
+    """Which table changes."""
     table: DataFrame
-    """The changed table, in full."""
+    """That table after the changes, in full."""
     rejects: DataFrame
     """seq, code, reason."""
     audit: DataFrame | None = None
@@ -72,6 +74,8 @@ class ChangeSet:
     """New rows of visit_history."""
     results: DataFrame | None = None
     """One row per accepted change, as reported back to its sender."""
+    touched: DataFrame | None = None
+    """Partition values, for a partitioned table of which no other partition changes."""
 
 
 class _Checked:
@@ -88,6 +92,16 @@ class _Checked:
             "seq", "_failure.code", "_failure.reason")
 
 
+def _narrow(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows a batch asks for: a small batch is broadcast, and the table not shuffled."""
+    return table.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def _lookup(rows: DataFrame, table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+    """``rows`` of a batch with the columns of a table, which is unique on ``key``."""
+    return rows.join(_narrow(table, changes, key), key, "left")
+
+
 def _not_admin() -> tuple[Column, int, str]:
     return F.col("caller_role") != "Admin", 403, "only an Admin may do this"
 
@@ -134,13 +148,12 @@ def _updated(table: DataFrame, last: DataFrame, key: str, values: dict[str, Colu
 def _status_changes(tables: Tables, changes: DataFrame, names: dict[str, str]) -> _Checked:
     stored = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     recs = tables.recommendations.select(
-        F.col("id").alias("rec_id"), "merchant_id", "recommended_action")
+        F.col("id").alias("rec_id"), "merchant_id", "recommended_action", "recommendation_date")
     owners = tables.merchants.select(F.col("id").alias("merchant_id"), "assigned_dsp_id")
-    looked_up = (
-        changes.withColumn("new_status", F.element_at(stored, F.col("status")))
-        .join(recs, "rec_id", "left")
-        .join(owners, "merchant_id", "left")
-    )
+    wanted = _narrow(recs, changes, "rec_id")
+    targets = wanted.join(_narrow(owners, wanted, "merchant_id"), "merchant_id", "left")
+    looked_up = changes.withColumn(
+        "new_status", F.element_at(stored, F.col("status"))).join(targets, "rec_id", "left")
     return _Checked(
         looked_up,
         (F.col("new_status").isNull(), 400, "unknown status"),
@@ -180,7 +193,9 @@ def apply_status_updates(
     )
     numbered = assign_ids(visits, "vh", F.col("seq"), last_number(tables.visit_history, "vh"))
     return ChangeSet(
+        name="recommendations",
         table=_with_statuses(tables, accepted, now),
+        touched=accepted.select("recommendation_date"),
         rejects=checked.rejects,
         audit=append_audit(
             tables, accepted, now, "user_id", "UPDATE_ACTION_STATUS", "recommendation"),
@@ -193,7 +208,9 @@ def apply_actions(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSe
     """Status changes by tools: stored status names only, no visit and no audit row."""
     checked = _status_changes(tables, changes, {name: name for name in STATUSES})
     return ChangeSet(
+        name="recommendations",
         table=_with_statuses(tables, checked.accepted, now),
+        touched=checked.accepted.select("recommendation_date"),
         rejects=checked.rejects,
         results=checked.accepted.select("seq", "rec_id", F.col("new_status").alias("status")),
     )
@@ -206,7 +223,9 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
                                      F.lit(True).alias("_known"))
     heads = tables.users.select(
         F.col("id").alias("assigned_dsp_id"), F.col("manager_id").alias("head_id"))
-    looked_up = briefs.join(owners, "merchant_id", "left").join(heads, "assigned_dsp_id", "left")
+    wanted = _narrow(owners, briefs, "merchant_id")
+    seen = wanted.join(_narrow(heads, wanted, "assigned_dsp_id"), "assigned_dsp_id", "left")
+    looked_up = briefs.join(seen, "merchant_id", "left")
     role, own = F.col("role"), F.col("assigned_dsp_id") == F.col("user_id")
     managed = (role == "Manager") & F.coalesce(F.col("head_id") == F.col("user_id"), F.lit(False))
     visible = (role == "Admin") | own | managed
@@ -231,6 +250,7 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
     )
     briefed = checked.accepted.select("merchant_id").distinct()
     return ChangeSet(
+        name="recommendations",
         table=tables.recommendations.join(briefed, "merchant_id", "left_anti")
         .select(*saved.columns).unionByName(saved),
         rejects=checked.rejects,
@@ -245,7 +265,8 @@ def create_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     """New users (seq, caller_id, caller_role, email, password, full_name, role, region,
     area, manager_id). Of several with one address the first acceptable one gets it."""
     stored = tables.users.select("email", F.lit(True).alias("_taken"))
-    looked_up = changes.join(stored, "email", "left").join(_managers(tables), "manager_id", "left")
+    looked_up = _lookup(
+        _lookup(changes, stored, "email", changes), _managers(tables), "manager_id", changes)
     no_manager = F.col("manager_id").isNotNull() & F.col("_manager").isNull()
     before = [_not_admin(), _bad_role(), (F.col("_taken").isNotNull(), 409, "e-mail taken")]
     manager = (no_manager, 500, "unknown manager")
@@ -261,6 +282,7 @@ def create_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         instant(now).alias("created_at"), instant(now).alias("updated_at"),
     )
     return ChangeSet(
+        name="users",
         table=tables.users.unionByName(rows),
         rejects=checked.rejects,
         audit=append_audit(tables, checked.accepted, now, "caller_id", "CREATE_USER", "user"),
@@ -283,11 +305,9 @@ def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     non-null fields change. An address counts as taken if another user has it, or an
     earlier accepted change of the batch gives it to another user. No audit rows."""
     holders = tables.users.select("email", F.col("id").alias("_holder"))
-    looked_up = (
-        changes.join(_known_users(tables), "user_id", "left")
-        .join(holders, "email", "left")
-        .join(_managers(tables), "manager_id", "left")
-    )
+    looked_up = _lookup(changes, _known_users(tables), "user_id", changes)
+    looked_up = _lookup(looked_up, holders, "email", changes)
+    looked_up = _lookup(looked_up, _managers(tables), "manager_id", changes)
     given = F.coalesce(*[F.col(c).cast("string") for c in USER_FIELDS])
     other_holder = F.coalesce(F.col("_holder") != F.col("user_id"), F.lit(False))
     no_manager = F.col("manager_id").isNotNull() & F.col("_manager").isNull()
@@ -309,6 +329,7 @@ def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     ])
     values = {c: F.coalesce(F.col(f"new_{c}"), tables.users[c]) for c in USER_FIELDS}
     return ChangeSet(
+        name="users",
         table=_updated(tables.users, last, "id", values | {"updated_at": instant(now)}),
         rejects=checked.rejects,
         results=checked.accepted.select("seq", "user_id"),
@@ -326,8 +347,8 @@ def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     for ids in referring[1:]:
         referred = referred.unionByName(ids)
     referred = referred.distinct().withColumn("_referred", F.lit(True))
-    looked_up = changes.join(_known_users(tables), "user_id", "left").join(
-        referred, "user_id", "left")
+    looked_up = _lookup(changes, _known_users(tables), "user_id", changes)
+    looked_up = _lookup(looked_up, referred, "user_id", changes)
     before = [_not_admin(), (F.col("stored_role").isNull(), 404, "user not found")]
     in_use = (F.col("_referred").isNotNull(), 500, "user is referred to")
     first = _Checked(looked_up, *before, in_use).accepted.groupBy("user_id").agg(
@@ -336,6 +357,7 @@ def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     checked = _Checked(looked_up.join(first, "user_id", "left"), *before, gone, in_use)
     removed = checked.accepted.select(F.col("user_id").alias("id"))
     return ChangeSet(
+        name="users",
         table=tables.users.join(removed, "id", "left_anti"),
         rejects=checked.rejects,
         audit=append_audit(tables, checked.accepted, now, "caller_id", "DEACTIVATE_USER", "user"),
@@ -349,7 +371,7 @@ def assign_roles(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     The old role of a user's second and later change is that of the change before it.
     """
     checked = _Checked(
-        changes.join(_known_users(tables), "user_id", "left"),
+        _lookup(changes, _known_users(tables), "user_id", changes),
         _not_admin(), _bad_role(), (F.col("stored_role").isNull(), 404, "user not found"))
     accepted = checked.accepted
     placed = with_position(accepted, F.col("seq"), ["user_id"], "_nth")
@@ -363,6 +385,7 @@ def assign_roles(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     last = accepted.groupBy(F.col("user_id").alias("new_id")).agg(
         F.max_by("role", "seq").alias("new_role"))
     return ChangeSet(
+        name="users",
         table=_updated(tables.users, last, "id",
                        {"role": F.col("new_role"), "updated_at": instant(now)}),
         rejects=checked.rejects,
@@ -380,7 +403,8 @@ def assign_merchants(tables: Tables, changes: DataFrame, now: datetime) -> Chang
         F.col("id").alias("assigned_dsp_id"), F.col("full_name").alias("dsp_name"),
         F.col("role").alias("target_role"))
     known = tables.merchants.select(F.col("id").alias("merchant_id"), "merchant_name")
-    looked_up = changes.join(targets, "assigned_dsp_id", "left").join(known, "merchant_id", "left")
+    looked_up = _lookup(
+        _lookup(changes, targets, "assigned_dsp_id", changes), known, "merchant_id", changes)
     checked = _Checked(
         looked_up,
         _not_admin(),
@@ -393,6 +417,7 @@ def assign_merchants(tables: Tables, changes: DataFrame, now: datetime) -> Chang
         F.max_by("assigned_dsp_id", "seq").alias("new_dsp"))
     details = F.to_json(F.struct("assigned_dsp_id", "dsp_name"))
     return ChangeSet(
+        name="merchants",
         table=_updated(tables.merchants, last, "id",
                        {"assigned_dsp_id": F.col("new_dsp"), "updated_at": instant(now)}),
         rejects=checked.rejects,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import clamp, id_number, instant
+from fieldbeat.functions.joins import left_join_many
 from fieldbeat.functions.merge import assign_ids, last_number
 from fieldbeat.functions.ranking import top_per_key, with_position
 from fieldbeat.operators.scope import Caller
@@ -21,35 +22,34 @@ def _newest() -> list:
     return [F.desc_nulls_first("updated_at"), id_number(F.col("session_id"), "cs")]
 
 
-def _with_messages(sessions: DataFrame, tables: Tables) -> DataFrame:
-    """A row per message; a session without any is one row with nulls."""
-    return sessions.join(tables.chat_messages, "session_id", "left")
-
-
 def _sessions(tables: Tables) -> DataFrame:
     return tables.chat_sessions.select(
         F.col("id").alias("session_id"), "user_id", "title", "created_at", "updated_at")
 
 
 def chat_history(tables: Tables, caller: Caller, limit: int = 20) -> DataFrame:
-    """The caller's most recently used sessions with all their messages, in order."""
+    """The caller's most recently used sessions, one row per message, in order.
+
+    A session without messages is one row with nulls.
+    """
     page = _sessions(tables).where(F.col("user_id") == caller.user_id).orderBy(
         *_newest()).limit(clamp(limit, 100))
-    messages = tables.chat_messages.join(page.select("session_id"), "session_id", "left_semi")
-    return page.join(messages, "session_id", "left").drop("user_id").orderBy(
+    return left_join_many(page, tables.chat_messages, "session_id").drop("user_id").orderBy(
         *_newest(), "position")
 
 
 def chat_history_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     """``chat_history`` of every user, with ``user_id``, in one job."""
     pages = top_per_key(_sessions(tables), ["user_id"], _newest(), clamp(limit, 100))
-    return _with_messages(pages, tables)
+    return left_join_many(pages, tables.chat_messages, "session_id")
 
 
 @dataclass(frozen=True)
 class ChatAppend:
     sessions: DataFrame
-    messages: DataFrame
+    """chat_sessions, in full."""
+    new_messages: DataFrame
+    """The rows to append to chat_messages."""
     placed: DataFrame
     """seq, session_id, is_new of each turn."""
 
@@ -94,10 +94,9 @@ def append_chats(tables: Tables, turns: DataFrame, now: datetime) -> ChatAppend:
         F.struct((start + 1).alias("position"), F.lit("assistant").alias("role"),
                  F.col("answer").alias("content")),
     )
-    new_messages = appended.select("session_id", F.inline(pair))
     return ChatAppend(
         sessions=kept.unionByName(new_sessions),
-        messages=tables.chat_messages.unionByName(new_messages),
+        new_messages=appended.select("session_id", F.inline(pair)),
         placed=known.select("seq", "session_id", F.lit(False).alias("is_new")).unionByName(
             opened.select("seq", "session_id", F.lit(True).alias("is_new"))),
     )

@@ -62,20 +62,16 @@ def brief_context(
         F.struct("position", "visit_date", "visit_notes", "outcome", "duration_mins",
                  "visited_by").alias("visit"),
     )
-    parts = placed.groupBy("merchant_id", "part").agg(
+    # A null visit per merchant gives each a part 0, and so allows an inner join, in which
+    # Spark splits the parts of a much-visited merchant.
+    first_parts = details.select(
+        "merchant_id", F.lit(0).alias("part"),
+        F.lit(None).cast(placed.schema["visit"].dataType).alias("visit"))
+    parts = placed.unionByName(first_parts).groupBy("merchant_id", "part").agg(
         F.array_sort(F.collect_list("visit")).alias("visits"))
     history = F.transform("visits", lambda v: v.dropFields("position"))
-    empty = F.array().cast(
-        "array<struct<visit_date: date, visit_notes: string, outcome: string, "
-        "duration_mins: int, visited_by: string>>")
-    return profiles.join(parts, "merchant_id", "left").select(
-        "merchant_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.to_json(
-            F.struct(
-                "merchant_profile_and_scores",
-                F.coalesce(history, empty).alias("recent_visit_history"),
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("context"),
+    document = F.struct("merchant_profile_and_scores", history.alias("recent_visit_history"))
+    return profiles.join(parts, "merchant_id").select(
+        "merchant_id", "part",
+        F.to_json(document, {"ignoreNullFields": "false"}).alias("context"),
     )

@@ -53,7 +53,7 @@ def run_daily(store: Store, deltas: DataFrame, as_of: date, now: datetime) -> No
     its tasks. A second run on one day rolls the signals forward once more.
     """
     tables = store.tables()
-    signals = store.materialize(next_signals(tables, deltas, as_of, now), "signals")
+    signals = store.materialize(next_signals(tables, deltas, as_of, now))
     store.write("merchant_signals", _with_ids(signals, tables.merchant_signals, "ms"))
 
     scores = store.tables().daily_scores
@@ -62,6 +62,5 @@ def run_daily(store: Store, deltas: DataFrame, as_of: date, now: datetime) -> No
     }).select(*scores.columns)
     merged = store.materialize(
         upsert(scores.where(F.col("score_date") == day(as_of)), scored,
-               ["merchant_id", "score_date"], UPDATED_SCORE_COLUMNS),
-        "scores")
+               ["merchant_id", "score_date"], UPDATED_SCORE_COLUMNS))
     store.write("daily_scores", _with_ids(merged, scores, "ds"))

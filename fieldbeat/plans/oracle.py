@@ -631,8 +631,8 @@ QUERIES_SQL = {
         ORDER BY h.visit_date DESC, {num('h.visit_id', 'vh')} LIMIT 5""",
     "q10_search": _search("asia", "TRUE"),
     "q10_search_manager": _search("Build", "assigned_dsp_id IN (SELECT * FROM team)"),
-    "q11_audit": _trail("TRUE", 50),
-    "q11_audit_filtered": _trail(has("l.action", "view"), 200),
+    "q11_audit": f"SELECT * EXCLUDE (id) FROM ({_trail('TRUE', 50)})",
+    "q11_audit_filtered": f"SELECT * EXCLUDE (id) FROM ({_trail(has('l.action', 'view'), 200)})",
     "q11_audit_page": f"""
         SELECT 'log-' || (row_number() OVER ({AUDIT_NEWEST}) - 1) AS id, action, resource,
             l.user AS user_name, created_at

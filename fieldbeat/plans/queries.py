@@ -199,7 +199,7 @@ QUERIES: dict[str, Query] = {
     "m08_recs": lambda d: _m08(d).table,
     "m08_rejects": lambda d: _m08(d).rejects,
     "m09_sessions": lambda d: _m09(d).sessions,
-    "m09_messages": lambda d: _m09(d).messages,
+    "m09_messages": lambda d: d.tables.chat_messages.unionByName(_m09(d).new_messages),
     "m09_placed": lambda d: _m09(d).placed,
     "s03_insert_ignore": lambda d: insert_ignore(
         d.tables.merchant_signals, d.next_day_signals(), SIGNAL_KEYS, BY_ID_NUMBER),

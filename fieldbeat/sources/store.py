@@ -1,11 +1,14 @@
-"""Stored tables: reads, partition overwrites, and change sets applied as new versions."""
+"""Stored tables: reads, partition overwrites, and change sets applied to them."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldbeat.operators.changes import ChangeSet
+from fieldbeat.operators.chat import ChatAppend
 from fieldbeat.schema import PARTITION_COLUMN
 from fieldbeat.sources.tables import Tables, write_table
 
@@ -19,29 +22,68 @@ class Store:
     def tables(self) -> Tables:
         return Tables.from_parquet(self.spark, self.root)
 
-    def scratch(self) -> str:
-        """Shared folder for intermediate results: the cluster's checkpoint folder."""
-        folder = self.spark.conf.get("spark.checkpoint.dir", None)
-        return f"{folder or self.root + '/_scratch'}/{uuid.uuid4().hex}"
+    def scratch(self, name: str | None = None) -> str:
+        """A shared folder for intermediate results: in the cluster's checkpoint folder."""
+        folder = self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_scratch"
+        return f"{folder}/{name or uuid.uuid4().hex}"
 
-    def materialize(self, df: DataFrame, name: str) -> DataFrame:
+    def materialize(self, df: DataFrame, path: str | None = None) -> DataFrame:
         """Writes an intermediate result once and reads it back, which cuts its lineage."""
-        path = f"{self.scratch()}/{name}"
-        df.write.parquet(path)
+        path = path or self.scratch()
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replaces a table, or those of its date partitions that occur in ``df``.
+        """Replaces a table, or, if it is partitioned, the partitions that occur in ``df``.
 
-        ``df`` is written to scratch first, so it may be derived from the table itself.
+        ``df`` is materialized first, so it may be derived from the table itself.
         """
-        write_table(
-            self.materialize(df, name), f"{self.root}/{name}", PARTITION_COLUMN.get(name))
-
-    def append(self, name: str, df: DataFrame) -> None:
-        """Adds rows, such as the audit rows and visits of a change set."""
         partition = PARTITION_COLUMN.get(name)
-        writer = self.materialize(df, name).write.mode("append")
-        if partition is not None:
-            writer = writer.partitionBy(partition)
-        writer.parquet(f"{self.root}/{name}")
+        write_table(self.materialize(df), f"{self.root}/{name}", partition)
+
+    def apply(self, changes: ChangeSet | ChatAppend, batch: str | None = None) -> None:
+        """Stores the outcome of a change set: the changed table and the new rows of others.
+
+        All results are computed from the tables as they are and materialized before the
+        first table changes. If the job dies after that, calling it again with the same
+        ``batch`` name finishes from the materialized results, and repeats no row.
+        """
+        folder = self.scratch(batch)
+        if isinstance(changes, ChatAppend):
+            name, table, touched = "chat_sessions", changes.sessions, None
+            added = {"chat_messages": changes.new_messages}
+        else:
+            name, table, touched = changes.name, changes.table, changes.touched
+            added = {"audit_logs": changes.audit, "visit_history": changes.visits}
+        if touched is not None:
+            partition = PARTITION_COLUMN[name]
+            table = table.join(touched.select(partition).distinct(), partition, "left_semi")
+        results = {name: table} | {n: df for n, df in added.items() if df is not None}
+        if not self._exists(f"{folder}/_ready"):
+            for n, df in results.items():
+                self.materialize(df, f"{folder}/{n}")
+            self.spark.range(1).write.mode("overwrite").parquet(f"{folder}/_ready")
+        stored = {
+            n: self.spark.read.schema(df.schema).parquet(f"{folder}/{n}")
+            for n, df in results.items()
+        }
+        # A table that may lose all rows of a partition is replaced as a whole.
+        write_table(stored.pop(name), f"{self.root}/{name}", PARTITION_COLUMN.get(name),
+                    whole=touched is None)
+        for n, rows in stored.items():
+            self._append(n, rows)
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        """Adds the rows that are not stored yet, by their key."""
+        keys = ["session_id", "position"] if name == "chat_messages" else ["id"]
+        path, partition = f"{self.root}/{name}", PARTITION_COLUMN.get(name)
+        known = getattr(self.tables(), name).select(*keys)
+        writer = rows.join(known, keys, "left_anti").write.mode("append")
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+    def _exists(self, path: str) -> bool:
+        try:
+            self.spark.read.parquet(path)
+        except AnalysisException:
+            return False
+        return True

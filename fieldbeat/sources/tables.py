@@ -63,8 +63,11 @@ def write_tables(tables: Tables, root: str, names: tuple[str, ...] = tuple(SCHEM
         write_table(getattr(tables, name), f"{root}/{name}", PARTITION_COLUMN.get(name))
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Overwrites a table, or, if partitioned, just the partitions that occur in ``df``.
+def write_table(
+    df: DataFrame, path: str, partition: str | None = None, whole: bool = False
+) -> None:
+    """Overwrites a table, or, if partitioned, just the partitions that occur in ``df``
+    unless ``whole`` is set.
 
     Rows are clustered by partition value before the write; a date too large for one
     task is split by AQE (REBALANCE), so neither many small files nor one hot task result.
@@ -75,7 +78,7 @@ def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     (
         df.hint("rebalance", partition)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(partition)
         .parquet(path)
     )
