@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import day, instant
+from fieldbeat.functions.joins import narrow, split_join
 from fieldbeat.functions.merge import assign_ids, last_number
 from fieldbeat.functions.ranking import top_per_key, with_position
 from fieldbeat.schema import ROLES, STATUSES
@@ -92,14 +93,9 @@ class _Checked:
             "seq", "_failure.code", "_failure.reason")
 
 
-def _narrow(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows a batch asks for: a small batch is broadcast, and the table not shuffled."""
-    return table.join(wanted.select(key).distinct(), key, "left_semi")
-
-
 def _lookup(rows: DataFrame, table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
     """``rows`` of a batch with the columns of a table, which is unique on ``key``."""
-    return rows.join(_narrow(table, changes, key), key, "left")
+    return split_join(rows, narrow(table, changes, key), key, "left")
 
 
 def _not_admin() -> tuple[Column, int, str]:
@@ -145,33 +141,47 @@ def _updated(table: DataFrame, last: DataFrame, key: str, values: dict[str, Colu
 # Recommendations
 
 
-def _status_changes(tables: Tables, changes: DataFrame, names: dict[str, str]) -> _Checked:
+@dataclass(frozen=True)
+class _StatusChanges:
+    checked: _Checked
+    table: DataFrame
+    touched: DataFrame
+
+
+def _status_changes(
+    tables: Tables, changes: DataFrame, names: dict[str, str], now: datetime
+) -> _StatusChanges:
     stored = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     recs = tables.recommendations.select(
         F.col("id").alias("rec_id"), "merchant_id", "recommended_action", "recommendation_date")
     owners = tables.merchants.select(F.col("id").alias("merchant_id"), "assigned_dsp_id")
-    wanted = _narrow(recs, changes, "rec_id")
-    targets = wanted.join(_narrow(owners, wanted, "merchant_id"), "merchant_id", "left")
-    looked_up = changes.withColumn(
-        "new_status", F.element_at(stored, F.col("status"))).join(targets, "rec_id", "left")
-    return _Checked(
-        looked_up,
+    wanted = narrow(recs, changes, "rec_id")
+    targets = _lookup(wanted, owners, "merchant_id", wanted)
+    named = changes.withColumn("new_status", F.element_at(stored, F.col("status")))
+    by_dsp = F.col("role") == "DSP"
+    checked = _Checked(
+        split_join(named, targets, "rec_id", "left"),
         (F.col("new_status").isNull(), 400, "unknown status"),
-        (F.col("role") != "DSP", 403, "only a DSP may update a status"),
+        (~by_dsp, 403, "only a DSP may update a status"),
         (F.col("assigned_dsp_id") != F.col("user_id"), 404, "recommendation not found"),
     )
-
-
-def _with_statuses(tables: Tables, accepted: DataFrame, now: datetime) -> DataFrame:
-    last = accepted.groupBy(F.col("rec_id").alias("new_id")).agg(
-        F.max_by("new_status", "seq").alias("new_status"),
-        F.max_by("user_id", "seq").alias("new_user"),
+    # The last change of each user to a recommendation, before the join: a recommendation
+    # with very many changes is one row per user there, of which the owner's is kept.
+    last = (
+        named.where(F.col("new_status").isNotNull() & by_dsp)
+        .groupBy("rec_id", "user_id")
+        .agg(F.max_by("new_status", "seq").alias("new_status"))
+        .join(targets, "rec_id")
+        .where(F.col("assigned_dsp_id") == F.col("user_id"))
+        .select(F.col("rec_id").alias("new_id"), F.col("user_id").alias("new_user"),
+                "new_status", "recommendation_date")
     )
-    return _updated(tables.recommendations, last, "id", {
+    table = _updated(tables.recommendations, last.drop("recommendation_date"), "id", {
         "status": F.col("new_status"),
         "status_updated_at": instant(now),
         "status_updated_by": F.col("new_user"),
     })
+    return _StatusChanges(checked, table, last.select("recommendation_date"))
 
 
 def apply_status_updates(
@@ -181,8 +191,8 @@ def apply_status_updates(
 
     Synonyms of a status are accepted. A completed recommendation also logs a visit.
     """
-    checked = _status_changes(tables, changes, STATUS_NAMES)
-    accepted = checked.accepted
+    status = _status_changes(tables, changes, STATUS_NAMES, now)
+    accepted = status.checked.accepted
     text = F.substring(F.coalesce("recommended_action", F.lit("")), 1, DONE_VISIT_TEXT_LENGTH)
     visits = accepted.where(F.col("new_status") == "Done").select(
         "seq", "merchant_id", F.col("user_id").alias("dsp_id"), day(as_of).alias("visit_date"),
@@ -194,9 +204,9 @@ def apply_status_updates(
     numbered = assign_ids(visits, "vh", F.col("seq"), last_number(tables.visit_history, "vh"))
     return ChangeSet(
         name="recommendations",
-        table=_with_statuses(tables, accepted, now),
-        touched=accepted.select("recommendation_date"),
-        rejects=checked.rejects,
+        table=status.table,
+        touched=status.touched,
+        rejects=status.checked.rejects,
         audit=append_audit(
             tables, accepted, now, "user_id", "UPDATE_ACTION_STATUS", "recommendation"),
         visits=numbered.select(*tables.visit_history.columns),
@@ -206,11 +216,12 @@ def apply_status_updates(
 
 def apply_actions(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
     """Status changes by tools: stored status names only, no visit and no audit row."""
-    checked = _status_changes(tables, changes, {name: name for name in STATUSES})
+    status = _status_changes(tables, changes, {name: name for name in STATUSES}, now)
+    checked = status.checked
     return ChangeSet(
         name="recommendations",
-        table=_with_statuses(tables, checked.accepted, now),
-        touched=checked.accepted.select("recommendation_date"),
+        table=status.table,
+        touched=status.touched,
         rejects=checked.rejects,
         results=checked.accepted.select("seq", "rec_id", F.col("new_status").alias("status")),
     )
@@ -223,9 +234,9 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
                                      F.lit(True).alias("_known"))
     heads = tables.users.select(
         F.col("id").alias("assigned_dsp_id"), F.col("manager_id").alias("head_id"))
-    wanted = _narrow(owners, briefs, "merchant_id")
-    seen = wanted.join(_narrow(heads, wanted, "assigned_dsp_id"), "assigned_dsp_id", "left")
-    looked_up = briefs.join(seen, "merchant_id", "left")
+    wanted = narrow(owners, briefs, "merchant_id")
+    seen = _lookup(wanted, heads, "assigned_dsp_id", wanted)
+    looked_up = split_join(briefs, seen, "merchant_id", "left")
     role, own = F.col("role"), F.col("assigned_dsp_id") == F.col("user_id")
     managed = (role == "Manager") & F.coalesce(F.col("head_id") == F.col("user_id"), F.lit(False))
     visible = (role == "Admin") | own | managed
@@ -248,10 +259,10 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
         day(as_of).alias("recommendation_date"),
         instant(now).alias("created_at"),
     )
-    briefed = checked.accepted.select("merchant_id").distinct()
     return ChangeSet(
         name="recommendations",
-        table=tables.recommendations.join(briefed, "merchant_id", "left_anti")
+        table=tables.recommendations.join(
+            saved.select("merchant_id"), "merchant_id", "left_anti")
         .select(*saved.columns).unionByName(saved),
         rejects=checked.rejects,
         results=numbered.select("seq", F.col("id").alias("rec_id"), "merchant_id", "text"),
@@ -347,14 +358,16 @@ def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     for ids in referring[1:]:
         referred = referred.unionByName(ids)
     referred = referred.distinct().withColumn("_referred", F.lit(True))
-    looked_up = _lookup(changes, _known_users(tables), "user_id", changes)
-    looked_up = _lookup(looked_up, referred, "user_id", changes)
-    before = [_not_admin(), (F.col("stored_role").isNull(), 404, "user not found")]
-    in_use = (F.col("_referred").isNotNull(), 500, "user is referred to")
-    first = _Checked(looked_up, *before, in_use).accepted.groupBy("user_id").agg(
-        F.min("seq").alias("_first"))
-    gone = (F.coalesce(F.col("_first") < F.col("seq"), F.lit(False)), 404, "user not found")
-    checked = _Checked(looked_up.join(first, "user_id", "left"), *before, gone, in_use)
+    users = _known_users(tables).join(referred, "user_id", "left")
+    # Who is first to remove a user is settled per user, before the changes meet the users.
+    first = changes.where(~_not_admin()[0]).groupBy("user_id").agg(F.min("seq").alias("_first"))
+    checked = _Checked(
+        _lookup(changes, users.join(first, "user_id", "left"), "user_id", changes),
+        _not_admin(),
+        (F.col("stored_role").isNull(), 404, "user not found"),
+        (F.col("_referred").isNotNull(), 500, "user is referred to"),
+        (F.col("_first") != F.col("seq"), 404, "user not found"),
+    )
     removed = checked.accepted.select(F.col("user_id").alias("id"))
     return ChangeSet(
         name="users",
@@ -382,7 +395,8 @@ def assign_roles(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         F.coalesce("_role_before", "stored_role").alias("old_role"),
         F.col("role").alias("new_role"),
     )
-    last = accepted.groupBy(F.col("user_id").alias("new_id")).agg(
+    valid = changes.where(~_not_admin()[0] & ~_bad_role()[0])
+    last = valid.groupBy(F.col("user_id").alias("new_id")).agg(
         F.max_by("role", "seq").alias("new_role"))
     return ChangeSet(
         name="users",
@@ -403,17 +417,17 @@ def assign_merchants(tables: Tables, changes: DataFrame, now: datetime) -> Chang
         F.col("id").alias("assigned_dsp_id"), F.col("full_name").alias("dsp_name"),
         F.col("role").alias("target_role"))
     known = tables.merchants.select(F.col("id").alias("merchant_id"), "merchant_name")
-    looked_up = _lookup(
-        _lookup(changes, targets, "assigned_dsp_id", changes), known, "merchant_id", changes)
+    aimed = _lookup(changes, targets, "assigned_dsp_id", changes)
     checked = _Checked(
-        looked_up,
+        _lookup(aimed, known, "merchant_id", changes),
         _not_admin(),
         (F.col("target_role").isNull(), 404, "DSP not found"),
         (F.col("target_role") != "DSP", 400, "user is not a DSP"),
         (F.col("merchant_name").isNull(), 404, "merchant not found"),
     )
     accepted = checked.accepted
-    last = accepted.groupBy(F.col("merchant_id").alias("new_id")).agg(
+    valid = aimed.where(~_not_admin()[0] & (F.col("target_role") == "DSP"))
+    last = valid.groupBy(F.col("merchant_id").alias("new_id")).agg(
         F.max_by("assigned_dsp_id", "seq").alias("new_dsp"))
     details = F.to_json(F.struct("assigned_dsp_id", "dsp_name"))
     return ChangeSet(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField
 
 from fieldbeat.functions.columns import id_number
+from fieldbeat.functions.joins import split_join
 from fieldbeat.functions.ranking import with_position
 from fieldbeat.operators.merchants import merchant_details, visits_in_scope
 from fieldbeat.operators.scope import Caller
@@ -63,7 +64,7 @@ def brief_context(
                  "visited_by").alias("visit"),
     )
     # A null visit per merchant gives each a part 0, and so allows an inner join, in which
-    # Spark splits the parts of a much-visited merchant.
+    # Spark can split the parts of a much-visited merchant.
     first_parts = details.select(
         "merchant_id", F.lit(0).alias("part"),
         F.lit(None).cast(placed.schema["visit"].dataType).alias("visit"))
@@ -71,7 +72,7 @@ def brief_context(
         F.array_sort(F.collect_list("visit")).alias("visits"))
     history = F.transform("visits", lambda v: v.dropFields("position"))
     document = F.struct("merchant_profile_and_scores", history.alias("recent_visit_history"))
-    return profiles.join(parts, "merchant_id").select(
+    return split_join(profiles, parts, "merchant_id").select(
         "merchant_id", "part",
         F.to_json(document, {"ignoreNullFields": "false"}).alias("context"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldbeat.functions.columns import (
     clamp, clean_name, contains_text, day, id_number, null_if_zero,
 )
+from fieldbeat.functions.joins import split_join
 from fieldbeat.functions.ranking import top_per_key
 from fieldbeat.operators.scope import Caller, active, entitlements, in_scope
 from fieldbeat.operators.scoring import SIGNAL_VALUES
@@ -54,7 +55,7 @@ def _priority_order() -> list[Column]:
 
 def _with_recommendation(listed: DataFrame, recommendations: DataFrame, *leading: str) -> DataFrame:
     best = best_recommendations(recommendations)
-    return listed.join(best, "merchant_id", "left").select(
+    return split_join(listed, best, "merchant_id", "left").select(
         *leading, "merchant_id", "name", "tier", "region", "area",
         null_if_zero(F.col("priority_score")).alias("score"), "rank",
         "recommendation", "recommendation_status",
@@ -77,10 +78,11 @@ def prioritized_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     scoped = top_per_key(
         entitled.join(ranked, "merchant_id"), ["viewer_id"], _priority_order(), limit)
     # All Admins share one list of at most 100 rows.
+    shared = ranked.orderBy(*_priority_order()).limit(limit).agg(
+        F.collect_list(F.struct(*ranked.columns)))
     admins = tables.users.where(F.col("role") == "Admin").select(
-        F.col("id").alias("viewer_id"), "role")
-    shared = ranked.orderBy(*_priority_order()).limit(limit).withColumn("role", F.lit("Admin"))
-    listed = scoped.unionByName(admins.join(shared, "role").drop("role"))
+        F.col("id").alias("viewer_id"), F.inline(shared.scalar()))
+    listed = scoped.unionByName(admins)
     return _with_recommendation(listed, tables.recommendations, "viewer_id")
 
 
@@ -103,8 +105,7 @@ def merchant_details(
         for name in SIGNAL_VALUES
     }
     return (
-        _narrow(mine, merchant_ids)
-        .join(names, "assigned_dsp_id", "left")
+        split_join(_narrow(mine, merchant_ids), names, "assigned_dsp_id", "left")
         .join(latest_scores(_narrow(tables.daily_scores, merchant_ids)), "merchant_id", "left")
         .join(best_recommendations(_narrow(tables.recommendations, merchant_ids)),
               "merchant_id", "left")

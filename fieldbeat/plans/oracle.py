@@ -59,7 +59,7 @@ TIER_KEY = "((c_nationkey * 3 + c_custkey // 7) % 20)"
 CTES = {
     "nations": "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey",
     "users_base": f"""
-        SELECT 'u01' AS id, 'admin@example.com' AS email, 'System Admin' AS full_name,
+        SELECT 'u01' AS id, 'admin.africa@example.com' AS email, 'System Admin' AS full_name,
             'Admin' AS role, 'AFRICA' AS region, CAST(NULL AS VARCHAR) AS area,
             CAST(NULL AS VARCHAR) AS manager_id, TRUE AS is_active
         UNION ALL
@@ -170,7 +170,8 @@ CTES = {
             CASE WHEN event_id % 5 = 0 OR o_orderkey IS NULL THEN 'u07'
                 ELSE {gid('u', ORDER_OWNER_NUMBER)} END AS user_id,
             CASE WHEN event_id % 11 = 0 THEN 'Admin' ELSE 'DSP' END AS role
-        FROM (SELECT event_id, ((event_id // 2) * 7) % ({N_ORD} + {N_ORD} // 2) AS target FROM events)
+        FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 4
+            ELSE ((event_id // 2) * 7) % ({N_ORD} + {N_ORD} // 2) END AS target FROM events)
         LEFT JOIN orders ON o_orderkey = target""",
     "user_creates": f"""
         SELECT {CALLER},
@@ -184,7 +185,7 @@ CTES = {
     "user_updates": f"""
         SELECT {CALLER}, {USER_TARGET} AS user_id,
             CASE WHEN edits THEN 'Renamed ' || s_name END AS full_name,
-            CASE WHEN edits AND s_suppkey % 10 = 4 THEN 'admin@example.com'
+            CASE WHEN edits AND s_suppkey % 10 = 4 THEN 'admin.africa@example.com'
                 WHEN edits AND s_suppkey % 10 = 6 THEN 'moved' || (s_suppkey // 20) || '@example.com'
                 END AS email,
             CASE WHEN edits AND s_suppkey % 3 = 0 THEN 'Moved' END AS area,

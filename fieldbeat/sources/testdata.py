@@ -85,9 +85,10 @@ class TestData:
             ]
 
         region, key = F.col("r_regionkey"), F.col("s_suppkey")
-        admin = self.spark.range(1).select(*user(
-            F.lit(1), F.lit("admin@example.com"), F.lit("System Admin"), "Admin",
-            F.lit("AFRICA"), none, none, F.lit(True)))
+        admin = self.raw("region").where(region == 0).select(*user(
+            region + 1, F.concat(F.lit("admin."), F.lower("r_name"), F.lit("@example.com")),
+            F.lit("System Admin"), "Admin",
+            F.col("r_name"), none, none, F.lit(True)))
         managers = self.raw("region").select(*user(
             region + 2, F.concat(F.lit("mgr"), region.cast("string"), F.lit("@example.com")),
             F.concat(F.lit("Manager "), F.col("r_name")), "Manager",
@@ -181,13 +182,13 @@ class TestData:
         )
 
     def _visit_history(self) -> DataFrame:
+        key = F.col("user_id")
+        customers = self.raw("customer").select(F.col("c_custkey").alias("user_id"))
         visits = self.raw("events").where(F.col("event_type") != "error")
-        owners = self.tables.merchants.select(
-            F.col("id").alias("merchant_id"), F.col("assigned_dsp_id").alias("dsp_id"))
-        return visits.withColumn("merchant_id", make_id("m", F.col("user_id") + 1)).join(
-            owners, "merchant_id"
-        ).select(
-            make_id("vh", F.col("event_id") + 1).alias("id"), "merchant_id", "dsp_id",
+        return visits.join(customers, "user_id", "left_semi").select(
+            make_id("vh", F.col("event_id") + 1).alias("id"),
+            make_id("m", key + 1).alias("merchant_id"),
+            make_id("u", 7 + key % self.count("supplier")).alias("dsp_id"),
             F.col("ts").cast("date").alias("visit_date"),
             F.col("event_type").alias("visit_notes"),
             _choose(F.col("event_type"), EVENT_OUTCOMES).alias("outcome"),
@@ -247,7 +248,7 @@ class TestData:
         )
 
     def status_changes(self) -> DataFrame:
-        """One row per event, two per id; a third of the ids lie beyond the last order."""
+        """One row per event: a third aim at one order, some ids lie beyond the last order."""
         event = F.col("event_id")
         orders = self.count("orders")
         owners = self.raw("orders").select(
@@ -256,8 +257,9 @@ class TestData:
         )
         return self.raw("events").select(
             event.alias("seq"),
-            ((F.floor(event / 2) * 7) % (orders + F.floor(orders / 2))).cast("bigint")
-            .alias("order_number"),
+            F.when(event % 3 == 0, 4)
+            .otherwise((F.floor(event / 2) * 7) % (orders + F.floor(orders / 2)))
+            .cast("bigint").alias("order_number"),
         ).join(
             owners, F.col("order_number") == F.col("o_orderkey"), "left"
         ).select(
@@ -307,7 +309,7 @@ class TestData:
         return self._admin_changes(
             self._target_user().alias("user_id"),
             F.when(some, F.concat(F.lit("Renamed "), F.col("s_name"))).alias("full_name"),
-            F.when(some & (key % 10 == 4), F.lit("admin@example.com"))
+            F.when(some & (key % 10 == 4), F.lit("admin.africa@example.com"))
             .when(some & (key % 10 == 6),
                   F.concat(F.lit("moved"), F.floor(key / 20).cast("string"), F.lit("@example.com")))
             .alias("email"),
