@@ -12,7 +12,7 @@ changes to one row the last one stays, but each is audited.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -61,22 +61,30 @@ USER_REFERENCES = (
 )
 
 
-@dataclass(frozen=True)
 class ChangeSet:
-    name: str
-    """Which table changes."""
-    table: DataFrame
-    """That table after the changes, in full."""
-    rejects: DataFrame
-    """seq, code, reason."""
-    audit: DataFrame | None = None
-    """New rows of audit_logs."""
-    visits: DataFrame | None = None
-    """New rows of visit_history."""
-    results: DataFrame | None = None
-    """One row per accepted change, as reported back to its sender."""
-    touched: DataFrame | None = None
-    """Partition values, for a partitioned table of which no other partition changes."""
+    """What a batch does to the table ``name``. Parts are built when first asked for, and
+    are None where a batch of this kind has no such part.
+
+    - ``table``: the table after the changes, in full
+    - ``touched``: the values of its partition column, if no other partitions change
+    - ``rejects``: seq, code and reason of the refused changes
+    - ``results``: one row per accepted change, as reported back to its sender
+    - ``audit``, ``visits``, ``messages``: rows to add to the audit log, the visit history
+      and the chat messages
+    """
+
+    PARTS = ("table", "touched", "rejects", "results", "audit", "visits", "messages")
+
+    def __init__(self, name: str, **parts: Callable[[], DataFrame]):
+        self.name, self._parts = name, parts
+
+    def __getattr__(self, part: str) -> DataFrame | None:
+        if part not in self.PARTS:
+            raise AttributeError(part)
+        build = self._parts.get(part)
+        frame = None if build is None else build()
+        setattr(self, part, frame)
+        return frame
 
 
 class _Checked:
@@ -89,8 +97,10 @@ class _Checked:
             failure = F.when(F.coalesce(failed, F.lit(True)), found).otherwise(failure)
         rows = changes.withColumn("_failure", failure)
         self.accepted = rows.where(F.col("_failure").isNull()).drop("_failure")
-        self.rejects = rows.where(F.col("_failure").isNotNull()).select(
-            "seq", "_failure.code", "_failure.reason")
+        self._refused = rows.where(F.col("_failure").isNotNull())
+
+    def rejects(self) -> DataFrame:
+        return self._refused.select("seq", "_failure.code", "_failure.reason")
 
 
 def _lookup(rows: DataFrame, table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
@@ -129,9 +139,10 @@ def append_audit(
     return numbered.select(*tables.audit_logs.columns)
 
 
-def _updated(table: DataFrame, last: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """The table with ``values`` set on rows that have a row in ``last`` (unique on ``key``)."""
-    joined = table.join(last.withColumn("_hit", F.lit(True)), table[key] == last[f"new_{key}"], "left")
+def _updated(table: DataFrame, last: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """The table with ``values`` set on rows whose id is a ``new_id`` of ``last`` (unique)."""
+    joined = table.join(
+        last.withColumn("_hit", F.lit(True)), table["id"] == last["new_id"], "left")
     return joined.select(*[
         F.when(F.col("_hit"), values[c]).otherwise(table[c]).alias(c) if c in values else table[c]
         for c in table.columns
@@ -141,47 +152,67 @@ def _updated(table: DataFrame, last: DataFrame, key: str, values: dict[str, Colu
 # Recommendations
 
 
-@dataclass(frozen=True)
 class _StatusChanges:
-    checked: _Checked
-    table: DataFrame
-    touched: DataFrame
-
-
-def _status_changes(
-    tables: Tables, changes: DataFrame, names: dict[str, str], now: datetime
-) -> _StatusChanges:
-    stored = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
-    recs = tables.recommendations.select(
-        F.col("id").alias("rec_id"), "merchant_id", "recommended_action", "recommendation_date")
-    owners = tables.merchants.select(F.col("id").alias("merchant_id"), "assigned_dsp_id")
-    wanted = narrow(recs, changes, "rec_id")
-    targets = _lookup(wanted, owners, "merchant_id", wanted)
-    named = changes.withColumn("new_status", F.element_at(stored, F.col("status")))
-    by_dsp = F.col("role") == "DSP"
-    checked = _Checked(
-        split_join(named, targets, "rec_id", "left"),
-        (F.col("new_status").isNull(), 400, "unknown status"),
-        (~by_dsp, 403, "only a DSP may update a status"),
-        (F.col("assigned_dsp_id") != F.col("user_id"), 404, "recommendation not found"),
-    )
-    # The last change of each user to a recommendation, before the join: a recommendation
-    # with very many changes is one row per user there, of which the owner's is kept.
-    last = (
-        named.where(F.col("new_status").isNotNull() & by_dsp)
-        .groupBy("rec_id", "user_id")
-        .agg(F.max_by("new_status", "seq").alias("new_status"))
-        .join(targets, "rec_id")
-        .where(F.col("assigned_dsp_id") == F.col("user_id"))
-        .select(F.col("rec_id").alias("new_id"), F.col("user_id").alias("new_user"),
-                "new_status", "recommendation_date")
-    )
-    table = _updated(tables.recommendations, last.drop("recommendation_date"), "id", {
-        "status": F.col("new_status"),
-        "status_updated_at": instant(now),
-        "status_updated_by": F.col("new_user"),
-    })
-    return _StatusChanges(checked, table, last.select("recommendation_date"))
+    """Status changes checked, and the recommendations after them."""
+
+    def __init__(self, tables: Tables, changes: DataFrame, names: dict[str, str]):
+        self.tables = tables
+        stored = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+        recs = tables.recommendations.select(
+            F.col("id").alias("rec_id"), "merchant_id", "recommended_action",
+            "recommendation_date")
+        owners = tables.merchants.select(F.col("id").alias("merchant_id"), "assigned_dsp_id")
+        wanted = narrow(recs, changes, "rec_id")
+        self.targets = _lookup(wanted, owners, "merchant_id", wanted)
+        self.named = changes.withColumn("new_status", F.element_at(stored, F.col("status")))
+        self.checked = _Checked(
+            split_join(self.named, self.targets, "rec_id", "left"),
+            (F.col("new_status").isNull(), 400, "unknown status"),
+            (F.col("role") != "DSP", 403, "only a DSP may update a status"),
+            (F.col("assigned_dsp_id") != F.col("user_id"), 404, "recommendation not found"),
+        )
+
+    def last(self) -> DataFrame:
+        """The change that stays, per recommendation.
+
+        The last change of each user is taken before the join: a recommendation with very
+        many changes is one row per user there, of which the owner's is kept.
+        """
+        by_user = self.named.where(
+            F.col("new_status").isNotNull() & (F.col("role") == "DSP")
+        ).groupBy("rec_id", "user_id").agg(F.max_by("new_status", "seq").alias("new_status"))
+        return split_join(by_user, self.targets, "rec_id").where(
+            F.col("assigned_dsp_id") == F.col("user_id"))
+
+    def table(self, now: datetime) -> DataFrame:
+        last = self.last().select(
+            F.col("rec_id").alias("new_id"), F.col("user_id").alias("new_user"), "new_status")
+        return _updated(self.tables.recommendations, last, {
+            "status": F.col("new_status"),
+            "status_updated_at": instant(now),
+            "status_updated_by": F.col("new_user"),
+        })
+
+    def touched(self) -> DataFrame:
+        return self.last().select("recommendation_date")
+
+    def results(self) -> DataFrame:
+        return self.checked.accepted.select("seq", "rec_id", F.col("new_status").alias("status"))
+
+    def visits(self, as_of: date, now: datetime) -> DataFrame:
+        """A visit for each completed recommendation."""
+        text = F.substring(F.coalesce("recommended_action", F.lit("")), 1, DONE_VISIT_TEXT_LENGTH)
+        done = self.checked.accepted.where(F.col("new_status") == "Done").select(
+            "seq", "merchant_id", F.col("user_id").alias("dsp_id"),
+            day(as_of).alias("visit_date"),
+            F.concat(F.lit(DONE_VISIT_NOTES), text).alias("visit_notes"),
+            F.lit(DONE_VISIT_OUTCOME).alias("outcome"),
+            F.lit(DONE_VISIT_MINUTES).alias("duration_mins"),
+            instant(now).alias("created_at"),
+        )
+        stored = self.tables.visit_history
+        numbered = assign_ids(done, "vh", F.col("seq"), last_number(stored, "vh"))
+        return numbered.select(*stored.columns)
 
 
 def apply_status_updates(
@@ -191,39 +222,29 @@ def apply_status_updates(
 
     Synonyms of a status are accepted. A completed recommendation also logs a visit.
     """
-    status = _status_changes(tables, changes, STATUS_NAMES, now)
-    accepted = status.checked.accepted
-    text = F.substring(F.coalesce("recommended_action", F.lit("")), 1, DONE_VISIT_TEXT_LENGTH)
-    visits = accepted.where(F.col("new_status") == "Done").select(
-        "seq", "merchant_id", F.col("user_id").alias("dsp_id"), day(as_of).alias("visit_date"),
-        F.concat(F.lit(DONE_VISIT_NOTES), text).alias("visit_notes"),
-        F.lit(DONE_VISIT_OUTCOME).alias("outcome"),
-        F.lit(DONE_VISIT_MINUTES).alias("duration_mins"),
-        instant(now).alias("created_at"),
-    )
-    numbered = assign_ids(visits, "vh", F.col("seq"), last_number(tables.visit_history, "vh"))
+    status = _StatusChanges(tables, changes, STATUS_NAMES)
     return ChangeSet(
-        name="recommendations",
-        table=status.table,
+        "recommendations",
+        table=lambda: status.table(now),
         touched=status.touched,
         rejects=status.checked.rejects,
-        audit=append_audit(
-            tables, accepted, now, "user_id", "UPDATE_ACTION_STATUS", "recommendation"),
-        visits=numbered.select(*tables.visit_history.columns),
-        results=accepted.select("seq", "rec_id", F.col("new_status").alias("status")),
+        results=status.results,
+        audit=lambda: append_audit(
+            tables, status.checked.accepted, now, "user_id", "UPDATE_ACTION_STATUS",
+            "recommendation"),
+        visits=lambda: status.visits(as_of, now),
     )
 
 
 def apply_actions(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
     """Status changes by tools: stored status names only, no visit and no audit row."""
-    status = _status_changes(tables, changes, {name: name for name in STATUSES}, now)
-    checked = status.checked
+    status = _StatusChanges(tables, changes, {name: name for name in STATUSES})
     return ChangeSet(
-        name="recommendations",
-        table=status.table,
+        "recommendations",
+        table=lambda: status.table(now),
         touched=status.touched,
-        rejects=checked.rejects,
-        results=checked.accepted.select("seq", "rec_id", F.col("new_status").alias("status")),
+        rejects=status.checked.rejects,
+        results=status.results,
     )
 
 
@@ -249,23 +270,28 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
     numbered = assign_ids(
         checked.accepted.select("seq", "merchant_id", "text", "user_id"),
         "r", F.col("seq"), last_number(tables.recommendations, "r"))
-    saved = top_per_key(numbered, ["merchant_id"], [F.desc("seq")]).select(
-        "id", "merchant_id", F.col("text").alias("recommended_action"),
-        F.lit(BRIEF_EXPLANATION).alias("action_explanation"),
-        F.lit(BRIEF_CONFIDENCE).cast("decimal(3,2)").alias("confidence_score"),
-        F.lit("New").alias("status"),
-        instant(now).alias("status_updated_at"),
-        F.col("user_id").alias("status_updated_by"),
-        day(as_of).alias("recommendation_date"),
-        instant(now).alias("created_at"),
-    )
+
+    def table() -> DataFrame:
+        saved = top_per_key(numbered, ["merchant_id"], [F.desc("seq")]).select(
+            "id", "merchant_id", F.col("text").alias("recommended_action"),
+            F.lit(BRIEF_EXPLANATION).alias("action_explanation"),
+            F.lit(BRIEF_CONFIDENCE).cast("decimal(3,2)").alias("confidence_score"),
+            F.lit("New").alias("status"),
+            instant(now).alias("status_updated_at"),
+            F.col("user_id").alias("status_updated_by"),
+            day(as_of).alias("recommendation_date"),
+            instant(now).alias("created_at"),
+        )
+        briefed = saved.select("merchant_id")
+        kept = split_join(tables.recommendations, briefed, "merchant_id", "left_anti")
+        return kept.unionByName(saved)
+
     return ChangeSet(
-        name="recommendations",
-        table=tables.recommendations.join(
-            saved.select("merchant_id"), "merchant_id", "left_anti")
-        .select(*saved.columns).unionByName(saved),
+        "recommendations",
+        table=table,
         rejects=checked.rejects,
-        results=numbered.select("seq", F.col("id").alias("rec_id"), "merchant_id", "text"),
+        results=lambda: numbered.select(
+            "seq", F.col("id").alias("rec_id"), "merchant_id", "text"),
     )
 
 
@@ -284,20 +310,26 @@ def create_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     first = _Checked(looked_up, *before, manager).accepted.groupBy("email").agg(
         F.min("seq").alias("_first"))
     late = (F.coalesce(F.col("_first") < F.col("seq"), F.lit(False)), 409, "e-mail taken")
-    checked = _Checked(looked_up.join(first, "email", "left"), *before, late, manager)
+    checked = _Checked(
+        split_join(looked_up, first, "email", "left"), *before, late, manager)
     created = assign_ids(
         checked.accepted, "u", F.col("seq"), last_number(tables.users, "u"))
-    rows = created.select(
-        "id", "email", F.sha2("password", 256).alias("password_hash"), "full_name", "role",
-        "region", "area", "manager_id", F.lit(True).alias("is_active"),
-        instant(now).alias("created_at"), instant(now).alias("updated_at"),
-    )
+
+    def table() -> DataFrame:
+        return tables.users.unionByName(created.select(
+            "id", "email", F.sha2("password", 256).alias("password_hash"), "full_name", "role",
+            "region", "area", "manager_id", F.lit(True).alias("is_active"),
+            instant(now).alias("created_at"), instant(now).alias("updated_at"),
+        ))
+
     return ChangeSet(
-        name="users",
-        table=tables.users.unionByName(rows),
+        "users",
+        table=table,
         rejects=checked.rejects,
-        audit=append_audit(tables, checked.accepted, now, "caller_id", "CREATE_USER", "user"),
-        results=created.select("seq", F.col("id").alias("user_id"), "email", "full_name", "role"),
+        results=lambda: created.select(
+            "seq", F.col("id").alias("user_id"), "email", "full_name", "role"),
+        audit=lambda: append_audit(
+            tables, checked.accepted, now, "caller_id", "CREATE_USER", "user"),
     )
 
 
@@ -333,17 +365,21 @@ def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         "email").agg(F.min_by("user_id", "seq").alias("_claimed_by"))
     late = F.coalesce(F.col("_claimed_by") != F.col("user_id"), F.lit(False))
     checked = _Checked(
-        looked_up.join(claims, "email", "left"), *checks, (late, 500, "e-mail taken"))
-    last = checked.accepted.groupBy(F.col("user_id").alias("new_id")).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}")
-        for c in USER_FIELDS
-    ])
-    values = {c: F.coalesce(F.col(f"new_{c}"), tables.users[c]) for c in USER_FIELDS}
+        split_join(looked_up, claims, "email", "left"), *checks, (late, 500, "e-mail taken"))
+
+    def table() -> DataFrame:
+        last = checked.accepted.groupBy(F.col("user_id").alias("new_id")).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}")
+            for c in USER_FIELDS
+        ])
+        values = {c: F.coalesce(F.col(f"new_{c}"), tables.users[c]) for c in USER_FIELDS}
+        return _updated(tables.users, last, values | {"updated_at": instant(now)})
+
     return ChangeSet(
-        name="users",
-        table=_updated(tables.users, last, "id", values | {"updated_at": instant(now)}),
+        "users",
+        table=table,
         rejects=checked.rejects,
-        results=checked.accepted.select("seq", "user_id"),
+        results=lambda: checked.accepted.select("seq", "user_id"),
     )
 
 
@@ -368,13 +404,15 @@ def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         (F.col("_referred").isNotNull(), 500, "user is referred to"),
         (F.col("_first") != F.col("seq"), 404, "user not found"),
     )
-    removed = checked.accepted.select(F.col("user_id").alias("id"))
+    accepted = checked.accepted
     return ChangeSet(
-        name="users",
-        table=tables.users.join(removed, "id", "left_anti"),
+        "users",
+        table=lambda: tables.users.join(
+            accepted.select(F.col("user_id").alias("id")), "id", "left_anti"),
         rejects=checked.rejects,
-        audit=append_audit(tables, checked.accepted, now, "caller_id", "DEACTIVATE_USER", "user"),
-        results=checked.accepted.select("seq", "user_id", F.col("old_name").alias("full_name")),
+        results=lambda: accepted.select("seq", "user_id", F.col("old_name").alias("full_name")),
+        audit=lambda: append_audit(
+            tables, accepted, now, "caller_id", "DEACTIVATE_USER", "user"),
     )
 
 
@@ -387,24 +425,30 @@ def assign_roles(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         _lookup(changes, _known_users(tables), "user_id", changes),
         _not_admin(), _bad_role(), (F.col("stored_role").isNull(), 404, "user not found"))
     accepted = checked.accepted
-    placed = with_position(accepted, F.col("seq"), ["user_id"], "_nth")
-    before = placed.select("user_id", (F.col("_nth") + 1).alias("_nth"),
-                           F.col("role").alias("_role_before"))
-    results = placed.join(before, ["user_id", "_nth"], "left").select(
-        "seq", "user_id", F.col("old_name").alias("full_name"),
-        F.coalesce("_role_before", "stored_role").alias("old_role"),
-        F.col("role").alias("new_role"),
-    )
-    valid = changes.where(~_not_admin()[0] & ~_bad_role()[0])
-    last = valid.groupBy(F.col("user_id").alias("new_id")).agg(
-        F.max_by("role", "seq").alias("new_role"))
+
+    def table() -> DataFrame:
+        valid = changes.where(~_not_admin()[0] & ~_bad_role()[0])
+        last = valid.groupBy(F.col("user_id").alias("new_id")).agg(
+            F.max_by("role", "seq").alias("new_role"))
+        return _updated(
+            tables.users, last, {"role": F.col("new_role"), "updated_at": instant(now)})
+
+    def results() -> DataFrame:
+        placed = with_position(accepted, F.col("seq"), ["user_id"], "_nth")
+        before = placed.select("user_id", (F.col("_nth") + 1).alias("_nth"),
+                               F.col("role").alias("_role_before"))
+        return placed.join(before, ["user_id", "_nth"], "left").select(
+            "seq", "user_id", F.col("old_name").alias("full_name"),
+            F.coalesce("_role_before", "stored_role").alias("old_role"),
+            F.col("role").alias("new_role"),
+        )
+
     return ChangeSet(
-        name="users",
-        table=_updated(tables.users, last, "id",
-                       {"role": F.col("new_role"), "updated_at": instant(now)}),
+        "users",
+        table=table,
         rejects=checked.rejects,
-        audit=append_audit(tables, accepted, now, "caller_id", "ROLE_CHANGE", "user"),
         results=results,
+        audit=lambda: append_audit(tables, accepted, now, "caller_id", "ROLE_CHANGE", "user"),
     )
 
 
@@ -426,16 +470,21 @@ def assign_merchants(tables: Tables, changes: DataFrame, now: datetime) -> Chang
         (F.col("merchant_name").isNull(), 404, "merchant not found"),
     )
     accepted = checked.accepted
-    valid = aimed.where(~_not_admin()[0] & (F.col("target_role") == "DSP"))
-    last = valid.groupBy(F.col("merchant_id").alias("new_id")).agg(
-        F.max_by("assigned_dsp_id", "seq").alias("new_dsp"))
-    details = F.to_json(F.struct("assigned_dsp_id", "dsp_name"))
+
+    def table() -> DataFrame:
+        valid = aimed.where(~_not_admin()[0] & (F.col("target_role") == "DSP"))
+        last = valid.groupBy(F.col("merchant_id").alias("new_id")).agg(
+            F.max_by("assigned_dsp_id", "seq").alias("new_dsp"))
+        return _updated(
+            tables.merchants, last,
+            {"assigned_dsp_id": F.col("new_dsp"), "updated_at": instant(now)})
+
     return ChangeSet(
-        name="merchants",
-        table=_updated(tables.merchants, last, "id",
-                       {"assigned_dsp_id": F.col("new_dsp"), "updated_at": instant(now)}),
+        "merchants",
+        table=table,
         rejects=checked.rejects,
-        audit=append_audit(tables, accepted, now, "caller_id", "ASSIGN_MERCHANT", "merchant",
-                           F.col("merchant_id"), details),
-        results=accepted.select("seq", "merchant_id", "merchant_name", "assigned_dsp_id"),
+        results=lambda: accepted.select("seq", "merchant_id", "merchant_name", "assigned_dsp_id"),
+        audit=lambda: append_audit(
+            tables, accepted, now, "caller_id", "ASSIGN_MERCHANT", "merchant",
+            F.col("merchant_id"), F.to_json(F.struct("assigned_dsp_id", "dsp_name"))),
     )

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import clamp, id_number, instant
-from fieldbeat.functions.joins import left_join_many
+from fieldbeat.functions.joins import left_join_many, narrow, split_join
 from fieldbeat.functions.merge import assign_ids, last_number
 from fieldbeat.functions.ranking import top_per_key, with_position
+from fieldbeat.operators.changes import ChangeSet
 from fieldbeat.operators.scope import Caller
 from fieldbeat.sources.tables import Tables
 
@@ -44,59 +44,54 @@ def chat_history_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     return left_join_many(pages, tables.chat_messages, "session_id")
 
 
-@dataclass(frozen=True)
-class ChatAppend:
-    sessions: DataFrame
-    """chat_sessions, in full."""
-    new_messages: DataFrame
-    """The rows to append to chat_messages."""
-    placed: DataFrame
-    """seq, session_id, is_new of each turn."""
-
-
-def append_chats(tables: Tables, turns: DataFrame, now: datetime) -> ChatAppend:
+def append_chats(tables: Tables, turns: DataFrame, now: datetime) -> ChangeSet:
     """Appends question and answer of each turn (seq, user_id, session_id, message, answer).
 
     A turn goes to the session it names if that exists and belongs to the user; any other
     turn opens a session of its own, titled by the start of the message. ``seq`` is unique
-    and gives the order; positions follow the session's last message.
+    and gives the order; positions follow the session's last message. Results are seq,
+    session_id and is_new.
     """
-    owned = tables.chat_sessions.select(
-        F.col("id").alias("session_id"), "user_id")
+    owned = tables.chat_sessions.select(F.col("id").alias("session_id"), "user_id")
     known = turns.join(owned, ["session_id", "user_id"], "left_semi").select(*turns.columns)
     fresh = turns.join(known.select("seq"), "seq", "left_anti").drop("session_id")
     opened = assign_ids(
         fresh, "cs", F.col("seq"), last_number(tables.chat_sessions, "cs"), "session_id")
 
-    touched = known.select("session_id").distinct().withColumn("_touched", F.lit(True))
-    kept = tables.chat_sessions.join(
-        touched.withColumnRenamed("session_id", "id"), "id", "left"
-    ).withColumn(
-        "updated_at",
-        F.when(F.col("_touched"), instant(now)).otherwise(F.col("updated_at")),
-    ).select(*tables.chat_sessions.columns)
-    new_sessions = opened.select(
-        F.col("session_id").alias("id"), "user_id",
-        F.substring("message", 1, TITLE_LENGTH).alias("title"),
-        instant(now).alias("created_at"), instant(now).alias("updated_at"),
-    )
-
-    ends = tables.chat_messages.groupBy("session_id").agg(F.max("position").alias("_last"))
-    columns = ["session_id", "seq", "message", "answer"]
-    appended = with_position(known.select(*columns), F.col("seq"), ["session_id"], "_turn").join(
-        ends, "session_id", "left"
-    ).unionByName(opened.select(*columns, F.lit(1).cast("bigint").alias("_turn"),
-                                F.lit(None).cast("bigint").alias("_last")))
-    start = F.coalesce(F.col("_last") + 1, F.lit(0)) + 2 * (F.col("_turn") - 1)
-    pair = F.array(
-        F.struct(start.alias("position"), F.lit("user").alias("role"),
-                 F.col("message").alias("content")),
-        F.struct((start + 1).alias("position"), F.lit("assistant").alias("role"),
-                 F.col("answer").alias("content")),
-    )
-    return ChatAppend(
-        sessions=kept.unionByName(new_sessions),
-        new_messages=appended.select("session_id", F.inline(pair)),
-        placed=known.select("seq", "session_id", F.lit(False).alias("is_new")).unionByName(
-            opened.select("seq", "session_id", F.lit(True).alias("is_new"))),
+    def sessions() -> DataFrame:
+        touched = known.select(F.col("session_id").alias("id")).distinct()
+        updated = F.when(F.col("_touched"), instant(now)).otherwise(F.col("updated_at"))
+        kept = tables.chat_sessions.join(
+            touched.withColumn("_touched", F.lit(True)), "id", "left"
+        ).withColumn("updated_at", updated).select(*tables.chat_sessions.columns)
+        return kept.unionByName(opened.select(
+            F.col("session_id").alias("id"), "user_id",
+            F.substring("message", 1, TITLE_LENGTH).alias("title"),
+            instant(now).alias("created_at"), instant(now).alias("updated_at"),
+        ))
+
+    def messages() -> DataFrame:
+        columns = ["session_id", "seq", "message", "answer"]
+        ends = narrow(tables.chat_messages, known, "session_id").groupBy("session_id").agg(
+            F.max("position").alias("_last"))
+        numbered = with_position(known.select(*columns), F.col("seq"), ["session_id"], "_turn")
+        first = opened.select(*columns, F.lit(1).cast("bigint").alias("_turn"),
+                              F.lit(None).cast("bigint").alias("_last"))
+        placed = split_join(numbered, ends, "session_id", "left").unionByName(first)
+        start = F.coalesce(F.col("_last") + 1, F.lit(0)) + 2 * (F.col("_turn") - 1)
+        pair = F.array(
+            F.struct(start.alias("position"), F.lit("user").alias("role"),
+                     F.col("message").alias("content")),
+            F.struct((start + 1).alias("position"), F.lit("assistant").alias("role"),
+                     F.col("answer").alias("content")),
+        )
+        return placed.select("session_id", F.inline(pair))
+
+    return ChangeSet(
+        "chat_sessions",
+        table=sessions,
+        messages=messages,
+        results=lambda: known.select(
+            "seq", "session_id", F.lit(False).alias("is_new")
+        ).unionByName(opened.select("seq", "session_id", F.lit(True).alias("is_new"))),
     )

@@ -40,26 +40,33 @@ def check_constraints(tables: Tables, names: tuple[str, ...] = tuple(RULES)) ->
     ``value`` is the offending value and ``n`` its number of rows. Every rule counts rows
     per value first, so a value on many rows is one row before it is joined or reported.
     """
-    results = []
+    results, used = [], {}
 
-    def report(df: DataFrame, name: str, rule: Column) -> None:
-        results.append(df.select(
-            F.lit(name).alias("table_name"), rule.alias("rule"), "value", "n"))
+    def report(df: DataFrame, name: str, rule: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("table_name"), rule.alias("rule"), "value", "n")
+
+    def count_by(df: DataFrame, *columns: str | Column) -> DataFrame:
+        return df.groupBy(*columns).agg(F.count("*").alias("n"))
 
     for name in names:
         table, rules = getattr(tables, name), RULES[name]
-        broken = table.select(F.inline(F.filter(F.array(*_row_rules(rules)), lambda r: r.isNotNull())))
-        report(broken.groupBy("rule", "value").agg(F.count("*").alias("n")), name, F.col("rule"))
+        kept = F.filter(F.array(*_row_rules(rules)), lambda r: r.isNotNull())
+        broken = count_by(table.select(F.inline(kept)), "rule", "value")
+        results.append(report(broken, name, F.col("rule")))
         for key in rules.unique:
-            value = F.concat_ws(",", *key)
-            repeated = table.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n"))
-            report(repeated.where(F.col("n") > 1).withColumn("value", value), name,
-                   F.lit(f"{','.join(key)} unique"))
+            counted = count_by(table.dropna(subset=list(key)), *key)
+            repeated = counted.where(F.col("n") > 1).withColumn("value", F.concat_ws(",", *key))
+            results.append(report(repeated, name, F.lit(f"{','.join(key)} unique")))
         for column, parent in rules.references.items():
-            ids = getattr(tables, parent).select(F.col("id").alias("value"))
-            used = table.where(F.col(column).isNotNull()).groupBy(
-                F.col(column).alias("value")).agg(F.count("*").alias("n"))
-            report(used.join(ids, "value", "left_anti"), name, F.lit(f"{column} in {parent}"))
+            counted = count_by(table.where(F.col(column).isNotNull()), F.col(column).alias("value"))
+            used.setdefault(parent, []).append(
+                report(counted, name, F.lit(f"{column} in {parent}")))
+    # All references to one table meet its ids in one join.
+    for parent, counted in used.items():
+        ids = getattr(tables, parent).select(F.col("id").alias("value"))
+        references = reduce(DataFrame.unionByName, counted)
+        results.append(references.join(ids, "value", "left_anti").select(
+            "table_name", "rule", "value", "n"))
     return reduce(DataFrame.unionByName, results)
 
 

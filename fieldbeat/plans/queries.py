@@ -116,7 +116,7 @@ def _m08(d: TestData) -> changes.ChangeSet:
     return changes.replace_briefs(d.tables, d.briefs(), AS_OF, NOW)
 
 
-def _m09(d: TestData) -> chat.ChatAppend:
+def _m09(d: TestData) -> changes.ChangeSet:
     return chat.append_chats(d.tables, d.chat_turns(), NOW)
 
 
@@ -198,9 +198,9 @@ QUERIES: dict[str, Query] = {
     "m07_rejects": lambda d: _m07(d).rejects,
     "m08_recs": lambda d: _m08(d).table,
     "m08_rejects": lambda d: _m08(d).rejects,
-    "m09_sessions": lambda d: _m09(d).sessions,
-    "m09_messages": lambda d: d.tables.chat_messages.unionByName(_m09(d).new_messages),
-    "m09_placed": lambda d: _m09(d).placed,
+    "m09_sessions": lambda d: _m09(d).table,
+    "m09_messages": lambda d: d.tables.chat_messages.unionByName(_m09(d).messages),
+    "m09_placed": lambda d: _m09(d).results,
     "s03_insert_ignore": lambda d: insert_ignore(
         d.tables.merchant_signals, d.next_day_signals(), SIGNAL_KEYS, BY_ID_NUMBER),
     "s04_upsert": lambda d: upsert(

@@ -8,7 +8,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldbeat.operators.changes import ChangeSet
-from fieldbeat.operators.chat import ChatAppend
 from fieldbeat.schema import PARTITION_COLUMN
 from fieldbeat.sources.tables import Tables, write_table
 
@@ -41,7 +40,7 @@ class Store:
         partition = PARTITION_COLUMN.get(name)
         write_table(self.materialize(df), f"{self.root}/{name}", partition)
 
-    def apply(self, changes: ChangeSet | ChatAppend, batch: str | None = None) -> None:
+    def apply(self, changes: ChangeSet, batch: str | None = None) -> None:
         """Stores the outcome of a change set: the changed table and the new rows of others.
 
         All results are computed from the tables as they are and materialized before the
@@ -49,15 +48,9 @@ class Store:
         ``batch`` name finishes from the materialized results, and repeats no row.
         """
         folder = self.scratch(batch)
-        if isinstance(changes, ChatAppend):
-            name, table, touched = "chat_sessions", changes.sessions, None
-            added = {"chat_messages": changes.new_messages}
-        else:
-            name, table, touched = changes.name, changes.table, changes.touched
-            added = {"audit_logs": changes.audit, "visit_history": changes.visits}
-        if touched is not None:
-            partition = PARTITION_COLUMN[name]
-            table = table.join(touched.select(partition).distinct(), partition, "left_semi")
+        name, table, touched = changes.name, changes.table, changes.touched
+        added = {"audit_logs": changes.audit, "visit_history": changes.visits,
+                 "chat_messages": changes.messages}
         results = {name: table} | {n: df for n, df in added.items() if df is not None}
         if not self._exists(f"{folder}/_ready"):
             for n, df in results.items():

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldbeat.operators.changes import ChangeSet
-from fieldbeat.operators.chat import ChatAppend
 from fieldbeat.sources.store import Store
 from fieldbeat.sources.tables import Tables
 
@@ -16,7 +15,7 @@ from fieldbeat.sources.tables import Tables
 def apply_feed(
     store: Store,
     requests: DataFrame,
-    operator: Callable[[Tables, DataFrame], ChangeSet | ChatAppend],
+    operator: Callable[[Tables, DataFrame], ChangeSet],
     checkpoint: str,
     name: str,
 ) -> StreamingQuery:

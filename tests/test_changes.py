@@ -230,14 +230,14 @@ def test_append_chats(make_tables, make_df, rows_of):
         turn(1, "u04", "cs02", "not mine"), turn(3, "u05", None, "y" * 120),
         turn(5, "u05", "cs99", "unknown"),
     ]), NOW)
-    assert sorted(rows_of(result.placed, "seq", "session_id", "is_new")) == [
+    assert sorted(rows_of(result.results, "seq", "session_id", "is_new")) == [
         (1, "cs03", True), (2, "cs01", False), (3, "cs04", True), (4, "cs01", False),
         (5, "cs05", True)]
-    sessions = {r["id"]: r for r in rows_of(result.sessions)}
+    sessions = {r["id"]: r for r in rows_of(result.table)}
     assert sessions["cs01"]["updated_at"] == NOW and sessions["cs01"]["title"] == "T"
     assert sessions["cs02"]["updated_at"] == old
     assert sessions["cs04"]["title"] == "y" * 100 and sessions["cs04"]["user_id"] == "u05"
-    messages = sorted(rows_of(result.new_messages, "session_id", "position", "role", "content"))
+    messages = sorted(rows_of(result.messages, "session_id", "position", "role", "content"))
     assert [m for m in messages if m[0] == "cs01"] == [
         ("cs01", 1, "user", "first"), ("cs01", 2, "assistant", "re first"),
         ("cs01", 3, "user", "second"), ("cs01", 4, "assistant", "re second")]

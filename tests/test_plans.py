@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from fieldbeat.functions.joins import left_join_many, split_join
+from fieldbeat.operators.changes import apply_status_updates
 from fieldbeat.plans.queries import QUERIES
+from tests.small import AS_OF, MODEL, NOW
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -52,6 +56,65 @@ def test_dashboards_read_few_columns_and_rank_nothing(plans):
     assert "o_totalprice" not in plans["q14_admin"]
 
 
-def test_filters_reach_the_scan(plans):
-    assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))" in \
-        plans["q18_visits_admin"]
+def test_filters_and_columns_reach_the_scan(plans):
+    scan = next(line for line in plans["q18_visits_admin"].splitlines() if "events.parquet" in line)
+    assert "IsNotNull(event_type)" in scan and "GreaterThanOrEqual(ts" in scan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in scan
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return physical(df).split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def small_skew_limits(spark):
+    """Limits at which a few thousand rows count as a large, skewed shuffle partition."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def hot_and_grouped(spark):
+    """Rows of which a third has one key, and a table grouped by the key."""
+    rows = spark.range(0, 60_000, 1, 8).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("k0"))
+        .otherwise(F.concat(F.lit("k"), (F.col("id") % 2000).cast("string"))).alias("k"))
+    info = spark.range(0, 4000, 1, 8).groupBy(
+        F.concat(F.lit("k"), (F.col("id") % 2000).cast("string")).alias("k")).agg(F.count("*").alias("n"))
+    return rows, info
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_hot_keys_are_split(spark, small_skew_limits, how):
+    rows, info = hot_and_grouped(spark)
+    assert "skew=true" in final_plan(split_join(rows, info, "k", how))
+    assert "skew=true" not in final_plan(rows.join(info, "k", how))    # what it is for
+
+
+def test_hot_right_sides_are_split(spark, small_skew_limits):
+    rows, info = hot_and_grouped(spark)
+    assert "skew=true" in final_plan(left_join_many(info, rows, "k"))
+
+
+def test_status_changes_of_one_recommendation_are_split(spark, make_tables, small_skew_limits):
+    batch = spark.range(0, 30_000, 1, 8).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, F.lit("r01"))
+        .otherwise(F.concat(F.lit("r1"), F.col("id").cast("string"))).alias("rec_id"),
+        F.lit("DONE").alias("status"), F.lit("u04").alias("user_id"), F.lit("DSP").alias("role"))
+    result = apply_status_updates(make_tables(**MODEL), batch, AS_OF, NOW)
+    assert "skew=true" in final_plan(result.rejects)
+    assert result.rejects.count() == 20_000 and result.visits.count() == 10_000
+    assert result.table.where("status = 'Done'").count() == 3
