@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldbeat.functions.columns import clamp, id_number, instant
 from fieldbeat.functions.joins import left_join_many, narrow, split_join
 from fieldbeat.functions.merge import assign_ids, last_number
-from fieldbeat.functions.ranking import top_per_key, with_position
+from fieldbeat.functions.ranking import first_rows, top_per_key, with_position
 from fieldbeat.operators.changes import ChangeSet
 from fieldbeat.operators.scope import Caller
 from fieldbeat.sources.tables import Tables
@@ -32,8 +32,8 @@ def chat_history(tables: Tables, caller: Caller, limit: int = 20) -> DataFrame:
 
     A session without messages is one row with nulls.
     """
-    page = _sessions(tables).where(F.col("user_id") == caller.user_id).orderBy(
-        *_newest()).limit(clamp(limit, 100))
+    own = _sessions(tables).where(F.col("user_id") == caller.user_id)
+    page = first_rows(own, _newest(), clamp(limit, 100))
     return left_join_many(page, tables.chat_messages, "session_id").drop("user_id").orderBy(
         *_newest(), "position")
 

@@ -11,8 +11,8 @@ from pyspark.sql.types import DecimalType, StructField
 
 from fieldbeat.functions.columns import id_number
 from fieldbeat.functions.joins import split_join
-from fieldbeat.functions.ranking import with_position
-from fieldbeat.operators.merchants import merchant_details, visits_in_scope
+from fieldbeat.functions.ranking import with_position_in_groups
+from fieldbeat.operators.merchants import merchant_details, merchants_in_scope, visits_in_scope
 from fieldbeat.operators.scope import Caller
 from fieldbeat.sources.tables import Tables
 
@@ -57,7 +57,7 @@ def brief_context(
     newest = F.shiftleft((F.lit(LAST_DAY) - F.unix_date("visit_date")).cast("bigint"), 45)
     key = newest + id_number(F.col("visit_id"), "vh")
     visits = visits_in_scope(tables, caller, merchant_ids)
-    placed = with_position(visits, key, ["merchant_id"]).select(
+    placed = with_position_in_groups(visits, key, "merchant_id").select(
         "merchant_id",
         F.floor((F.col("position") - 1) / visits_per_part).cast("int").alias("part"),
         F.struct("position", "visit_date", "visit_notes", "outcome", "duration_mins",
@@ -65,7 +65,7 @@ def brief_context(
     )
     # A null visit per merchant gives each a part 0, and so allows an inner join, in which
     # Spark can split the parts of a much-visited merchant.
-    first_parts = details.select(
+    first_parts = merchants_in_scope(tables, caller, merchant_ids).select(
         "merchant_id", F.lit(0).alias("part"),
         F.lit(None).cast(placed.schema["visit"].dataType).alias("visit"))
     parts = placed.unionByName(first_parts).groupBy("merchant_id", "part").agg(

@@ -11,7 +11,7 @@ from fieldbeat.functions.columns import (
     clamp, clean_name, contains_text, day, id_number, null_if_zero,
 )
 from fieldbeat.functions.joins import split_join
-from fieldbeat.functions.ranking import top_per_key
+from fieldbeat.functions.ranking import first_rows, top_per_key
 from fieldbeat.operators.scope import Caller, active, entitlements, in_scope
 from fieldbeat.operators.scoring import SIGNAL_VALUES
 from fieldbeat.sources.tables import Tables
@@ -65,7 +65,7 @@ def _with_recommendation(listed: DataFrame, recommendations: DataFrame, *leading
 def prioritized_merchants(tables: Tables, caller: Caller, limit: int = 20) -> DataFrame:
     """The caller's first ``limit`` merchants by rank, each with its best recommendation."""
     mine = in_scope(tables.merchants, tables.users, caller)
-    listed = _ranked(tables, mine).orderBy(*_priority_order()).limit(clamp(limit, 100))
+    listed = first_rows(_ranked(tables, mine), _priority_order(), clamp(limit, 100))
     wanted = _narrow(tables.recommendations, listed)
     return _with_recommendation(listed, wanted).orderBy(*_priority_order())
 
@@ -78,14 +78,22 @@ def prioritized_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     scoped = top_per_key(
         entitled.join(ranked, "merchant_id"), ["viewer_id"], _priority_order(), limit)
     # All Admins share one list of at most 100 rows.
-    shared = ranked.orderBy(*_priority_order()).limit(limit).agg(
+    page = ranked.orderBy(*_priority_order()).limit(limit).agg(
         F.collect_list(F.struct(*ranked.columns)))
     admins = tables.users.where(F.col("role") == "Admin").select(
-        F.col("id").alias("viewer_id"), F.inline(shared.scalar()))
+        F.col("id").alias("viewer_id"), F.inline(page.scalar()))
     listed = scoped.unionByName(admins)
     return _with_recommendation(listed, tables.recommendations, "viewer_id")
 
 
+def merchants_in_scope(
+    tables: Tables, caller: Caller, merchant_ids: DataFrame | None = None
+) -> DataFrame:
+    """The caller's merchants, those of ``merchant_ids`` if given, with key ``merchant_id``."""
+    mine = in_scope(tables.merchants, tables.users, caller)
+    return _narrow(mine.withColumnRenamed("id", "merchant_id"), merchant_ids)
+
+
 def merchant_details(
     tables: Tables, caller: Caller, as_of: date, merchant_ids: DataFrame | None = None
 ) -> DataFrame:
@@ -94,7 +102,6 @@ def merchant_details(
     ``merchant_ids`` (merchant_id) narrows the result; out of scope means no row. Zero
     coordinates, scores, trends and balances read as null.
     """
-    mine = in_scope(tables.merchants, tables.users, caller).withColumnRenamed("id", "merchant_id")
     names = tables.users.select(
         F.col("id").alias("assigned_dsp_id"), F.col("full_name").alias("assigned_dsp"))
     signals = tables.merchant_signals.where(F.col("signal_date") == day(as_of)).select(
@@ -105,7 +112,8 @@ def merchant_details(
         for name in SIGNAL_VALUES
     }
     return (
-        split_join(_narrow(mine, merchant_ids), names, "assigned_dsp_id", "left")
+        split_join(merchants_in_scope(tables, caller, merchant_ids), names,
+                   "assigned_dsp_id", "left")
         .join(latest_scores(_narrow(tables.daily_scores, merchant_ids)), "merchant_id", "left")
         .join(best_recommendations(_narrow(tables.recommendations, merchant_ids)),
               "merchant_id", "left")
