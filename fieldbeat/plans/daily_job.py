@@ -45,22 +45,33 @@ def _with_ids(df: DataFrame, table: DataFrame, prefix: str) -> DataFrame:
     return df.where(F.col("id").isNotNull()).unionByName(numbered)
 
 
-def run_daily(store: Store, deltas: DataFrame, as_of: date, now: datetime) -> None:
+def run_daily(
+    store: Store, deltas: DataFrame, as_of: date, now: datetime, batch: str | None = None
+) -> None:
     """Rewrites the ``as_of`` partitions of signals and scores.
 
-    Both results are written to the shared scratch folder before they replace a partition,
-    so the job never overwrites what it still reads, and a lost executor costs no more than
-    its tasks. A second run on one day rolls the signals forward once more.
+    Both are computed and materialized before the first one is replaced, so the job never
+    overwrites what it still reads, and a lost executor costs no more than its tasks. A
+    second run on one day rolls the signals forward once more; to finish a run that died
+    instead, call it again with the same ``batch`` name.
     """
-    tables = store.tables()
-    signals = store.materialize(next_signals(tables, deltas, as_of, now))
-    store.write("merchant_signals", _with_ids(signals, tables.merchant_signals, "ms"))
 
-    scores = store.tables().daily_scores
-    scored = score_merchants(signals, active(tables.merchants), as_of).withColumns({
-        "id": F.lit(None).cast("string"), "created_at": instant(now),
-    }).select(*scores.columns)
-    merged = store.materialize(
-        upsert(scores.where(F.col("score_date") == day(as_of)), scored,
-               ["merchant_id", "score_date"], UPDATED_SCORE_COLUMNS))
-    store.write("daily_scores", _with_ids(merged, scores, "ds"))
+    def build() -> dict[str, DataFrame]:
+        tables = store.tables()
+        merged = store.materialize(next_signals(tables, deltas, as_of, now))
+        signals = _with_ids(merged, tables.merchant_signals, "ms")
+        stored = tables.daily_scores
+        scored = score_merchants(merged, active(tables.merchants), as_of).withColumns({
+            "id": F.lit(None).cast("string"), "created_at": instant(now),
+        }).select(*stored.columns)
+        scores = upsert(
+            stored.where(F.col("score_date") == day(as_of)), scored,
+            ["merchant_id", "score_date"], UPDATED_SCORE_COLUMNS)
+        return {
+            "merchant_signals": signals,
+            "daily_scores": _with_ids(store.materialize(scores), stored, "ds"),
+        }
+
+    results = store.once(batch, ["merchant_signals", "daily_scores"], build)
+    for name, rows in results.items():
+        store.write(name, rows)

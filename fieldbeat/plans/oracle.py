@@ -193,7 +193,12 @@ CTES = {
                 WHEN edits AND s_suppkey % 7 = 5 THEN 'u00' END AS manager_id,
             CASE WHEN edits AND s_suppkey % 4 = 0 THEN FALSE END AS is_active
         FROM (SELECT *, s_suppkey % 12 <> 1 AS edits FROM supplier)""",
-    "user_deletes": f"SELECT {CALLER}, {USER_TARGET} AS user_id FROM supplier",
+    "user_deletes": f"""
+        SELECT {CALLER}, CASE s_suppkey % 9
+            WHEN 8 THEN {gid('u', f'(s_suppkey // 18 * 18 + 15 + {N_SUP})')}
+            WHEN 7 THEN {gid('u', f'(s_suppkey + 7 + 2 * {N_SUP})')}
+            ELSE {gid('u', REP_NUMBER)} END AS user_id
+        FROM supplier""",
     "role_changes": f"""
         SELECT {CALLER},
             CASE WHEN s_suppkey % 9 = 8 THEN {gid('u', f'(s_suppkey + 7 + {N_SUP})')}
@@ -374,8 +379,14 @@ CTES = {
                         c.manager_id IS NOT NULL AND c.manager_id NOT IN
                             (SELECT id FROM users_base) AS no_manager
                     FROM user_updates c)))""",
+    "users_and_trainees": f"""
+        SELECT * FROM users UNION ALL
+        SELECT {gid('u', f'(s_suppkey + 7 + {N_SUP})')}, 'trainee' || s_suppkey || '@example.com',
+            sha256('trainee' || s_suppkey || '@example.com'), s_name, 'DSP', 'ASIA', NULL, NULL,
+            TRUE, {NOW}, {NOW}
+        FROM supplier""",
     "referred": """
-        SELECT manager_id AS id FROM users_base WHERE manager_id IS NOT NULL
+        SELECT manager_id AS id FROM users_and_trainees WHERE manager_id IS NOT NULL
         UNION SELECT assigned_dsp_id FROM merchants UNION SELECT dsp_id FROM visits
         UNION SELECT user_id FROM logs UNION SELECT user_id FROM sessions""",
     "deletes_checked": """
@@ -384,7 +395,7 @@ CTES = {
             SELECT *, min(CASE WHEN code0 IS NULL THEN seq END) OVER (PARTITION BY user_id) AS winner
             FROM (
                 SELECT *, CASE WHEN caller_role <> 'Admin' THEN 403
-                    WHEN user_id NOT IN (SELECT id FROM users_base) THEN 404
+                    WHEN user_id NOT IN (SELECT id FROM users_and_trainees) THEN 404
                     WHEN user_id IN (SELECT id FROM referred) THEN 500 END AS code0
                 FROM user_deletes))""",
     "roles_checked": """
@@ -748,8 +759,9 @@ QUERIES_SQL = {
             ON c.user_id = u.id""",
     "m04_rejects": _rejects("updates_checked"),
     "m05_users": """
-        SELECT * FROM users WHERE id NOT IN (
+        SELECT * FROM users_and_trainees WHERE id NOT IN (
             SELECT user_id FROM deletes_checked WHERE code IS NULL)""",
+    "m05_audit": _audit("deletes_checked", "caller_id", "DEACTIVATE_USER", "user"),
     "m05_rejects": _rejects("deletes_checked", """CASE code
         WHEN 403 THEN 'only an Admin may do this' WHEN 404 THEN 'user not found'
         ELSE 'user is referred to' END"""),
@@ -761,6 +773,7 @@ QUERIES_SQL = {
         SELECT seq, user_id, full_name, coalesce(lag(role) OVER (PARTITION BY user_id ORDER BY seq),
             stored_role) AS old_role, role AS new_role
         FROM roles_checked WHERE code IS NULL""",
+    "m06_audit": _audit("roles_checked", "caller_id", "ROLE_CHANGE", "user"),
     "m06_rejects": _rejects("roles_checked", """CASE code
         WHEN 403 THEN 'only an Admin may do this' WHEN 400 THEN 'unknown role'
         ELSE 'user not found' END"""),
@@ -781,6 +794,10 @@ QUERIES_SQL = {
         SELECT {gid('r', f'(row_number() OVER (ORDER BY seq) + {N_ORD})')}, merchant_id, text,
             'Live generated AI brief.', 0.95, 'New', {NOW}, user_id, {AS_OF}, {NOW}
         FROM briefs_checked WHERE code IS NULL""",
+    "m08_results": f"""
+        SELECT seq, {gid('r', f'(row_number() OVER (ORDER BY seq) + {N_ORD})')} AS rec_id,
+            merchant_id, text
+        FROM briefs_checked WHERE code IS NULL""",
     "m08_rejects": _rejects(
         "briefs_checked", "CASE code WHEN 404 THEN 'merchant not found' ELSE 'no brief' END"),
     "m09_sessions": f"""

@@ -101,7 +101,8 @@ def _m04(d: TestData) -> changes.ChangeSet:
 
 
 def _m05(d: TestData) -> changes.ChangeSet:
-    return changes.delete_users(d.tables, d.user_deletes(), NOW)
+    tables = d.tables.replace(users=d.users_and_trainees())
+    return changes.delete_users(tables, d.user_deletes(), NOW)
 
 
 def _m06(d: TestData) -> changes.ChangeSet:
@@ -189,14 +190,17 @@ QUERIES: dict[str, Query] = {
     "m04_users": lambda d: _m04(d).table,
     "m04_rejects": lambda d: _m04(d).rejects,
     "m05_users": lambda d: _m05(d).table,
+    "m05_audit": lambda d: _m05(d).audit,
     "m05_rejects": lambda d: _m05(d).rejects,
     "m06_users": lambda d: _m06(d).table,
     "m06_results": lambda d: _m06(d).results,
+    "m06_audit": lambda d: _m06(d).audit,
     "m06_rejects": lambda d: _m06(d).rejects,
     "m07_merchants": lambda d: _m07(d).table,
     "m07_audit": lambda d: _m07(d).audit,
     "m07_rejects": lambda d: _m07(d).rejects,
     "m08_recs": lambda d: _m08(d).table,
+    "m08_results": lambda d: _m08(d).results,
     "m08_rejects": lambda d: _m08(d).rejects,
     "m09_sessions": lambda d: _m09(d).table,
     "m09_messages": lambda d: d.tables.chat_messages.unionByName(_m09(d).messages),

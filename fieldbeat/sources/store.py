@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldbeat.operators.changes import ChangeSet
-from fieldbeat.schema import PARTITION_COLUMN
+from fieldbeat.schema import PARTITION_COLUMN, SCHEMAS
 from fieldbeat.sources.tables import Tables, write_table
 
+# Parts of a change set that add rows to other tables.
+ADDED_PARTS = {"audit_logs": "audit", "visit_history": "visits", "chat_messages": "messages"}
+
 
 class Store:
     """Parquet tables below ``root``, one directory per table."""
@@ -40,31 +44,47 @@ class Store:
         partition = PARTITION_COLUMN.get(name)
         write_table(self.materialize(df), f"{self.root}/{name}", partition)
 
-    def apply(self, changes: ChangeSet, batch: str | None = None) -> None:
-        """Stores the outcome of a change set: the changed table and the new rows of others.
+    def once(
+        self, batch: str | None, names: Sequence[str], build: Callable[[], dict[str, DataFrame]]
+    ) -> dict[str, DataFrame]:
+        """New rows for the named tables, computed and materialized once per batch name.
 
-        All results are computed from the tables as they are and materialized before the
-        first table changes. If the job dies after that, calling it again with the same
-        ``batch`` name finishes from the materialized results, and repeats no row.
+        ``build`` sees the tables as they are. If a job dies while it changes them, the same
+        call again returns the rows of the first time instead of computing from tables that
+        are half changed.
         """
         folder = self.scratch(batch)
-        name, table, touched = changes.name, changes.table, changes.touched
-        added = {"audit_logs": changes.audit, "visit_history": changes.visits,
-                 "chat_messages": changes.messages}
-        results = {name: table} | {n: df for n, df in added.items() if df is not None}
         if not self._exists(f"{folder}/_ready"):
-            for n, df in results.items():
-                self.materialize(df, f"{folder}/{n}")
+            for name, rows in build().items():
+                self.materialize(rows, f"{folder}/{name}")
             self.spark.range(1).write.mode("overwrite").parquet(f"{folder}/_ready")
-        stored = {
-            n: self.spark.read.schema(df.schema).parquet(f"{folder}/{n}")
-            for n, df in results.items()
+        return {
+            name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+            for name in names
         }
+
+    def apply(self, changes: ChangeSet, batch: str | None = None) -> None:
+        """Stores the outcome of a change set: the changed table and the new rows of others.
+
+        All of it is computed before the first table changes. If the job dies after that,
+        calling it again with the same ``batch`` name finishes the rest and repeats no row.
+        """
+        partition = PARTITION_COLUMN.get(changes.name)
+        whole = changes.touched is None
+
+        def build() -> dict[str, DataFrame]:
+            table = changes.table
+            if not whole:
+                dates = changes.touched.select(partition).distinct()
+                table = table.join(dates, partition, "left_semi")
+            return {changes.name: table} | {n: getattr(changes, part) for n, part in added.items()}
+
+        added = {n: part for n, part in ADDED_PARTS.items() if getattr(changes, part) is not None}
+        results = self.once(batch, [changes.name, *added], build)
         # A table that may lose all rows of a partition is replaced as a whole.
-        write_table(stored.pop(name), f"{self.root}/{name}", PARTITION_COLUMN.get(name),
-                    whole=touched is None)
-        for n, rows in stored.items():
-            self._append(n, rows)
+        write_table(results[changes.name], f"{self.root}/{changes.name}", partition, whole)
+        for name in added:
+            self._append(name, results[name])
 
     def _append(self, name: str, rows: DataFrame) -> None:
         """Adds the rows that are not stored yet, by their key."""

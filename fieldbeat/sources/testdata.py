@@ -320,8 +320,26 @@ class TestData:
             F.when(some & (key % 4 == 0), F.lit(False)).alias("is_active"),
         )
 
+    def users_and_trainees(self) -> DataFrame:
+        """The users and one more DSP per supplier, to whom nothing refers yet."""
+        number = F.col("s_suppkey") + 7 + self.count("supplier")
+        email = F.concat(F.lit("trainee"), F.col("s_suppkey").cast("string"), F.lit("@example.com"))
+        trainees = self.raw("supplier").select(
+            make_id("u", number).alias("id"), email.alias("email"),
+            F.sha2(email, 256).alias("password_hash"), F.col("s_name").alias("full_name"),
+            F.lit("DSP").alias("role"), F.lit("ASIA").alias("region"), F.lit(True).alias("is_active"),
+            instant(NOW).alias("created_at"), instant(NOW).alias("updated_at"),
+        )
+        return self.tables.users.unionByName(trainees, allowMissingColumns=True)
+
     def user_deletes(self) -> DataFrame:
-        return self._admin_changes(self._target_user().alias("user_id"))
+        """Each supplier's DSP; for two ninths a trainee (each twice) or an unknown id."""
+        key, suppliers = F.col("s_suppkey"), self.count("supplier")
+        trainee = make_id("u", (F.floor(key / 18) * 18 + 15).cast("bigint") + suppliers)
+        unknown = make_id("u", key + 7 + 2 * suppliers)
+        return self._admin_changes(
+            F.when(key % 9 == 8, trainee).when(key % 9 == 7, unknown)
+            .otherwise(make_id("u", key + 7)).alias("user_id"))
 
     def role_changes(self) -> DataFrame:
         """Every two suppliers aim at one user, so some roles change twice."""

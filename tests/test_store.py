@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -98,9 +99,10 @@ def test_next_day_adds_a_partition(store, make_df):
 
 def test_applied_status_changes(store, make_df, rows_of):
     batch = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE"), status(3, "r99", "NEW")])
+    name = f"batch-{uuid.uuid4().hex}"
     for _ in range(2):      # the same batch again changes nothing more
         result = changes.apply_status_updates(store.tables(), batch, AS_OF, NOW)
-        store.apply(result, f"batch-{store.root[-40:].replace('/', '_')}")
+        store.apply(result, name)
     tables = store.tables()
     rows = dict(rows_of(tables.recommendations, "id", "status"))
     assert len(rows) == 8 and (rows["r01"], rows["r02"], rows["r05"]) == ("New", "Done", "Done")
@@ -166,3 +168,40 @@ def test_schemas_parse(spark):
     for ddl in SCHEMAS.values():
         assert spark.createDataFrame([], ddl).columns
     assert datetime(2024, 1, 30, 12) == NOW
+
+
+def test_an_interrupted_daily_job_finishes_without_rolling_on(store, make_df, rows_of, monkeypatch):
+    name = f"daily-{uuid.uuid4().hex}"
+    write = Store.write
+
+    def dying(self, table, rows):
+        write(self, table, rows)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(Store, "write", dying)
+    with pytest.raises(RuntimeError):
+        run_daily(store, make_df(DELTAS, []), AS_OF, NOW, name)     # signals are replaced already
+    monkeypatch.setattr(Store, "write", write)
+    run_daily(store, make_df(DELTAS, []), AS_OF, NOW, name)
+    today = store.tables().merchant_signals.where(F.col("signal_date") == F.lit(AS_OF))
+    assert dict(rows_of(today, "merchant_id", "days_since_visit"))["m01"] == 2
+    scores = store.tables().daily_scores.where(F.col("score_date") == F.lit(AS_OF))
+    assert sorted(rows_of(scores, "rank")) == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_interrupted_changes_finish_without_repeating(store, make_df, rows_of, monkeypatch):
+    name = f"changes-{uuid.uuid4().hex}"
+    batch = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE")])
+    append = Store._append
+
+    def dying(self, table, rows):
+        append(self, table, rows)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(Store, "_append", dying)
+    with pytest.raises(RuntimeError):
+        store.apply(changes.apply_status_updates(store.tables(), batch, AS_OF, NOW), name)
+    monkeypatch.setattr(Store, "_append", append)
+    store.apply(changes.apply_status_updates(store.tables(), batch, AS_OF, NOW), name)
+    assert sorted(rows_of(store.tables().audit_logs, "id")) == [("al01",), ("al02",)]
+    assert store.tables().visit_history.count() == len(MODEL["visit_history"]) + 1
