@@ -28,7 +28,7 @@ def first_rows(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     """The first ``limit`` (a few hundred at most) rows, found once however often the result
     is used: as a scalar subquery they are one array, which Spark computes a single time."""
     page = df.orderBy(*order).limit(limit).agg(F.collect_list(F.struct(*df.columns)))
-    return df.sparkSession.range(1).select(F.inline(page.scalar()))
+    return df.sparkSession.range(0, 1, 1, 1).select(F.inline(page.scalar()))
 
 
 def with_position(

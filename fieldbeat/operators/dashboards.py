@@ -15,11 +15,12 @@ from fieldbeat.sources.tables import Tables
 COUNTS = ("total_merchants", "high_priority", "recommended_visits")
 
 
-def _flagged(tables: Tables, merchants: DataFrame, as_of: date) -> DataFrame:
+def _flagged(tables: Tables, merchants: DataFrame, as_of: date, some: bool = False) -> DataFrame:
     """Active merchants with one flag per count.
 
     Scores and recommendations shrink to distinct merchant ids first, so the joins do not
-    multiply rows and the distinct counts become plain ones.
+    multiply rows and the distinct counts become plain ones. With ``some`` they are narrowed
+    to the given merchants even before that.
     """
     high = tables.daily_scores.where(
         (F.col("score_date") == day(as_of)) & (F.col("priority_score") >= HIGH_PRIORITY))
@@ -27,7 +28,10 @@ def _flagged(tables: Tables, merchants: DataFrame, as_of: date) -> DataFrame:
         (F.col("recommendation_date") == day(as_of)) & F.col("status").isin(*OPEN_STATUSES))
 
     def flag(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("merchant_id").alias("id")).distinct().withColumn(name, F.lit(1))
+        ids = df.select(F.col("merchant_id").alias("id"))
+        if some:
+            ids = ids.join(merchants.select("id"), "id", "left_semi")
+        return ids.distinct().withColumn(name, F.lit(1))
 
     return (
         active(merchants).select("id", "assigned_dsp_id")
@@ -44,7 +48,7 @@ def _counts() -> list[Column]:
 def dsp_dashboard(tables: Tables, caller: Caller, as_of: date) -> DataFrame:
     caller.require("DSP")
     own = tables.merchants.where(F.col("assigned_dsp_id") == caller.user_id)
-    return _flagged(tables, own, as_of).agg(*_counts())
+    return _flagged(tables, own, as_of, some=True).agg(*_counts())
 
 
 def manager_dashboard(tables: Tables, caller: Caller, as_of: date) -> DataFrame:
@@ -52,7 +56,7 @@ def manager_dashboard(tables: Tables, caller: Caller, as_of: date) -> DataFrame:
     caller.require("Manager", "Admin")
     members = team(tables.users, caller.user_id).withColumnRenamed("id", "assigned_dsp_id")
     teams = tables.merchants.join(members, "assigned_dsp_id", "left_semi")
-    return _flagged(tables, teams, as_of).agg(*_counts())
+    return _flagged(tables, teams, as_of, some=True).agg(*_counts())
 
 
 def admin_dashboard(tables: Tables, caller: Caller, as_of: date) -> DataFrame:

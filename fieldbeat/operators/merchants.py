@@ -41,12 +41,21 @@ def best_recommendations(recommendations: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(tables: Tables, merchants: DataFrame) -> DataFrame:
+def _wanted_ids(
+    tables: Tables, caller: Caller, merchant_ids: DataFrame | None = None
+) -> DataFrame | None:
+    """What to narrow other tables by; None if the caller sees, and asks for, everything."""
+    if caller.role == "Admin":
+        return merchant_ids
+    return merchants_in_scope(tables, caller, merchant_ids).select("merchant_id")
+
+
+def _ranked(merchants: DataFrame, daily_scores: DataFrame) -> DataFrame:
     """Active merchants with their latest score; without any score a merchant drops out."""
     return active(merchants).select(
         F.col("id").alias("merchant_id"), F.col("merchant_name").alias("name"),
         "tier", "region", "area",
-    ).join(latest_scores(tables.daily_scores), "merchant_id")
+    ).join(latest_scores(daily_scores), "merchant_id")
 
 
 def _priority_order() -> list[Column]:
@@ -65,7 +74,8 @@ def _with_recommendation(listed: DataFrame, recommendations: DataFrame, *leading
 def prioritized_merchants(tables: Tables, caller: Caller, limit: int = 20) -> DataFrame:
     """The caller's first ``limit`` merchants by rank, each with its best recommendation."""
     mine = in_scope(tables.merchants, tables.users, caller)
-    listed = first_rows(_ranked(tables, mine), _priority_order(), clamp(limit, 100))
+    scores = _narrow(tables.daily_scores, _wanted_ids(tables, caller))
+    listed = first_rows(_ranked(mine, scores), _priority_order(), clamp(limit, 100))
     wanted = _narrow(tables.recommendations, listed)
     return _with_recommendation(listed, wanted).orderBy(*_priority_order())
 
@@ -73,7 +83,7 @@ def prioritized_merchants(tables: Tables, caller: Caller, limit: int = 20) -> Da
 def prioritized_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     """``prioritized_merchants`` of every user, with ``viewer_id``, in one job."""
     limit = clamp(limit, 100)
-    ranked = _ranked(tables, tables.merchants)
+    ranked = _ranked(tables.merchants, tables.daily_scores)
     entitled = entitlements(tables.users, active(tables.merchants))
     scoped = top_per_key(
         entitled.join(ranked, "merchant_id"), ["viewer_id"], _priority_order(), limit)
@@ -102,6 +112,7 @@ def merchant_details(
     ``merchant_ids`` (merchant_id) narrows the result; out of scope means no row. Zero
     coordinates, scores, trends and balances read as null.
     """
+    wanted = _wanted_ids(tables, caller, merchant_ids)
     names = tables.users.select(
         F.col("id").alias("assigned_dsp_id"), F.col("full_name").alias("assigned_dsp"))
     signals = tables.merchant_signals.where(F.col("signal_date") == day(as_of)).select(
@@ -114,10 +125,10 @@ def merchant_details(
     return (
         split_join(merchants_in_scope(tables, caller, merchant_ids), names,
                    "assigned_dsp_id", "left")
-        .join(latest_scores(_narrow(tables.daily_scores, merchant_ids)), "merchant_id", "left")
-        .join(best_recommendations(_narrow(tables.recommendations, merchant_ids)),
+        .join(latest_scores(_narrow(tables.daily_scores, wanted)), "merchant_id", "left")
+        .join(best_recommendations(_narrow(tables.recommendations, wanted)),
               "merchant_id", "left")
-        .join(_narrow(signals, merchant_ids), "merchant_id", "left")
+        .join(_narrow(signals, wanted), "merchant_id", "left")
         .select(
             "merchant_id", "merchant_name", "region", "area", "tier", "category",
             "contact_number", "address",

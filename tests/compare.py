@@ -57,7 +57,8 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if got == want:
         return None
-    extra, missing = [r for r in got if r not in want][:2], [r for r in want if r not in got][:2]
+    extra = sorted(set(got) - set(want), key=_key)[:2]
+    missing = sorted(set(want) - set(got), key=_key)[:2]
     return (f"rows {len(got)} against {len(want)}; columns {sorted(types)};\n"
             f"  spark {extra}\n  sql   {missing}")
 
