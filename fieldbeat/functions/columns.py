@@ -23,6 +23,19 @@ def id_number(column: Column, prefix: str) -> Column:
     return F.when(column.isNotNull(), F.coalesce(number, malformed))
 
 
+LOW_BITS = 45
+
+
+def pack(high: Column, low: Column) -> Column:
+    """One sort key from two non-negative numbers: by ``high`` (below 2**18), then by ``low``.
+
+    Fails on a ``low`` of 2**45 or more, which would run into the other number.
+    """
+    too_large = F.raise_error(F.lit(f"number beyond 2**{LOW_BITS}")).cast("bigint")
+    checked = F.when(low < 2**LOW_BITS, low).when(low.isNotNull(), too_large)
+    return F.shiftleft(high.cast("bigint"), LOW_BITS) + checked
+
+
 def day(value: date) -> Column:
     return F.lit(value).cast("date")
 

@@ -37,11 +37,16 @@ def audit_trail(
 def audit_page(
     tables: Tables, caller: Caller, action: str | None = None, limit: int = 50
 ) -> DataFrame:
-    """The same rows in the page layout, numbered ``log-0``, ``log-1`` … from the newest."""
+    """The same rows in the page layout, numbered ``log-0``, ``log-1`` … from the newest.
+
+    The page has columns for ids, details and addresses, but leaves them empty.
+    """
+    none = F.lit(None).cast("string")
     position = F.row_number().over(Window.orderBy(*_newest())) - 1  # of at most 200 rows
     return _newest_logs(tables, caller, action, limit).select(
         F.concat(F.lit("log-"), position.cast("string")).alias("id"),
-        "action", "resource", F.col("user").alias("user_name"), "created_at",
+        "action", "resource", none.alias("resource_id"), none.alias("details"),
+        none.alias("ip_address"), F.col("user").alias("user_name"), "created_at",
     )
 
 

@@ -196,8 +196,9 @@ class _StatusChanges:
     def touched(self) -> DataFrame:
         return self.last().select("recommendation_date")
 
-    def results(self) -> DataFrame:
-        return self.checked.accepted.select("seq", "rec_id", F.col("new_status").alias("status"))
+    def results(self, now: datetime) -> DataFrame:
+        return self.checked.accepted.select(
+            "seq", "rec_id", F.col("new_status").alias("status"), instant(now).alias("updated_at"))
 
     def visits(self, as_of: date, now: datetime) -> DataFrame:
         """A visit for each completed recommendation."""
@@ -228,7 +229,7 @@ def apply_status_updates(
         table=lambda: status.table(now),
         touched=status.touched,
         rejects=status.checked.rejects,
-        results=status.results,
+        results=lambda: status.results(now),
         audit=lambda: append_audit(
             tables, status.checked.accepted, now, "user_id", "UPDATE_ACTION_STATUS",
             "recommendation"),
@@ -244,7 +245,7 @@ def apply_actions(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSe
         table=lambda: status.table(now),
         touched=status.touched,
         rejects=status.checked.rejects,
-        results=status.results,
+        results=lambda: status.results(now),
     )
 
 
@@ -375,11 +376,17 @@ def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         values = {c: F.coalesce(F.col(f"new_{c}"), tables.users[c]) for c in USER_FIELDS}
         return _updated(tables.users, last, values | {"updated_at": instant(now)})
 
+    def results() -> DataFrame:
+        """The user of each change as the whole batch leaves it."""
+        after = table().select(
+            F.col("id").alias("user_id"), "full_name", "email", "role", "is_active")
+        return split_join(checked.accepted.select("seq", "user_id"), after, "user_id")
+
     return ChangeSet(
         "users",
         table=table,
         rejects=checked.rejects,
-        results=lambda: checked.accepted.select("seq", "user_id"),
+        results=results,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField
 
-from fieldbeat.functions.columns import id_number
+from fieldbeat.functions.columns import id_number, pack
 from fieldbeat.functions.joins import split_join
 from fieldbeat.functions.ranking import with_position_in_groups
 from fieldbeat.operators.merchants import merchant_details, merchants_in_scope, visits_in_scope
@@ -53,9 +53,8 @@ def brief_context(
             .alias("signals"),
         ).alias("merchant_profile_and_scores"),
     )
-    # Newest first: days before LAST_DAY above the visit number (below 2**45).
-    newest = F.shiftleft((F.lit(LAST_DAY) - F.unix_date("visit_date")).cast("bigint"), 45)
-    key = newest + id_number(F.col("visit_id"), "vh")
+    newest_first = F.lit(LAST_DAY) - F.unix_date("visit_date")
+    key = pack(newest_first, id_number(F.col("visit_id"), "vh"))
     visits = visits_in_scope(tables, caller, merchant_ids)
     placed = with_position_in_groups(visits, key, "merchant_id").select(
         "merchant_id",

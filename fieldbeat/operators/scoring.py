@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbeat.functions.columns import day, id_number
+from fieldbeat.functions.columns import day, id_number, pack
 from fieldbeat.functions.ranking import top_per_key, with_position
 from fieldbeat.schema import BREAKDOWN_TYPE, SCORE_TYPE
 
@@ -55,9 +55,8 @@ def score_parts() -> dict[str, Column]:
 
 
 def rank_key(score: Column, merchant_id: Column) -> Column:
-    """Ascending key: higher scores first, equal ones by merchant number (below 2**45)."""
-    below_top = (F.lit(99999) - (score * 100).cast("bigint")).cast("bigint")
-    return F.shiftleft(below_top, 45) + id_number(merchant_id, "m")
+    """Ascending key: higher scores first, equal ones by merchant number."""
+    return pack(F.lit(99999) - (score * 100).cast("bigint"), id_number(merchant_id, "m"))
 
 
 def score_merchants(signals: DataFrame, merchants: DataFrame, on: date | None = None) -> DataFrame:

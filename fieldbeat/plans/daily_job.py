@@ -74,4 +74,4 @@ def run_daily(
 
     results = store.once(batch, ["merchant_signals", "daily_scores"], build)
     for name, rows in results.items():
-        store.write(name, rows)
+        store.put(name, rows)

@@ -647,7 +647,8 @@ QUERIES_SQL = {
     "q11_audit_filtered": f"SELECT * EXCLUDE (id) FROM ({_trail(has('l.action', 'view'), 200)})",
     "q11_audit_page": f"""
         SELECT 'log-' || (row_number() OVER ({AUDIT_NEWEST}) - 1) AS id, action, resource,
-            l.user AS user_name, created_at
+            CAST(NULL AS VARCHAR) AS resource_id, CAST(NULL AS VARCHAR) AS details,
+            CAST(NULL AS VARCHAR) AS ip_address, l.user AS user_name, created_at
         FROM ({_trail(has("l.action", "_data"), 50)}) l""",
     "q12_dsp": f"SELECT {COUNTS} FROM joined WHERE assigned_dsp_id = 'u08'",
     "q12_dsp_all": f"""
@@ -738,6 +739,9 @@ QUERIES_SQL = {
             {NOW} AS created_at
         FROM status_checked WHERE code IS NULL AND stored = 'Done'""",
     "m01_audit": _audit("status_checked", "user_id", "UPDATE_ACTION_STATUS", "recommendation"),
+    "m01_results": f"""
+        SELECT seq, rec_id, stored AS status, {NOW} AS updated_at FROM status_checked
+        WHERE code IS NULL""",
     "m01_rejects": _status_rejects("status_checked"),
     "m02_recs": _status_table("tool_checked"),
     "m02_rejects": _status_rejects("tool_checked"),
@@ -747,6 +751,10 @@ QUERIES_SQL = {
             full_name, role, region, area, manager_id, TRUE, {NOW}, {NOW}
         FROM creates_checked WHERE code IS NULL""",
     "m03_audit": _audit("creates_checked", "caller_id", "CREATE_USER", "user"),
+    "m03_results": f"""
+        SELECT seq, {gid('u', f'(row_number() OVER (ORDER BY seq) + {N_USR})')} AS user_id, email,
+            full_name, role
+        FROM creates_checked WHERE code IS NULL""",
     "m03_rejects": _rejects("creates_checked", """CASE code
         WHEN 403 THEN 'only an Admin may do this' WHEN 400 THEN 'unknown role'
         WHEN 409 THEN 'e-mail taken' ELSE 'unknown manager' END"""),
@@ -757,11 +765,19 @@ QUERIES_SQL = {
             coalesce(c.is_active, u.is_active) AS is_active, u.created_at, u.updated_at
         FROM users u LEFT JOIN (SELECT * FROM updates_checked WHERE code IS NULL) c
             ON c.user_id = u.id""",
+    "m04_results": """
+        SELECT c.seq, c.user_id, coalesce(c.full_name, u.full_name) AS full_name,
+            coalesce(c.email, u.email) AS email, u.role,
+            coalesce(c.is_active, u.is_active) AS is_active
+        FROM updates_checked c JOIN users_base u ON u.id = c.user_id WHERE c.code IS NULL""",
     "m04_rejects": _rejects("updates_checked"),
     "m05_users": """
         SELECT * FROM users_and_trainees WHERE id NOT IN (
             SELECT user_id FROM deletes_checked WHERE code IS NULL)""",
     "m05_audit": _audit("deletes_checked", "caller_id", "DEACTIVATE_USER", "user"),
+    "m05_results": """
+        SELECT c.seq, c.user_id, u.full_name
+        FROM deletes_checked c JOIN users_and_trainees u ON u.id = c.user_id WHERE c.code IS NULL""",
     "m05_rejects": _rejects("deletes_checked", """CASE code
         WHEN 403 THEN 'only an Admin may do this' WHEN 404 THEN 'user not found'
         ELSE 'user is referred to' END"""),
@@ -786,6 +802,9 @@ QUERIES_SQL = {
     "m07_audit": _audit(
         "assign_checked", "caller_id", "ASSIGN_MERCHANT", "merchant", "merchant_id",
         "'{\"assigned_dsp_id\":\"' || assigned_dsp_id || '\",\"dsp_name\":\"' || dsp_name || '\"}'"),
+    "m07_results": """
+        SELECT c.seq, c.merchant_id, m.merchant_name, c.assigned_dsp_id
+        FROM assign_checked c JOIN merchants m ON m.id = c.merchant_id WHERE c.code IS NULL""",
     "m07_rejects": _rejects("assign_checked"),
     "m08_recs": f"""
         SELECT {REC_COLUMNS} FROM recs

@@ -181,16 +181,20 @@ QUERIES: dict[str, Query] = {
     "m01_recs": lambda d: _m01(d).table,
     "m01_visits": lambda d: _m01(d).visits,
     "m01_audit": lambda d: _m01(d).audit,
+    "m01_results": lambda d: _m01(d).results,
     "m01_rejects": lambda d: _m01(d).rejects,
     "m02_recs": lambda d: _m02(d).table,
     "m02_rejects": lambda d: _m02(d).rejects,
     "m03_users": lambda d: _m03(d).table,
     "m03_audit": lambda d: _m03(d).audit,
+    "m03_results": lambda d: _m03(d).results,
     "m03_rejects": lambda d: _m03(d).rejects,
     "m04_users": lambda d: _m04(d).table,
+    "m04_results": lambda d: _m04(d).results,
     "m04_rejects": lambda d: _m04(d).rejects,
     "m05_users": lambda d: _m05(d).table,
     "m05_audit": lambda d: _m05(d).audit,
+    "m05_results": lambda d: _m05(d).results,
     "m05_rejects": lambda d: _m05(d).rejects,
     "m06_users": lambda d: _m06(d).table,
     "m06_results": lambda d: _m06(d).results,
@@ -198,6 +202,7 @@ QUERIES: dict[str, Query] = {
     "m06_rejects": lambda d: _m06(d).rejects,
     "m07_merchants": lambda d: _m07(d).table,
     "m07_audit": lambda d: _m07(d).audit,
+    "m07_results": lambda d: _m07(d).results,
     "m07_rejects": lambda d: _m07(d).rejects,
     "m08_recs": lambda d: _m08(d).table,
     "m08_results": lambda d: _m08(d).results,

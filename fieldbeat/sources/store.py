@@ -36,13 +36,14 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Replaces a table, or, if it is partitioned, the partitions that occur in ``df``.
+    def put(self, name: str, df: DataFrame, whole: bool = False) -> None:
+        """Replaces a table, or, if it is partitioned, the partitions that occur in ``df``
+        unless ``whole`` is set. ``df`` must not be read from the table itself."""
+        write_table(df, f"{self.root}/{name}", PARTITION_COLUMN.get(name), whole)
 
-        ``df`` is materialized first, so it may be derived from the table itself.
-        """
-        partition = PARTITION_COLUMN.get(name)
-        write_table(self.materialize(df), f"{self.root}/{name}", partition)
+    def write(self, name: str, df: DataFrame) -> None:
+        """``put`` of rows that may be derived from the table: they are materialized first."""
+        self.put(name, self.materialize(df))
 
     def once(
         self, batch: str | None, names: Sequence[str], build: Callable[[], dict[str, DataFrame]]
@@ -82,7 +83,7 @@ class Store:
         added = {n: part for n, part in ADDED_PARTS.items() if getattr(changes, part) is not None}
         results = self.once(batch, [changes.name, *added], build)
         # A table that may lose all rows of a partition is replaced as a whole.
-        write_table(results[changes.name], f"{self.root}/{changes.name}", partition, whole)
+        self.put(changes.name, results[changes.name], whole)
         for name in added:
             self._append(name, results[name])
 

@@ -156,6 +156,9 @@ def test_update_users(tables, make_df, rows_of):
     assert (rows["u05"]["email"], rows["u05"]["is_active"], rows["u05"]["region"]) == ("new@x", False, "East")
     assert (rows["u06"]["full_name"], rows["u06"]["updated_at"]) == ("User 6", EARLIER)
     assert result.audit is None
+    assert sorted(rows_of(result.results, "seq", "user_id", "full_name", "is_active")) == [
+        (1, "u04", "Two", True), (2, "u04", "Two", True), (7, "u05", "User 5", False),
+        (9, "u05", "User 5", False), (10, "u04", "Two", True)]
 
 
 def test_delete_users(tables, make_df, rows_of):

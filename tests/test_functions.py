@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import (
-    clamp, clean_name, contains_text, id_number, like_pattern, make_id, mean_score, percent,
+    clamp, clean_name, contains_text, id_number, like_pattern, make_id, mean_score, pack, percent,
 )
 from fieldbeat.functions.joins import left_join_many
 from fieldbeat.functions.merge import assign_ids, insert_ignore, last_number, upsert
@@ -32,6 +32,15 @@ def test_malformed_id_fails(spark):
         df.select(id_number(F.col("id"), "m")).collect()
 
 
+def test_packed_keys(spark, rows_of):
+    df = spark.createDataFrame([(0, 5), (1, 2**45 - 1), (2**18 - 1, 0)], "h bigint, l bigint")
+    keys = [k for (k,) in rows_of(df.select(pack(F.col("h"), F.col("l")).alias("k")), "k")]
+    assert keys == sorted(keys) and keys[0] == 5 and keys[-1] < 2**63
+    wide = spark.createDataFrame([(0, 2**45)], "h bigint, l bigint")
+    with pytest.raises(Exception, match="beyond"):
+        wide.select(pack(F.col("h"), F.col("l"))).collect()
+
+
 def test_clamp():
     assert [clamp(n, 100) for n in (-5, 0, 1, 50, 100, 1000)] == [1, 1, 1, 50, 100, 100]
 

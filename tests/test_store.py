@@ -172,16 +172,16 @@ def test_schemas_parse(spark):
 
 def test_an_interrupted_daily_job_finishes_without_rolling_on(store, make_df, rows_of, monkeypatch):
     name = f"daily-{uuid.uuid4().hex}"
-    write = Store.write
+    put = Store.put
 
     def dying(self, table, rows):
-        write(self, table, rows)
+        put(self, table, rows)
         raise RuntimeError("driver lost")
 
-    monkeypatch.setattr(Store, "write", dying)
+    monkeypatch.setattr(Store, "put", dying)
     with pytest.raises(RuntimeError):
         run_daily(store, make_df(DELTAS, []), AS_OF, NOW, name)     # signals are replaced already
-    monkeypatch.setattr(Store, "write", write)
+    monkeypatch.setattr(Store, "put", put)
     run_daily(store, make_df(DELTAS, []), AS_OF, NOW, name)
     today = store.tables().merchant_signals.where(F.col("signal_date") == F.lit(AS_OF))
     assert dict(rows_of(today, "merchant_id", "days_since_visit"))["m01"] == 2
