@@ -8,6 +8,9 @@ taken, 500 breaks an integrity rule or has no content). Nothing is written here.
 Checks look at the tables as they were before the batch, and at earlier changes of the
 batch where these would take an e-mail address or remove a user. Of several accepted
 changes to one row the last one stays, but each is audited.
+
+With ``keep=store.materialize`` the checked batch is written once and the parts read it;
+without, each part checks the batch again when it runs.
 """
 
 from __future__ import annotations
@@ -87,15 +90,22 @@ class ChangeSet:
         return frame
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 class _Checked:
     """Changes with the first failed check of each; checks apply in the order given."""
 
-    def __init__(self, changes: DataFrame, *checks: tuple[Column, int, str]):
+    def __init__(self, changes: DataFrame, *checks: tuple[Column, int, str], keep: Keep = as_is):
         failure = F.lit(None).cast("struct<code: int, reason: string>")
         for failed, code, reason in reversed(checks):
             found = F.struct(F.lit(code).alias("code"), F.lit(reason).alias("reason"))
             failure = F.when(F.coalesce(failed, F.lit(True)), found).otherwise(failure)
-        rows = changes.withColumn("_failure", failure)
+        rows = keep(changes.withColumn("_failure", failure))
         self.accepted = rows.where(F.col("_failure").isNull()).drop("_failure")
         self._refused = rows.where(F.col("_failure").isNotNull())
 
@@ -155,21 +165,23 @@ def _updated(table: DataFrame, last: DataFrame, values: dict[str, Column]) -> Da
 class _StatusChanges:
     """Status changes checked, and the recommendations after them."""
 
-    def __init__(self, tables: Tables, changes: DataFrame, names: dict[str, str]):
+    def __init__(
+        self, tables: Tables, changes: DataFrame, names: dict[str, str], keep: Keep
+    ):
         self.tables = tables
         stored = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
         recs = tables.recommendations.select(
             F.col("id").alias("rec_id"), "merchant_id", "recommended_action",
             "recommendation_date")
         owners = tables.merchants.select(F.col("id").alias("merchant_id"), "assigned_dsp_id")
-        wanted = narrow(recs, changes, "rec_id")
-        self.targets = _lookup(wanted, owners, "merchant_id", wanted)
+        self.targets = narrow(recs, changes, "rec_id").join(owners, "merchant_id")
         self.named = changes.withColumn("new_status", F.element_at(stored, F.col("status")))
         self.checked = _Checked(
             split_join(self.named, self.targets, "rec_id", "left"),
             (F.col("new_status").isNull(), 400, "unknown status"),
             (F.col("role") != "DSP", 403, "only a DSP may update a status"),
             (F.col("assigned_dsp_id") != F.col("user_id"), 404, "recommendation not found"),
+            keep=keep,
         )
 
     def last(self) -> DataFrame:
@@ -217,13 +229,13 @@ class _StatusChanges:
 
 
 def apply_status_updates(
-    tables: Tables, changes: DataFrame, as_of: date, now: datetime
+    tables: Tables, changes: DataFrame, as_of: date, now: datetime, keep: Keep = as_is
 ) -> ChangeSet:
     """Status changes (seq, rec_id, status, user_id, role) by the assigned DSPs.
 
     Synonyms of a status are accepted. A completed recommendation also logs a visit.
     """
-    status = _StatusChanges(tables, changes, STATUS_NAMES)
+    status = _StatusChanges(tables, changes, STATUS_NAMES, keep)
     return ChangeSet(
         "recommendations",
         table=lambda: status.table(now),
@@ -237,9 +249,11 @@ def apply_status_updates(
     )
 
 
-def apply_actions(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
+def apply_actions(
+    tables: Tables, changes: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Status changes by tools: stored status names only, no visit and no audit row."""
-    status = _StatusChanges(tables, changes, {name: name for name in STATUSES})
+    status = _StatusChanges(tables, changes, {name: name for name in STATUSES}, keep)
     return ChangeSet(
         "recommendations",
         table=lambda: status.table(now),
@@ -249,7 +263,9 @@ def apply_actions(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSe
     )
 
 
-def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime) -> ChangeSet:
+def replace_briefs(
+    tables: Tables, briefs: DataFrame, as_of: date, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Saves briefs (seq, merchant_id, text, user_id, role): a merchant's new brief takes
     the place of all its recommendations. The caller must see the merchant."""
     owners = tables.merchants.select("assigned_dsp_id", F.col("id").alias("merchant_id"),
@@ -257,7 +273,7 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
     heads = tables.users.select(
         F.col("id").alias("assigned_dsp_id"), F.col("manager_id").alias("head_id"))
     wanted = narrow(owners, briefs, "merchant_id")
-    seen = _lookup(wanted, heads, "assigned_dsp_id", wanted)
+    seen = split_join(wanted, heads, "assigned_dsp_id", "left")
     looked_up = split_join(briefs, seen, "merchant_id", "left")
     role, own = F.col("role"), F.col("assigned_dsp_id") == F.col("user_id")
     managed = (role == "Manager") & F.coalesce(F.col("head_id") == F.col("user_id"), F.lit(False))
@@ -267,6 +283,7 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
         (~role.isin(*ROLES), 403, "unknown role"),
         (F.col("_known").isNull() | ~visible, 404, "merchant not found"),
         (F.coalesce("text", F.lit("")) == "", 500, "no brief"),
+        keep=keep,
     )
     numbered = assign_ids(
         checked.accepted.select("seq", "merchant_id", "text", "user_id"),
@@ -299,7 +316,9 @@ def replace_briefs(tables: Tables, briefs: DataFrame, as_of: date, now: datetime
 # Users
 
 
-def create_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
+def create_users(
+    tables: Tables, changes: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """New users (seq, caller_id, caller_role, email, password, full_name, role, region,
     area, manager_id). Of several with one address the first acceptable one gets it."""
     stored = tables.users.select("email", F.lit(True).alias("_taken"))
@@ -312,7 +331,7 @@ def create_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         F.min("seq").alias("_first"))
     late = (F.coalesce(F.col("_first") < F.col("seq"), F.lit(False)), 409, "e-mail taken")
     checked = _Checked(
-        split_join(looked_up, first, "email", "left"), *before, late, manager)
+        split_join(looked_up, first, "email", "left"), *before, late, manager, keep=keep)
     created = assign_ids(
         checked.accepted, "u", F.col("seq"), last_number(tables.users, "u"))
 
@@ -344,7 +363,9 @@ def _known_users(tables: Tables) -> DataFrame:
         F.col("role").alias("stored_role"))
 
 
-def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
+def update_users(
+    tables: Tables, changes: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Edits (seq, caller_id, caller_role, user_id and the six ``USER_FIELDS``): only
     non-null fields change. An address counts as taken if another user has it, or an
     earlier accepted change of the batch gives it to another user. No audit rows."""
@@ -366,7 +387,8 @@ def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         "email").agg(F.min_by("user_id", "seq").alias("_claimed_by"))
     late = F.coalesce(F.col("_claimed_by") != F.col("user_id"), F.lit(False))
     checked = _Checked(
-        split_join(looked_up, claims, "email", "left"), *checks, (late, 500, "e-mail taken"))
+        split_join(looked_up, claims, "email", "left"), *checks, (late, 500, "e-mail taken"),
+        keep=keep)
 
     def table() -> DataFrame:
         last = checked.accepted.groupBy(F.col("user_id").alias("new_id")).agg(*[
@@ -390,7 +412,9 @@ def update_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     )
 
 
-def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
+def delete_users(
+    tables: Tables, changes: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Removes users (seq, caller_id, caller_role, user_id) for good, unless some row refers
     to them. Each referring column shrinks to its distinct users before the join."""
     referring = [
@@ -410,6 +434,7 @@ def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
         (F.col("stored_role").isNull(), 404, "user not found"),
         (F.col("_referred").isNotNull(), 500, "user is referred to"),
         (F.col("_first") != F.col("seq"), 404, "user not found"),
+        keep=keep,
     )
     accepted = checked.accepted
     return ChangeSet(
@@ -423,14 +448,17 @@ def delete_users(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
     )
 
 
-def assign_roles(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
+def assign_roles(
+    tables: Tables, changes: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Role changes (seq, caller_id, caller_role, user_id, role), reporting old and new role.
 
     The old role of a user's second and later change is that of the change before it.
     """
     checked = _Checked(
         _lookup(changes, _known_users(tables), "user_id", changes),
-        _not_admin(), _bad_role(), (F.col("stored_role").isNull(), 404, "user not found"))
+        _not_admin(), _bad_role(), (F.col("stored_role").isNull(), 404, "user not found"),
+        keep=keep)
     accepted = checked.accepted
 
     def table() -> DataFrame:
@@ -462,7 +490,9 @@ def assign_roles(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet
 # Merchants
 
 
-def assign_merchants(tables: Tables, changes: DataFrame, now: datetime) -> ChangeSet:
+def assign_merchants(
+    tables: Tables, changes: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Gives merchants to DSPs (seq, caller_id, caller_role, merchant_id, assigned_dsp_id)."""
     targets = tables.users.select(
         F.col("id").alias("assigned_dsp_id"), F.col("full_name").alias("dsp_name"),
@@ -475,6 +505,7 @@ def assign_merchants(tables: Tables, changes: DataFrame, now: datetime) -> Chang
         (F.col("target_role").isNull(), 404, "DSP not found"),
         (F.col("target_role") != "DSP", 400, "user is not a DSP"),
         (F.col("merchant_name").isNull(), 404, "merchant not found"),
+        keep=keep,
     )
     accepted = checked.accepted
 

@@ -11,7 +11,7 @@ from fieldbeat.functions.columns import clamp, id_number, instant
 from fieldbeat.functions.joins import left_join_many, narrow, split_join
 from fieldbeat.functions.merge import assign_ids, last_number
 from fieldbeat.functions.ranking import first_rows, top_per_key, with_position
-from fieldbeat.operators.changes import ChangeSet
+from fieldbeat.operators.changes import ChangeSet, Keep, as_is
 from fieldbeat.operators.scope import Caller
 from fieldbeat.sources.tables import Tables
 
@@ -44,7 +44,9 @@ def chat_history_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     return left_join_many(pages, tables.chat_messages, "session_id")
 
 
-def append_chats(tables: Tables, turns: DataFrame, now: datetime) -> ChangeSet:
+def append_chats(
+    tables: Tables, turns: DataFrame, now: datetime, keep: Keep = as_is
+) -> ChangeSet:
     """Appends question and answer of each turn (seq, user_id, session_id, message, answer).
 
     A turn goes to the session it names if that exists and belongs to the user; any other
@@ -53,10 +55,11 @@ def append_chats(tables: Tables, turns: DataFrame, now: datetime) -> ChangeSet:
     session_id and is_new.
     """
     owned = tables.chat_sessions.select(F.col("id").alias("session_id"), "user_id")
-    known = turns.join(owned, ["session_id", "user_id"], "left_semi").select(*turns.columns)
+    owned_turns = turns.join(owned, ["session_id", "user_id"], "left_semi")
+    known = keep(owned_turns.select(*turns.columns))
     fresh = turns.join(known.select("seq"), "seq", "left_anti").drop("session_id")
-    opened = assign_ids(
-        fresh, "cs", F.col("seq"), last_number(tables.chat_sessions, "cs"), "session_id")
+    opened = keep(assign_ids(
+        fresh, "cs", F.col("seq"), last_number(tables.chat_sessions, "cs"), "session_id"))
 
     def sessions() -> DataFrame:
         touched = known.select(F.col("session_id").alias("id")).distinct()

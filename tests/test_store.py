@@ -101,7 +101,8 @@ def test_applied_status_changes(store, make_df, rows_of):
     batch = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE"), status(3, "r99", "NEW")])
     name = f"batch-{uuid.uuid4().hex}"
     for _ in range(2):      # the same batch again changes nothing more
-        result = changes.apply_status_updates(store.tables(), batch, AS_OF, NOW)
+        result = changes.apply_status_updates(
+            store.tables(), batch, AS_OF, NOW, keep=store.materialize)
         store.apply(result, name)
     tables = store.tables()
     rows = dict(rows_of(tables.recommendations, "id", "status"))
@@ -121,7 +122,7 @@ def test_applied_briefs_empty_a_partition(store, make_df, rows_of):
 def test_applied_chats(store, make_df, rows_of):
     batch = make_df(TURN, [{"seq": 1, "user_id": "u04", "session_id": "cs01", "message": "a", "answer": "b"},
                            {"seq": 2, "user_id": "u04", "message": "c", "answer": "d"}])
-    store.apply(chat.append_chats(store.tables(), batch, NOW))
+    store.apply(chat.append_chats(store.tables(), batch, NOW, keep=store.materialize))
     assert store.tables().chat_sessions.count() == 2
     assert sorted(rows_of(store.tables().chat_messages, "session_id", "position")) == [
         ("cs01", 0), ("cs01", 1), ("cs01", 2), ("cs02", 0), ("cs02", 1)]
