@@ -5,22 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.joins import split_join
-from fieldbeat.llm import bpe, simhash
+from fieldbeat.llm import bpe, decontam, html, langid, pii, secrets, simhash, topk, urls
 from fieldbeat.llm.shared import stage
 
 #: Production parameters.
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOP, QUERY_STEP = 5, 50
 SIMHASH_WORDS, SIMHASH_BITS = 3, 2
+URL_RULES = {
+    "net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", topk.quantized("embedding").alias("vector"))
+    return topk.search(rows, F.col("key") % QUERY_STEP == 0, TOP)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(RANKS_FILE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +47,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [_count("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its id: toxic, or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    mined = urls.mine(split_join(pages, labels, "page_id").select("url", "blocked"))
+    return urls.judge(pages, URL_RULES, mined)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = stage(simhash.fingerprints(docs, words=SIMHASH_WORDS).select("doc_id", "fingerprint"))
@@ -45,9 +75,48 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.extract(pages, html.fit(pages)).drop("html")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("coverage").isNotNull().alias("contaminated"),
+        F.size("item_ids").cast("long").alias("n_items"), "item_ids", "coverage")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stage(secrets.find_base(docs).drop("text"))
+    found = secrets.add_learned(found, secrets.learn(found))
+    counts = [_count("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.learnable(docs))
+    held_out = F.coalesce(F.expr("crc32(cast(doc_id AS string)) % 4 = 2"), F.lit(False))
+    return langid.predict(docs.drop("lang"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
+    "op4_urls": op4_urls,
     "op5_simhash": op5_simhash,
+    "op6_html": op6_html,
+    "op7_decontamination": op7_decontamination,
+    "op8_secrets": op8_secrets,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a Python task handles at once; one longer text is still one piece.
@@ -93,3 +94,23 @@ def lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArr
     """A list column from all lists' values in a row and the size of each list."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def pack(df: DataFrame, *apart: str) -> DataFrame:
+    """The columns ``apart``, and all others in one column ``rest``: no name can clash with
+    what an operator adds."""
+    others = [c for c in df.columns if c not in apart]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    return df.select(*apart, rest.alias("rest"))
+
+
+def unpack(df: DataFrame, columns: list[str], *more: Column, **changed: Column) -> DataFrame:
+    """Undoes ``pack``: these columns in this order, some of them changed, and more."""
+    inside = set(df.schema["rest"].dataType.names)
+
+    def column(name: str) -> Column:
+        if name in changed:
+            return changed[name]
+        return F.col("rest").getField(name) if name in inside else F.col(name)
+
+    return df.select(*[column(c).alias(c) for c in columns], *more)
