@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.joins import split_join
-from fieldbeat.llm import bpe, decontam, html, langid, pii, secrets, simhash, topk, urls
+from fieldbeat.llm import bpe, decontam, html, langid, pii, secrets, simhash, suffix, topk, urls
 from fieldbeat.llm.shared import stage
 
 #: Production parameters.
@@ -107,6 +107,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
+    "op10_suffix": op10_suffix,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -30,12 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Writes an intermediate table to the shared folder and reads it back.
 
-    Cuts the lineage: what follows depends on files that outlive any executor. The files stay
-    as long as the folder does, since results read them lazily.
+    Cuts the lineage: what follows depends on files that outlive any executor, so the shuffles
+    that led there are freed at once. The files stay until ``discard``, or as long as the folder
+    does where a result still reads them.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
