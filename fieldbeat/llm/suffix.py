@@ -161,6 +161,8 @@ def common(data: list[bytes], other: list[bytes]) -> np.ndarray:
     """Length of the common prefix of each pair, by binary search over prefix hashes; where equal
     hashes belong to different bytes, the bytes decide."""
     width = max(map(len, [*data, *other]), default=0)
+    if not width:
+        return np.zeros(len(data), np.int64)
     a, b = (np.frombuffer(b"".join(x.ljust(width, b"\0") for x in y), np.uint8)
             .reshape(len(data), width) for y in (data, other))
     low = np.zeros(len(data), np.int64)

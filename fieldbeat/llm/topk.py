@@ -238,8 +238,7 @@ def _scored(batches: Iterator[pa.RecordBatch], width: int, k: int, kind: type) -
             own = query[:, None] == key[None, :]
             order = np.argsort(key, kind="stable")
             key, product, own = key[order], product[:, order], own[:, order]
-            least = np.iinfo(np.int64).min
-            product[own] = least
+            product[own] = -EXACT_INT  # below all others
             top = np.argsort(-product, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(query)), top.shape[1])
             top = top.ravel()

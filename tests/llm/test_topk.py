@@ -1,0 +1,66 @@
+"""Top-k search against all products."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldbeat.llm import topk
+
+
+def plain(vectors, wanted, k):
+    width = max((len(v) for v in vectors.values()), default=0)
+    padded = {i: np.array(v + [0] * (width - len(v)), object) for i, v in vectors.items()}
+    out = set()
+    for q in wanted:
+        found = sorted((-int((padded[q] * padded[i]).sum()), i) for i in padded if i != q)[:k]
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found)}
+    return out
+
+
+def search(df, step, k):
+    return {tuple(r) for r in topk.search(df, F.col("key") % step == 0, k).collect()}
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters", "ties", "hot"])
+def test_against_all_products(spark, kind):
+    r = np.random.default_rng(3)
+    n = 2500
+    if kind == "spread":
+        data = r.integers(-99, 99, (n, 8))
+    elif kind == "clusters":
+        data = r.integers(-300, 300, (12, 8))[r.integers(0, 12, n)] + r.integers(-3, 4, (n, 8))
+    elif kind == "ties":
+        data = r.integers(0, 2, (n, 4))
+    else:
+        data = np.where(r.random((n, 1)) < 0.4, np.full((n, 8), 7), r.integers(-9, 9, (n, 8)))
+    vectors = {i: data[i].tolist() for i in range(n)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<long>")
+    assert search(df, 100, 5) == plain(vectors, range(0, n, 100), 5)
+
+
+def test_large_numbers(spark):
+    vectors = {i: [10**9 - i, i * 7919, -(10**9)] for i in range(60)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<long>")
+    assert search(df, 10, 3) == plain(vectors, range(0, 60, 10), 3)
+    with pytest.raises(ValueError, match="do not fit"):
+        search(df.select("vec_id", F.transform("vector", lambda x: x * 1000).alias("vector")), 10, 3)
+
+
+def test_odd_rows(make_df):
+    schema = "vec_id long, vector array<long>, key int, rank int, score string"
+    assert search(make_df(schema, []), 50, 5) == set()
+    one = [{"vec_id": 0, "vector": [1]}]
+    assert search(make_df(schema, one), 50, 5) == set()
+    many = one + [{"vec_id": 1, "vector": [1, 2]}, {"vec_id": 2}, {"vector": [9, 9]}, {"vec_id": 3, "vector": []},
+                  {"vec_id": 50, "vector": [5, 5]}, {"vec_id": 50, "vector": [0, 0]}]
+    kept = {0: [1], 1: [1, 2], 3: [], 50: [0, 0]}
+    assert search(make_df(schema, many), 50, 2) == plain(kept, [0, 50], 2)
+
+
+def test_quantized(make_df):
+    df = make_df("v array<float>", [{"v": [0.5, -0.001, 0.0]}, {"v": None}, {"v": [None]}, {"v": [float("nan")]},
+                                    {"v": [float("-inf")]}, {"v": []}])
+    got = [r["q"] for r in df.select(topk.quantized("v").alias("q")).collect()]
+    assert got == [[128, -1, 0], None, None, None, None, []]
