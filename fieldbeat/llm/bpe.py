@@ -10,10 +10,10 @@ hundred thousand letters without a space) take time in proportion to their lengt
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from fieldbeat.llm.shared import in_batches, lists, replaced, slices, texts, with_fields
 
 #: Distinct pieces a Python worker remembers; bounds its memory, not the result.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 48
 #: A bitmap word has 2**8 bits, a top-level word has one bit for each of them.
@@ -50,22 +50,27 @@ class Vocabulary:
         before = list(range(-1, n))  # where the token before starts
         waiting = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts here
         waiting[-1] = -1
-        buckets: dict[int, list[int]] = {}
+        buckets: dict[int, int | list[int]] = {}  # a position, or a heap of several
         top = 0
         for i, rank in enumerate(waiting):
-            if rank in buckets:
-                buckets[rank].append(i)
-            elif rank >= 0:
-                buckets[rank] = [i]
+            if rank < 0:
+                continue
+            bucket = buckets.get(rank)
+            if bucket is None:
+                buckets[rank] = i
                 words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
                 top |= 1 << (rank >> WORD_BITS)
+            elif type(bucket) is int:
+                buckets[rank] = [bucket, i]
+            else:
+                bucket.append(i)
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
             rank = (w << WORD_BITS) + (word & -word).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            i = bucket if type(bucket) is int else heappop(bucket)
+            if i is bucket or not bucket:
                 del buckets[rank]
                 words[w] = word = word & (word - 1)
                 if not word:
@@ -77,16 +82,22 @@ class Vocabulary:
             before[k] = i
             waiting[j] = -1
             # The pairs of the new token with the one after it and the one before it.
-            for h, last in ((i, end[k] if k < n else 0), (before[i], k)):
-                if h < 0:
-                    continue
+            h, last = i, end[k] if k < n else 0
+            while h >= 0:
                 waiting[h] = rank = get(piece[h:last], -1) if last else -1
-                if rank in buckets:
-                    heappush(buckets[rank], h)
-                elif rank >= 0:
-                    buckets[rank] = [h]
-                    words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
-                    top |= 1 << (rank >> WORD_BITS)
+                if rank >= 0:
+                    bucket = buckets.get(rank)
+                    if bucket is None:
+                        buckets[rank] = h
+                        words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
+                        top |= 1 << (rank >> WORD_BITS)
+                    elif type(bucket) is int:
+                        buckets[rank] = [bucket, h] if bucket <= h else [h, bucket]
+                    else:
+                        heappush(bucket, h)
+                if h < i:
+                    break
+                h, last = before[i], k
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : end[i]]])
@@ -95,14 +106,14 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """Ids by piece of text."""
+    """Ids by piece of text, as the bytes of 32-bit numbers."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.vocabulary.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.vocabulary.encode(piece.encode())).tobytes()
         if len(self) < REMEMBERED and len(piece) <= REMEMBERED_CHARS:
             self[piece] = ids
         return ids
@@ -140,7 +151,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, column: str = "text",
         for batch in batches:
             for part in slices(batch, column):
                 found = [
-                    np.fromiter(chain.from_iterable(map(known.__getitem__, find(t))), np.int32)
+                    np.frombuffer(b"".join(map(known.__getitem__, find(t))), np.int32)
                     for t in texts(part, column)
                 ]
                 ids = lists(np.concatenate(found), [len(x) for x in found], pa.int32())
