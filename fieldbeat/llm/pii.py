@@ -38,7 +38,7 @@ IDENTIFIER = (
 #: Words and characters of the context before an identifier.
 CONTEXT_WORDS, CONTEXT_CHARS = 2, 64
 #: Distinct seeds a pattern needs, its least confidence, and rounds of scoring.
-SEEDS, CONFIDENCE, ROUNDS = 5, 0.9, 3
+SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 3
 #: Lengths are summed in blocks, so a text with n matches takes about n * (64 + n / 4096) steps.
 BLOCK = 64
 
@@ -144,9 +144,10 @@ def patterns(found: DataFrame) -> DataFrame:
     scored = unknown.select("pattern", "value", F.lit(0.0).alias("score"))
     for _ in range(ROUNDS):
         rated = _rated(strong, scored)
-        of_value = (
-            split_join(unknown, rated, "pattern").groupBy("value")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")))
+        # All patterns but the best speak for a value: one pattern does not confirm itself.
+        doubt = F.log(1 - F.col("confidence"))
+        of_value = split_join(unknown, rated, "pattern").groupBy("value").agg(
+            (1 - F.exp(F.sum(doubt) - F.min(doubt))).alias("score"))
         scored = stage(split_join(unknown, of_value, "value").select("pattern", "value", "score"))
     return stage(_rated(strong, scored).where(F.col("confidence") >= CONFIDENCE))
 

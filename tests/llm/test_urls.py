@@ -1,0 +1,87 @@
+"""URL parts and rules against plain Python, and rules mined from planted labels."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from fieldbeat.llm import queries, urls
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host):])[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def rule(url):
+    host, path = parts(url)
+    fits = [r for r in queries.URL_RULES
+            if (d := r.partition("/")) and (host == d[0] or host.endswith("." + d[0]))
+            and path.startswith("/" + d[2])]
+    return max(fits, key=len, default=None)
+
+
+ODD = [None, "", "no url", "://", "http://", "http://net", "http://net/", "http://xnet/", "http://A.NET/x",
+       "https://example.net/en/1", "https://www.Example.net/EN/1", "https://example.net?u=/en/", "x://a://b/c#d?e",
+       "http://example.com/de/", "http://example.com/de", "http://b.org/fr/#x", "http://É.org/fr/é", "http://org/fr/" + "a/" * 9000,
+       "http://u@example.net:80/en/"]
+
+
+def test_parts_and_rules(make_df):
+    df = make_df("page_id long, url string, rule int, host int, verdict int, tokens string",
+                 [{"page_id": i, "url": u} for i, u in enumerate(ODD)] + [{"url": "http://net/"}, {"url": "http://net/"}])
+    none = make_df("tokens array<string>, confidence double, key string", [])
+    rows = urls.judge(df, queries.URL_RULES, none).collect()
+    assert len(rows) == len(ODD) + 2
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"]) == (*parts(r["url"]), rule(r["url"]))
+        assert r["verdict"] == (queries.URL_RULES[r["rule"]] if r["rule"] else "allow")
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Blocked are the pages of two token pairs; one token of each alone is harmless."""
+    rows = []
+    for i in range(1200):
+        host = ["win", "news", "shop"][i % 3]
+        path = ["bet", "sport", "home", "buy"][i // 3 % 4]
+        blocked = (host, path) in (("win", "bet"), ("shop", "buy"))
+        rows.append((f"http://{host}.site{i % 5}.com/{path}/{i}?ref=x", blocked))
+    return spark.createDataFrame([*rows, (None, True), ("", None)], "url string, blocked boolean")
+
+
+def test_mined_rules(planted):
+    mined = urls.mine(planted)
+    rows = mined.collect()
+    assert rows and all(r["confidence"] >= urls.CONFIDENCE and r["key"] in r["tokens"] for r in rows)
+    got = urls.judge(planted, {}, mined).where("url != ''").collect()
+    assert len(got) == 1200
+    assert all((r["verdict"] == "block") == r["blocked"] for r in got)
+    every = [(set(r["tokens"]), r["confidence"]) for r in rows]
+    owned = {r["url"]: set(r["t"]) for r in planted.select("url", urls.tokens("url").alias("t")).collect()}
+    best = {u: max((c for t, c in every if t <= o), default=None) for u, o in owned.items()}
+    matched = {r["url"]: r["confidence"] for r in urls.match(planted, mined).collect()}
+    assert matched == {u: c for u, c in best.items() if c is not None}
+
+
+def test_no_labels(planted):
+    assert urls.mine(planted.limit(0)).count() == 0
+    assert urls.mine(planted.where("not blocked")).count() == 0
+    assert urls.judge(planted.limit(0), queries.URL_RULES, urls.mine(planted.limit(0))).count() == 0
+
+
+def test_query(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet").select("page_id", "url").collect()
+    rows = queries.op4_urls(spark, SF_DIR).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"]) == (*parts(r["url"]), rule(r["url"]))
+        assert r["verdict"] in ("block", "allow")
+        assert r["rule"] is None or r["verdict"] == queries.URL_RULES[r["rule"]]
