@@ -170,9 +170,9 @@ def find_seeds(docs: DataFrame, items: DataFrame, column: str = "text") -> DataF
     """Adds ``seeds`` (hashes of runs of words that may occur in an item) and ``runs`` (the
     stretches of words they cover). Existing columns of these names are replaced; null and
     empty texts have none."""
-    position = F.shiftrightunsigned(F.explode("seeds"), 64 - FILTER_BITS)
     bits = (
-        items.select(position.alias("at"))
+        items.select(F.explode("seeds").alias("seed"))
+        .select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("at"))
         .groupBy(F.shiftright("at", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).collect())
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)

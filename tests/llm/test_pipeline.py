@@ -1,0 +1,103 @@
+"""The pipeline's stages on planted cases, and the guard around the subpackage."""
+
+from __future__ import annotations
+
+import subprocess
+import sys
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from fieldbeat.llm import bpe, decontam, langid, queries, simhash
+from fieldbeat.llm.shared import stage
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_stages_in_order():
+    assert [f.__name__ for _, f in corpus_pipeline.STAGES] == [
+        "language", "near_dedup", "decontaminate", "mask_secrets", "tokenize"]
+
+
+def test_run_agrees_with_the_operators(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF_DIR).collect()}
+    model = langid.fit(langid.learnable(docs))
+    told = langid.predict(docs, model).where(f"score >= {corpus_pipeline.LEAST_SCORE}")
+    prints = stage(simhash.fingerprints(told).select("doc_id", "fingerprint"))
+    best = [r["lowest"] for r in simhash.groups(prints, "doc_id", 2).select("lowest").distinct().collect()]
+    one = stage(told.where(told["doc_id"].isin(best)))
+    clean = decontam.contaminated(one, spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).where("coverage IS NULL")
+    assert set(rows) == {r["doc_id"] for r in clean.select("doc_id").collect()}
+    assert 0 < len(rows) < docs.count()
+    vocabulary = bpe.Vocabulary(bpe.read_ranks(queries.RANKS_FILE))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    for r in clean.select("doc_id", "text").limit(40).collect():
+        text = encoding.decode(rows[r["doc_id"]]["ids"])
+        if "[SECRET]" not in text:
+            assert text == r["text"] and rows[r["doc_id"]]["n_tokens"] == len(encoding.encode_ordinary(text))
+
+
+def odd_docs(make_df):
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, row int, rest int, score string,"
+              " spans int, fingerprint int, order string, found int, ids string")
+    en = "the and of that with which this from have been into over more than such only other some these those "
+    de = "der die das und nicht mit dem den ein eine auch sich aus bei nach wie aber oder wenn noch "
+    rows = [{"doc_id": i, "text": (en if i % 2 else de) + f"w{'abcdefghij'[i % 10]}" * (i % 7), "lang": ["de", "en"][i % 2],
+             "n_chars": 5, "row": i} for i in range(40)]
+    rows += [{"doc_id": 200}, {"doc_id": 201, "text": ""}, {"doc_id": 202, "text": "12 34"},
+             {"doc_id": 203, "text": en + "token=abcdef123456", "n_chars": 9, "row": 1}, {"text": "the and of an entirely other text, such as this one from over there, with more words", "score": "s"},
+             {"doc_id": 204, "text": de + "completely different end of this long text here", "n_chars": 0},
+             {"doc_id": 204, "text": de + "completely different end of this long text here", "n_chars": 0},
+             {"doc_id": 205, "text": (en + de) * 2000}]
+    return make_df(schema, rows)
+
+
+def test_stages_on_odd_rows(spark, make_df):
+    docs = odd_docs(make_df)
+    kept = docs
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        kept = stage(step(spark, kept, SF_DIR))
+        assert kept.schema.names == docs.schema.names, name
+    rows = kept.collect()
+    ids = [r["doc_id"] for r in rows]
+    assert not {200, 201, 202} & set(ids) and ids.count(204) == 1 and ids.count(None) == 1 and 205 in ids
+    secret = next(r for r in rows if r["doc_id"] == 203)
+    assert secret["text"].endswith("[SECRET]") and secret["n_chars"] == len(secret["text"]) and secret["row"] == 1
+    other = next(r for r in rows if r["doc_id"] is None)
+    assert other["score"] == "s" and other["n_chars"] is None
+    assert {r["row"]: r["n_chars"] for r in rows if r["doc_id"] == 0} == {0: 5}
+    done = corpus_pipeline.tokenize(spark, kept, SF_DIR)
+    assert done.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and done.count() == len(rows)
+
+
+def test_stages_on_empty_tables(spark, make_df):
+    none = odd_docs(make_df).limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, none, SF_DIR).count() == 0, name
+
+
+def test_contamination_goes(spark, make_df):
+    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").limit(1).first()
+    docs = make_df("doc_id long, text string, n_chars long", [
+        {"doc_id": 1, "text": f"before it {benchmark['text']} after it"}, {"doc_id": 2, "text": "a clean text of its own"}])
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, SF_DIR).collect()] == [2]
+
+
+def test_entry_without_the_subpackage():
+    """Only the absence of the subpackage is forgiven."""
+    code = """
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == {0!r}:
+            raise ModuleNotFoundError(name, name={0!r})
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as entry
+print(len(entry.queries()), 'pipeline' in entry.queries())
+"""
+    for absent, works in (("corpus_pipeline", True), ("fieldbeat.llm", True), ("xxhash", False)):
+        run = subprocess.run([sys.executable, "-c", code.format(absent)], capture_output=True, text=True, check=False)
+        assert (run.returncode == 0) == works, run.stderr
+        assert not works or run.stdout.split()[1] == "False"

@@ -1,0 +1,105 @@
+"""Secrets against plain patterns, and learned formats."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+
+from fieldbeat.llm import queries, secrets
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plain(text):
+    """All base matches, letter cases of the keywords spelled out."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" for c in w)
+    names = "|".join([either("password"), either("passwd"), either("secret"), either("token"),
+                      f"{either('api')}_?{either('key')}"])
+    patterns = (
+        rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+    spans = []
+    for k, pattern in enumerate(patterns):
+        for m in re.finditer(pattern, text or ""):
+            size, least = (len(m[2]), 6) if k == 0 else (len(m[0]), (0, 20, 24)[k])
+            if size >= least:
+                spans.append((m.start(), k, m.end()))
+    return [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)]
+
+
+def spelled(spans):
+    return [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans]
+
+
+def test_base_spans():
+    r = random.Random(3)
+    bits = ["password", "PassWD", "ſecret", "secret", "toKen", "api_key", "APIKEY", "apiKey", "=", ":", " ", '"', "'",
+            "abc123", "AKIA", "ABCDEF0123456789XY", "0123456789abcdef", "f" * 12, "é", "😀", ".", "-", "K"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(14)))
+        assert spelled(secrets.base_spans(text)) == plain(text)
+    for text in ("", "token" + " " * 5000, "token=" * 4000, "a" * 100_000, "AKIA" * 5000):
+        assert spelled(secrets.base_spans(text)) == plain(text)
+
+
+def test_automaton_is_a_distribution_of_its_language():
+    """Merged states keep frequencies: what follows a state, or stops, adds up to one."""
+    words = [f"ab{'xy' * (i % 4)}{i % 2}" for i in range(200)]
+    automaton = secrets.Automaton(words)
+    for moves, stop in automaton.rows:
+        total = sum(math.exp(p) for p, _ in moves.values())
+        assert math.isclose(total + math.exp(stop), 1, abs_tol=1e-3) or math.exp(stop) <= secrets.UNSEEN
+    assert automaton.score("abxyxy1") > automaton.score("abyxxy1") > automaton.score("zzzzzzz")
+    assert len(automaton.rows) < 20
+
+
+def corpus():
+    r = random.Random(9)
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(160)]
+    word = lambda: "".join(r.choice(["the", "an", "er", "ing", "on", "re", "th"]) for _ in range(r.randrange(1, 9)))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(120)]
+    texts += [f'{" ".join(word() for _ in range(9))} token = "{k}" {word()}' for k in keys[:120]]
+    unseen = [f"note {''.join(r.choice('0123456789abcdef') for _ in range(22))} here" for _ in range(5)]
+    return texts, unseen
+
+
+def test_learned_formats(spark):
+    """Strings of the known format that no base pattern matches are found, long words are not."""
+    texts, unseen = corpus()
+    df = spark.createDataFrame(list(enumerate([*texts, *unseen])), "doc_id long, text string")
+    found = secrets.find_base(df)
+    rows = {r["doc_id"]: r for r in secrets.add_learned(found, secrets.learn(found)).collect()}
+    learned = {i: [s for s in r["spans"] if s["kind"] == secrets.LEARNED] for i, r in rows.items()}
+    hits = [learned[len(texts) + i] for i in range(len(unseen))]
+    assert [len(h) for h in hits] == [1] * 5 and all(h[0]["start"] == 5 and h[0]["end"] == 27 for h in hits)
+    assert sum(len(learned[i]) for i in range(len(texts))) <= 2
+    masked = secrets.redact(secrets.add_learned(found, secrets.learn(found))).select("doc_id", "text").collect()
+    assert all(r["text"] == "note [SECRET] here" for r in masked if r["doc_id"] >= len(texts))
+
+
+def test_odd_rows(make_df):
+    schema = "doc_id long, text string, base int, spans string, values int, candidates int"
+    df = make_df(schema, [{"doc_id": 1}, {"doc_id": 2, "text": ""}, {"text": "token=abcdef"}, {"text": "token=abcdef"},
+                          {"doc_id": 3, "text": "x" * 50_000}, {"doc_id": 4, "text": "é token: 0123456789abcdef01234567 AKIA"}])
+    found = secrets.find_base(df)
+    done = secrets.add_learned(found, secrets.learn(found))
+    rows = done.select("doc_id", "text", secrets.joined("base").alias("b")).collect()
+    assert sorted((str(r["doc_id"]), r["b"]) for r in rows) == [
+        ("1", ""), ("2", ""), ("3", ""), ("4", "assign:2:33,hex:9:33"), ("None", "assign:0:12"), ("None", "assign:0:12")]
+    masked = {str(r["doc_id"]): r["text"] for r in secrets.redact(done).collect()}
+    assert masked["1"] is None and masked["2"] == "" and masked["4"] == "é [SECRET] AKIA" and masked["None"] == "[SECRET]"
+    none = secrets.find_base(df.limit(0))
+    assert secrets.add_learned(none, secrets.learn(none)).count() == 0
+
+
+def test_query(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    rows = {r["doc_id"]: r for r in queries.op8_secrets(spark, SF_DIR).collect()}
+    assert len(rows) == len(docs)
+    for doc_id, text in docs:
+        base = plain(text)
+        row = rows[doc_id]
+        assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in secrets.KINDS] == [sum(b.startswith(k) for b in base) for k in secrets.KINDS]
+        assert [s for s in row["spans"].split(",") if s and not s.startswith(secrets.LEARNED)] == base
