@@ -15,6 +15,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldbeat.plans.queries import QUERIES, plain
+from fieldbeat.schema import LATEST
 from fieldbeat.sources.tables import Tables, write_tables
 from fieldbeat.sources.testdata import TestData
 
@@ -50,7 +51,7 @@ def main() -> None:
         start = time.perf_counter()
         write_tables(raw.tables, root)
         times["stage_tables"] = round(time.perf_counter() - start, 3)
-        data = TestData(spark, sf_dir, Tables.from_parquet(spark, root))
+        data = TestData(spark, sf_dir, Tables.from_parquet(spark, root, stored=LATEST))
     run(plain(QUERIES["q03_prioritized_admin"](data)))  # warm-up
     for name, query in QUERIES.items():
         start = time.perf_counter()

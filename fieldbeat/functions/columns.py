@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIGH_PRIORITY = 70
@@ -17,23 +17,33 @@ def make_id(prefix: str, number: Column) -> Column:
 
 
 def id_number(column: Column, prefix: str) -> Column:
-    """The number behind the prefix. Fails on a malformed id rather than losing its row."""
-    number = F.substring(column, len(prefix) + 1, 19).try_cast("bigint")
+    """The number behind the prefix. Fails on any other id, and on a number beyond a long,
+    rather than losing or changing its row."""
+    digits = F.substr(column, F.lit(len(prefix) + 1))
+    number = F.when(column.rlike(f"^{prefix}[0-9]+$"), digits.try_cast("bigint"))
     malformed = F.raise_error(F.concat(F.lit("malformed id: "), column)).cast("bigint")
     return F.when(column.isNotNull(), F.coalesce(number, malformed))
 
 
-LOW_BITS = 45
+LOW_BITS, HIGH_BITS = 45, 18
 
 
 def pack(high: Column, low: Column) -> Column:
-    """One sort key from two non-negative numbers: by ``high`` (below 2**18), then by ``low``.
-
-    Fails on a ``low`` of 2**45 or more, which would run into the other number.
+    """One sort key from two non-negative numbers: by ``high`` (below 2**18), then by ``low``
+    (below 2**45). Fails on any other number, which would run into the other one or the sign.
     """
-    too_large = F.raise_error(F.lit(f"number beyond 2**{LOW_BITS}")).cast("bigint")
-    checked = F.when(low < 2**LOW_BITS, low).when(low.isNotNull(), too_large)
-    return F.shiftleft(high.cast("bigint"), LOW_BITS) + checked
+
+    def checked(number: Column, bits: int) -> Column:
+        outside = F.raise_error(F.lit(f"number not in 0 to 2**{bits}")).cast("bigint")
+        return F.when((number >= 0) & (number < 2**bits), number.cast("bigint")).when(
+            number.isNotNull(), outside)
+
+    return F.shiftleft(checked(high, HIGH_BITS), LOW_BITS) + checked(low, LOW_BITS)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Each row as a JSON object with all its columns, nulls included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def day(value: date) -> Column:

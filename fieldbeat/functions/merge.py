@@ -28,7 +28,9 @@ def assign_ids(
     )
 
 
-def _one_per_key(batch: DataFrame, keys: Sequence[str], order: str, last: Sequence[str]) -> DataFrame:
+def _one_per_key(
+    batch: DataFrame, keys: Sequence[str], order: Column, last: Sequence[str]
+) -> DataFrame:
     """First row of each key; the ``last`` columns come from the key's last row."""
     rest = [c for c in batch.columns if c not in keys]
     aggregates = [F.min_by(F.struct(*rest), order).alias("_first")]
@@ -39,9 +41,12 @@ def _one_per_key(batch: DataFrame, keys: Sequence[str], order: str, last: Sequen
 
 
 def insert_ignore(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column
 ) -> DataFrame:
-    """ON CONFLICT DO NOTHING: the first batch row of each key the target does not have."""
+    """ON CONFLICT DO NOTHING: the first batch row of each key the target does not have.
+
+    ``order`` must sort as the rows came: ids by their number (``id_number``), not as text.
+    """
     fresh = _one_per_key(batch, keys, order, ()).join(
         target.select(*keys), list(keys), "left_anti"
     )
@@ -53,7 +58,7 @@ def upsert(
     batch: DataFrame,
     keys: Sequence[str],
     update: Sequence[str],
-    order: str | None = None,
+    order: Column | None = None,
 ) -> DataFrame:
     """ON CONFLICT DO UPDATE of the ``update`` columns; a null in the batch overwrites.
 

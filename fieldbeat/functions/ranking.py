@@ -77,24 +77,3 @@ def with_position(
         .withColumn(name, F.col("_start") + F.row_number().over(in_block))
         .select(*df.columns, name)
     )
-
-
-def with_position_in_groups(
-    df: DataFrame, key: Column, group: str, name: str = "position", large: int = 2**BLOCK_BITS
-) -> DataFrame:
-    """``with_position`` for many groups most of which are small.
-
-    Groups of up to ``large`` rows are numbered in one window, the others in blocks. There
-    are at most 1/``large`` as many large groups as rows, which is few enough to broadcast
-    their keys, so that the rows of a large group never meet in a shuffle.
-    """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    crowded = F.broadcast(sizes.where(F.col("_n") > large).select(group))
-    window = Window.partitionBy(group).orderBy("_key")
-    small = (
-        df.join(crowded, group, "left_anti")
-        .withColumn("_key", key)
-        .withColumn(name, F.row_number().over(window).cast("bigint"))
-        .drop("_key")
-    )
-    return small.unionByName(with_position(df.join(crowded, group, "left_semi"), key, [group], name))

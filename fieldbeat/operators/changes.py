@@ -9,8 +9,8 @@ Checks look at the tables as they were before the batch, and at earlier changes
 batch where these would take an e-mail address or remove a user. Of several accepted
 changes to one row the last one stays, but each is audited.
 
-With ``keep=store.materialize`` the checked batch is written once and the parts read it;
-without, each part checks the batch again when it runs.
+With ``keep`` (``Store.apply`` gives one) the checked batch is written once and the parts read
+it; without, each part checks the batch again when it runs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import day, instant
 from fieldbeat.functions.joins import narrow, split_join
-from fieldbeat.functions.merge import assign_ids, last_number
+from fieldbeat.functions.merge import assign_ids
 from fieldbeat.functions.ranking import top_per_key, with_position
 from fieldbeat.schema import ROLES, STATUSES
 from fieldbeat.sources.tables import Tables
@@ -142,10 +142,10 @@ def append_audit(
         "seq", F.col(user).alias("user_id"), F.lit(action).alias("action"),
         F.lit(resource).alias("resource"),
         (none if resource_id is None else resource_id).alias("resource_id"),
-        (none if details is None else details).alias("details"),
+        (none if details is None else details).alias("details"), none.alias("ip_address"),
         instant(now).alias("created_at"),
     )
-    numbered = assign_ids(rows, "al", F.col("seq"), last_number(tables.audit_logs, "al"))
+    numbered = assign_ids(rows, "al", F.col("seq"), tables.last_number("audit_logs"))
     return numbered.select(*tables.audit_logs.columns)
 
 
@@ -224,7 +224,7 @@ class _StatusChanges:
             instant(now).alias("created_at"),
         )
         stored = self.tables.visit_history
-        numbered = assign_ids(done, "vh", F.col("seq"), last_number(stored, "vh"))
+        numbered = assign_ids(done, "vh", F.col("seq"), self.tables.last_number("visit_history"))
         return numbered.select(*stored.columns)
 
 
@@ -287,7 +287,7 @@ def replace_briefs(
     )
     numbered = assign_ids(
         checked.accepted.select("seq", "merchant_id", "text", "user_id"),
-        "r", F.col("seq"), last_number(tables.recommendations, "r"))
+        "r", F.col("seq"), tables.last_number("recommendations"))
 
     def table() -> DataFrame:
         saved = top_per_key(numbered, ["merchant_id"], [F.desc("seq")]).select(
@@ -304,9 +304,17 @@ def replace_briefs(
         kept = split_join(tables.recommendations, briefed, "merchant_id", "left_anti")
         return kept.unionByName(saved)
 
+    def touched() -> DataFrame:
+        """The dates of what the briefs replace, and the day they are saved on."""
+        gone = split_join(
+            tables.recommendations, checked.accepted.select("merchant_id"), "merchant_id", "left_semi")
+        saved = checked.accepted.select(day(as_of).alias("recommendation_date"))
+        return gone.select("recommendation_date").unionByName(saved)
+
     return ChangeSet(
         "recommendations",
         table=table,
+        touched=touched,
         rejects=checked.rejects,
         results=lambda: numbered.select(
             "seq", F.col("id").alias("rec_id"), "merchant_id", "text"),
@@ -333,7 +341,7 @@ def create_users(
     checked = _Checked(
         split_join(looked_up, first, "email", "left"), *before, late, manager, keep=keep)
     created = assign_ids(
-        checked.accepted, "u", F.col("seq"), last_number(tables.users, "u"))
+        checked.accepted, "u", F.col("seq"), tables.last_number("users"))
 
     def table() -> DataFrame:
         return tables.users.unionByName(created.select(

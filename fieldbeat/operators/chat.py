@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import clamp, id_number, instant
 from fieldbeat.functions.joins import left_join_many, narrow, split_join
-from fieldbeat.functions.merge import assign_ids, last_number
+from fieldbeat.functions.merge import assign_ids
 from fieldbeat.functions.ranking import first_rows, top_per_key, with_position
 from fieldbeat.operators.changes import ChangeSet, Keep, as_is
 from fieldbeat.operators.scope import Caller
@@ -59,7 +59,7 @@ def append_chats(
     known = keep(owned_turns.select(*turns.columns))
     fresh = turns.join(known.select("seq"), "seq", "left_anti").drop("session_id")
     opened = keep(assign_ids(
-        fresh, "cs", F.col("seq"), last_number(tables.chat_sessions, "cs"), "session_id"))
+        fresh, "cs", F.col("seq"), tables.last_number("chat_sessions"), "session_id"))
 
     def sessions() -> DataFrame:
         touched = known.select(F.col("session_id").alias("id")).distinct()

@@ -11,8 +11,10 @@ from pyspark.sql.types import DecimalType, StructField
 
 from fieldbeat.functions.columns import id_number, pack
 from fieldbeat.functions.joins import split_join
-from fieldbeat.functions.ranking import with_position_in_groups
-from fieldbeat.operators.merchants import merchant_details, merchants_in_scope, visits_in_scope
+from fieldbeat.functions.ranking import with_position
+from fieldbeat.operators.merchants import (
+    merchant_details, merchants_in_scope, scoped_visits, with_visitors,
+)
 from fieldbeat.operators.scope import Caller
 from fieldbeat.sources.tables import Tables
 
@@ -38,7 +40,7 @@ def brief_context(
 ) -> DataFrame:
     """(merchant_id, part, context): documents of the merchants in scope.
 
-    A merchant's visits stand newest first. Part 0 holds the first ``visits_per_part``,
+    A merchant's visits stand newest first, those without a date before them. Part 0 holds the first ``visits_per_part``,
     which is the whole document of all but the most visited merchants; further visits
     follow in parts 1, 2 …, each with the same profile. So no row, and no task, has to
     hold an unbounded history.
@@ -53,10 +55,12 @@ def brief_context(
             .alias("signals"),
         ).alias("merchant_profile_and_scores"),
     )
-    newest_first = F.lit(LAST_DAY) - F.unix_date("visit_date")
-    key = pack(newest_first, id_number(F.col("visit_id"), "vh"))
-    visits = visits_in_scope(tables, caller, merchant_ids)
-    placed = with_position_in_groups(visits, key, "merchant_id").select(
+    newest_first = F.coalesce(F.lit(LAST_DAY) - F.unix_date("visit_date"), F.lit(0))
+    key = pack(newest_first, id_number(F.col("id"), "vh"))
+    visits = scoped_visits(tables, caller, merchant_ids)
+    # Numbered as they are stored; the names of visitors come after that.
+    numbered = with_position(visits, key, ["merchant_id"])
+    placed = with_visitors(tables, numbered).select(
         "merchant_id",
         F.floor((F.col("position") - 1) / visits_per_part).cast("int").alias("part"),
         F.struct("position", "visit_date", "visit_notes", "outcome", "duration_mins",

@@ -125,7 +125,7 @@ def area_totals(tables: Tables, caller: Caller, as_of: date) -> DataFrame:
     The rate rounds half up.
     """
     scores = tables.daily_scores
-    newest = scores.agg(F.max("score_date")).scalar()
+    newest = tables.latest_scores.agg(F.max("score_date")).scalar()
     high = scores.where(
         (F.col("score_date") == newest) & (F.col("priority_score") >= HIGH_PRIORITY))
     if caller.role != "Admin":

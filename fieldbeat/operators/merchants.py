@@ -18,14 +18,17 @@ from fieldbeat.sources.tables import Tables
 
 
 def _narrow(df: DataFrame, ids: DataFrame | None, column: str = "merchant_id") -> DataFrame:
-    """Rows of the wanted ids only, before anything is sorted or shuffled."""
-    return df if ids is None else df.join(ids.select(column), column, "left_semi")
+    """Rows of the wanted ids only, before anything is sorted or shuffled.
+
+    The join has a shuffle of its own, if any: Spark can split a hot id there, and a window
+    that follows cuts each task's rows before it shuffles again.
+    """
+    return df if ids is None else split_join(df, ids.select(column), column, "left_semi")
 
 
-def latest_scores(daily_scores: DataFrame) -> DataFrame:
+def latest_scores(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
     """Each merchant's most recent score and rank."""
-    return top_per_key(daily_scores, ["merchant_id"], [F.desc("score_date")]).select(
-        "merchant_id", "priority_score", "rank")
+    return _narrow(tables.latest_scores, wanted).select("merchant_id", "priority_score", "rank")
 
 
 def best_recommendations(recommendations: DataFrame) -> DataFrame:
@@ -50,12 +53,12 @@ def _wanted_ids(
     return merchants_in_scope(tables, caller, merchant_ids).select("merchant_id")
 
 
-def _ranked(merchants: DataFrame, daily_scores: DataFrame) -> DataFrame:
+def _ranked(merchants: DataFrame, scores: DataFrame) -> DataFrame:
     """Active merchants with their latest score; without any score a merchant drops out."""
     return active(merchants).select(
         F.col("id").alias("merchant_id"), F.col("merchant_name").alias("name"),
         "tier", "region", "area",
-    ).join(latest_scores(daily_scores), "merchant_id")
+    ).join(scores, "merchant_id")
 
 
 def _priority_order() -> list[Column]:
@@ -74,7 +77,7 @@ def _with_recommendation(listed: DataFrame, recommendations: DataFrame, *leading
 def prioritized_merchants(tables: Tables, caller: Caller, limit: int = 20) -> DataFrame:
     """The caller's first ``limit`` merchants by rank, each with its best recommendation."""
     mine = in_scope(tables.merchants, tables.users, caller)
-    scores = _narrow(tables.daily_scores, _wanted_ids(tables, caller))
+    scores = latest_scores(tables, _wanted_ids(tables, caller))
     listed = first_rows(_ranked(mine, scores), _priority_order(), clamp(limit, 100))
     wanted = _narrow(tables.recommendations, listed)
     return _with_recommendation(listed, wanted).orderBy(*_priority_order())
@@ -83,7 +86,7 @@ def prioritized_merchants(tables: Tables, caller: Caller, limit: int = 20) -> Da
 def prioritized_for_all(tables: Tables, limit: int = 20) -> DataFrame:
     """``prioritized_merchants`` of every user, with ``viewer_id``, in one job."""
     limit = clamp(limit, 100)
-    ranked = _ranked(tables.merchants, tables.daily_scores)
+    ranked = _ranked(tables.merchants, latest_scores(tables))
     entitled = entitlements(tables.users, active(tables.merchants))
     scoped = top_per_key(
         entitled.join(ranked, "merchant_id"), ["viewer_id"], _priority_order(), limit)
@@ -125,7 +128,7 @@ def merchant_details(
     return (
         split_join(merchants_in_scope(tables, caller, merchant_ids), names,
                    "assigned_dsp_id", "left")
-        .join(latest_scores(_narrow(tables.daily_scores, wanted)), "merchant_id", "left")
+        .join(latest_scores(tables, wanted), "merchant_id", "left")
         .join(best_recommendations(_narrow(tables.recommendations, wanted)),
               "merchant_id", "left")
         .join(_narrow(signals, wanted), "merchant_id", "left")
@@ -146,27 +149,29 @@ def merchant_history(
     tables: Tables, caller: Caller, merchant_ids: DataFrame | None = None
 ) -> DataFrame:
     """All visits of the merchants in scope, newest first within a merchant."""
-    return visits_in_scope(tables, caller, merchant_ids).orderBy(
+    visits = with_visitors(tables, scoped_visits(tables, caller, merchant_ids))
+    return _shown_visits(visits).orderBy(
         id_number(F.col("merchant_id"), "m"), F.desc("visit_date"),
         id_number(F.col("visit_id"), "vh"),
     )
 
 
-def visits_in_scope(
+def scoped_visits(
     tables: Tables, caller: Caller, merchant_ids: DataFrame | None = None
 ) -> DataFrame:
-    """``merchant_history`` in no order."""
-    mine = in_scope(tables.merchants, tables.users, caller).select(
-        F.col("id").alias("merchant_id"))
-    visits = _narrow(tables.visit_history, merchant_ids)
-    return _visits(tables, visits.join(mine, "merchant_id", "left_semi"))
+    """The stored visits to merchants in scope."""
+    return _narrow(tables.visit_history, merchants_in_scope(tables, caller, merchant_ids))
 
 
-def _visits(tables: Tables, visits: DataFrame) -> DataFrame:
+def with_visitors(tables: Tables, visits: DataFrame) -> DataFrame:
     """Visits with the visitor's name."""
     visitors = tables.users.select(
         F.col("id").alias("dsp_id"), F.col("full_name").alias("visited_by"))
-    return visits.join(visitors, "dsp_id").select(
+    return split_join(visits, visitors, "dsp_id")
+
+
+def _shown_visits(visits: DataFrame) -> DataFrame:
+    return visits.select(
         "merchant_id", F.col("id").alias("visit_id"), "visit_date", "visit_notes", "outcome",
         "duration_mins", "visited_by",
     )
@@ -218,8 +223,8 @@ def merchant_recommendations(tables: Tables, name: str, caller: Caller, as_of: d
 def merchant_visits(tables: Tables, name: str, caller: Caller) -> DataFrame:
     """The five latest visits over all matching merchants."""
     found = _named(tables, name, caller).select(F.col("id").alias("merchant_id"))
-    visits = tables.visit_history.join(found, "merchant_id", "left_semi")
-    return _visits(tables, visits).orderBy(
+    visits = with_visitors(tables, _narrow(tables.visit_history, found))
+    return _shown_visits(visits).orderBy(
         F.desc("visit_date"), id_number(F.col("visit_id"), "vh")
     ).limit(5).select("visit_date", "visit_notes", "outcome", "visited_by")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import day, id_number, pack
-from fieldbeat.functions.ranking import top_per_key, with_position
+from fieldbeat.functions.ranking import with_position
 from fieldbeat.schema import BREAKDOWN_TYPE, SCORE_TYPE
 
 # The 20 % tier part of the score, in points.
@@ -86,17 +86,18 @@ def score_merchants(signals: DataFrame, merchants: DataFrame, on: date | None =
 
 
 def roll_forward_signals(
-    signals: DataFrame, merchants: DataFrame, deltas: DataFrame, as_of: date
+    latest_signals: DataFrame, merchants: DataFrame, deltas: DataFrame, as_of: date
 ) -> DataFrame:
     """The ``as_of`` signal of each merchant, from its latest signal and its change.
 
+    ``latest_signals`` has one row a merchant at most, as ``Tables.latest_signals``.
     ``deltas`` (merchant_id, volume_pct, trend_delta, complaint_step, wallet_delta) has at
     most one row per merchant; a missing row or value means no change. The latest signal
     may be the one of ``as_of`` itself, so a second run on one day rolls forward again.
     Merchants without any signal start from ``FIRST_SIGNAL``. Volumes are products of
     decimals, cut to whole numbers: 100 plus 15 % is 115, where floats would give 114.
     """
-    latest = top_per_key(signals, ["merchant_id"], [F.desc("signal_date")]).select(
+    latest = latest_signals.select(
         "merchant_id", F.struct(*SIGNAL_VALUES).alias("last"))
     rolled = (
         merchants.select(F.col("id").alias("merchant_id"))

@@ -10,6 +10,7 @@ import re
 
 AS_OF = "DATE '2024-01-30'"
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
+EARLIER = "TIMESTAMP '2024-01-28 09:00:00'"
 
 
 def gid(prefix: str, number: str) -> str:
@@ -44,7 +45,8 @@ N_CUS = "(SELECT count(*) FROM customer)"
 REP_NUMBER = "(s_suppkey + 7)"
 MERCHANT_NUMBER = "(c_custkey + 1)"
 OWNER_NUMBER = f"(7 + c_custkey % {N_SUP})"
-ORDER_OWNER_NUMBER = f"(7 + o_custkey % {N_SUP})"
+ORDER_CUSTOMER = "(CASE WHEN o_custkey % 53 = 7 THEN o_custkey - 1 ELSE o_custkey END)"
+ORDER_OWNER_NUMBER = f"(7 + {ORDER_CUSTOMER} % {N_SUP})"
 CONV_USER_NUMBER = f"(1 + conv_id % {N_USR})"
 USER_TARGET = (
     f"CASE WHEN s_suppkey % 9 = 8 THEN {gid('u', f'(s_suppkey + 7 + {N_SUP})')}"
@@ -88,16 +90,15 @@ CTES = {
             DATE '2022-01-01' + CAST(c_custkey % 730 AS INTEGER) AS onboarding_date,
             {NOW} AS created_at, {NOW} AS updated_at
         FROM customer JOIN nations ON c_nationkey = n_nationkey""",
-    "signals_grouped": """
-        SELECT o_custkey, o_orderkey % 7 AS days_ago, min(o_orderkey) AS k,
+    "signals_grouped": f"""
+        SELECT {ORDER_CUSTOMER} AS o_custkey, o_orderkey % 7 AS days_ago, min(o_orderkey) AS k,
             sum(CAST(o_totalprice AS DECIMAL(12,2))) AS total,
             count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS urgent
-        FROM orders GROUP BY ALL""",
+        FROM orders GROUP BY {ORDER_CUSTOMER}, o_orderkey % 7""",
     "signals": f"""
         SELECT {gid('ms', '(k + 1)')} AS id, {gid('m', '(o_custkey + 1)')} AS merchant_id,
             {AS_OF} - CAST(days_ago AS INTEGER) AS signal_date,
-            least(CAST(total * 100 AS HUGEINT) // 1000000, 2147483647)::BIGINT
-                AS transaction_volume,
+            (CAST(total * 100 AS HUGEINT) // 1000000)::BIGINT AS transaction_volume,
             CAST(((k * 37) % 15000 - 7500) / 100.0 AS DECIMAL(5,2)) AS transaction_trend,
             k % 46 AS days_since_visit, urgent::BIGINT AS complaint_count,
             ['Active', 'Inactive', 'Pending', 'None'][k % 4 + 1] AS campaign_status,
@@ -120,23 +121,25 @@ CTES = {
                 AS priority_score
             FROM scored)""",
     "recs": f"""
-        SELECT {gid('r', '(o_orderkey + 1)')} AS id, {gid('m', '(o_custkey + 1)')} AS merchant_id,
+        SELECT {gid('r', '(o_orderkey + 1)')} AS id, {gid('m', f'({ORDER_CUSTOMER} + 1)')} AS merchant_id,
             o_orderpriority AS recommended_action, CAST(NULL AS VARCHAR) AS action_explanation,
             CASE WHEN o_orderkey % 13 <> 0 THEN CAST((o_orderkey % 101) / 100.0 AS DECIMAL(3,2)) END
                 AS confidence_score,
             CASE WHEN o_orderstatus = 'F' THEN 'Done' WHEN o_orderstatus = 'O' THEN 'New'
                 WHEN o_orderkey % 2 = 0 THEN 'In Progress' ELSE 'Deferred' END AS status,
-            CAST(NULL AS TIMESTAMP) AS status_updated_at, CAST(NULL AS VARCHAR) AS status_updated_by,
-            {AS_OF} - CAST(o_orderkey % 5 AS INTEGER) AS recommendation_date, {NOW} AS created_at
+            CASE WHEN o_orderstatus = 'F' THEN {EARLIER} END AS status_updated_at,
+            CASE WHEN o_orderstatus = 'F' THEN {gid('u', ORDER_OWNER_NUMBER)} END AS status_updated_by,
+            CASE WHEN o_orderkey % 97 <> 0 THEN {AS_OF} - CAST(o_orderkey % 5 AS INTEGER) END
+                AS recommendation_date, {NOW} AS created_at
         FROM orders""",
     "visits": f"""
         SELECT {gid('vh', '(event_id + 1)')} AS id, merchants.id AS merchant_id,
             assigned_dsp_id AS dsp_id, CAST(ts AS DATE) AS visit_date, event_type AS visit_notes,
             CASE event_type WHEN 'purchase' THEN 'Successful' WHEN 'click' THEN 'Completed'
-                WHEN 'view' THEN 'Follow-up Needed' ELSE 'Partially Successful' END AS outcome,
+                WHEN 'view' THEN 'Follow-up Needed' WHEN 'error' THEN 'Not Available'
+                ELSE 'Partially Successful' END AS outcome,
             10 + CAST(floor(value) AS BIGINT) % 51 AS duration_mins, {NOW} AS created_at
-        FROM events JOIN merchants ON merchants.id = {gid('m', '(user_id + 1)')}
-        WHERE event_type <> 'error'""",
+        FROM events JOIN merchants ON merchants.id = {gid('m', '(user_id + 1)')}""",
     "logs": f"""
         SELECT {gid('al', '(event_id + 1)')} AS id, {gid('u', f'(1 + user_id % {N_USR})')} AS user_id,
             CASE event_type WHEN 'signup' THEN 'LOGIN' WHEN 'view' THEN 'VIEW_MERCHANT'
@@ -223,10 +226,12 @@ CTES = {
         SELECT conv_id * 1000000 + turn AS seq, {gid('u', CONV_USER_NUMBER)} AS user_id,
             CASE conv_id % 3 WHEN 0 THEN {gid('cs', '(conv_id + 1)')}
                 WHEN 1 THEN {gid('cs', '(conv_id + 2)')} END AS session_id,
-            text AS message
-        FROM conversations WHERE role = 'user'""",
+            c.text AS message, a.text AS answer
+        FROM conversations c LEFT JOIN (SELECT conv_id AS a_conv, turn - 1 AS a_turn, text
+            FROM conversations WHERE role = 'assistant') a ON a_conv = conv_id AND a_turn = turn
+        WHERE role = 'user'""",
     "next_signals": """
-        SELECT * REPLACE ('ms9' || substr(id, 3) AS id, signal_date + 1 AS signal_date,
+        SELECT * REPLACE ('ms9' || CAST(CAST(substr(id, 3) AS BIGINT) AS VARCHAR) AS id, signal_date + 1 AS signal_date,
             'None' AS campaign_status, 0 AS active_products)
         FROM signals""",
     # Shared steps
@@ -436,7 +441,7 @@ CTES = {
         SELECT target AS session_id,
             2 * (nth - 1) + coalesce((SELECT max(position) + 1 FROM messages m
                 WHERE m.session_id = target AND NOT is_new), 0) AS start,
-            message
+            message, answer
         FROM turns_placed""",
 }
 
@@ -533,8 +538,9 @@ def _status_table(checked: str) -> str:
         SELECT r.id, r.merchant_id, r.recommended_action, r.action_explanation,
             CAST(r.confidence_score AS DOUBLE) AS confidence_score,
             coalesce(c.stored, r.status) AS status,
-            CASE WHEN c.rec_id IS NOT NULL THEN {NOW} END AS status_updated_at,
-            c.user_id AS status_updated_by, r.recommendation_date, r.created_at
+            CASE WHEN c.rec_id IS NOT NULL THEN {NOW} ELSE r.status_updated_at END
+                AS status_updated_at,
+            coalesce(c.user_id, r.status_updated_by) AS status_updated_by, r.recommendation_date, r.created_at
         FROM recs r LEFT JOIN (
             SELECT rec_id, arg_max(stored, seq) AS stored, arg_max(user_id, seq) AS user_id
             FROM {checked} WHERE code IS NULL GROUP BY rec_id) c ON c.rec_id = r.id"""
@@ -554,7 +560,7 @@ def _audit(checked: str, user: str, action: str, resource: str,
     return f"""
         SELECT {gid('al', number)} AS id, {user} AS user_id, '{action}' AS action,
             '{resource}' AS resource, {resource_id} AS resource_id, {details} AS details,
-            {NOW} AS created_at
+            CAST(NULL AS VARCHAR) AS ip_address, {NOW} AS created_at
         FROM {checked} WHERE code IS NULL"""
 
 
@@ -577,6 +583,43 @@ def _repeated(table: str, key: str, source: str) -> str:
         GROUP BY {key} HAVING count(*) > 1"""
 
 
+def _context(size: int, where: str) -> str:
+    return f"""
+        SELECT d.merchant_id, coalesce(p.part, 0) AS part, d.merchant_name, d.area, d.latitude,
+            d.onboarding_date, d.assigned_dsp, d.priority_score, d.recommendation_id,
+            d.transaction_trend, d.wallet_balance, d.days_since_visit,
+            coalesce(p.n_visits, 0) AS n_visits, coalesce(p.visits, '') AS visits
+        FROM details d LEFT JOIN (
+            SELECT merchant_id, (i - 1) // {size} AS part, count(*) AS n_visits,
+                string_agg(concat_ws('|', visit_date, visit_notes, outcome, duration_mins,
+                    visited_by), chr(10) ORDER BY i) AS visits
+            FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id
+                ORDER BY visit_date DESC, {num('visit_id', 'vh')}) AS i FROM history)
+            GROUP BY ALL) p ON p.merchant_id = d.merchant_id
+        WHERE {where}"""
+
+
+def _stored_rows() -> str:
+    """Both batches hold the same changes; ids run on from the first to the second."""
+    logs = "(SELECT max(event_id) + 1 FROM events)"
+    visits = "(SELECT max(event_id) + 1 FROM events WHERE user_id IN (SELECT c_custkey FROM customer))"
+    twice = "(SELECT * FROM status_checked, (VALUES (1), (2)) b(batch)) c WHERE code IS NULL"
+
+    def number(prefix: str, after: str) -> str:
+        return gid(prefix, f"(row_number() OVER (ORDER BY batch, seq) + {after})")
+
+    return f"""
+        SELECT 'recommendations' AS table_name, id, status AS state, status_updated_by AS user_id,
+            CAST(status_updated_at AS DATE) AS at
+        FROM ({_status_table('status_checked')})
+        UNION ALL SELECT 'audit_logs', id, action, user_id, CAST(created_at AS DATE) FROM logs
+        UNION ALL SELECT 'audit_logs', {number('al', logs)}, 'UPDATE_ACTION_STATUS', user_id, {AS_OF}
+        FROM {twice}
+        UNION ALL SELECT 'visit_history', id, outcome, dsp_id, visit_date FROM visits
+        UNION ALL SELECT 'visit_history', {number('vh', visits)}, 'Recommendation fulfilled', user_id,
+            {AS_OF} FROM {twice} AND stored = 'Done'"""
+
+
 DAMAGED_MERCHANTS = "(SELECT *, c_custkey + 1 AS n FROM customer)"
 DAMAGED_RECS = f"""(
     SELECT o_orderkey + 1 AS n, CASE WHEN (o_orderkey + 1) % 300 = 1
@@ -705,18 +748,9 @@ QUERIES_SQL = {
     "q24_profiles_active": """
         SELECT id AS user_id, full_name AS name, email, role, region, area FROM users_base
         WHERE is_active AND id IN (SELECT user_id FROM user_deletes)""",
-    "q25_context": f"""
-        SELECT d.merchant_id, coalesce(p.part, 0) AS part, d.merchant_name, d.area, d.latitude,
-            d.onboarding_date, d.assigned_dsp, d.priority_score, d.recommendation_id,
-            d.transaction_trend, d.wallet_balance, d.days_since_visit,
-            coalesce(p.n_visits, 0) AS n_visits, coalesce(p.visits, '') AS visits
-        FROM details d LEFT JOIN (
-            SELECT merchant_id, (i - 1) // 25 AS part, count(*) AS n_visits,
-                string_agg(concat_ws('|', visit_date, visit_notes, outcome, duration_mins,
-                    visited_by), chr(10) ORDER BY i) AS visits
-            FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id
-                ORDER BY visit_date DESC, {num('visit_id', 'vh')}) AS i FROM history)
-            GROUP BY ALL) p ON p.merchant_id = d.merchant_id""",
+    "q25_context": _context(25, "TRUE"),
+    "q25_context_whole": _context(1000, "TRUE"),
+    "q25_context_wanted": _context(1000, "d.assigned_dsp_id IN (SELECT * FROM team)"),
     "q26_users_by_role": "SELECT role, count(*) AS n FROM users_base GROUP BY role",
     "q26_merchants_by_tier": "SELECT tier, count(*) AS n FROM merchants GROUP BY tier",
     "q26_merchants_by_region": "SELECT region, count(*) AS n FROM merchants GROUP BY region",
@@ -732,7 +766,7 @@ QUERIES_SQL = {
         ORDER BY region NULLS LAST, area NULLS LAST LIMIT 5""",
     "m01_recs": _status_table("status_checked"),
     "m01_visits": f"""
-        SELECT {gid('vh', "(row_number() OVER (ORDER BY seq) + (SELECT max(event_id) + 1 FROM events WHERE event_type <> 'error' AND user_id IN (SELECT c_custkey FROM customer)))")}
+        SELECT {gid('vh', "(row_number() OVER (ORDER BY seq) + (SELECT max(event_id) + 1 FROM events WHERE user_id IN (SELECT c_custkey FROM customer)))")}
                 AS id, merchant_id, user_id AS dsp_id, {AS_OF} AS visit_date,
             'Completed recommendation: ' || substr(recommended_action, 1, 200) AS visit_notes,
             'Recommendation fulfilled' AS outcome, CAST(15 AS BIGINT) AS duration_mins,
@@ -743,6 +777,7 @@ QUERIES_SQL = {
         SELECT seq, rec_id, stored AS status, {NOW} AS updated_at FROM status_checked
         WHERE code IS NULL""",
     "m01_rejects": _status_rejects("status_checked"),
+    "m01_stored": _stored_rows(),
     "m02_recs": _status_table("tool_checked"),
     "m02_rejects": _status_rejects("tool_checked"),
     "m03_users": f"""
@@ -830,7 +865,7 @@ QUERIES_SQL = {
     "m09_messages": """
         SELECT * FROM messages
         UNION ALL SELECT session_id, start, 'user', message FROM new_messages
-        UNION ALL SELECT session_id, start + 1, 'assistant', 'ok' FROM new_messages""",
+        UNION ALL SELECT session_id, start + 1, 'assistant', answer FROM new_messages""",
     "m09_placed": "SELECT seq, target AS session_id, is_new FROM turns_placed",
     "s03_insert_ignore": f"""
         SELECT id, {SIGNAL_COLUMNS}, created_at FROM signals
@@ -842,7 +877,7 @@ QUERIES_SQL = {
             SELECT coalesce(o.id, n.id) AS id,
                 coalesce(o.merchant_id, n.merchant_id) AS merchant_id,
                 coalesce(o.signal_date, n.signal_date) AS signal_date,
-                coalesce(n.transaction_volume, o.transaction_volume) AS transaction_volume,
+                coalesce(n.transaction_volume + 1, o.transaction_volume) AS transaction_volume,
                 coalesce(n.transaction_trend, o.transaction_trend) AS transaction_trend,
                 coalesce(n.days_since_visit, o.days_since_visit) AS days_since_visit,
                 coalesce(n.complaint_count, o.complaint_count) AS complaint_count,
@@ -870,6 +905,25 @@ QUERIES_SQL = {
 }
 
 
+SCORE_NUMBER = f"({num('merchant_id', 'm')} * 10 + ({AS_OF} - score_date))"
+QUERIES_SQL |= {
+    "s01_conform_scores": f"""
+        SELECT {gid('ds', SCORE_NUMBER)} AS id, merchant_id, score_date,
+            CAST(priority_score AS DOUBLE) AS priority_score, rank, {BREAKDOWN}, {NOW} AS created_at
+        FROM scores""",
+    "s01_conform_messages": "SELECT * FROM messages",
+    "s01_conform_audit": f"""
+        SELECT id, user_id, action, resource, resource_id, details,
+            '10.0.0.' || CAST({num('id', 'al')} % 250 AS VARCHAR) AS ip_address, created_at
+        FROM logs""",
+    "s03_twice": QUERIES_SQL["s03_insert_ignore"],
+    "s04_twice": QUERIES_SQL["s04_upsert"],
+    "s05_area_view": QUERIES_SQL["q15_area"],
+    "s05_dsp_view": QUERIES_SQL["q19_dsp"],
+    "s07_json": QUERIES_SQL["q03_prioritized_all"],
+}
+
+
 def _words(sql: str) -> set[str]:
     return set(re.findall(r"\w+", sql))
 

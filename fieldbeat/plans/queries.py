@@ -6,18 +6,23 @@ so that they compare with SQL results value by value.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, StructType
 
+from fieldbeat.functions.columns import as_json, id_number
 from fieldbeat.functions.merge import insert_ignore, upsert
 from fieldbeat.operators import (
     admin, changes, chat, context, dashboards, manager, merchants, quality, scope, scoring,
 )
 from fieldbeat.operators.scope import Caller, active
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
+from fieldbeat.sources.store import Store
+from fieldbeat.sources.tables import conform, write_tables
 from fieldbeat.sources.testdata import AS_OF, NOW, TestData
 
 ADMIN = Caller("u01", "Admin")
@@ -54,9 +59,12 @@ def _reprofiled_scores(d: TestData) -> DataFrame:
     return scoring.score_merchants(signals, active(d.tables.merchants), AS_OF)
 
 
-def _context_fields(d: TestData) -> DataFrame:
+def _context_fields(
+    d: TestData, caller: Caller = ADMIN, merchant_ids: DataFrame | None = None,
+    visits_per_part: int = context.VISITS_PER_PART,
+) -> DataFrame:
     """The JSON documents, parsed again; visits as one text per document, in order."""
-    documents = context.brief_context(d.tables, ADMIN, AS_OF, visits_per_part=25)
+    documents = context.brief_context(d.tables, caller, AS_OF, merchant_ids, visits_per_part)
     parsed = documents.select(
         "merchant_id", "part",
         F.from_json(
@@ -121,14 +129,61 @@ def _m09(d: TestData) -> changes.ChangeSet:
     return chat.append_chats(d.tables, d.chat_turns(), NOW)
 
 
+def _stored(d: TestData) -> DataFrame:
+    """The tables that status changes touch, after two batches that a third call repeats."""
+    folder = d.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = f"{folder}/stored-{uuid.uuid4().hex}"
+    write_tables(d.tables, root, ("users", "merchants", "recommendations", "visit_history", "audit_logs"))
+    store = Store(d.spark, root)
+    for batch in ("one", "two", "one"):
+        store.apply(lambda tables, keep: changes.apply_status_updates(
+            tables, d.status_changes(), AS_OF, NOW, keep), batch)
+    tables = store.tables()
+
+    def rows(name: str, state: str, user: str, at: str) -> DataFrame:
+        return getattr(tables, name).select(
+            F.lit(name).alias("table_name"), "id", F.col(state).alias("state"),
+            F.col(user).alias("user_id"), F.col(at).cast("date").alias("at"))
+
+    return (
+        rows("recommendations", "status", "status_updated_by", "status_updated_at")
+        .unionByName(rows("audit_logs", "action", "user_id", "created_at"))
+        .unionByName(rows("visit_history", "outcome", "dsp_id", "visit_date")))
+
+
+def _view(name: str) -> Query:
+    def query(d: TestData) -> DataFrame:
+        manager.register_views(d.tables, AS_OF)
+        return d.spark.sql(f"SELECT * FROM {name}")
+
+    return query
+
+
+def _json_rows(d: TestData) -> DataFrame:
+    """Every user's priority list as JSON objects, read back."""
+    listed = plain(merchants.prioritized_for_all(d.tables))
+    return as_json(listed).select(F.from_json("json", listed.schema).alias("row")).select("row.*")
+
+
+def _by_id_number() -> Column:
+    return id_number(F.col("id"), "ms")
+
+
+def _insert(d: TestData, target: DataFrame) -> DataFrame:
+    return insert_ignore(target, d.next_day_signals(), SIGNAL_KEYS, _by_id_number())
+
+
+def _upsert(d: TestData, target: DataFrame) -> DataFrame:
+    return upsert(target, d.next_day_signals(), SIGNAL_KEYS, UPDATED_SIGNAL_COLUMNS, _by_id_number())
+
+
 SIGNAL_KEYS = ["merchant_id", "signal_date"]
-BY_ID_NUMBER = "id"
 
 QUERIES: dict[str, Query] = {
     "q01_score_merchants": lambda d: scoring.score_merchants(
         d.tables.merchant_signals, active(d.tables.merchants)),
     "q02_roll_forward": lambda d: scoring.roll_forward_signals(
-        d.tables.merchant_signals, active(d.tables.merchants), d.signal_deltas(), AS_OF),
+        d.tables.latest_signals, active(d.tables.merchants), d.signal_deltas(), AS_OF),
     "q02_reprofiled_scores": _reprofiled_scores,
     "q03_prioritized_admin": lambda d: merchants.prioritized_merchants(d.tables, ADMIN),
     "q03_prioritized_manager": lambda d: merchants.prioritized_merchants(d.tables, MANAGER, 50),
@@ -170,7 +225,10 @@ QUERIES: dict[str, Query] = {
     "q24_profiles": lambda d: admin.user_profiles(d.tables),
     "q24_profiles_active": lambda d: admin.user_profiles(
         d.tables, d.user_deletes(), d.tables.users, active_only=True),
-    "q25_context": _context_fields,
+    "q25_context": lambda d: _context_fields(d, visits_per_part=25),
+    "q25_context_whole": _context_fields,
+    "q25_context_wanted": lambda d: _context_fields(
+        d, MANAGER, d.tables.merchants.select(F.col("id").alias("merchant_id"))),
     "q26_users_by_role": _profile("users_by_role"),
     "q26_merchants_by_tier": _profile("merchants_by_tier"),
     "q26_merchants_by_region": _profile("merchants_by_region"),
@@ -183,6 +241,7 @@ QUERIES: dict[str, Query] = {
     "m01_audit": lambda d: _m01(d).audit,
     "m01_results": lambda d: _m01(d).results,
     "m01_rejects": lambda d: _m01(d).rejects,
+    "m01_stored": _stored,
     "m02_recs": lambda d: _m02(d).table,
     "m02_rejects": lambda d: _m02(d).rejects,
     "m03_users": lambda d: _m03(d).table,
@@ -210,11 +269,17 @@ QUERIES: dict[str, Query] = {
     "m09_sessions": lambda d: _m09(d).table,
     "m09_messages": lambda d: d.tables.chat_messages.unionByName(_m09(d).messages),
     "m09_placed": lambda d: _m09(d).results,
-    "s03_insert_ignore": lambda d: insert_ignore(
-        d.tables.merchant_signals, d.next_day_signals(), SIGNAL_KEYS, BY_ID_NUMBER),
-    "s04_upsert": lambda d: upsert(
-        d.tables.merchant_signals, d.next_day_signals(), SIGNAL_KEYS, UPDATED_SIGNAL_COLUMNS),
+    "s01_conform_scores": lambda d: conform("daily_scores", d.database_scores()),
+    "s01_conform_messages": lambda d: conform("chat_messages", d.database_sessions()),
+    "s01_conform_audit": lambda d: conform("audit_logs", d.database_logs()),
+    "s03_insert_ignore": lambda d: _insert(d, d.tables.merchant_signals),
+    "s03_twice": lambda d: _insert(d, _insert(d, d.tables.merchant_signals)),
+    "s04_upsert": lambda d: _upsert(d, d.tables.merchant_signals),
+    "s04_twice": lambda d: _upsert(d, _upsert(d, d.tables.merchant_signals)),
+    "s05_area_view": _view("v_area_summary"),
+    "s05_dsp_view": _view("v_dsp_performance"),
     "s06_ids": lambda d: d.event_ids(),
+    "s07_json": _json_rows,
     "d01_violations": lambda d: quality.check_constraints(d.damaged()),
     "f01_entitlements": lambda d: scope.entitlements(d.tables.users, d.tables.merchants),
 }

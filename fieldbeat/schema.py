@@ -22,6 +22,7 @@ BREAKDOWN_TYPE = (
     "tier: decimal(4,1), complaints: decimal(4,1)>"
 )
 
+# Columns with their types, and below the rules on them.
 SCHEMAS = {
     "users": """
         id string, email string, password_hash string, full_name string, role string,
@@ -52,7 +53,7 @@ SCHEMAS = {
         created_at timestamp_ntz""",
     "audit_logs": """
         id string, user_id string, action string, resource string,
-        resource_id string, details string, created_at timestamp_ntz""",
+        resource_id string, details string, ip_address string, created_at timestamp_ntz""",
     "chat_sessions": """
         id string, user_id string, title string,
         created_at timestamp_ntz, updated_at timestamp_ntz""",
@@ -79,6 +80,13 @@ PARTITION_COLUMN = {
     "visit_history": "visit_date",
 }
 
+# Tables to which batches only add rows; each batch has a directory of its own below them.
+BATCH_COLUMN = "batch"
+ADDED_TABLES = ("visit_history", "audit_logs", "chat_messages")
+
+# The newest row of each merchant, kept beside a table with its date.
+LATEST = {"latest_signals": "merchant_signals", "latest_scores": "daily_scores"}
+
 
 @dataclass(frozen=True)
 class Rules:

@@ -1,0 +1,49 @@
+"""Single small files and folders of a shared file system, through Hadoop's own client."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+class Files:
+    def __init__(self, spark: SparkSession):
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._io = spark._jvm.org.apache.commons.io.IOUtils
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._array = spark.sparkContext._gateway.new_array
+
+    def _open(self, path: str):
+        target = self._hadoop.Path(path)
+        return target, target.getFileSystem(self._conf)
+
+    def exists(self, path: str) -> bool:
+        target, system = self._open(path)
+        return system.exists(target)
+
+    def delete(self, path: str) -> None:
+        """Removes a file or folder, if it is there."""
+        target, system = self._open(path)
+        system.delete(target, True)
+
+    def read(self, path: str) -> str:
+        target, system = self._open(path)
+        stream = system.open(target)
+        try:
+            return self._io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Replaces a file in one step: a reader sees the old text or the new one."""
+        target, _ = self._open(path)
+        written, system = self._open(f"{path}.{uuid.uuid4().hex}")
+        stream = system.create(written, True)
+        stream.write(text.encode())
+        stream.close()
+        rename = getattr(self._hadoop, "Options$Rename")
+        options = self._array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._hadoop.FileContext.getFileContext(target.toUri(), self._conf).rename(
+            written, target, options)

@@ -1,29 +1,51 @@
-"""Stored tables: reads, partition overwrites, and change sets applied to them."""
+"""Stored tables, and change sets applied to them."""
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldbeat.operators.changes import ChangeSet
-from fieldbeat.schema import PARTITION_COLUMN, SCHEMAS
-from fieldbeat.sources.tables import Tables, write_table
+from fieldbeat.functions.columns import id_number
+from fieldbeat.operators.changes import ChangeSet, Keep
+from fieldbeat.schema import ID_PREFIX, LATEST, PARTITION_COLUMN
+from fieldbeat.sources.files import Files
+from fieldbeat.sources.tables import NO_DATE, Tables, in_batch, table_schema, write_table
 
 # Parts of a change set that add rows to other tables.
 ADDED_PARTS = {"audit_logs": "audit", "visit_history": "visits", "chat_messages": "messages"}
 
 
+@dataclass
+class NewRows:
+    """What a batch writes: tables as a whole, dates of tables (the rows, and the dates they
+    replace, some of which may have no row left), and rows to add."""
+
+    whole: dict[str, DataFrame] = field(default_factory=dict)
+    dates: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
+    added: dict[str, DataFrame] = field(default_factory=dict)
+
+
 class Store:
-    """Parquet tables below ``root``, one directory per table."""
+    """Parquet tables below ``root``, one directory per table, with one writer at a time.
+
+    A batch is computed from the tables as they are and written to scratch. Then the journal, a
+    small file, names it; from there on the batch is finished by whoever next changes the store,
+    so no other batch comes between. Until then it has done nothing, and is computed anew.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.files = spark, root, Files(spark)
 
     def tables(self) -> Tables:
-        return Tables.from_parquet(self.spark, self.root)
+        journal = self._journal()
+        return Tables.from_parquet(
+            self.spark, self.root, journal["folders"], journal["last"], LATEST if journal["latest"] else ())
 
     def scratch(self, name: str | None = None) -> str:
         """A shared folder for intermediate results: in the cluster's checkpoint folder."""
@@ -36,68 +58,125 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def put(self, name: str, df: DataFrame, whole: bool = False) -> None:
-        """Replaces a table, or, if it is partitioned, the partitions that occur in ``df``
-        unless ``whole`` is set. ``df`` must not be read from the table itself."""
-        write_table(df, f"{self.root}/{name}", PARTITION_COLUMN.get(name), whole)
+    def write(self, name: str, rows: DataFrame) -> None:
+        """Replaces a table, or, if it has dates, the dates that occur in ``rows``."""
+        column = PARTITION_COLUMN.get(name)
+        if column is None:
+            self.change(lambda tables, keep: NewRows(whole={name: rows}))
+        else:
+            self.change(lambda tables, keep: NewRows(dates={name: (rows, rows.select(column))}))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """``put`` of rows that may be derived from the table: they are materialized first."""
-        self.put(name, self.materialize(df))
+    def apply(self, build: Callable[[Tables, Keep], ChangeSet], batch: str | None = None) -> bool:
+        """Stores the outcome of a change set; False if a batch of this name is stored already.
 
-    def once(
-        self, batch: str | None, names: Sequence[str], build: Callable[[], dict[str, DataFrame]]
-    ) -> dict[str, DataFrame]:
-        """New rows for the named tables, computed and materialized once per batch name.
-
-        ``build`` sees the tables as they are. If a job dies while it changes them, the same
-        call again returns the rows of the first time instead of computing from tables that
-        are half changed.
-        """
-        folder = self.scratch(batch)
-        if not self._exists(f"{folder}/_ready"):
-            for name, rows in build().items():
-                self.materialize(rows, f"{folder}/{name}")
-            self.spark.range(1).write.mode("overwrite").parquet(f"{folder}/_ready")
-        return {
-            name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
-            for name in names
-        }
-
-    def apply(self, changes: ChangeSet, batch: str | None = None) -> None:
-        """Stores the outcome of a change set: the changed table and the new rows of others.
-
-        All of it is computed before the first table changes. If the job dies after that,
-        calling it again with the same ``batch`` name finishes the rest and repeats no row.
+        ``build`` gets the tables as they are and a function that keeps an intermediate result,
+        by which the batch is checked once for all its parts.
         """
-        partition = PARTITION_COLUMN.get(changes.name)
-        whole = changes.touched is None
-
-        def build() -> dict[str, DataFrame]:
-            table = changes.table
-            if not whole:
-                dates = changes.touched.select(partition).distinct()
-                table = table.join(dates, partition, "left_semi")
-            return {changes.name: table} | {n: getattr(changes, part) for n, part in added.items()}
-
-        added = {n: part for n, part in ADDED_PARTS.items() if getattr(changes, part) is not None}
-        results = self.once(batch, [changes.name, *added], build)
-        # A table that may lose all rows of a partition is replaced as a whole.
-        self.put(changes.name, results[changes.name], whole)
-        for name in added:
-            self._append(name, results[name])
-
-    def _append(self, name: str, rows: DataFrame) -> None:
-        """Adds the rows that are not stored yet, by their key."""
-        keys = ["session_id", "position"] if name == "chat_messages" else ["id"]
-        path, partition = f"{self.root}/{name}", PARTITION_COLUMN.get(name)
-        known = getattr(self.tables(), name).select(*keys)
-        writer = rows.join(known, keys, "left_anti").write.mode("append")
-        (writer.partitionBy(partition) if partition else writer).parquet(path)
-
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.parquet(path)
-        except AnalysisException:
+
+        def rows(tables: Tables, keep: Keep) -> NewRows:
+            changes, new = build(tables, keep), NewRows()
+            if changes.touched is None:
+                new.whole[changes.name] = changes.table
+            else:
+                column = PARTITION_COLUMN[changes.name]
+                dates = keep(changes.touched.select(column).distinct())
+                table = changes.table
+                kept = table.join(
+                    dates.withColumnRenamed(column, "_date"),
+                    table[column].eqNullSafe(F.col("_date")), "left_semi")
+                new.dates[changes.name] = (kept, dates)
+            for name, part in ADDED_PARTS.items():
+                if (added := getattr(changes, part)) is not None:
+                    new.added[name] = added
+            return new
+
+        return self.change(rows, batch)
+
+    def change(self, build: Callable[[Tables, Keep], NewRows], batch: str | None = None) -> bool:
+        """Finishes what an earlier call left, then computes and stores the new rows. A batch
+        that died is finished, or done anew, by the same call: it is never stored twice."""
+        self._finish()
+        if batch is not None and self.files.exists(self._mark(batch)):
             return False
+        journal, version = self._journal(), uuid.uuid4().hex
+        scratch = self.scratch(version)
+
+        def keep(df: DataFrame) -> DataFrame:
+            return self.materialize(df, f"{scratch}/{uuid.uuid4().hex}")
+
+        new = build(self.tables(), keep)
+        plan = {"batch": batch, "version": version, "scratch": scratch, "folders": {}, "added": [],
+                "dates": {}, "last": dict(journal["last"])}
+        # Newest rows are known as long as nothing changes a history without them.
+        changed = {n for n, table in LATEST.items() if table in new.whole or table in new.dates}
+        plan["latest"] = LATEST.keys() <= new.whole.keys() or (
+            journal["latest"] and changed <= new.whole.keys())
+        written = {}
+        for name, rows in new.whole.items():
+            plan["folders"][name] = f"{name}-{version}"
+            written[name] = self.materialize(rows, f"{self.root}/{plan['folders'][name]}")
+        for name, (rows, dates) in new.dates.items():
+            written[name] = self.materialize(rows, f"{scratch}/{name}")
+            plan["dates"][name] = _without_rows(dates, written[name], PARTITION_COLUMN[name])
+        for name, rows in new.added.items():
+            written[name] = self.materialize(rows, f"{scratch}/{name}")
+            plan["added"].append(name)
+        for name in written.keys() & ID_PREFIX.keys():
+            plan["last"][name] = self._last(name, written[name], journal["last"].get(name))
+        self._save(journal | {"open": plan})
+        self._finish()
         return True
+
+    def _last(self, name: str, rows: DataFrame, before: int | None) -> int:
+        """The highest id number so far; read from the whole table only the first time."""
+        number = F.max(id_number(F.col("id"), ID_PREFIX[name]))
+        if before is None:
+            before = getattr(self.tables(), name).agg(number).first()[0]
+        return max(before or 0, rows.agg(number).first()[0] or 0)
+
+    def _finish(self) -> None:
+        """Carries out the batch that the journal names. Every step may be repeated."""
+        journal = self._journal()
+        plan = journal["open"]
+        if plan is None:
+            return
+        for name in plan["added"]:
+            rows = self._staged(plan, name)
+            write_table(in_batch(rows, plan["version"]), f"{self.root}/{name}", name)
+        for name, empty in plan["dates"].items():
+            write_table(self._staged(plan, name), f"{self.root}/{name}", name)
+            for value in empty:
+                self.files.delete(f"{self.root}/{name}/{PARTITION_COLUMN[name]}={value}")
+        if plan["batch"] is not None:
+            self.files.write(self._mark(plan["batch"]), "")
+        replaced = [journal["folders"].get(name, name) for name in plan["folders"]]
+        folders = journal["folders"] | plan["folders"]
+        self._save({"open": None, "folders": folders, "last": plan["last"], "old": replaced,
+                    "latest": plan["latest"]})
+        # Readers may still use what this batch replaced, but not what the one before did.
+        for folder in journal["old"]:
+            self.files.delete(f"{self.root}/{folder}")
+        self.files.delete(plan["scratch"])
+
+    def _staged(self, plan: dict, name: str) -> DataFrame:
+        return self.spark.read.schema(table_schema(name)).parquet(f"{plan['scratch']}/{name}")
+
+    def _mark(self, batch: str) -> str:
+        return f"{self.root}/_applied/{quote(batch, safe='')}"
+
+    def _journal(self) -> dict:
+        path = f"{self.root}/_journal"
+        if self.files.exists(path):
+            return json.loads(self.files.read(path))
+        latest = all(self.files.exists(f"{self.root}/{name}") for name in LATEST)
+        return {"open": None, "folders": {}, "last": {}, "old": [], "latest": latest}
+
+    def _save(self, journal: dict) -> None:
+        self.files.write(f"{self.root}/_journal", json.dumps(journal))
+
+
+def _without_rows(dates: DataFrame, rows: DataFrame, column: str) -> list[str]:
+    """Folder names of the dates that have no row: as many as there are dates at most."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(NO_DATE)).alias("value")
+    left = dates.select(text).distinct().join(rows.select(text).distinct(), "value", "left_anti")
+    return sorted(left.agg(F.collect_set("value")).first()[0])

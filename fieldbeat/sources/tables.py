@@ -2,38 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldbeat.schema import PARTITION_COLUMN, SCHEMAS
+from fieldbeat.functions.merge import last_number
+from fieldbeat.functions.ranking import top_per_key
+from fieldbeat.schema import (
+    ADDED_TABLES, BATCH_COLUMN, ID_PREFIX, LATEST, PARTITION_COLUMN, SCHEMAS,
+)
+
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # the directory of rows whose date is null
+
+
+def table_schema(name: str) -> str:
+    return SCHEMAS[LATEST.get(name, name)]
 
 
 class Tables:
     """Lazily read tables, by attribute: ``tables.merchants``, ``tables.daily_scores`` …
 
-    ``read`` maps a table name to its DataFrame and is called once per table.
+    ``read`` maps a table name to its DataFrame and is called once per table. ``latest_signals``
+    and ``latest_scores`` hold each merchant's newest row; they are read if ``read`` has them
+    (they are named in ``stored``), else found in the whole history. ``last`` has the highest id
+    numbers that are known; others are looked for in the table.
     """
 
-    def __init__(self, read: Callable[[str], DataFrame]):
-        self._read = read
+    def __init__(self, read: Callable[[str], DataFrame], last: Mapping[str, int] | None = None,
+                 stored: Iterable[str] = ()):
+        self._read, self._last, self._stored = read, dict(last or {}), frozenset(stored)
         self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in SCHEMAS:
+        if name not in SCHEMAS and name not in LATEST:
             raise AttributeError(name)
         if name not in self._frames:
-            self._frames[name] = self._read(name)
+            self._frames[name] = self._read(name) if name in SCHEMAS or name in self._stored else newest(
+                getattr(self, LATEST[name]), LATEST[name])
         return self._frames[name]
 
+    def last_number(self, name: str) -> Column:
+        """The highest id number of a table, 0 if it is empty."""
+        if name in self._last:
+            return F.lit(self._last[name])
+        return last_number(getattr(self, name), ID_PREFIX[name])
+
     def replace(self, **frames: DataFrame) -> Tables:
         """A copy with some tables exchanged, e.g. for the results of a change set."""
-        return Tables(lambda name: frames[name] if name in frames else getattr(self, name))
+        changed = set(frames) | {n for n, table in LATEST.items() if table in frames}
+        return Tables(
+            lambda name: frames[name] if name in frames else getattr(self, name),
+            {n: last for n, last in self._last.items() if n not in frames},
+            (self._stored - changed) | (LATEST.keys() & frames.keys()))
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
-        """One directory per table below ``root``, as ``write_tables`` leaves them."""
-        return cls(lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}"))
+    def from_parquet(
+        cls, spark: SparkSession, root: str, folders: Mapping[str, str] | None = None,
+        last: Mapping[str, int] | None = None, stored: Iterable[str] = (),
+    ) -> Tables:
+        """One directory per table below ``root``, as ``write_tables`` leaves them, or where
+        ``folders`` says; ``stored`` names the tables of newest rows that are there."""
+
+        def read(name: str) -> DataFrame:
+            schema = table_schema(name)
+            if name in ADDED_TABLES:
+                schema += f", {BATCH_COLUMN} string"
+            path = f"{root}/{(folders or {}).get(name, name)}"
+            return spark.read.schema(schema).parquet(path).drop(BATCH_COLUMN)
+
+        return cls(read, last, stored)
 
     @classmethod
     def from_jdbc(
@@ -50,35 +88,71 @@ class Tables:
         """
 
         def read(name: str) -> DataFrame:
-            return spark.read.jdbc(
-                url, name, predicates=predicates[name], properties=dict(properties)
-            )
+            source = "chat_sessions" if name == "chat_messages" else name
+            return conform(name, spark.read.jdbc(
+                url, source, predicates=predicates[source], properties=dict(properties)))
 
         return cls(read)
 
 
-def write_tables(tables: Tables, root: str, names: tuple[str, ...] = tuple(SCHEMAS)) -> None:
+def newest(table: DataFrame, name: str) -> DataFrame:
+    """The row of the latest date of each merchant."""
+    return top_per_key(table, ["merchant_id"], [F.desc(PARTITION_COLUMN[name])])
+
+
+def conform(name: str, rows: DataFrame) -> DataFrame:
+    """Rows as a database has them, in the columns and types of the model.
+
+    Instants with a zone become UTC without one, JSON texts become structs, and a session's JSON
+    array of messages (``chat_messages`` from ``chat_sessions``) becomes a row a message. A column
+    that is missing is null; further ones are left out.
+    """
+    schema = rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema
+    if name == "chat_messages" and "messages" in rows.columns:
+        items = F.from_json(F.col("messages").cast("string"), "array<struct<role:string,content:string>>")
+        rows = rows.select(F.col("id").alias("session_id"), F.posexplode(items)).select(
+            "session_id", F.col("pos").cast("bigint").alias("position"), "col.role", "col.content")
+    given = dict(rows.dtypes)
+
+    def column(wanted) -> Column:
+        kind = wanted.dataType.simpleString()
+        if wanted.name not in given:
+            return F.lit(None).cast(kind)
+        value = F.col(wanted.name)
+        if given[wanted.name] == "timestamp" and kind == "timestamp_ntz":
+            return F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.cast("timestamp_ntz"))
+        if given[wanted.name] == "string" and kind.startswith("struct"):
+            return F.from_json(value, kind)
+        return value.cast(kind)
+
+    return rows.select(*[column(f).alias(f.name) for f in schema])
+
+
+def in_batch(rows: DataFrame, batch: str) -> DataFrame:
+    """Rows to add, with the name of their batch."""
+    return rows.withColumn(BATCH_COLUMN, F.lit(batch))
+
+
+def write_tables(tables: Tables, root: str, names: tuple[str, ...] = (*SCHEMAS, *LATEST)) -> None:
     """Writes tables as Parquet, those with a date in one directory per date."""
     for name in names:
-        write_table(getattr(tables, name), f"{root}/{name}", PARTITION_COLUMN.get(name))
+        rows = getattr(tables, name)
+        write_table(in_batch(rows, "0") if name in ADDED_TABLES else rows, f"{root}/{name}", name)
 
 
-def write_table(
-    df: DataFrame, path: str, partition: str | None = None, whole: bool = False
-) -> None:
-    """Overwrites a table, or, if partitioned, just the partitions that occur in ``df``
-    unless ``whole`` is set.
+def write_table(df: DataFrame, path: str, name: str) -> None:
+    """Overwrites a table, or, if it has dates or batches, those that occur in ``df``.
 
-    Rows are clustered by partition value before the write; a date too large for one
-    task is split by AQE (REBALANCE), so neither many small files nor one hot task result.
+    Rows are clustered by date before the write; a date too large for one task is split by AQE
+    (REBALANCE), so neither many small files nor one hot task result.
     """
-    if partition is None:
-        df.write.mode("overwrite").parquet(path)
-        return
+    date = PARTITION_COLUMN.get(name)
+    columns = [c for c in (date, BATCH_COLUMN if name in ADDED_TABLES else None) if c]
+    if date:
+        df = df.hint("rebalance", date)
     (
-        df.hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static" if whole else "dynamic")
-        .partitionBy(partition)
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if columns else "static")
+        .partitionBy(*columns)
         .parquet(path)
     )

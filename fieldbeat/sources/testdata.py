@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbeat.functions.columns import day, instant, make_id
+from fieldbeat.functions.columns import day, id_number, instant, make_id
 from fieldbeat.functions.merge import assign_ids
 from fieldbeat.operators.scoring import score_merchants
 from fieldbeat.operators.scope import active
@@ -19,6 +19,7 @@ from fieldbeat.sources.tables import Tables
 
 AS_OF = date(2024, 1, 30)
 NOW = datetime(2024, 1, 30, 12)
+EARLIER = datetime(2024, 1, 28, 9)
 
 EVENT_ACTIONS = {
     "signup": "LOGIN", "view": "VIEW_MERCHANT", "click": "VIEW_DASHBOARD",
@@ -30,7 +31,7 @@ EVENT_RESOURCES = {
 }
 EVENT_OUTCOMES = {
     "purchase": "Successful", "click": "Completed",
-    "view": "Follow-up Needed", "signup": "Partially Successful",
+    "view": "Follow-up Needed", "signup": "Partially Successful", "error": "Not Available",
 }
 
 
@@ -41,6 +42,13 @@ def _choose(column: Column, values: dict[str, str]) -> Column:
     return chosen
 
 
+def _order_customer() -> Column:
+    """The customer an order counts for: some have none of their own, so that merchants without
+    signals and recommendations occur."""
+    customer = F.col("o_custkey")
+    return F.when(customer % 53 == 7, customer - 1).otherwise(customer)
+
+
 def _pick(number: Column, *values: str) -> Column:
     """The value at index ``number``."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
@@ -70,6 +78,10 @@ class TestData:
         """An existing user: Admin, Manager or DSP, by ``number`` modulo their count."""
         return make_id("u", 1 + number % (self.count("supplier") + 6))
 
+    def _owner(self) -> Column:
+        """The DSP of an order's merchant."""
+        return make_id("u", 7 + _order_customer() % self.count("supplier"))
+
     # Model tables
 
     def _users(self) -> DataFrame:
@@ -128,7 +140,7 @@ class TestData:
     def _merchant_signals(self) -> DataFrame:
         first = F.col("first_order")
         daily = (
-            self.raw("orders")
+            self.raw("orders").withColumn("o_custkey", _order_customer())
             .groupBy("o_custkey", (F.col("o_orderkey") % 7).alias("days_ago"))
             .agg(
                 F.min("o_orderkey").alias("first_order"),
@@ -143,12 +155,11 @@ class TestData:
             make_id("ms", first + 1).alias("id"),
             make_id("m", F.col("o_custkey") + 1).alias("merchant_id"),
             F.date_sub(day(AS_OF), F.col("days_ago").cast("int")).alias("signal_date"),
-            F.least(F.floor(F.col("total") / 10000).cast("bigint"), F.lit(2147483647))
-            .cast("int").alias("transaction_volume"),
+            F.floor(F.col("total") / 10000).cast("int").alias("transaction_volume"),
             (((first * 37) % 15000 - 7500).cast("decimal(10,0)") / 100).cast("decimal(5,2)")
             .alias("transaction_trend"),
             (first % 46).cast("int").alias("days_since_visit"),
-            F.least(F.col("urgent"), F.lit(2147483647)).cast("int").alias("complaint_count"),
+            F.col("urgent").cast("int").alias("complaint_count"),
             _pick(first % 4, "Active", "Inactive", "Pending", "None").alias("campaign_status"),
             F.col("c_acctbal").cast("decimal(12,2)").alias("wallet_balance"),
             (1 + first % 8).cast("int").alias("active_products"),
@@ -158,7 +169,7 @@ class TestData:
     def _daily_scores(self) -> DataFrame:
         scores = score_merchants(self.tables.merchant_signals, active(self.tables.merchants))
         # Ids need no global order here: merchant and date already make a unique number.
-        number = F.substring("merchant_id", 2, 19).cast("bigint") * 10 + F.datediff(
+        number = id_number(F.col("merchant_id"), "m") * 10 + F.datediff(
             day(AS_OF), "score_date")
         return scores.select(
             make_id("ds", number).alias("id"), "*", instant(NOW).alias("created_at")
@@ -168,24 +179,24 @@ class TestData:
         key, status = F.col("o_orderkey"), F.col("o_orderstatus")
         return self.raw("orders").select(
             make_id("r", key + 1).alias("id"),
-            make_id("m", F.col("o_custkey") + 1).alias("merchant_id"),
+            make_id("m", _order_customer() + 1).alias("merchant_id"),
             F.col("o_orderpriority").alias("recommended_action"),
             F.lit(None).cast("string").alias("action_explanation"),
             F.when(key % 13 != 0, (key % 101).cast("decimal(5,0)") / 100).cast("decimal(3,2)")
             .alias("confidence_score"),
             F.when(status == "F", "Done").when(status == "O", "New")
             .when(key % 2 == 0, "In Progress").otherwise("Deferred").alias("status"),
-            F.lit(None).cast("timestamp_ntz").alias("status_updated_at"),
-            F.lit(None).cast("string").alias("status_updated_by"),
-            F.date_sub(day(AS_OF), (key % 5).cast("int")).alias("recommendation_date"),
+            F.when(status == "F", instant(EARLIER)).alias("status_updated_at"),
+            F.when(status == "F", self._owner()).alias("status_updated_by"),
+            F.when(key % 97 != 0, F.date_sub(day(AS_OF), (key % 5).cast("int")))
+            .alias("recommendation_date"),
             instant(NOW).alias("created_at"),
         )
 
     def _visit_history(self) -> DataFrame:
         key = F.col("user_id")
         customers = self.raw("customer").select(F.col("c_custkey").alias("user_id"))
-        visits = self.raw("events").where(F.col("event_type") != "error")
-        return visits.join(customers, "user_id", "left_semi").select(
+        return self.raw("events").join(customers, "user_id", "left_semi").select(
             make_id("vh", F.col("event_id") + 1).alias("id"),
             make_id("m", key + 1).alias("merchant_id"),
             make_id("u", 7 + key % self.count("supplier")).alias("dsp_id"),
@@ -203,7 +214,7 @@ class TestData:
             _choose(F.col("event_type"), EVENT_ACTIONS).alias("action"),
             _choose(F.col("event_type"), EVENT_RESOURCES).alias("resource"),
             F.lit(None).cast("string").alias("resource_id"),
-            F.col("props").alias("details"),
+            F.col("props").alias("details"), F.lit(None).cast("string").alias("ip_address"),
             F.col("ts").cast("timestamp_ntz").alias("created_at"),
         )
 
@@ -253,7 +264,7 @@ class TestData:
         orders = self.count("orders")
         owners = self.raw("orders").select(
             "o_orderkey",
-            make_id("u", 7 + F.col("o_custkey") % self.count("supplier")).alias("owner_id"),
+            self._owner().alias("owner_id"),
         )
         return self.raw("events").select(
             event.alias("seq"),
@@ -377,25 +388,58 @@ class TestData:
         )
 
     def chat_turns(self) -> DataFrame:
-        """One turn per message of a user: to the own, another user's or a new session."""
+        """One turn per message of a user, with the answer that follows it: to the own, another
+        user's or a new session."""
         conv = F.col("conv_id")
+        answers = self.raw("conversations").where(F.col("role") == "assistant").select(
+            "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
         session = F.when(conv % 3 == 0, make_id("cs", conv + 1)).when(
             conv % 3 == 1, make_id("cs", conv + 2))
-        return self.raw("conversations").where(F.col("role") == "user").select(
+        asked = self.raw("conversations").where(F.col("role") == "user")
+        return asked.join(answers, ["conv_id", "turn"], "left").select(
             (conv * 1_000_000 + F.col("turn")).alias("seq"),
             self._user_id(conv).alias("user_id"),
             session.alias("session_id"),
-            F.col("text").alias("message"), F.lit("ok").alias("answer"),
+            F.col("text").alias("message"), "answer",
         )
 
     def next_day_signals(self) -> DataFrame:
-        """All signals one day later: most meet a stored signal, the others are new."""
-        return self.tables.merchant_signals.withColumns({
-            "id": F.concat(F.lit("ms9"), F.substring("id", 3, 18)),
+        """All signals one day later, twice: most meet a stored signal, the others are new. The
+        second row of a key has the higher number, but the lower id as text."""
+        number = id_number(F.col("id"), "ms").cast("string")
+        first = self.tables.merchant_signals.withColumns({
+            "id": F.concat(F.lit("ms9"), number),
             "signal_date": F.date_add("signal_date", 1),
             "campaign_status": F.lit("None"),
             "active_products": F.lit(0),
         })
+        second = self.tables.merchant_signals.withColumns({
+            "id": F.concat(F.lit("ms10"), number),
+            "signal_date": F.date_add("signal_date", 1),
+            "transaction_volume": F.col("transaction_volume") + 1,
+        })
+        return first.unionByName(second)
+
+    # Rows as a database has them
+
+    def _zoned(self, table: DataFrame, **changes: Column) -> DataFrame:
+        zoned = F.concat(F.col("created_at").cast("string"), F.lit("+00:00")).cast("timestamp")
+        return table.withColumns({"created_at": zoned, **changes})
+
+    def database_scores(self) -> DataFrame:
+        return self._zoned(self.tables.daily_scores, score_breakdown=F.to_json("score_breakdown"))
+
+    def database_logs(self) -> DataFrame:
+        address = F.concat(F.lit("10.0.0."), (id_number(F.col("id"), "al") % 250).cast("string"))
+        return self._zoned(self.tables.audit_logs, ip_address=address)
+
+    def database_sessions(self) -> DataFrame:
+        """Sessions with their messages as one JSON array, and a column of no use."""
+        messages = self.tables.chat_messages.groupBy(F.col("session_id").alias("id")).agg(
+            F.array_sort(F.collect_list(F.struct("position", "role", "content"))).alias("messages"))
+        listed = F.transform("messages", lambda m: m.dropFields("position"))
+        return self.tables.chat_sessions.join(messages, "id", "left").withColumns({
+            "messages": F.to_json(listed), "other": F.lit(1)})
 
     def event_ids(self) -> DataFrame:
         """Every event with a fresh id, numbered from 96 by event number."""
@@ -404,7 +448,7 @@ class TestData:
     def damaged(self) -> Tables:
         """The model with broken keys, references, values and empty required fields."""
         t = self.tables
-        merchant = rec = F.substring("id", 2, 19).cast("bigint")
+        merchant, rec = id_number(F.col("id"), "m"), id_number(F.col("id"), "r")
         merchants = t.merchants.withColumns({
             "tier": F.when(merchant % 50 == 0, F.lit("Platinum")).otherwise(F.col("tier")),
             "merchant_name": F.when(merchant % 60 != 0, F.col("merchant_name")),

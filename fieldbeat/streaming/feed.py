@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldbeat.operators.changes import ChangeSet
+from fieldbeat.operators.changes import ChangeSet, Keep
 from fieldbeat.sources.store import Store
 from fieldbeat.sources.tables import Tables
 
@@ -15,7 +15,7 @@ from fieldbeat.sources.tables import Tables
 def apply_feed(
     store: Store,
     requests: DataFrame,
-    operator: Callable[[Tables, DataFrame], ChangeSet],
+    operator: Callable[[Tables, DataFrame, Keep], ChangeSet],
     checkpoint: str,
     name: str,
 ) -> StreamingQuery:
@@ -26,7 +26,7 @@ def apply_feed(
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        store.apply(operator(store.tables(), batch), f"{name}-{number}")
+        store.apply(lambda tables, keep: operator(tables, batch, keep), f"{name}-{number}")
 
     return (
         requests.writeStream.foreachBatch(apply)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from fieldbeat.functions.joins import left_join_many, split_join
+from fieldbeat.operators import context, merchants
 from fieldbeat.operators.changes import apply_status_updates
+from fieldbeat.operators.scope import Caller
 from fieldbeat.plans.queries import QUERIES
 from tests.small import AS_OF, MODEL, NOW
 
@@ -22,7 +24,7 @@ def physical(df) -> str:
 def plans(spark):
     # Without broadcasts, as for tables of any size.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    texts = {name: physical(query(spark, SF_DIR)) for name, query in contract.queries().items()}
+    texts = {name: physical(contract.queries()[name](spark, SF_DIR)) for name in QUERIES}
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     return texts
 
@@ -39,8 +41,9 @@ def test_manager_scope_is_a_semi_join(plans, name):
     assert "LeftSemi" in plans[name]
 
 
-@pytest.mark.parametrize("name", ["q03_prioritized_all", "q04_details_all", "q02_roll_forward",
-                                  "q23_chat_all"])
+@pytest.mark.parametrize("name", [
+    "q03_prioritized_all", "q03_prioritized_manager", "q03_prioritized_dsp", "q04_details_all",
+    "q04_details_manager", "q02_roll_forward", "q23_chat_all"])
 def test_top_rows_are_cut_before_the_shuffle(plans, name):
     assert "Partial" in plans[name] and "WindowGroupLimit" in plans[name]
 
@@ -58,8 +61,8 @@ def test_dashboards_read_few_columns_and_rank_nothing(plans):
 
 def test_filters_and_columns_reach_the_scan(plans):
     scan = next(line for line in plans["q18_visits_admin"].splitlines() if "events.parquet" in line)
-    assert "IsNotNull(event_type)" in scan and "GreaterThanOrEqual(ts" in scan
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in scan
+    assert "GreaterThanOrEqual(ts" in scan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in scan
 
 
 def final_plan(df) -> str:
@@ -118,3 +121,48 @@ def test_status_changes_of_one_recommendation_are_split(spark, make_tables, smal
     assert "skew=true" in final_plan(result.rejects)
     assert result.rejects.count() == 20_000 and result.visits.count() == 10_000
     assert result.table.where("status = 'Done'").count() == 3
+
+
+@pytest.fixture
+def hot_merchant(spark, make_tables):
+    """A third of the recommendations, scores and visits belongs to one merchant."""
+    tables = make_tables(**MODEL)
+
+    def many(table, n=60_000):
+        number = F.when(F.col("n") % 3 == 0, F.lit("01")).otherwise(
+            F.concat(F.lit("9"), (F.col("n") % 2000).cast("string")))
+        rows = spark.range(0, n, 1, 8).withColumnRenamed("id", "n").withColumn(
+            "merchant_id", F.concat(F.lit("m"), number))
+        given = {"id": F.concat(F.lit(PREFIX[table]), F.col("n").cast("string")), "merchant_id": F.col("merchant_id"),
+                 "dsp_id": F.lit("u04"), "visit_date": F.date_sub(F.lit(AS_OF), (F.col("n") % 900).cast("int")),
+                 "score_date": F.date_sub(F.lit(AS_OF), (F.col("n") / 3).cast("int")),
+                 "recommendation_date": F.date_sub(F.lit(AS_OF), (F.col("n") % 90).cast("int"))}
+        schema = getattr(tables, table).schema
+        return rows.select(*[
+            given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+    return tables.replace(**{t: many(t) for t in PREFIX})
+
+
+PREFIX = {"recommendations": "r", "daily_scores": "ds", "visit_history": "vh"}
+
+
+def wanted(spark):
+    return spark.range(0, 3000, 1, 4).select(
+        F.when(F.col("id") == 0, F.lit("m01")).otherwise(F.concat(F.lit("m"), F.col("id").cast("string")))
+        .alias("merchant_id"))
+
+
+def test_hot_merchants_of_scoped_reads_are_split(spark, hot_merchant, small_skew_limits):
+    caller = Caller("u02", "Manager")
+    assert "skew=true" in final_plan(merchants.merchant_details(hot_merchant, caller, AS_OF))
+    assert "skew=true" in final_plan(merchants.merchant_history(hot_merchant, caller, wanted(spark)))
+    context_plan = final_plan(context.brief_context(hot_merchant, caller, AS_OF, wanted(spark)))
+    assert "skew=true" in context_plan
+
+
+def test_context_reads_visits_at_most_twice(spark, plans):
+    query = contract.queries()["q25_context"](spark, SF_DIR)
+    query.collect()
+    plan = physical(query).split("== Initial Plan ==")[0]
+    assert sum("events.parquet" in line for line in plan.splitlines()) <= 2

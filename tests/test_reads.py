@@ -8,6 +8,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from fieldbeat.operators import admin, chat, context, merchants, scope
 from fieldbeat.operators.scope import Caller
 from tests.small import AS_OF, MERCHANTS, MODEL, USERS, YESTERDAY, merchant, user
@@ -261,6 +263,19 @@ def chats(make_tables):
                        for p in (1, 0, 2)])
 
 
+@pytest.mark.parametrize("n", [3, 3000])
+def test_visits_without_a_date_come_first(spark, tables, rows_of, n):
+    """In a merchant's history of any length."""
+    more = spark.range(n).select(
+        F.concat(F.lit("vh"), (100 + F.col("id")).cast("string")).alias("id"), F.lit("m01").alias("merchant_id"),
+        F.lit("u04").alias("dsp_id"), F.when(F.col("id") > 0, F.lit(AS_OF)).alias("visit_date"))
+    history = tables.visit_history.unionByName(more, allowMissingColumns=True)
+    rows = rows_of(context.brief_context(tables.replace(visit_history=history), ADMIN, AS_OF, visits_per_part=10**6))
+    doc = next(json.loads(r["context"]) for r in rows if r["merchant_id"] == "m01")
+    assert len(doc["recent_visit_history"]) == n + 5
+    assert [v["visit_date"] is None for v in doc["recent_visit_history"]] == [True] + [False] * (n + 4)
+
+
 def test_chat_history(chats, rows_of):
     rows = rows_of(chat.chat_history(chats, DSP), "session_id", "position", "content")
     assert rows == [("cs02", None, None), ("cs04", None, None), ("cs01", 0, "c0"),

@@ -85,7 +85,7 @@ def test_merchants_without_a_signal_on_the_day_get_no_score(make_tables, rows_of
 def roll(make_tables, make_df, signals, deltas, merchants=None):
     tables = make_tables(merchants=merchants or [merchant(1)], merchant_signals=signals)
     return roll_forward_signals(
-        tables.merchant_signals, tables.merchants, make_df(DELTAS, deltas), DAY).collect()
+        tables.latest_signals, tables.merchants, make_df(DELTAS, deltas), DAY).collect()
 
 
 FULL = dict(transaction_volume=100, campaign_status="Active", wallet_balance=Decimal("300.00"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 
 from fieldbeat.operators import changes, chat
 from fieldbeat.plans.daily_job import run_daily
-from fieldbeat.schema import SCHEMAS
+from fieldbeat.schema import LATEST, SCHEMAS
 from fieldbeat.sources.store import Store
-from fieldbeat.sources.tables import Tables, write_tables
+from fieldbeat.sources.tables import Tables, conform, newest, write_tables
 from fieldbeat.streaming.feed import apply_feed
 from tests.small import AS_OF, MODEL, NOW, YESTERDAY
 from tests.test_changes import BRIEF, STATUS, TURN, status
@@ -39,6 +38,36 @@ def store(spark, make_tables, tmp_path):
     return Store(spark, root)
 
 
+def updates(batch):
+    return lambda tables, keep: changes.apply_status_updates(tables, batch, AS_OF, NOW, keep)
+
+
+class Lost(Exception):
+    """The driver dies."""
+
+
+@pytest.fixture
+def dying(monkeypatch):
+    """Lets a method of Store die at its n-th call, before or after it does its work."""
+
+    def at(method, call=1, after=False):
+        real, calls = getattr(Store, method), [0]
+
+        def wrapped(self, *args):
+            calls[0] += 1
+            if calls[0] == call and not after:
+                raise Lost
+            result = real(self, *args)
+            if calls[0] == call:
+                raise Lost
+            return result
+
+        monkeypatch.setattr(Store, method, wrapped)
+        return lambda: monkeypatch.setattr(Store, method, real)
+
+    return at
+
+
 def test_round_trip(store, make_tables, rows_of):
     want = make_tables(**MODEL)
     for name in ("users", "daily_scores", "recommendations", "visit_history"):
@@ -99,11 +128,8 @@ def test_next_day_adds_a_partition(store, make_df):
 
 def test_applied_status_changes(store, make_df, rows_of):
     batch = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE"), status(3, "r99", "NEW")])
-    name = f"batch-{uuid.uuid4().hex}"
-    for _ in range(2):      # the same batch again changes nothing more
-        result = changes.apply_status_updates(
-            store.tables(), batch, AS_OF, NOW, keep=store.materialize)
-        store.apply(result, name)
+    done = [store.apply(updates(batch), "batch") for _ in range(2)]
+    assert done == [True, False]      # the same batch again changes nothing more
     tables = store.tables()
     rows = dict(rows_of(tables.recommendations, "id", "status"))
     assert len(rows) == 8 and (rows["r01"], rows["r02"], rows["r05"]) == ("New", "Done", "Done")
@@ -114,7 +140,7 @@ def test_applied_status_changes(store, make_df, rows_of):
 def test_applied_briefs_empty_a_partition(store, make_df, rows_of):
     batch = make_df(BRIEF, [{"seq": n, "merchant_id": m, "text": "t", "user_id": "u01", "role": "Admin"}
                             for n, m in enumerate(("m01", "m02", "m03", "m05"))])
-    store.apply(changes.replace_briefs(store.tables(), batch, AS_OF, NOW))
+    store.apply(lambda tables, keep: changes.replace_briefs(tables, batch, AS_OF, NOW, keep))
     dates = rows_of(store.tables().recommendations, "recommendation_date")
     assert dates == [(AS_OF,)] * 4
 
@@ -122,7 +148,7 @@ def test_applied_briefs_empty_a_partition(store, make_df, rows_of):
 def test_applied_chats(store, make_df, rows_of):
     batch = make_df(TURN, [{"seq": 1, "user_id": "u04", "session_id": "cs01", "message": "a", "answer": "b"},
                            {"seq": 2, "user_id": "u04", "message": "c", "answer": "d"}])
-    store.apply(chat.append_chats(store.tables(), batch, NOW, keep=store.materialize))
+    store.apply(lambda tables, keep: chat.append_chats(tables, batch, NOW, keep))
     assert store.tables().chat_sessions.count() == 2
     assert sorted(rows_of(store.tables().chat_messages, "session_id", "position")) == [
         ("cs01", 0), ("cs01", 1), ("cs01", 2), ("cs02", 0), ("cs02", 1)]
@@ -137,7 +163,7 @@ def test_change_feed(store, spark, tmp_path, rows_of):
         stream = spark.readStream.schema(STATUS).option("maxFilesPerTrigger", 1).json(str(folder))
         apply_feed(
             store, stream,
-            lambda tables, batch: changes.apply_status_updates(tables, batch, AS_OF, NOW),
+            lambda tables, batch, keep: changes.apply_status_updates(tables, batch, AS_OF, NOW, keep),
             str(tmp_path / "state"), f"feed-{tmp_path.name}",
         ).awaitTermination()
 
@@ -148,61 +174,121 @@ def test_change_feed(store, spark, tmp_path, rows_of):
     assert store.tables().visit_history.count() == len(MODEL["visit_history"]) + 2
 
 
-def test_jdbc_reads_use_the_given_partitions(spark, monkeypatch):
+def test_jdbc_reads_use_the_given_partitions(spark, make_df, rows_of):
     seen = {}
 
     class Reader:
         def jdbc(self, url, name, predicates, properties):
             seen[name] = (url, predicates, properties)
-            return "frame"
+            return make_df("id string, full_name string", [{"id": "u01", "full_name": "U"}])
 
     class Session:
         read = Reader()
 
     tables = Tables.from_jdbc(
         Session(), "jdbc:postgresql://host/db", {"user": "u"}, {"users": ["id < 'u5'", "id >= 'u5'"]})
-    assert tables.users == "frame"
+    assert rows_of(tables.users, "id", "full_name", "email") == [("u01", "U", None)]
     assert seen == {"users": ("jdbc:postgresql://host/db", ["id < 'u5'", "id >= 'u5'"], {"user": "u"})}
 
 
+def test_conform(make_df, rows_of):
+    sessions = make_df("id string, messages string, other int", [
+        {"id": "cs01", "messages": '[{"role": "user", "content": "a"}, {"role": "assistant"}]'},
+        {"id": "cs02", "messages": "[]"}, {"id": "cs03"}])
+    assert rows_of(conform("chat_messages", sessions), "session_id", "position", "role", "content") == [
+        ("cs01", 0, "user", "a"), ("cs01", 1, "assistant", None)]
+    logs = make_df("id string, action string, ip_address string, created_at string", [
+        {"id": "al01", "ip_address": "10.0.0.1", "created_at": "2024-01-30 12:00:00+02:00"}])
+    logs = logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert rows_of(conform("audit_logs", logs), "ip_address", "created_at", "user_id") == [
+        ("10.0.0.1", datetime(2024, 1, 30, 10), None)]
+    scores = make_df("id string, score_breakdown string", [
+        {"id": "ds01", "score_breakdown": '{"transaction": 1.5, "recency": 2, "tier": 3, "complaints": 4}'}])
+    assert conform("daily_scores", scores).first()["score_breakdown"]["transaction"] == Decimal("1.5")
+    for name, ddl in SCHEMAS.items():
+        empty = make_df(ddl, [])
+        assert conform(name, empty).dtypes == empty.dtypes
+
+
 def test_schemas_parse(spark):
     for ddl in SCHEMAS.values():
         assert spark.createDataFrame([], ddl).columns
     assert datetime(2024, 1, 30, 12) == NOW
 
 
-def test_an_interrupted_daily_job_finishes_without_rolling_on(store, make_df, rows_of, monkeypatch):
-    name = f"daily-{uuid.uuid4().hex}"
-    put = Store.put
-
-    def dying(self, table, rows):
-        put(self, table, rows)
-        raise RuntimeError("driver lost")
-
-    monkeypatch.setattr(Store, "put", dying)
-    with pytest.raises(RuntimeError):
-        run_daily(store, make_df(DELTAS, []), AS_OF, NOW, name)     # signals are replaced already
-    monkeypatch.setattr(Store, "put", put)
-    run_daily(store, make_df(DELTAS, []), AS_OF, NOW, name)
+def test_latest_rows_follow_the_daily_job(store, make_df, rows_of):
+    """They equal those of the whole history, also for a merchant whose last day is old."""
+    for days in (0, 1):
+        run_daily(store, make_df(DELTAS, []), AS_OF + timedelta(days=days), NOW)
+        if not days:
+            store.apply(lambda tables, keep: changes.assign_merchants(tables, make_df(
+                "seq bigint, caller_id string, caller_role string, merchant_id string, assigned_dsp_id string",
+                []), NOW, keep))
+    tables = store.tables()
+    for latest, name in LATEST.items():
+        want = newest(getattr(tables, name), name)
+        got = getattr(tables, latest)
+        assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()
+        key = lambda r: r["merchant_id"]
+        assert sorted(rows_of(got), key=key) == sorted(rows_of(want), key=key)
+    assert dict(rows_of(tables.latest_scores, "merchant_id", "score_date"))["m06"] == YESTERDAY
+    store.write("daily_scores", tables.daily_scores.withColumn("rank", F.lit(5)))    # without them
+    assert set(rows_of(store.tables().latest_scores, "rank")) == {(5,)}
+
+
+def test_numbers_run_on_without_the_history(store, make_df, rows_of):
+    for n in (1, 2, 3):
+        store.apply(updates(make_df(STATUS, [status(1, "r02", "DONE"), status(2, "r01", "DONE")])))
+    assert sorted(rows_of(store.tables().audit_logs, "id")) == [(f"al0{n}",) for n in range(1, 7)]
+    plan = store.tables().last_number("audit_logs")
+    assert "Subquery" not in str(plan)
+
+
+@pytest.mark.parametrize(("method", "call", "after"), [
+    ("_save", 1, False), ("_save", 1, True), ("_staged", 1, True), ("_staged", 2, True), ("_staged", 3, False),
+    ("_save", 2, False), ("_save", 2, True)])
+def test_interrupted_changes_finish_without_repeating(store, make_df, rows_of, dying, method, call, after):
+    """A dies at some point, B runs, A is called again: both are stored, each once."""
+    one = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE")])
+    two = make_df(STATUS, [status(1, "r03", "DONE")])
+    revive = dying(method, call, after)
+    with pytest.raises(Lost):
+        store.apply(updates(one), "A")
+    revive()
+    assert store.apply(updates(two), "B")
+    store.apply(updates(one), "A")
+    tables = store.tables()
+    rows = dict(rows_of(tables.recommendations, "id", "status"))
+    assert len(rows) == 8 and (rows["r01"], rows["r02"], rows["r03"]) == ("New", "Done", "Done")
+    assert sorted(rows_of(tables.audit_logs, "id")) == [("al01",), ("al02",), ("al03",)]
+    assert tables.visit_history.count() == len(MODEL["visit_history"]) + 2
+    assert tables.visit_history.select("id").distinct().count() == tables.visit_history.count()
+
+
+def test_a_recommendation_without_a_date_is_updated(store, make_df, rows_of):
+    store.apply(updates(make_df(STATUS, [dict(status(1, "r08", "DEFERRED"), user_id="u06")])))
+    assert dict(rows_of(store.tables().recommendations, "id", "status"))["r08"] == "Deferred"
+    store.apply(lambda tables, keep: changes.replace_briefs(tables, make_df(BRIEF, [
+        {"seq": 1, "merchant_id": "m05", "text": "t", "user_id": "u01", "role": "Admin"}]), AS_OF, NOW, keep))
+    left = store.tables().recommendations
+    assert left.where("recommendation_date IS NULL").count() == 0 and left.count() == 8
+
+
+def test_scratch_is_empty_after_a_batch(store, make_df, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "scratch", lambda self, name=None: f"{tmp_path}/scratch/{name}")
+    store.apply(updates(make_df(STATUS, [status(1, "r01", "NEW")])), "A")
+    run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day")
+    assert list((tmp_path / "scratch").iterdir()) == []
+
+
+@pytest.mark.parametrize(("method", "call"), [("_save", 1), ("_staged", 2), ("_save", 2)])
+def test_an_interrupted_daily_job_finishes_without_rolling_on(store, make_df, rows_of, dying, method, call):
+    revive = dying(method, call, True)
+    with pytest.raises(Lost):
+        run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day")
+    revive()
+    assert not run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day")
     today = store.tables().merchant_signals.where(F.col("signal_date") == F.lit(AS_OF))
     assert dict(rows_of(today, "merchant_id", "days_since_visit"))["m01"] == 2
     scores = store.tables().daily_scores.where(F.col("score_date") == F.lit(AS_OF))
     assert sorted(rows_of(scores, "rank")) == [(1,), (2,), (3,), (4,), (5,)]
-
-
-def test_interrupted_changes_finish_without_repeating(store, make_df, rows_of, monkeypatch):
-    name = f"changes-{uuid.uuid4().hex}"
-    batch = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE")])
-    append = Store._append
-
-    def dying(self, table, rows):
-        append(self, table, rows)
-        raise RuntimeError("driver lost")
-
-    monkeypatch.setattr(Store, "_append", dying)
-    with pytest.raises(RuntimeError):
-        store.apply(changes.apply_status_updates(store.tables(), batch, AS_OF, NOW), name)
-    monkeypatch.setattr(Store, "_append", append)
-    store.apply(changes.apply_status_updates(store.tables(), batch, AS_OF, NOW), name)
-    assert sorted(rows_of(store.tables().audit_logs, "id")) == [("al01",), ("al02",)]
-    assert store.tables().visit_history.count() == len(MODEL["visit_history"]) + 1
