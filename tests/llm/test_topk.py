@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldbeat.llm import topk
+from tests.compare import compare, connect
 
 
 def plain(vectors, wanted, k):
@@ -64,3 +65,8 @@ def test_quantized(make_df):
                                     {"v": [float("-inf")]}, {"v": []}])
     got = [r["q"] for r in df.select(topk.quantized("v").alias("q")).collect()]
     assert got == [[128, -1, 0], None, None, None, None, []]
+
+
+def test_query_against_its_sql(spark):
+    con = connect("/root/testdata/sf0.01")
+    assert compare(spark, con, "op1_topk", "/root/testdata/sf0.01") is None
