@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 import __spark_entry__ as contract
 
 TYPES = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
     "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
 }
 
