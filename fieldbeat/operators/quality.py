@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
 
@@ -15,59 +15,58 @@ from fieldbeat.schema import RULES, Rules
 from fieldbeat.sources.tables import Tables
 
 
-def _row_rules(rules: Rules) -> list[Column]:
-    """One struct (rule, value) per rule on single rows; null where the row keeps it."""
-
-    def broken(condition: Column, rule: str, value: Column) -> Column:
-        return F.when(condition, F.struct(
-            F.lit(rule).alias("rule"), value.cast("string").alias("value")))
-
-    found = [broken(F.col(c).isNull(), f"{c} not null", F.lit(None)) for c in rules.not_null]
+def _row_rules(rules: Rules) -> list[tuple[str, str | None, Column]]:
+    """(rule, parent, value) per rule on single rows: the offending value as text, empty for a
+    missing one, and null where the row keeps the rule. References all give their value: whether
+    ``parent`` has it is looked up later."""
+    found = [(f"{c} not null", None, F.when(F.col(c).isNull(), F.lit(""))) for c in rules.not_null]
     found += [
-        broken(~F.col(c).isin(*values), f"{c} allowed", F.col(c))
+        (f"{c} allowed", None, F.when(~F.col(c).isin(*values), F.col(c)))
         for c, values in rules.allowed.items()
     ]
     found += [
-        broken(F.char_length(c) > length, f"{c} length", F.col(c))
+        (f"{c} length", None, F.when(F.char_length(c) > length, F.col(c)))
         for c, length in rules.max_length.items()
     ]
-    return found
+    return found + [(f"{c} in {parent}", parent, F.col(c)) for c, parent in rules.references.items()]
 
 
 def check_constraints(tables: Tables, names: tuple[str, ...] = tuple(RULES)) -> DataFrame:
     """(table_name, rule, value, n): broken keys, references, value sets, lengths and nulls.
 
     ``value`` is the offending value and ``n`` its number of rows. Every rule counts rows
-    per value first, so a value on many rows is one row before it is joined or reported.
+    per value first, so a value on many rows is one row before it is joined or reported. A
+    table is read once for all rules on single rows and references, and once for each key.
     """
-    results, used = [], {}
-
-    def report(df: DataFrame, name: str, rule: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("table_name"), rule.alias("rule"), "value", "n")
-
-    def count_by(df: DataFrame, *columns: str | Column) -> DataFrame:
-        return df.groupBy(*columns).agg(F.count("*").alias("n"))
-
+    on_rows, on_keys, parents = [], [], set()
     for name in names:
         table, rules = getattr(tables, name), RULES[name]
-        kept = F.filter(F.array(*_row_rules(rules)), lambda r: r.isNotNull())
-        broken = count_by(table.select(F.inline(kept)), "rule", "value")
-        results.append(report(broken, name, F.col("rule")))
+        names_, parents_, values = zip(*_row_rules(rules), strict=True)
+        counted = (
+            table.select(F.posexplode(F.array(*values)).alias("at", "value"))
+            .where(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count("*").alias("n")))
+
+        def named(texts: Sequence[str | None]) -> Column:
+            return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), F.col("at"))
+
+        rule = named(names_)
+        on_rows.append(counted.select(
+            F.lit(name).alias("table_name"), rule.alias("rule"), named(parents_).alias("parent"),
+            F.when(~rule.endswith(" not null"), F.col("value")).alias("value"), "n"))
+        parents |= set(rules.references.values())
         for key in rules.unique:
-            counted = count_by(table.dropna(subset=list(key)), *key)
-            repeated = counted.where(F.col("n") > 1).withColumn("value", F.concat_ws(",", *key))
-            results.append(report(repeated, name, F.lit(f"{','.join(key)} unique")))
-        for column, parent in rules.references.items():
-            counted = count_by(table.where(F.col(column).isNotNull()), F.col(column).alias("value"))
-            used.setdefault(parent, []).append(
-                report(counted, name, F.lit(f"{column} in {parent}")))
-    # All references to one table meet its ids in one join.
-    for parent, counted in used.items():
-        ids = getattr(tables, parent).select(F.col("id").alias("value"))
-        references = reduce(DataFrame.unionByName, counted)
-        results.append(references.join(ids, "value", "left_anti").select(
-            "table_name", "rule", "value", "n"))
-    return reduce(DataFrame.unionByName, results)
+            counted = table.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n"))
+            on_keys.append(counted.where(F.col("n") > 1).select(
+                F.lit(name).alias("table_name"), F.lit(f"{','.join(key)} unique").alias("rule"),
+                F.concat_ws(",", *key).alias("value"), "n"))
+    broken = reduce(DataFrame.unionByName, on_rows)
+    if parents:
+        # All references meet all ids in one join; rows of other rules have no parent and stay.
+        ids = reduce(DataFrame.unionByName, [
+            getattr(tables, parent).select(F.lit(parent).alias("parent"), F.col("id").alias("value"))
+            for parent in sorted(parents)])
+        broken = broken.join(ids, ["parent", "value"], "left_anti")
+    return reduce(DataFrame.unionByName, on_keys, broken.select("table_name", "rule", "value", "n"))
 
 
 def _count_by(df: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,10 @@ the CTEs it needs.
 from __future__ import annotations
 
 import re
+from datetime import date
+
+from fieldbeat.schema import ID_PREFIX, RULES
+from fieldbeat.sources.testdata import DAMAGE_ID, DAMAGE_STEP, damages
 
 AS_OF = "DATE '2024-01-30'"
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -571,18 +575,6 @@ def _rejects(checked: str, reason: str = "reason") -> str:
     )
 
 
-def _violation(table: str, rule: str, value: str, source: str, where: str) -> str:
-    return f"""
-        SELECT '{table}' AS table_name, '{rule}' AS rule, {value} AS value, count(*) AS n
-        FROM {source} WHERE {where} GROUP BY ALL"""
-
-
-def _repeated(table: str, key: str, source: str) -> str:
-    return f"""
-        SELECT '{table}', '{key} unique', {key}, count(*) FROM {source}
-        GROUP BY {key} HAVING count(*) > 1"""
-
-
 def _context(size: int, where: str) -> str:
     return f"""
         SELECT d.merchant_id, coalesce(p.part, 0) AS part, d.merchant_name, d.area, d.latitude,
@@ -620,12 +612,6 @@ def _stored_rows() -> str:
             {AS_OF} FROM {twice} AND stored = 'Done'"""
 
 
-DAMAGED_MERCHANTS = "(SELECT *, c_custkey + 1 AS n FROM customer)"
-DAMAGED_RECS = f"""(
-    SELECT o_orderkey + 1 AS n, CASE WHEN (o_orderkey + 1) % 300 = 1
-        THEN {gid('r', '(o_orderkey + 2)')} ELSE {gid('r', '(o_orderkey + 1)')} END AS id
-    FROM orders)"""
-
 QUERIES_SQL = {
     "q01_score_merchants": f"""
         SELECT merchant_id, score_date, CAST(priority_score AS DOUBLE) AS priority_score, rank,
@@ -890,17 +876,6 @@ QUERIES_SQL = {
     "s06_ids": f"""
         SELECT event_id, {gid('al', '(row_number() OVER (ORDER BY event_id) + 95)')} AS id
         FROM events""",
-    "d01_violations": " UNION ALL ".join([
-        _violation("merchants", "tier allowed", "'Platinum'", DAMAGED_MERCHANTS, "n % 50 = 0"),
-        _violation("merchants", "merchant_name not null", "CAST(NULL AS VARCHAR)",
-                   DAMAGED_MERCHANTS, "n % 60 = 0"),
-        _violation("merchants", "contact_number length", "repeat('9', 21)", DAMAGED_MERCHANTS,
-                   "n % 80 = 0"),
-        _violation("merchants", "assigned_dsp_id in users", "'u00'", DAMAGED_MERCHANTS, "n % 70 = 0"),
-        _violation("recommendations", "status allowed", "'Open'", DAMAGED_RECS, "n % 500 = 0"),
-        _repeated("recommendations", "id", DAMAGED_RECS),
-        "SELECT 'users', 'email unique', 'mgr@example.com', count(*) FROM region",
-    ]),
     "f01_entitlements": "SELECT viewer_id, merchant_id FROM pairs",
 }
 
@@ -924,6 +899,60 @@ QUERIES_SQL |= {
 }
 
 
+# The model's tables by name, for the integrity rules.
+MODEL_SQL = {
+    "users": "users", "merchants": "merchants", "merchant_signals": "signals",
+    "daily_scores": f"(SELECT {gid('ds', SCORE_NUMBER)} AS id, * FROM scores)",
+    "recommendations": "recs", "visit_history": "visits",
+    "audit_logs": "logs", "chat_sessions": "sessions", "chat_messages": "messages",
+}
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, date):
+        return f"DATE '{value}'"
+    return "NULL" if value is None else repr(value)
+
+
+def _damaged(name: str) -> str:
+    prefix = ID_PREFIX.get(name, "cs")
+    number = num(DAMAGE_ID.get(name, "id"), prefix)
+    changed = ", ".join(
+        f"CASE {' '.join(f'WHEN {number} % {DAMAGE_STEP} = {r} THEN {_literal(v)}' for r, v in reversed(values))}"
+        f" ELSE {column} END AS {column}"
+        for column, values in damages(name).items())
+    return f"(SELECT * REPLACE ({changed}) FROM {MODEL_SQL[name]})"
+
+
+def _violations(name: str) -> list[str]:
+    table, rules, found = f"damaged_{name}", RULES[name], []
+
+    def by_value(rule: str, column: str, where: str) -> str:
+        return (f"SELECT '{name}' AS table_name, '{rule}' AS rule, {column} AS value, count(*) AS n"
+                f" FROM {table} WHERE {where} GROUP BY {column}")
+
+    for key in rules.unique:
+        text = " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in key)
+        known = " AND ".join(f"{c} IS NOT NULL" for c in key)
+        found.append(f"SELECT '{name}', '{','.join(key)} unique', {text}, count(*) FROM {table}"
+                     f" WHERE {known} GROUP BY {', '.join(key)} HAVING count(*) > 1")
+    found += [f"SELECT '{name}', '{c} not null', NULL, count(*) FROM {table} WHERE {c} IS NULL"
+              " HAVING count(*) > 0" for c in rules.not_null]
+    found += [by_value(f"{c} allowed", c, f"{c} NOT IN ({', '.join(map(repr, values))})")
+              for c, values in rules.allowed.items()]
+    found += [by_value(f"{c} length", c, f"length({c}) > {size}") for c, size in rules.max_length.items()]
+    found += [by_value(f"{c} in {parent}", c, f"{c} IS NOT NULL AND {c} NOT IN"
+                       f" (SELECT id FROM damaged_{parent} WHERE id IS NOT NULL)")
+              for c, parent in rules.references.items()]
+    return found
+
+
+CTES |= {f"damaged_{name}": f"SELECT * FROM {_damaged(name)}" for name in RULES}
+QUERIES_SQL["d01_violations"] = "SELECT table_name, rule, value, n FROM (" + " UNION ALL ".join(
+    ["SELECT '' AS table_name, '' AS rule, '' AS value, 0 AS n WHERE FALSE"]
+    + [sql for name in RULES for sql in _violations(name)]) + ")"
+
+
 def _words(sql: str) -> set[str]:
     return set(re.findall(r"\w+", sql))
 

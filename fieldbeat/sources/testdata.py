@@ -15,6 +15,7 @@ from fieldbeat.functions.columns import day, id_number, instant, make_id
 from fieldbeat.functions.merge import assign_ids
 from fieldbeat.operators.scoring import score_merchants
 from fieldbeat.operators.scope import active
+from fieldbeat.schema import ID_PREFIX, RULES
 from fieldbeat.sources.tables import Tables
 
 AS_OF = date(2024, 1, 30)
@@ -35,6 +36,29 @@ EVENT_OUTCOMES = {
 }
 
 
+# The remainder of a row's number by this step tells which rule it breaks, if any.
+DAMAGE_STEP = 17
+DAMAGE_ID = {"chat_messages": "session_id"}
+# Key values that several rows get; those of references exist.
+SAME_KEY = {"id": "same", "email": "same@example.com", "merchant_id": "m01", "signal_date": AS_OF,
+            "score_date": AS_OF, "session_id": "cs01", "position": 0}
+
+
+def damages(name: str) -> dict[str, list[tuple[int, object]]]:
+    """For each column of a table the remainders at which it gets another value, and the value."""
+    rules = RULES[name]
+    steps: list[dict[str, object]] = [{c: SAME_KEY[c] for c in key} for key in rules.unique]
+    steps += [{c: None} for c in rules.not_null]
+    steps += [{c: "none of these"} for c in rules.allowed]
+    steps += [{c: "nobody"} for c in rules.references]
+    steps += [{c: "x" * (length + 1)} for c, length in rules.max_length.items()]
+    found: dict[str, list[tuple[int, object]]] = {}
+    for remainder, step in enumerate(steps):
+        for column, value in step.items():
+            found.setdefault(column, []).append((remainder, value))
+    return found
+
+
 def _choose(column: Column, values: dict[str, str]) -> Column:
     chosen = F.lit(None).cast("string")
     for key, value in values.items():
@@ -446,22 +470,19 @@ class TestData:
         return assign_ids(self.raw("events").select("event_id"), "al", F.col("event_id"), 95)
 
     def damaged(self) -> Tables:
-        """The model with broken keys, references, values and empty required fields."""
-        t = self.tables
-        merchant, rec = id_number(F.col("id"), "m"), id_number(F.col("id"), "r")
-        merchants = t.merchants.withColumns({
-            "tier": F.when(merchant % 50 == 0, F.lit("Platinum")).otherwise(F.col("tier")),
-            "merchant_name": F.when(merchant % 60 != 0, F.col("merchant_name")),
-            "assigned_dsp_id": F.when(merchant % 70 == 0, F.lit("u00"))
-            .otherwise(F.col("assigned_dsp_id")),
-            "contact_number": F.when(merchant % 80 == 0, F.repeat(F.lit("9"), 21))
-            .otherwise(F.col("contact_number")),
-        })
-        recommendations = t.recommendations.withColumns({
-            "status": F.when(rec % 500 == 0, F.lit("Open")).otherwise(F.col("status")),
-            "id": F.when(rec % 300 == 1, make_id("r", rec + 1)).otherwise(F.col("id")),
-        })
-        users = t.users.withColumn(
-            "email", F.when(F.col("role") == "Manager", F.lit("mgr@example.com"))
-            .otherwise(F.col("email")))
-        return t.replace(users=users, merchants=merchants, recommendations=recommendations)
+        """The model with every integrity rule broken on some rows, a rule by each remainder."""
+
+        def broken(name: str) -> DataFrame:
+            table = getattr(self.tables, name)
+            kinds = dict(table.dtypes)
+            number = id_number(F.col(DAMAGE_ID.get(name, "id")), ID_PREFIX.get(name, "cs"))
+            remainder = (number % DAMAGE_STEP).cast("int")
+            changed = {}
+            for column, values in damages(name).items():
+                value = F.col(column)
+                for rule, given in values:
+                    value = F.when(F.col("_rule") == rule, F.lit(given).cast(kinds[column])).otherwise(value)
+                changed[column] = value
+            return table.withColumn("_rule", remainder).withColumns(changed).drop("_rule")
+
+        return self.tables.replace(**{name: broken(name) for name in RULES})
