@@ -39,8 +39,8 @@ LEAST_WORDS = 5
 COVERAGE = 0.8
 #: Bits of the filter that documents' seeds pass first: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
-#: Distinct words a Python worker remembers.
-REMEMBERED = 500_000
+#: Distinct words a task remembers.
+REMEMBERED = 100_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -58,15 +58,13 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
+def hashed(words: Sequence[str], known: _Hashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def grams(words: Sequence[str], size: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``size`` words."""
-    if len(words) < size:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
+def grams(each: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` words, from the words' own hashes."""
+    n = max(0, len(each) - size + 1)
     total = np.full(n, size, np.uint64)
     for k in range(size):
         total = (total ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -123,10 +121,10 @@ def _running(values: list[int], free: list[bool], size: int) -> Iterator[tuple[i
 
 def _matches(item, text, free_item, free_text, size) -> Iterator[tuple[int, int, int]]:
     """Matches of at least ``size`` free words that cannot be made longer at either end."""
-    at = defaultdict(list)
-    for i, h in _running([_hashes[w] for w in item], free_item, size):
+    at, known = defaultdict(list), _Hashes()
+    for i, h in _running([known[w] for w in item], free_item, size):
         at[h].append(i)
-    for j, h in _running([_hashes[w] if w is not None else 0 for w in text], free_text, size):
+    for j, h in _running([known[w] if w is not None else 0 for w in text], free_text, size):
         for i in at.get(h, ()):
             if i and j and free_item[i - 1] and free_text[j - 1] and item[i - 1] == text[j - 1]:
                 continue  # part of the match that starts earlier
@@ -152,9 +150,11 @@ def read_items(benchmark: DataFrame, key: str = "item_id", column: str = "text")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_seen = _Hashes()
         for batch in batches:
             words = [words_of(t) for t in texts(batch, "text")]
-            found = [grams(w, min(LEAST_WORDS, len(w))) if w else np.empty(0, np.uint64) for w in words]
+            found = [grams(hashed(w, words_seen), min(LEAST_WORDS, len(w))) if w else np.empty(0, np.uint64)
+                     for w in words]
             yield replaced(batch, words=pa.array(words, pa.list_(pa.string())),
                            seeds=lists(np.concatenate(found).view(np.int64),
                                        [len(f) for f in found], pa.int64()))
@@ -183,14 +183,16 @@ def find_seeds(docs: DataFrame, items: DataFrame, column: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lengths = shared.value
+        words_seen = _Hashes()
         for batch in batches:
             for part in slices(batch, column):
                 seeds, runs = [], []
                 for text in texts(part, column):
                     words = words_of(text)
+                    each = hashed(words, words_seen)
                     inside, hits = np.zeros(len(words) + 1, np.int64), []
                     for size in lengths:
-                        found = grams(words, size)
+                        found = grams(each, size)
                         at = found >> np.uint64(64 - FILTER_BITS)
                         hit = np.flatnonzero(known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
                         hits.append(found[hit])

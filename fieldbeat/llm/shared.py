@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a Python task handles at once; one longer text is still one piece.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -94,7 +95,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
     n = batch.num_rows
     if not n:
         return
-    starts = np.concatenate([[0], np.cumsum([len(b) for b in raw(batch, column)])])
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     cuts = np.unique(starts[:-1] // limit, return_index=True)[1]
     for start, end in zip(cuts, [*cuts[1:], n], strict=True):
         yield batch.slice(start, end - start)
