@@ -52,17 +52,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; ``n_chars`` follows the changed texts."""
     found = stage(secrets.find_base(pack(docs, "text")))
-    found = secrets.add_learned(found, secrets.learn(found)).drop("base", "values", "candidates")
+    masked = secrets.mask(found, secrets.learn(found)).drop("base", "values", "candidates")
     length = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("rest.n_chars"))
-    return unpack(secrets.redact(found), docs.columns,
+    return unpack(masked, docs.columns,
                   n_chars=length.cast(docs.schema["n_chars"].dataType))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the text they decode to."""
     ranks = bpe.read_ranks(queries.RANKS_FILE)
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(coded.drop("text"), ranks).select(
+    coded = bpe.encode_and_decode(
+        docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

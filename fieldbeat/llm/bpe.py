@@ -137,6 +137,39 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str, column: str,
+             to: str) -> Iterator[pa.RecordBatch]:
+    find, known = regex.compile(pattern).findall, _remembered(ranks)
+    for batch in batches:
+        for part in slices(batch, column):
+            found = [
+                np.frombuffer(b"".join(map(known.__getitem__, find(t))), np.int32)
+                for t in texts(part, column)
+            ]
+            ids = lists(np.concatenate(found), [len(x) for x in found], pa.int32())
+            yield replaced(part, **{to: ids})
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: bytes, column: str,
+             to: str) -> Iterator[pa.RecordBatch]:
+    token = _vocabulary(ranks).tokens.__getitem__
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            values = part.column(column)
+            flat = values.flatten().to_pylist()
+            sizes = values.value_lengths().fill_null(0).to_pylist()
+            decoded, at = [], 0
+            for size in sizes:
+                decoded.append(b"".join(map(token, flat[at : at + size])))
+                at += size
+            yield replaced(part, **{to: pa.array(decoded, pa.binary())})
+
+
+def _ids(name: str) -> StructField:
+    return StructField(name, ArrayType(IntegerType()))
+
+
 def encode(df: DataFrame, ranks: bytes, pattern: str, column: str = "text",
            to: str = "ids") -> DataFrame:
     """Adds the token ids of each whole text as ``to`` (an existing column is replaced).
@@ -145,20 +178,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, column: str = "text",
     stay as they are, repeated ones too.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = regex.compile(pattern).findall, _remembered(shared.value)
-        for batch in batches:
-            for part in slices(batch, column):
-                found = [
-                    np.frombuffer(b"".join(map(known.__getitem__, find(t))), np.int32)
-                    for t in texts(part, column)
-                ]
-                ids = lists(np.concatenate(found), [len(x) for x in found], pa.int32())
-                yield replaced(part, **{to: ids})
-
-    field = StructField(to, ArrayType(IntegerType()))
-    return in_batches(df, run, with_fields(df.schema, field))
+    return in_batches(df, lambda b: _encoded(b, shared.value, pattern, column, to),
+                      with_fields(df.schema, _ids(to)))
 
 
 def decode(df: DataFrame, ranks: bytes, column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -167,19 +188,19 @@ def decode(df: DataFrame, ranks: bytes, column: str = "ids", to: str = "decoded"
     Null and empty lists give no bytes; an id that is not in the vocabulary, or null, fails.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
+    return in_batches(df, lambda b: _decoded(b, shared.value, column, to),
+                      with_fields(df.schema, StructField(to, BinaryType())))
+
+
+def encode_and_decode(df: DataFrame, ranks: bytes, pattern: str, column: str = "text",
+                      ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, without the text, in one pass: the ids do not go
+    through the JVM in between, and a task needs one Python worker."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(shared.value).tokens.__getitem__
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                values = part.column(column)
-                flat = values.flatten().to_pylist()
-                sizes = values.value_lengths().fill_null(0).to_pylist()
-                decoded, at = [], 0
-                for size in sizes:
-                    decoded.append(b"".join(map(token, flat[at : at + size])))
-                    at += size
-                yield replaced(part, **{to: pa.array(decoded, pa.binary())})
-
-    return in_batches(df, run, with_fields(df.schema, StructField(to, BinaryType())))
+        for batch in _decoded(_encoded(batches, shared.value, pattern, column, ids), shared.value, ids, decoded):
+            yield batch.drop_columns([column])
+
+    fields = with_fields(df.drop(column).schema, _ids(ids), StructField(decoded, BinaryType()))
+    return in_batches(df, run, fields)

@@ -37,9 +37,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(RANKS_FILE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    coded = bpe.decode(coded, ranks)
-    return coded.select(
+    return bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -237,52 +237,62 @@ def learn(found: DataFrame) -> Formats:
     return formats
 
 
+def _with_learned(batches: Iterator[pa.RecordBatch], known: Formats) -> Iterator[pa.RecordBatch]:
+    order = {k: i for i, k in enumerate((*KINDS, LEARNED))}
+    for batch in batches:
+        spans = []
+        for base, candidates in zip(batch.column("base").to_pylist(),
+                                    batch.column("candidates").to_pylist(), strict=True):
+            more = [
+                {"kind": LEARNED, "start": c["start"], "end": c["start"] + len(c["token"])}
+                for c in candidates or [] if known.kinds and known.gain(c["token"]) >= known.least
+            ]
+            spans.append(sorted([*(base or []), *more], key=lambda s: (s["start"], order[s["kind"]])))
+        yield replaced(batch, spans=pa.array(spans, _SPANS))
+
+
+def _redacted(batches: Iterator[pa.RecordBatch], column: str, spans: str,
+              mark: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, column):
+            clean = []
+            for text, found in zip(part.column(column).to_pylist(),
+                                   part.column(spans).to_pylist(), strict=True):
+                if text and found:
+                    pieces, at = [], 0
+                    for s in found:
+                        if s["start"] >= at:
+                            pieces += [text[at : s["start"]], mark]
+                        at = max(at, s["end"])
+                    text = "".join(pieces) + text[at:]
+                clean.append(text)
+            names = part.schema.names
+            yield part.set_column(names.index(column), column, pa.array(clean, pa.string()))
+
+
+def _spanned(found: DataFrame) -> StructType:
+    return with_fields(found.schema, StructField("spans", found.schema["base"].dataType))
+
+
 def add_learned(found: DataFrame, formats: Formats) -> DataFrame:
     """Adds ``spans``: the base ones and every candidate of a learned format, by start and kind."""
     shared = found.sparkSession.sparkContext.broadcast(formats)
+    return in_batches(found, lambda b: _with_learned(b, shared.value), _spanned(found))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        order = {k: i for i, k in enumerate((*KINDS, LEARNED))}
-        for batch in batches:
-            spans = []
-            for base, candidates in zip(batch.column("base").to_pylist(),
-                                        batch.column("candidates").to_pylist(), strict=True):
-                more = [
-                    {"kind": LEARNED, "start": c["start"], "end": c["start"] + len(c["token"])}
-                    for c in candidates or [] if known.kinds and known.gain(c["token"]) >= known.least
-                ]
-                spans.append(sorted([*(base or []), *more], key=lambda s: (s["start"], order[s["kind"]])))
-            yield replaced(batch, spans=pa.array(spans, _SPANS))
 
-    field = StructField("spans", found.schema["base"].dataType)
-    return in_batches(found, run, with_fields(found.schema, field))
+def redact(df: DataFrame, column: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:
+    """Puts ``mark`` in the place of every span of the text; overlapping ones become one."""
+    return in_batches(df, lambda b: _redacted(b, column, spans, mark), df.schema)
+
+
+def mask(found: DataFrame, formats: Formats, column: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``add_learned``, then ``redact``, in one pass with one Python worker a task."""
+    shared = found.sparkSession.sparkContext.broadcast(formats)
+    return in_batches(
+        found, lambda b: _redacted(_with_learned(b, shared.value), column, "spans", mark), _spanned(found))
 
 
 def joined(spans: str) -> Column:
     """Spans as kind:start:end, comma-joined."""
     return F.concat_ws(",", F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-
-
-def redact(df: DataFrame, column: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:
-    """Puts ``mark`` in the place of every span of the text; overlapping ones become one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column):
-                clean = []
-                for text, found in zip(part.column(column).to_pylist(),
-                                       part.column(spans).to_pylist(), strict=True):
-                    if text and found:
-                        pieces, at = [], 0
-                        for s in found:
-                            if s["start"] >= at:
-                                pieces += [text[at : s["start"]], mark]
-                            at = max(at, s["end"])
-                        text = "".join(pieces) + text[at:]
-                    clean.append(text)
-                names = part.schema.names
-                yield part.set_column(names.index(column), column, pa.array(clean, pa.string()))
-
-    return in_batches(df, run, df.schema)

@@ -32,7 +32,12 @@ def whole():
 
 
 def coded(df):
-    return bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)
+    """Both ways at once, and one after the other."""
+    once = bpe.encode_and_decode(df, RANKS, public_tokenizers.PATTERN)
+    apart = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert once.columns == [c for c in apart.columns if c != "text"]
+    assert once.exceptAll(apart.select(*once.columns)).isEmpty()
+    return apart
 
 
 def test_pieces_of_every_kind(whole):

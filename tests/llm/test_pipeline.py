@@ -47,7 +47,7 @@ def odd_docs(make_df):
     rows = [{"doc_id": i, "text": (en if i % 2 else de) + f"w{'abcdefghij'[i % 10]}" * (i % 7), "lang": ["de", "en"][i % 2],
              "n_chars": 5, "row": i} for i in range(40)]
     rows += [{"doc_id": 200}, {"doc_id": 201, "text": ""}, {"doc_id": 202, "text": "12 34"},
-             {"doc_id": 203, "text": en + "token=abcdef123456", "n_chars": 9, "row": 1}, {"text": "the and of an entirely other text, such as this one from over there, with more words", "score": "s"},
+             {"doc_id": 203, "text": "this one holds what is not known to any of the others: token=abcdef123456", "n_chars": 9, "row": 1}, {"text": "the and of an entirely other text, such as this one from over there, with more words", "score": "s"},
              {"doc_id": 204, "text": de + "completely different end of this long text here", "n_chars": 0},
              {"doc_id": 204, "text": de + "completely different end of this long text here", "n_chars": 0},
              {"doc_id": 205, "text": (en + de) * 2000}]
