@@ -7,8 +7,8 @@ with this anchor reaches, is its context. Contexts that occur twice are repeats
 The others are sorted twice, by what follows the anchor and by what comes before it. Neighbours'
 common extensions to both sides, found by binary search over polynomial prefix hashes and then
 verified on the bytes, tell which strings around the anchor both have. What neighbours leave
-open, which only happens where no one context has both the longest extensions, is settled by
-comparing those single strings.
+open, which only happens where neither has both the longest extensions, is compared with the
+seed's commonest context, and after that settled by comparing those single strings.
 """
 
 from __future__ import annotations
@@ -151,10 +151,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([
                 pa.array([w["seed"] for w in wanted], pa.int64()),
                 pa.array([w["context"] for w in wanted], pa.int64()),
-                pa.array([w["single"] for w in wanted], pa.bool_()),
+                pa.array([w["n"] for w in wanted], pa.int64()),
                 pa.array([text[p : p + z.length] for p in place], pa.binary()),
                 pa.array([text[max(0, p - z.reach) : p][::-1] for p in place], pa.binary()),
-            ], ["seed", "context", "single", "after", "before"])
+            ], ["seed", "context", "n", "after", "before"])
 
 
 def common(data: list[bytes], other: list[bytes]) -> np.ndarray:
@@ -254,29 +254,52 @@ def _settled(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordB
             left_open.append(np.flatnonzero(possible & ~known).tolist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("seed"), batch.column("context"), pa.array(spans, _SPANS),
-             pa.array(left_open, pa.list_(pa.int32()))], ["seed", "context", "spans", "open"])
+             pa.array(left_open, pa.list_(pa.int32())), batch.column("follows"), batch.column("precedes")],
+            ["seed", "context", "spans", "open", "follows", "precedes"])
 
 
 _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 _SPAN_TYPE = "array<struct<lo:int,hi:int>>"
 
 
+def _compared(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordBatch]:
+    """Contexts against the commonest one of their seed: the starts that this leaves open."""
+    for batch in batches:
+        most = batch.column("most").to_pylist()
+        after, before = batch.column("after").to_pylist(), batch.column("before").to_pylist()
+        follows = common(after, [m["after"] for m in most])
+        precedes = common(before, [m["before"] for m in most])
+        own = np.array([m["context"] for m in most]) == batch.column("context").to_numpy(zero_copy_only=False)
+        lo = np.where(own, 1, z.length - follows)
+        hi = np.where(own, 0, precedes)
+        left_open = [
+            [s for s in starts or () if not a <= s <= b]
+            for starts, a, b in zip(batch.column("open").to_pylist(), lo.tolist(), hi.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in ("seed", "context", "after", "before", "starts")),
+             pa.array(left_open, pa.list_(pa.int32())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+            ["seed", "context", "after", "before", "starts", "open", "lo", "hi"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordBatch]:
-    """The single strings at the open starts of a seed, as two hashes."""
+    """The single strings at the open starts of a seed, as two hashes, and whether the context
+    itself leaves the start open."""
     for batch in batches:
         out: list[tuple] = []
-        columns = (batch.column(n).to_pylist() for n in ("seed", "context", "after", "before", "starts"))
-        for seed, context, after, before, starts in zip(*columns, strict=True):
+        names = ("seed", "context", "after", "before", "starts", "open")
+        columns = (batch.column(n).to_pylist() for n in names)
+        for seed, context, after, before, starts, left_open in zip(*columns, strict=True):
+            own = set(left_open or ())
             for s in starts:
                 if s <= len(before) and z.length - s <= len(after):
                     string = before[:s][::-1] + after[: z.length - s]
-                    out.append((seed, context, s, xxhash.xxh3_64_intdigest(string) - (1 << 63),
+                    out.append((seed, context, s, s in own, xxhash.xxh3_64_intdigest(string) - (1 << 63),
                                 xxhash.xxh64_intdigest(string) - (1 << 63)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
         columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            ["seed", "context", "start", "h1", "h2"])
+            ["seed", "context", "start", "open", "h1", "h2"])
 
 
 def _repeated(docs: DataFrame, z: Sizes) -> DataFrame:
@@ -299,11 +322,11 @@ def _repeated(docs: DataFrame, z: Sizes) -> DataFrame:
             F.sum("copies").alias("n"), F.first("mixed").alias("mixed"),
             F.min(F.struct("k1", "k2", "place")).alias("at")))
     wanted = classes.where("mixed").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(
-        F.col("at.place").alias("place"), "seed", "context", (F.col("n") == 1).alias("single"))).alias("wanted"))
+        F.col("at.place").alias("place"), "seed", "context", "n")).alias("wanted"))
     once = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     contexts = stage(in_batches(
         once.join(wanted, ["k1", "k2"]).select("text", "wanted"), lambda b: _contexts(b, z),
-        "seed long, context long, single boolean, after binary, before binary"))
+        "seed long, context long, n long, after binary, before binary"))
     settled = _settle(contexts, z)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(z.reach).alias("hi"))).cast(_SPAN_TYPE)
     spans = stage(
@@ -323,8 +346,9 @@ def _repeated(docs: DataFrame, z: Sizes) -> DataFrame:
 def _settle(contexts: DataFrame, z: Sizes) -> DataFrame:
     """(seed, context, spans) for the single contexts: ranges of starts of repeated strings."""
     met = []
+    kept = contexts.withColumn("single", F.col("n") == 1).drop("n")
     for first, second in (("after", "before"), ("before", "after")):
-        ordered = contexts.repartitionByRange("seed", first, second).sortWithinPartitions("seed", first, second)
+        ordered = kept.repartitionByRange("seed", first, second).sortWithinPartitions("seed", first, second)
         met.append(stage(in_batches(ordered, lambda b: _neighbours(b, z), _NEIGHBOUR)))
         # Across tasks: two rows of each.
         edges = met[-1].where(F.col("after").isNotNull()).select("seed", "context", "single", "after", "before")
@@ -337,17 +361,46 @@ def _settle(contexts: DataFrame, z: Sizes) -> DataFrame:
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"),
         F.max("follows").alias("follows"), F.max("precedes").alias("precedes"))
     settled = stage(in_batches(
-        joined, lambda b: _settled(b, z), f"seed long, context long, spans {_SPAN_TYPE}, open array<int>"))
+        joined, lambda b: _settled(b, z),
+        f"seed long, context long, spans {_SPAN_TYPE}, open array<int>, follows int, precedes int"))
     discard(*met)
-    starts = settled.select("seed", F.explode("open").alias("start")).groupBy("seed").agg(
-        F.collect_set("start").alias("starts"))
+    # Strings at a start that some context of the seed leaves open, of all contexts whose
+    # longest extensions reach that far; those that are repeated as a whole reach everywhere.
+    starts = stage(settled.select("seed", F.explode("open").alias("start")).groupBy("seed").agg(
+        F.collect_set("start").alias("starts")))
+    reach = settled.select("seed", "context", "open", "follows", "precedes").unionByName(
+        contexts.where("n > 1").select("seed", "context"), allowMissingColumns=True)
+    reached = F.filter("starts", lambda s: F.coalesce(
+        (s >= z.length - F.col("follows")) & (s <= F.col("precedes")), F.lit(True)))
+    asked = stage(reach.join(starts, "seed").select(
+        "seed", "context", "open", reached.alias("starts")).where("size(starts) > 0"))
+    asked = stage(contexts.join(asked, ["seed", "context"]))
+    # Most of them meet a seed's commonest context, as edited copies do their original.
+    common_ones = stage(asked.groupBy("seed").agg(
+        F.max_by(F.struct("context", "after", "before"), "n").alias("most")))
+    fields = ("seed long, context long, after binary, before binary, starts array<int>,"
+              " open array<int>, lo int, hi int")
+    asked = stage(in_batches(asked.join(common_ones, "seed"), lambda b: _compared(b, z), fields))
+    starts = stage(asked.select("seed", F.explode("open").alias("start")).groupBy("seed").agg(
+        F.collect_set("start").alias("still")))
+    left = asked.join(starts, "seed").withColumn("starts", F.array_intersect("starts", "still"))
     strings = stage(in_batches(
-        contexts.join(starts, "seed"), lambda b: _strings(b, z), "seed long, context long, start int, h1 long, h2 long"))
+        left.where("size(starts) > 0").drop("still", "lo", "hi"), lambda b: _strings(b, z),
+        "seed long, context long, start int, open boolean, h1 long, h2 long"))
     string = ["seed", "start", "h1", "h2"]
-    twice = stage(strings.groupBy(*string).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    more = strings.join(twice, string, "left_semi").select(
-        "seed", "context", F.array(F.struct(F.col("start").alias("lo"), F.col("start").alias("hi"))).alias("spans"))
-    return settled.where("size(spans) > 0").select("seed", "context", "spans").unionByName(more)
+    twice = stage(strings.groupBy(*string).agg(
+        F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select(*string))
+    more = strings.where("open").join(twice, string, "left_semi").groupBy("seed", "context").agg(
+        F.collect_set("start").alias("starts"))
+    met_common = asked.where("lo <= hi").select("seed", "context", F.array(F.struct("lo", "hi")).alias("also"))
+    none = F.array().cast(_SPAN_TYPE)
+    single = F.transform("starts", lambda s: F.struct(s.alias("lo"), s.alias("hi")))
+    return (
+        settled.select("seed", "context", "spans").join(more, ["seed", "context"], "left")
+        .join(met_common, ["seed", "context"], "left")
+        .select("seed", "context", F.concat(
+            "spans", F.coalesce(single, none), F.coalesce("also", none)).alias("spans"))
+        .where("size(spans) > 0"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
