@@ -2,10 +2,13 @@
 
 Values that the patterns find are labelled credentials. A bounded sample of each kind becomes
 a prefix tree, whose statistically compatible states are merged into a probabilistic automaton
-(by Hoeffding's bound on the frequencies of stopping and of each next character). One more
-automaton is learned from a sample of all other long tokens. Every long token is a candidate;
-its score is the mean gain in log likelihood a character that a credential's format has over
-the other tokens'.
+(by Hoeffding's bound on the frequencies of stopping and of each next character). Two more
+automata are learned from samples of the other tokens, short and long ones. Every token is a
+candidate, and a credential if it fits a format as well as labelled values do that the format
+was not learned from, and if the format explains it better than the other tokens' automata do.
+
+No bar depends on how many candidates are credentials: those that fit a format are left out of
+what the other tokens' automata learn. Plain words and numbers always stay in.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log, sqrt
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -35,16 +39,30 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-#: A candidate is a whole run of these characters, at least as long.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate is a run of these characters, or its part outside the base matches, that is at
+#: least as long as the shortest value of a base pattern.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+LEAST_TOKEN = LEAST_ASSIGN
+#: Other tokens are sampled apart below and from this length on, as long ones are rare.
+LONG = 16
+#: Words and numbers: what a credential's format cannot claim for itself.
+PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9+/_=-]+")
+NUMBER = re.compile(r"[0-9+/_=-]+")
 #: Distinct values of a kind, and other tokens, that automata are learned from.
 SAMPLE_ROWS = 400
 #: Confidence of the merge test.
 MERGE_ALPHA = 0.05
 #: Probability of a character that a state has never seen.
 UNSEEN = 1e-4
-#: Least mean gain a character, in nats, and by how much it exceeds the other tokens' best.
-LEAST_GAIN, MARGIN = 1.0, 0.25
+#: Least mean gain a character over the other tokens' automata, in nats.
+LEAST_GAIN = 1.0
+#: A token fits a format down to this quantile of held-out labelled values' mean log likelihood
+#: a character, less a margin; never below that of random characters less LEAST_GAIN.
+FIT_QUANTILE, MARGIN = 0.05, 0.25
+LEAST_FIT = -log(64) - LEAST_GAIN
+
+#: Candidates that are scored at once.
+TOKENS_AT_ONCE = 1 << 16
 
 #: Columns of ``find_base``.
 FOUND = (
@@ -148,33 +166,67 @@ class Automaton:
 
     def score(self, word: str) -> float:
         """Log likelihood; a character its state has never seen costs log UNSEEN and stays."""
-        total, state, unseen = 0.0, 0, log(UNSEEN)
+        chars, stop = self.parts(word)
+        return chars + stop
+
+    def parts(self, word: str, least: float = float("-inf")) -> tuple[float, float]:
+        """Log likelihoods of the characters and of stopping; given up below ``least``."""
+        total, state, unseen, rows = 0.0, 0, log(UNSEEN), self.rows
         for char in word:
-            step = self.rows[state][0].get(char)
+            step = rows[state][0].get(char)
             if step is None:
                 total += unseen
             else:
                 total += step[0]
                 state = step[1]
-        return total + self.rows[state][1]
+            if total < least:
+                break
+        return total, rows[state][1]
 
 
 @dataclass
 class Formats:
-    """Automata of the kinds, of other tokens, and the gain a credential needs."""
-
-    kinds: list[Automaton]
-    other: Automaton
-    least: float = LEAST_GAIN
-
-    def gain(self, token: str) -> float:
-        best = max((a.score(token) for a in self.kinds), default=float("-inf"))
-        return (best - self.other.score(token)) / (len(token) + 1)
+    """Automata of the kinds with the fit each asks for, and automata of other tokens."""
+
+    kinds: list[tuple[Automaton, float]]
+    other: list[Automaton] = field(default_factory=list)
+
+    def fitting(self, token: str) -> float:
+        """The best log likelihood of the formats that the token fits; -inf if it fits none."""
+        best = float("-inf")
+        for automaton, fit in self.kinds:
+            least = fit * len(token)
+            chars, stop = automaton.parts(token, least)
+            if chars >= least:
+                best = max(best, chars + stop)
+        return best
+
+    def credential(self, token: str) -> bool:
+        best = self.fitting(token)
+        if best == float("-inf"):
+            return False
+        other = max((a.score(token) for a in self.other), default=log(UNSEEN) * len(token))
+        if NUMBER.fullmatch(token):
+            other = max(other, -log(10) * len(token))
+        return best - other >= LEAST_GAIN * (len(token) + 1)
+
+
+def _format(values: Sequence[str]) -> tuple[Automaton, float]:
+    """The automaton of labelled values, and the fit it asks for: each half of the values is
+    scored by an automaton of the other half."""
+    halves = values[::2], values[1::2]
+    if not halves[1]:
+        return Automaton(values), LEAST_FIT
+    fits = sorted(
+        automaton.parts(v)[0] / len(v)
+        for automaton, half in ((Automaton(halves[1]), halves[0]), (Automaton(halves[0]), halves[1]))
+        for v in half)
+    return Automaton(values), max(LEAST_FIT, fits[int(FIT_QUANTILE * (len(fits) - 1))] - MARGIN)
 
 
 def find_base(df: DataFrame, column: str = "text") -> DataFrame:
     """Adds ``base`` (spans by start, then kind), ``values`` (what the base matches hold) and
-    ``candidates`` (long tokens that no base match touches). Existing columns of these names
+    ``candidates`` (tokens outside the base matches). Existing columns of these names
     are replaced. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +255,17 @@ def _value(found: str, kind: int) -> str:
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[dict]:
     """Both lists go from left to right, so one pass compares them."""
-    k, reach = 0, 0  # spans before k start before the token; reach is how far they go
+    k, reach = 0, 0  # spans before k start before what is left of the run; reach is how far they go
     for m in CANDIDATE.finditer(text):
+        at = max(m.start(), reach)
         while k < len(spans) and spans[k][0] < m.end():
+            if spans[k][0] - at >= LEAST_TOKEN:
+                yield {"start": at, "token": text[at : spans[k][0]]}
             reach = max(reach, spans[k][2])
+            at = max(at, reach)
             k += 1
-        if reach <= m.start():
-            yield {"start": m.start(), "token": m[0]}
+        if m.end() - at >= LEAST_TOKEN:
+            yield {"start": at, "token": text[at : m.end()]}
 
 
 def learn(found: DataFrame) -> Formats:
@@ -219,38 +275,55 @@ def learn(found: DataFrame) -> Formats:
     without values has no automaton; without any, no candidate is a secret.
     """
     labelled = found.select(F.inline("values"))
-    others = found.select(F.explode("candidates.token").alias("value")).select(
-        F.lit(LEARNED).alias("kind"), "value")
-    samples: dict[str, list[str]] = {}
-    for kind in (*KINDS, LEARNED):
-        rows = others if kind == LEARNED else labelled.where(F.col("kind") == kind)
-        order = F.xxhash64("value")
-        picked = (
-            rows.where(F.length("value") <= 512).groupBy("value").agg(F.lit(1).alias("one"))
-            .orderBy(order, "value").limit(SAMPLE_ROWS).collect())
-        samples[kind] = [r["value"] for r in picked]
-    formats = Formats(
-        [Automaton(samples[k]) for k in KINDS if samples[k]], Automaton(samples[LEARNED]))
-    gains = sorted(formats.gain(t) for t in samples[LEARNED])
-    if gains and formats.kinds:
-        formats.least = max(LEAST_GAIN, gains[int(0.99 * (len(gains) - 1))] + MARGIN)
+    others = found.select(F.explode("candidates.token").alias("value"))
+    formats = Formats([])
+    for kind in KINDS:
+        if values := _sampled(labelled.where(F.col("kind") == kind)):
+            formats.kinds.append(_format(values))
+    if formats.kinds:
+        for part in (F.length("value") < LONG, F.length("value") >= LONG):
+            formats.other.append(Automaton([
+                t for t in _sampled(others.where(part))
+                if PLAIN.fullmatch(t) or formats.fitting(t) == float("-inf")]))
     return formats
 
 
+def _sampled(rows: DataFrame) -> list[str]:
+    order = F.xxhash64("value")
+    picked = (
+        rows.where(F.length("value") <= 512).groupBy("value").agg(F.lit(1).alias("one"))
+        .orderBy(order, "value").limit(SAMPLE_ROWS).collect())
+    return [r["value"] for r in picked]
+
+
 def _with_learned(batches: Iterator[pa.RecordBatch], known: Formats) -> Iterator[pa.RecordBatch]:
     order = {k: i for i, k in enumerate((*KINDS, LEARNED))}
     for batch in batches:
-        spans = []
-        for base, candidates in zip(batch.column("base").to_pylist(),
-                                    batch.column("candidates").to_pylist(), strict=True):
-            more = [
-                {"kind": LEARNED, "start": c["start"], "end": c["start"] + len(c["token"])}
-                for c in candidates or [] if known.kinds and known.gain(c["token"]) >= known.least
-            ]
-            spans.append(sorted([*(base or []), *more], key=lambda s: (s["start"], order[s["kind"]])))
+        more: dict[int, list[dict]] = {}
+        for row, start, size in _credentials(batch.column("candidates"), known):
+            more.setdefault(row, []).append({"kind": LEARNED, "start": start, "end": start + size})
+        spans = [
+            sorted([*(base or []), *more.get(i, [])], key=lambda s: (s["start"], order[s["kind"]]))
+            for i, base in enumerate(batch.column("base").to_pylist())]
         yield replaced(batch, spans=pa.array(spans, _SPANS))
 
 
+def _credentials(candidates: pa.ListArray, known: Formats) -> Iterator[tuple[int, int, int]]:
+    """(row, start, length) of the candidates that are credentials. Each distinct token is scored
+    once, and only those found become Python objects together."""
+    if not known.kinds:
+        return
+    rows, tokens = pc.list_parent_indices(candidates), candidates.flatten()
+    for at in range(0, len(tokens), TOKENS_AT_ONCE):
+        part = tokens.slice(at, TOKENS_AT_ONCE)
+        coded = pc.struct_field(part, "token").dictionary_encode()
+        is_one = pa.array([known.credential(t.as_py()) for t in coded.dictionary], pa.bool_())
+        hits = pc.indices_nonzero(is_one.take(coded.indices))
+        found = part.take(hits)
+        for row, c in zip(rows.slice(at, TOKENS_AT_ONCE).take(hits).to_pylist(), found.to_pylist(), strict=True):
+            yield row, c["start"], len(c["token"])
+
+
 def _redacted(batches: Iterator[pa.RecordBatch], column: str, spans: str,
               mark: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:

@@ -7,6 +7,8 @@ import math
 import random
 import re
 
+import pytest
+
 from fieldbeat.llm import queries, secrets
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -78,6 +80,32 @@ def test_learned_formats(spark):
     assert all(r["text"] == "note [SECRET] here" for r in masked if r["doc_id"] >= len(texts))
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3])
+def test_many_unseen_credentials(spark, share):
+    """How many there are does not matter; words and numbers of every length are left alone."""
+    r = random.Random(4)
+    text = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    syllables = ["the", "an", "er", "ing", "on", "re", "th"]
+    plain = [text(syllables, r.randrange(5, 12)) for _ in range(300)]
+    plain += [text("0123456789", 16) for _ in range(60)]
+    unseen = [text("0123456789abcdef", r.choice([12, 18, 22])) for _ in range(int(len(plain) * share / (1 - share)))]
+    unseen = [f"a7{u[2:]}" for u in unseen]
+    rows = [f"token = {text('0123456789abcdef', 40)}" for _ in range(60)]
+    rows += [f"some {p} here" for p in plain] + [f"some {u} here" for u in unseen]
+    found = secrets.find_base(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    done = secrets.add_learned(found, secrets.learn(found)).collect()
+    hits = {r["doc_id"] for r in done if any(s["kind"] == secrets.LEARNED for s in r["spans"])}
+    first = len(rows) - len(unseen)
+    assert sum(i >= first for i in hits) >= 0.95 * len(unseen)
+    assert sum(i < first for i in hits) <= 2
+
+
+def test_parts_outside_base_spans_are_candidates():
+    text = "0123456789abcdef01234567-Zx81kQ9p2m token=abcdefg"
+    tokens = [c["token"] for c in secrets._candidates(text, secrets.base_spans(text))]
+    assert tokens == ["-Zx81kQ9p2m"]
+
+
 def test_odd_rows(make_df):
     schema = "doc_id long, text string, base int, spans string, values int, candidates int"
     df = make_df(schema, [{"doc_id": 1}, {"doc_id": 2, "text": ""}, {"text": "token=abcdef"}, {"text": "token=abcdef"},
