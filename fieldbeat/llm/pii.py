@@ -127,37 +127,62 @@ def _pattern(before: Column) -> Column:
     return F.when(F.size(words) > CONTEXT_WORDS, F.concat_ws(" ", F.slice(words, -CONTEXT_WORDS, CONTEXT_WORDS)))
 
 
+def _failed(value: Column) -> Column:
+    """Whether an identifier has the whole form of an address or a card but not what it checks."""
+    address = value.rlike(r"^[0-9]++(?:\.[0-9]++){3}$") & ~_holds("ip", value)
+    digits = F.length(F.regexp_replace(value, "-", ""))
+    card = value.rlike("^[0-9](?:-?[0-9])++$") & digits.between(16, 19) & ~_holds("card", value)
+    return address | card
+
+
 def patterns(found: DataFrame) -> DataFrame:
     """(pattern, confidence): the patterns to trust, from the result of ``find_base``.
 
-    Counted over distinct identifiers of a pattern, so copies of a text weigh as one.
+    Counted over distinct identifiers of a pattern, so copies of a text weigh as one. Against a
+    pattern are identifiers that fail a base check, and those that also stand behind contexts
+    of mostly such ones; all others are unknown and say nothing until other patterns do.
     """
     def pairs(column: Column) -> DataFrame:
         rows = found.select(F.explode(column).alias("s"))
         return rows.select(_pattern(F.col("s.before")).alias("pattern"), F.col("s.value").alias("value")
                            ).where(F.col("pattern").isNotNull()).distinct()
 
-    seeds = pairs(F.concat(*[F.col(k) for k in KINDS])).groupBy("pattern").agg(F.count("*").alias("seeds"))
-    unknown = stage(split_join(
-        pairs(F.col("unknown")), seeds.where(F.col("seeds") >= SEEDS).select("pattern"), "pattern"))
-    strong = stage(seeds.where(F.col("seeds") >= SEEDS))
-    scored = unknown.select("pattern", "value", F.lit(0.0).alias("score"))
+    seeds = stage(
+        pairs(F.concat(*[F.col(k) for k in KINDS])).groupBy("pattern").agg(F.count("*").alias("seeds")))
+    every = stage(pairs(F.col("unknown")).withColumn("failed", _failed(F.col("value"))))
+    strong = seeds.where(F.col("seeds") >= SEEDS)
+    unknown = stage(_judged(every, seeds, strong))
+    scored = unknown.select("pattern", "value", "against", F.lit(0.0).alias("score"))
     for _ in range(ROUNDS):
         rated = _rated(strong, scored)
         # All patterns but the best speak for a value: one pattern does not confirm itself.
         doubt = F.log(1 - F.col("confidence"))
         of_value = split_join(unknown, rated, "pattern").groupBy("value").agg(
             (1 - F.exp(F.sum(doubt) - F.min(doubt))).alias("score"))
-        scored = stage(split_join(unknown, of_value, "value").select("pattern", "value", "score"))
+        scored = stage(split_join(unknown, of_value, "value").select("pattern", "value", "against", "score"))
     return stage(_rated(strong, scored).where(F.col("confidence") >= CONFIDENCE))
 
 
+def _judged(every: DataFrame, seeds: DataFrame, strong: DataFrame) -> DataFrame:
+    """The identifiers behind strong patterns, with ``against``: 1 if they speak against them."""
+    failures = every.where("failed").groupBy("pattern").agg(F.count("*").alias("failures"))
+    count = F.coalesce("seeds", F.lit(0))
+    contrary = failures.where(F.col("failures") >= SEEDS).join(seeds, "pattern", "left").where(
+        count / (count + F.col("failures") + 1) < 1 - CONFIDENCE).select("pattern")
+    denied = split_join(every, contrary, "pattern").select("value").distinct().withColumn("denied", F.lit(True))
+    unknown = split_join(every, strong.select("pattern"), "pattern")
+    return split_join(unknown, denied, "value", "left").select(
+        "pattern", "value", (F.col("failed") | F.col("denied").isNotNull()).cast("int").alias("against"))
+
+
 def _rated(strong: DataFrame, scored: DataFrame) -> DataFrame:
-    """A pattern's confidence: the mean score of its identifiers, seeds at 1, and one more at 0."""
-    sums = scored.groupBy("pattern").agg(F.sum("score").alias("gain"), F.count("*").alias("n"))
-    gain, n = F.coalesce("gain", F.lit(0.0)), F.coalesce("n", F.lit(0))
+    """A pattern's confidence: the share of what speaks for it, seeds at 1, with one more against."""
+    sums = scored.groupBy("pattern").agg(
+        F.sum("score").alias("gain"), F.sum(F.col("against") * (1 - F.col("score"))).alias("loss"))
+    gain, loss = F.coalesce("gain", F.lit(0.0)), F.coalesce("loss", F.lit(0.0))
+    good = F.col("seeds") + gain
     return strong.join(sums, "pattern", "left").select(
-        "pattern", ((F.col("seeds") + gain) / (F.col("seeds") + n + 1)).alias("confidence"))
+        "pattern", (good / (good + loss + 1)).alias("confidence"))
 
 
 def find(df: DataFrame, column: str = "text") -> DataFrame:

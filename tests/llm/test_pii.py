@@ -64,6 +64,26 @@ def test_unseen_identifiers_of_a_known_context(spark):
     assert all(b == s == plain(texts[i]) for i, (b, s) in got.items() if i != 6)
 
 
+def luhn_cards(n):
+    """Distinct card numbers that pass the check."""
+    bodies = (f"{4000 + i}{i * 7919 % 10**11:011d}" for i in range(n))
+    return [next(c for d in range(10) if holds("card", c := f"{b}{d}")) for b in bodies]
+
+
+def test_as_many_unseen_identifiers_as_seeds(spark):
+    """They are unknown, not evidence against their context; numbers that fail a check are."""
+    cards = luhn_cards(40)
+    texts = [f"text {i}. her account number is {c} as said" for i, c in enumerate(cards)]
+    texts += [f"his account number is K{i}-{7000 + i} today" for i in range(40)]
+    first = len(texts)
+    wrong = [f"{c[:-1]}{(int(c[-1]) + 1) % 10}" for c in luhn_cards(50)[40:]]
+    texts += [f"they wrote down the total of {c} again" for c in [*luhn_cards(56)[50:], *wrong]]
+    texts += ["they wrote down the total of X1234-5 again"]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(got[i][1].startswith("context:") for i in range(40, 80))
+    assert all(got[i][0] == got[i][1] for i in range(first, len(texts)))
+
+
 def test_copies_of_one_text_teach_nothing(spark):
     texts = ["her account number is 4539148803436467 as said"] * 50 + ["his account number is 88-1234-77 today"]
     got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
