@@ -3,7 +3,8 @@
 What the patterns find are the seeds. The words before a seed are a lexical pattern. Patterns
 and the identifiers they come with form a graph: a pattern is as good as its identifiers, an
 identifier as good as its patterns, and a few rounds pass scores from one to the other. Unseen
-identifiers behind a pattern with enough seeds and confidence are personal data, too.
+identifiers behind a pattern with enough seeds and confidence are personal data, too; they become
+seeds, which may give more patterns, until none is added.
 
 Only DataFrame functions; a regular expression's places come from the lengths of its matches
 and of the gaps between them.
@@ -37,6 +38,9 @@ IDENTIFIER = (
     r"[A-Za-z0-9][A-Za-z0-9._/-]*(?<![._/-])(?=[._/-]*+(?:[\s)\]\"',;:!?]|$))")
 #: Words and characters of the context before an identifier.
 CONTEXT_WORDS, CONTEXT_CHARS = 2, 64
+#: Gaps that a context reaches over (so a list's items have the words before the list), and the
+#: word that stands for the start of the text.
+CONTEXT_GAPS, START = 32, "\ue000"
 #: Distinct seeds a pattern needs, its least confidence, and rounds of scoring.
 SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 3
 #: Lengths are summed in blocks, so a text with n matches takes about n * (64 + n / 4096) steps.
@@ -44,19 +48,26 @@ BLOCK = 64
 
 
 def _found(df: DataFrame, text: str, kind: str, pattern: str, possible: Column) -> DataFrame:
-    """Adds ``kind``: every match with its start, end and the text before it (after the last match)."""
-    m, g, steps, sums, before = (f"_{kind}_{x}" for x in ("match", "gap", "step", "sum", "before"))
+    """Adds ``kind``: every match with its start, end and the text before it (without other matches)."""
+    m, g, steps, sums, before, tails = (
+        f"_{kind}_{x}" for x in ("match", "gap", "step", "sum", "before", "tail"))
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
+    def tail(gap: Column, i: Column) -> Column:
+        first = F.concat(F.lit(f"{START} {START} "), gap)
+        return F.right(F.when(i == 0, first).otherwise(gap), F.lit(CONTEXT_CHARS))
+
     def span(match: Column, i: Column) -> Column:
         block = F.floor(i / BLOCK).cast("int")
         gap = F.get(g, i)
         start = (
             F.get(before, block) + total(F.slice(steps, block * BLOCK + 1, i % BLOCK)) + F.length(gap))
+        context = F.array_join(F.slice(
+            tails, F.greatest(F.lit(1), i + 2 - CONTEXT_GAPS), F.least(i + 1, F.lit(CONTEXT_GAPS))), " ")
         return F.struct(start.alias("start"), (start + F.length(match)).alias("end"),
-                        match.alias("value"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"))
+                        match.alias("value"), F.right(context, F.lit(CONTEXT_CHARS)).alias("before"))
 
     none = F.array().cast("array<string>")
     regex = F.lit(pattern)
@@ -69,8 +80,9 @@ def _found(df: DataFrame, text: str, kind: str, pattern: str, possible: Column)
             lambda b: total(F.slice(steps, b * BLOCK + 1, BLOCK))))
         .withColumn(before, F.transform(
             F.sequence(F.lit(0), F.size(sums) - 1), lambda b: total(F.slice(sums, F.lit(1), b))))
+        .withColumn(tails, F.transform(g, tail))
         .withColumn(kind, F.transform(m, span))
-        .drop(m, g, steps, sums, before)
+        .drop(m, g, steps, sums, before, tails)
     )
 
 
@@ -122,8 +134,11 @@ def find_base(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _pattern(before: Column) -> Column:
-    """The last words before an identifier, in lower case; null if there are too few."""
-    words = F.split(F.lower(F.trim(F.regexp_replace(before, r"[\s(\[\"':]+", " "))), " ")
+    """The last words before an identifier, in lower case, without numbers, addresses and marks;
+    null if there are too few (the first may be cut off)."""
+    words = F.filter(
+        F.split(F.regexp_replace(F.lower(before), r"[\s(\[\"':,;]+", " "), " "),
+        lambda w: w.rlike(rf"[\p{{L}}\p{{N}}{START}]") & ~w.rlike("@|[0-9].*[0-9]"))
     return F.when(F.size(words) > CONTEXT_WORDS, F.concat_ws(" ", F.slice(words, -CONTEXT_WORDS, CONTEXT_WORDS)))
 
 
@@ -141,18 +156,34 @@ def patterns(found: DataFrame) -> DataFrame:
     Counted over distinct identifiers of a pattern, so copies of a text weigh as one. Against a
     pattern are identifiers that fail a base check, and those that also stand behind contexts
     of mostly such ones; all others are unknown and say nothing until other patterns do.
+    Unseen identifiers of trusted patterns are seeds of the next round.
     """
     def pairs(column: Column) -> DataFrame:
         rows = found.select(F.explode(column).alias("s"))
         return rows.select(_pattern(F.col("s.before")).alias("pattern"), F.col("s.value").alias("value")
                            ).where(F.col("pattern").isNotNull()).distinct()
 
-    seeds = stage(
+    base = stage(
         pairs(F.concat(*[F.col(k) for k in KINDS])).groupBy("pattern").agg(F.count("*").alias("seeds")))
-    every = stage(pairs(F.col("unknown")).withColumn("failed", _failed(F.col("value"))))
-    strong = seeds.where(F.col("seeds") >= SEEDS)
-    unknown = stage(_judged(every, seeds, strong))
-    scored = unknown.select("pattern", "value", "against", F.lit(0.0).alias("score"))
+    every = stage(_judged(pairs(F.col("unknown")).withColumn("failed", _failed(F.col("value"))), base))
+    seeds, unknown, known = base, every, 0
+    while True:
+        trusted = _trusted(seeds.where(F.col("seeds") >= SEEDS), unknown)
+        before, known = known, trusted.count()
+        if known == before:
+            return trusted
+        found_now = stage(split_join(
+            every.where("against = 0"), trusted.select("pattern"), "pattern").select("value").distinct())
+        more = split_join(every, found_now, "value").groupBy("pattern").agg(F.count("*").alias("more"))
+        seeds = stage(base.join(more, "pattern", "full").select("pattern", (
+            F.coalesce("seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("seeds")))
+        unknown = every.join(found_now, "value", "left_anti").select(every.columns)
+
+
+def _trusted(strong: DataFrame, every: DataFrame) -> DataFrame:
+    """The patterns with enough confidence among the strong ones."""
+    unknown = stage(split_join(every, strong.select("pattern"), "pattern"))
+    scored = unknown.withColumn("score", F.lit(0.0))
     for _ in range(ROUNDS):
         rated = _rated(strong, scored)
         # All patterns but the best speak for a value: one pattern does not confirm itself.
@@ -163,15 +194,15 @@ def patterns(found: DataFrame) -> DataFrame:
     return stage(_rated(strong, scored).where(F.col("confidence") >= CONFIDENCE))
 
 
-def _judged(every: DataFrame, seeds: DataFrame, strong: DataFrame) -> DataFrame:
-    """The identifiers behind strong patterns, with ``against``: 1 if they speak against them."""
+def _judged(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The identifiers of each context, with ``against``: 1 if they speak against it."""
+    every = stage(pairs)
     failures = every.where("failed").groupBy("pattern").agg(F.count("*").alias("failures"))
     count = F.coalesce("seeds", F.lit(0))
     contrary = failures.where(F.col("failures") >= SEEDS).join(seeds, "pattern", "left").where(
         count / (count + F.col("failures") + 1) < 1 - CONFIDENCE).select("pattern")
     denied = split_join(every, contrary, "pattern").select("value").distinct().withColumn("denied", F.lit(True))
-    unknown = split_join(every, strong.select("pattern"), "pattern")
-    return split_join(unknown, denied, "value", "left").select(
+    return split_join(every, denied, "value", "left").select(
         "pattern", "value", (F.col("failed") | F.col("denied").isNotNull()).cast("int").alias("against"))
 
 

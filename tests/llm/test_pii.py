@@ -84,6 +84,30 @@ def test_as_many_unseen_identifiers_as_seeds(spark):
     assert all(got[i][0] == got[i][1] for i in range(first, len(texts)))
 
 
+def test_contexts_at_text_starts_and_in_lists(spark):
+    cards = luhn_cards(30)
+    texts = [f"account number {c}" for c in cards[:10]] + ["account number K12-3456"]
+    texts += [f"card no {a} card no {b}" for a, b in zip(cards[10:16:2], cards[11:16:2])]
+    texts += ["his card no R77-8899 card no S12-9988", f"we keep on file {', '.join(cards[16:24])}", "we keep on file T12-3456, U65-4321"]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for i, values in ((10, ["K12-3456"]), (14, ["R77-8899", "S12-9988"]), (16, ["T12-3456", "U65-4321"])):
+        starts = [texts[i].index(v) for v in values]
+        assert got[i][1] == ",".join(f"context:{s}:{s + 8}" for s in starts)
+
+
+def test_what_is_found_gives_more_contexts(spark):
+    """Members stand behind the phrase of the cards, too; only their other phrases lead further."""
+    members, staff = ([f"{c}{i}-{4000 + i}" for i in range(6)] for c in "MS")
+    texts = [f"text {i}. her account number is {c} as said" for i, c in enumerate(luhn_cards(6))]
+    texts += [f"his account number is {w} today" for w in members]
+    texts += [f"a badge belongs to member {w} they say" for w in [*members, *staff]]
+    texts += [f"the door was opened for {w} at night" for w in [*staff, "Z9-8765"]]
+    texts += ["parcel from the store of Q4-4321 in town"]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(got[i][1].startswith("context:") for i in range(6, len(texts) - 1))
+    assert got[len(texts) - 1] == ("", "")
+
+
 def test_copies_of_one_text_teach_nothing(spark):
     texts = ["her account number is 4539148803436467 as said"] * 50 + ["his account number is 88-1234-77 today"]
     got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
