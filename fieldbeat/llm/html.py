@@ -36,6 +36,8 @@ BREAKS = frozenset(
     " ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title"
     " tr ul".split())
 HIDDEN = frozenset("script style template noscript svg math iframe object canvas head".split())
+#: Elements that show none of their text; a head's title is a block.
+UNSEEN = HIDDEN - {"head"}
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset(
     "nav header footer aside form menu button select textarea dialog title".split())
@@ -66,6 +68,7 @@ class Blocks(HTMLParser):
         self.path: list[tuple[str, str]] = []
         self.pieces: list[str] = []
         self.linked = 0
+        self.hidden = 0  # open elements of HIDDEN, other than head
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -74,7 +77,9 @@ class Blocks(HTMLParser):
         self.pieces, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BREAKS:
+        if self.hidden:
+            pass  # it breaks nothing that shows
+        elif tag in BREAKS:
             self.flush()
             inner = {"li": "li", "dd": "dd", "dt": "dt", "td": "td", "th": "td", "tr": "tr", "option": "option"}
             if tag in inner:
@@ -85,6 +90,7 @@ class Blocks(HTMLParser):
         if tag not in VOID:
             names = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
             self.path.append((tag, names))
+            self.hidden += tag in UNSEEN
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -92,21 +98,30 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BREAKS:
+        if tag in BREAKS and not self._inside_hidden(tag):
             self.flush()
         self._close(tag, set())
 
+    def _inside_hidden(self, tag: str) -> bool:
+        """Whether the innermost open element of this tag is in a hidden one."""
+        if not self.hidden:
+            return False
+        first = next(i for i, (t, _) in enumerate(self.path) if t in UNSEEN)
+        return any(t == tag for t, _ in self.path[first:])
+
     def _close(self, tag: str, limits: set[str]) -> None:
-        """Closes the innermost open element of this tag, unless one of the limits is nearer."""
+        """Closes the innermost open element of this tag, unless one of the limits is nearer;
+        with limits, the close is implied and does not reach out of a hidden element."""
         for i in range(len(self.path) - 1, -1, -1):
             if self.path[i][0] == tag:
+                self.hidden -= sum(t in UNSEEN for t, _ in self.path[i:])
                 del self.path[i:]
                 return
-            if self.path[i][0] in limits:
+            if self.path[i][0] in limits or limits and self.path[i][0] in UNSEEN:
                 return
 
     def handle_data(self, data: str) -> None:
-        if any(t in HIDDEN and t != "head" for t, _ in self.path[-3:]):
+        if self.hidden:
             return
         self.pieces.append(data)
         if any(t == "a" for t, _ in self.path):

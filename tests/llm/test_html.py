@@ -57,6 +57,15 @@ def test_pages_without_landmarks(crf):
     assert pages.main_text(page, crf).split("\n")[-2:] == [LONG, LONG]
 
 
+@pytest.mark.parametrize("tag", sorted(pages.HIDDEN - {"head", "script", "style", "iframe"}))
+def test_hidden_text_at_any_depth(tag):
+    """Whatever is open inside a hidden element; what follows its end is seen again."""
+    inner = "<g>" * 6 + "<text>no</text>" + "</g>" * 6 if tag == "svg" else "<div><div><ul><li><p>no <b>no</b></ul></div></div>"
+    page = f"<article><p>{LONG}</p><{tag}>{inner}</{tag}><p>Seen.</p><div><{tag}>{inner}</div><p>Again.</p></article>"
+    assert [b.text for b in pages.blocks(page)] == [LONG, "Seen.", "Again."]
+    assert [b.text for b in pages.blocks(f"<p>One <{tag}>{inner}</{tag}> two.</p>")][0] == "One two."
+
+
 def test_viterbi_finds_the_best_sequence():
     crf = pages.Crf({"a": 1.5, "b": -0.7, "c": 0.2}, [0.3, -0.9, -0.4, 0.6])
     for n in range(1, 7):
