@@ -11,6 +11,7 @@ landmark and not the element decides where there is one.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -47,6 +48,8 @@ NAMES = re.compile(
     r"disclaimer|disqus|footer|header|legal|masthead|menu|nav|navbar|navigation|newsletter|notices?|"
     r"pagination|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|"
     r"subscribe|toolbar|widget)(?:$|[^a-z])")
+#: What every page with a block of the article has.
+ARTICLE = r"(?i)<(?:article|main)[\s/>]"
 LANDMARKS = frozenset({"content", "boilerplate"})
 
 
@@ -288,22 +291,33 @@ def train(pages: list[tuple[list[list[str]], list[int]]]) -> Crf:
 
 
 def fit(pages: DataFrame, column: str = "html", key: str = "page_id") -> Crf:
-    """Learns from a bounded sample of pages, taken by the hash of ``key`` and the page.
+    """Learns from a bounded sample of the distinct pages with a block of the article, taken by
+    the hash of ``key`` and the page.
 
-    Sampled pages without a block of the article teach nothing and are left out. Without any
-    page the weights are empty, and every block has label 0.
+    Without any such page the weights are empty, every block has label 0, and a warning says so.
     """
     order = F.xxhash64(F.col(key).cast("string"), F.col(column))
-    rows = (
-        pages.where(F.col(column).isNotNull() & (F.length(column) <= 1 << 18))
-        .select(F.col(column).alias("html"), order.alias("order"))
-        .orderBy("order").limit(SAMPLE_ROWS).collect())
-    learned = []
-    for i, row in enumerate(rows):
-        page = blocks(row["html"])[:SAMPLE_BLOCKS]
-        if any(labels(page)):
-            learned.append(_training(page, i))
-    return train(learned)
+    given = (
+        pages.where(F.col(column).isNotNull() & (F.length(column) <= 1 << 18) & F.col(column).rlike(ARTICLE))
+        .select(F.col(column).alias("html"), order.alias("order"), F.xxhash64(column).alias("content")))
+    picked = (
+        in_batches(given, _labelled, "order long, content long")
+        .groupBy("content").agg(F.min("order").alias("order"))
+        .orderBy("order", "content").limit(SAMPLE_ROWS).collect())
+    if not picked:
+        warnings.warn("no page has a block of an article: all main texts will be empty", stacklevel=2)
+        return train([])
+    rows = given.where(F.col("order").isin([r["order"] for r in picked])).select("order", "html").distinct()
+    learned = [blocks(r["html"])[:SAMPLE_BLOCKS] for r in sorted(rows.collect())]
+    return train([_training(page, i) for i, page in enumerate(learned)])
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages whose first blocks hold one of the article, without their text."""
+    for batch in batches:
+        for part in slices(batch, "html"):
+            found = [any(labels(blocks(t)[:SAMPLE_BLOCKS])) for t in texts(part, "html")]
+            yield part.select(["order", "content"]).filter(pa.array(found, pa.bool_()))
 
 
 def main_text(html: str, crf: Crf) -> str:

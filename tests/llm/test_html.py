@@ -93,6 +93,22 @@ def test_odd_rows(make_df, crf):
     assert pages.extract(df.limit(0), crf).collect() == []
 
 
+def test_few_labelled_pages_among_many(make_df):
+    """Pages without an article, and copies, take no place in the sample."""
+    lines = "<nav><p>Home</p></nav>{}<footer><p>(c) {}</p></footer>"
+    rows = [{"page_id": i, "html": lines.format(f"<!-- <article> --><p>{LONG}</p>", i)} for i in range(1500)]
+    rows += [{"html": lines.format(f"<article><p>{LONG}</p></article>", "copy")}] * 900
+    rows += [{"page_id": 5000 + i, "html": lines.format(f"<article><p>{LONG} {i}</p><p>{LONG}</p></article>", i)} for i in range(12)]
+    seen = []
+    real, pages.train = pages.train, lambda learned: seen.extend(learned) or real(learned)
+    try:
+        learned = pages.fit(make_df("page_id long, html string", rows))
+    finally:
+        pages.train = real
+    assert len(seen) == 13
+    assert pages.main_text(rows[-1]["html"], learned) == f"{LONG} 11\n{LONG}"
+
+
 def test_nothing_to_learn_from(make_df):
     empty = pages.fit(make_df("page_id long, html string", [{"page_id": 1}, {"html": "<p>x"}]))
     assert pages.main_text(f"<article><p>{LONG}", empty) == ""
