@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.joins import split_join
-from fieldbeat.llm import bpe, decontam, html, langid, pii, secrets, simhash, suffix, topk, urls
+from fieldbeat.llm import bpe, decontam, html, langid, pii, secrets, simhash, suffix, topk, urls, wordbpe
 from fieldbeat.llm.shared import stage
 
 #: Production parameters.
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
 TOP, QUERY_STEP = 5, 50
 SIMHASH_WORDS, SIMHASH_BITS = 3, 2
 URL_RULES = {
@@ -111,6 +112,17 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_wordbpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = wordbpe.read_vocabulary(WORDS_FILE)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordbpe.encode_and_decode(docs, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
@@ -122,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_suffix": op10_suffix,
+    "op11_wordbpe": op11_wordbpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
