@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, StructType
 
@@ -129,10 +129,20 @@ def _m09(d: TestData) -> changes.ChangeSet:
     return chat.append_chats(d.tables, d.chat_turns(), NOW)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate tables. One machine alone may use its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        folder = tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def _stored(d: TestData) -> DataFrame:
     """The tables that status changes touch, after two batches that a third call repeats."""
-    folder = d.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{folder}/stored-{uuid.uuid4().hex}"
+    root = f"{shared_folder(d.spark)}/stored-{uuid.uuid4().hex}"
     write_tables(d.tables, root, ("users", "merchants", "recommendations", "visit_history", "audit_logs"))
     store = Store(d.spark, root)
     for batch in ("one", "two", "one"):

@@ -80,9 +80,15 @@ PARTITION_COLUMN = {
     "visit_history": "visit_date",
 }
 
-# Tables to which batches only add rows; each batch has a directory of its own below them.
-BATCH_COLUMN = "batch"
-ADDED_TABLES = ("visit_history", "audit_logs", "chat_messages")
+# Tables to which batches only add rows; each row carries the name of the attempt that added it.
+ATTEMPT_COLUMN = "attempt"
+ADDED_TABLES = ("visit_history", "audit_logs", "chat_messages", "bad_rows")
+
+# Logs by the date of an instant, in a column that only the stored table has.
+LOG_DATE = {"audit_logs": ("created_on", "created_at")}
+
+# Rows of landed files that could not be taken, with their text and what is wrong with them.
+BAD_ROWS = "table_name string, file string, row string, reason string"
 
 # The newest row of each merchant, kept beside a table with its date.
 LATEST = {"latest_signals": "merchant_signals", "latest_scores": "daily_scores"}

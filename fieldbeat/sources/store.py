@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from urllib.parse import quote
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.columns import id_number
 from fieldbeat.operators.changes import ChangeSet, Keep
 from fieldbeat.schema import ID_PREFIX, LATEST, PARTITION_COLUMN
-from fieldbeat.sources.files import Files
-from fieldbeat.sources.tables import NO_DATE, Tables, in_batch, table_schema, write_table
+from fieldbeat.sources.tables import (
+    COMMITS, GONE, State, Tables, add_rows, at_once, begin, commit, date_text, replace_dates, replace_table,
+)
+
+# (table, date, slot, highest id number), as the table of commits has them.
+Written = tuple[str, str | None, int | None, int | None]
 
 # Parts of a change set that add rows to other tables.
 ADDED_PARTS = {"audit_logs": "audit", "visit_history": "visits", "chat_messages": "messages"}
@@ -34,29 +37,19 @@ class NewRows:
 class Store:
     """Parquet tables below ``root``, one directory per table, with one writer at a time.
 
-    A batch is computed from the tables as they are and written to scratch. Then the journal, a
-    small file, names it; from there on the batch is finished by whoever next changes the store,
-    so no other batch comes between. Until then it has done nothing, and is computed anew.
+    A batch is computed from the tables as they are, written beside them, and counts as a whole
+    once it commits. A batch that died has changed nothing and is computed anew.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root, Files(spark)
+        self.spark, self.root = spark, root
 
     def tables(self) -> Tables:
-        journal = self._journal()
-        return Tables.from_parquet(
-            self.spark, self.root, journal["folders"], journal["last"], LATEST if journal["latest"] else ())
+        return Tables.from_parquet(self.spark, self.root)
 
-    def scratch(self, name: str | None = None) -> str:
+    def scratch(self, name: str) -> str:
         """A shared folder for intermediate results: in the cluster's checkpoint folder."""
-        folder = self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_scratch"
-        return f"{folder}/{name or uuid.uuid4().hex}"
-
-    def materialize(self, df: DataFrame, path: str | None = None) -> DataFrame:
-        """Writes an intermediate result once and reads it back, which cuts its lineage."""
-        path = path or self.scratch()
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return f"{self.spark.conf.get('spark.checkpoint.dir', None) or f'{self.root}/_scratch'}/{name}"
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replaces a table, or, if it has dates, the dates that occur in ``rows``."""
@@ -93,90 +86,71 @@ class Store:
         return self.change(rows, batch)
 
     def change(self, build: Callable[[Tables, Keep], NewRows], batch: str | None = None) -> bool:
-        """Finishes what an earlier call left, then computes and stores the new rows. A batch
-        that died is finished, or done anew, by the same call: it is never stored twice."""
-        self._finish()
-        if batch is not None and self.files.exists(self._mark(batch)):
+        """Computes, stores and commits new rows. A batch is never stored twice."""
+        if batch is not None and not self.commits().where(F.col("batch") == batch).isEmpty():
             return False
-        journal, version = self._journal(), uuid.uuid4().hex
-        scratch = self.scratch(version)
+        state, attempt = State.read(self.spark, self.root), uuid.uuid4().hex
+        scratch, seq = self.scratch(attempt), state.seq + 1
 
         def keep(df: DataFrame) -> DataFrame:
-            return self.materialize(df, f"{scratch}/{uuid.uuid4().hex}")
-
-        new = build(self.tables(), keep)
-        plan = {"batch": batch, "version": version, "scratch": scratch, "folders": {}, "added": [],
-                "dates": {}, "last": dict(journal["last"])}
-        # Newest rows are known as long as nothing changes a history without them.
-        changed = {n for n, table in LATEST.items() if table in new.whole or table in new.dates}
-        plan["latest"] = LATEST.keys() <= new.whole.keys() or (
-            journal["latest"] and changed <= new.whole.keys())
-        written = {}
-        for name, rows in new.whole.items():
-            plan["folders"][name] = f"{name}-{version}"
-            written[name] = self.materialize(rows, f"{self.root}/{plan['folders'][name]}")
-        for name, (rows, dates) in new.dates.items():
-            written[name] = self.materialize(rows, f"{scratch}/{name}")
-            plan["dates"][name] = _without_rows(dates, written[name], PARTITION_COLUMN[name])
-        for name, rows in new.added.items():
-            written[name] = self.materialize(rows, f"{scratch}/{name}")
-            plan["added"].append(name)
-        for name in written.keys() & ID_PREFIX.keys():
-            plan["last"][name] = self._last(name, written[name], journal["last"].get(name))
-        self._save(journal | {"open": plan})
-        self._finish()
+            path = f"{scratch}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            new = build(self.tables(), keep)
+            if new.added:
+                begin(self.spark, self.root, seq, attempt)
+            steps = [partial(self._add, name, rows, state, attempt) for name, rows in new.added.items()]
+            steps += [partial(self._replace, name, rows, state) for name, rows in new.whole.items()]
+            steps += [partial(self._replace_dates, name, *rows, state) for name, rows in new.dates.items()]
+            done = [row for rows in at_once(steps) for row in rows]
+            # Newest rows are not known where a history has changed without them.
+            done += [(latest, None, GONE, None) for latest, table in LATEST.items()
+                     if table in new.whole.keys() | new.dates.keys() and latest not in new.whole]
+            commit(self.spark, self.root, seq, attempt, batch, done or [("", None, None, None)])
+        finally:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(scratch)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return True
 
-    def _last(self, name: str, rows: DataFrame, before: int | None) -> int:
-        """The highest id number so far; read from the whole table only the first time."""
-        number = F.max(id_number(F.col("id"), ID_PREFIX[name]))
-        if before is None:
-            before = getattr(self.tables(), name).agg(number).first()[0]
-        return max(before or 0, rows.agg(number).first()[0] or 0)
-
-    def _finish(self) -> None:
-        """Carries out the batch that the journal names. Every step may be repeated."""
-        journal = self._journal()
-        plan = journal["open"]
-        if plan is None:
-            return
-        for name in plan["added"]:
-            rows = self._staged(plan, name)
-            write_table(in_batch(rows, plan["version"]), f"{self.root}/{name}", name)
-        for name, empty in plan["dates"].items():
-            write_table(self._staged(plan, name), f"{self.root}/{name}", name)
-            for value in empty:
-                self.files.delete(f"{self.root}/{name}/{PARTITION_COLUMN[name]}={value}")
-        if plan["batch"] is not None:
-            self.files.write(self._mark(plan["batch"]), "")
-        replaced = [journal["folders"].get(name, name) for name in plan["folders"]]
-        folders = journal["folders"] | plan["folders"]
-        self._save({"open": None, "folders": folders, "last": plan["last"], "old": replaced,
-                    "latest": plan["latest"]})
-        # Readers may still use what this batch replaced, but not what the one before did.
-        for folder in journal["old"]:
-            self.files.delete(f"{self.root}/{folder}")
-        self.files.delete(plan["scratch"])
-
-    def _staged(self, plan: dict, name: str) -> DataFrame:
-        return self.spark.read.schema(table_schema(name)).parquet(f"{plan['scratch']}/{name}")
-
-    def _mark(self, batch: str) -> str:
-        return f"{self.root}/_applied/{quote(batch, safe='')}"
-
-    def _journal(self) -> dict:
-        path = f"{self.root}/_journal"
-        if self.files.exists(path):
-            return json.loads(self.files.read(path))
-        latest = all(self.files.exists(f"{self.root}/{name}") for name in LATEST)
-        return {"open": None, "folders": {}, "last": {}, "old": [], "latest": latest}
-
-    def _save(self, journal: dict) -> None:
-        self.files.write(f"{self.root}/_journal", json.dumps(journal))
-
-
-def _without_rows(dates: DataFrame, rows: DataFrame, column: str) -> list[str]:
-    """Folder names of the dates that have no row: as many as there are dates at most."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit(NO_DATE)).alias("value")
-    left = dates.select(text).distinct().join(rows.select(text).distinct(), "value", "left_anti")
-    return sorted(left.agg(F.collect_set("value")).first()[0])
+    def commits(self) -> DataFrame:
+        return self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+
+    def _add(self, name: str, rows: DataFrame, state: State, attempt: str) -> list[Written]:
+        last, _ = self._written(name, rows, state, partial(
+            add_rows, root=self.root, name=name, attempt=attempt))
+        return [(name, None, None, last)]
+
+    def _replace(self, name: str, rows: DataFrame, state: State) -> list[Written]:
+        slot = 1 if state.slot(name) == 0 else 0
+        last, _ = self._written(name, rows, state, partial(
+            replace_table, root=self.root, name=name, slot=slot))
+        return [(name, None, slot, last)]
+
+    def _replace_dates(self, name: str, rows: DataFrame, dates: DataFrame, state: State) -> list[Written]:
+        ones = state.dates(name, 1)
+        moved = rows.withColumn("slot", F.when(date_text(name).isin(ones), 0).otherwise(1))
+        last, present = self._written(name, moved, state, partial(replace_dates, root=self.root, name=name))
+        touched = {r["date"] for r in dates.select(date_text(name).alias("date")).distinct().collect()}
+        slots = {d: GONE if d not in present else 0 if d in ones else 1 for d in touched | present}
+        return [(name, None, None, last), *((name, d, slot, None) for d, slot in sorted(slots.items()))]
+
+    def _written(self, name: str, rows: DataFrame, state: State,
+                 write: Callable[[DataFrame], None]) -> tuple[int | None, set[str]]:
+        """Writes the rows; the highest id number so far, which is read from the whole table only
+        the first time, and the dates that occur among the rows."""
+        metrics = [F.count(F.lit(1)).alias("n")]
+        if name in ID_PREFIX:
+            number = F.max(id_number(F.col("id"), ID_PREFIX[name]))
+            metrics.append(number.alias("last"))
+            before = state.last.get(name)
+            if before is None:
+                before = getattr(self.tables(), name).agg(number).first()[0]
+        if name in PARTITION_COLUMN:
+            metrics.append(F.collect_set(date_text(name)).alias("dates"))
+        seen = Observation()
+        write(rows.observe(seen, *metrics))
+        found = seen.get
+        last = max(before or 0, found.get("last") or 0) if name in ID_PREFIX else None
+        return last, set(found.get("dates") or ())

@@ -1,23 +1,36 @@
-"""The nine tables of the model, and where they can be read from."""
+"""The nine tables of the model, where they can be read from, and how they are stored.
+
+A stored table, or each date of one, has two slots. What replaces it is written to the slot not
+in use, by Spark's overwrite of the partitions that occur, and counts once a row of the table of
+commits names the slot. Rows that are only added carry the name of the attempt that added
+them; those of an attempt that began and did not commit are left out when read.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbeat.functions.merge import last_number
 from fieldbeat.functions.ranking import top_per_key
 from fieldbeat.schema import (
-    ADDED_TABLES, BATCH_COLUMN, ID_PREFIX, LATEST, PARTITION_COLUMN, SCHEMAS,
+    ADDED_TABLES, ATTEMPT_COLUMN, BAD_ROWS, ID_PREFIX, LATEST, LOG_DATE, PARTITION_COLUMN, SCHEMAS,
 )
 
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # the directory of rows whose date is null
+COMMITS = ("seq bigint, attempt string, began string, batch string, table_name string, date string, "
+           "slot int, last bigint")
+GONE = -1  # the slot of what has no rows
 
 
 def table_schema(name: str) -> str:
-    return SCHEMAS[LATEST.get(name, name)]
+    return BAD_ROWS if name == "bad_rows" else SCHEMAS[LATEST.get(name, name)]
 
 
 class Tables:
@@ -35,11 +48,12 @@ class Tables:
         self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in SCHEMAS and name not in LATEST:
+        if name not in SCHEMAS and name not in LATEST and name != "bad_rows":
             raise AttributeError(name)
         if name not in self._frames:
-            self._frames[name] = self._read(name) if name in SCHEMAS or name in self._stored else newest(
-                getattr(self, LATEST[name]), LATEST[name])
+            self._frames[name] = newest(
+                getattr(self, LATEST[name]), LATEST[name]) if (
+                name in LATEST and name not in self._stored) else self._read(name)
         return self._frames[name]
 
     def last_number(self, name: str) -> Column:
@@ -57,21 +71,11 @@ class Tables:
             (self._stored - changed) | (LATEST.keys() & frames.keys()))
 
     @classmethod
-    def from_parquet(
-        cls, spark: SparkSession, root: str, folders: Mapping[str, str] | None = None,
-        last: Mapping[str, int] | None = None, stored: Iterable[str] = (),
-    ) -> Tables:
-        """One directory per table below ``root``, as ``write_tables`` leaves them, or where
-        ``folders`` says; ``stored`` names the tables of newest rows that are there."""
-
-        def read(name: str) -> DataFrame:
-            schema = table_schema(name)
-            if name in ADDED_TABLES:
-                schema += f", {BATCH_COLUMN} string"
-            path = f"{root}/{(folders or {}).get(name, name)}"
-            return spark.read.schema(schema).parquet(path).drop(BATCH_COLUMN)
-
-        return cls(read, last, stored)
+    def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
+        """The tables below ``root``, as ``write_tables`` and ``Store`` leave them."""
+        state = State.read(spark, root)
+        return cls(lambda name: read_table(spark, root, name, state), state.last,
+                   {name for name in LATEST if state.slot(name) >= 0})
 
     @classmethod
     def from_jdbc(
@@ -128,31 +132,127 @@ def conform(name: str, rows: DataFrame) -> DataFrame:
     return rows.select(*[column(f).alias(f.name) for f in schema])
 
 
-def in_batch(rows: DataFrame, batch: str) -> DataFrame:
-    """Rows to add, with the name of their batch."""
-    return rows.withColumn(BATCH_COLUMN, F.lit(batch))
+@dataclass
+class State:
+    """What the table of commits says: which of its two slots holds a table, or a date of a table
+    (0 where it says nothing, ``GONE`` if none), the highest id numbers, and the attempts that
+    began to add rows but did not commit. As large as the number of dates ever replaced."""
+
+    seq: int
+    slots: dict[tuple[str, str | None], int]
+    last: dict[str, int]
+    dead: list[str]
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str) -> State:
+        commits = spark.read.schema(COMMITS).parquet(f"{root}/commits")
+        rows = commits.groupBy("table_name", "date").agg(
+            F.max("seq").alias("seq"), F.max_by("slot", "seq").alias("slot"), F.max("last").alias("last"),
+            F.collect_set("began").alias("began"), F.collect_set("attempt").alias("done")).collect()
+        named = [r for r in rows if r["table_name"] is not None]
+        done = {a for r in named for a in r["done"]}
+        return cls(
+            max((r["seq"] for r in rows), default=0),
+            {(r["table_name"], r["date"]): r["slot"] for r in named if r["slot"] is not None},
+            {r["table_name"]: r["last"] for r in named if r["date"] is None and r["last"] is not None},
+            sorted({a for r in rows for a in r["began"]} - done))
+
+    def slot(self, name: str, date: str | None = None) -> int:
+        return self.slots.get((name, date), GONE if name in LATEST else 0)
+
+    def dates(self, name: str, slot: int) -> list[str]:
+        return sorted(d for (n, d), s in self.slots.items() if n == name and d is not None and s == slot)
+
+
+def date_text(name: str) -> Column:
+    """The date of a row as its folder names it."""
+    return F.coalesce(F.col(PARTITION_COLUMN[name]).cast("string"), F.lit(NO_DATE))
+
+
+def read_table(spark: SparkSession, root: str, name: str, state: State) -> DataFrame:
+    """The committed rows of a stored table. Which slots hold them is a filter on folders alone."""
+    path, schema = f"{root}/{name}", table_schema(name)
+    columns = spark.createDataFrame([], schema).columns
+    if name in ADDED_TABLES:
+        log = f", {LOG_DATE[name][0]} date" if name in LOG_DATE else ""
+        rows = spark.read.schema(f"{schema}, {ATTEMPT_COLUMN} string{log}").parquet(path)
+        if state.dead:
+            rows = rows.where(~F.col(ATTEMPT_COLUMN).isin(state.dead))
+    elif name in PARTITION_COLUMN:
+        rows = spark.read.schema(f"{schema}, slot int").parquet(path)
+        text, current = date_text(name), F.lit(0)
+        for slot in (1, GONE):
+            if dates := state.dates(name, slot):
+                current = F.when(text.isin(dates), F.lit(slot)).otherwise(current)
+        rows = rows.where(F.col("slot") == current)
+    else:
+        rows = spark.read.schema(schema).parquet(f"{path}/slot={state.slot(name)}")
+    return rows.select(columns)
 
 
 def write_tables(tables: Tables, root: str, names: tuple[str, ...] = (*SCHEMAS, *LATEST)) -> None:
     """Writes tables as Parquet, those with a date in one directory per date."""
-    for name in names:
+    spark = getattr(tables, names[0]).sparkSession
+
+    def write(name: str) -> None:
         rows = getattr(tables, name)
-        write_table(in_batch(rows, "0") if name in ADDED_TABLES else rows, f"{root}/{name}", name)
+        if name in ADDED_TABLES:
+            add_rows(rows, root, name, "0", "overwrite")
+        elif name in PARTITION_COLUMN:
+            replace_dates(rows.withColumn("slot", F.lit(0)), root, name)
+        else:
+            replace_table(rows, root, name, 0)
 
+    at_once([partial(write, name) for name in names])
+    commit(spark, root, 0, "0", None, [(name, None, 0, None) for name in names], "overwrite")
 
-def write_table(df: DataFrame, path: str, name: str) -> None:
-    """Overwrites a table, or, if it has dates or batches, those that occur in ``df``.
 
-    Rows are clustered by date before the write; a date too large for one task is split by AQE
-    (REBALANCE), so neither many small files nor one hot task result.
-    """
-    date = PARTITION_COLUMN.get(name)
-    columns = [c for c in (date, BATCH_COLUMN if name in ADDED_TABLES else None) if c]
-    if date:
-        df = df.hint("rebalance", date)
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic" if columns else "static")
-        .partitionBy(*columns)
-        .parquet(path)
-    )
+def at_once(steps: list[Callable]) -> list:
+    """Results of independent Spark jobs, started together; a few, one for each table."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        return [job.result() for job in [pool.submit(step) for step in steps]]
+
+
+def _by_date(df: DataFrame, date: str | None) -> DataFrame:
+    """Rows of a date together; a date too large for one task is split by AQE (REBALANCE), so
+    there are neither many small files nor one hot task result."""
+    return df.hint("rebalance", date) if date else df
+
+
+def replace_table(df: DataFrame, root: str, name: str, slot: int) -> None:
+    df.write.mode("overwrite").parquet(f"{root}/{name}/slot={slot}")
+
+
+def replace_dates(df: DataFrame, root: str, name: str) -> None:
+    """Replaces the folders of the slots and dates that occur."""
+    date = PARTITION_COLUMN[name]
+    _by_date(df, date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "slot", date).parquet(f"{root}/{name}")
+
+
+def add_rows(df: DataFrame, root: str, name: str, attempt: str, mode: str = "append") -> None:
+    """Adds rows to a table that only grows, by date if it has one."""
+    date, df = PARTITION_COLUMN.get(name), df.withColumn(ATTEMPT_COLUMN, F.lit(attempt))
+    if name in LOG_DATE:
+        date, at = LOG_DATE[name]
+        df = df.withColumn(date, F.to_date(at))
+    _by_date(df, date).write.mode(mode).partitionBy(*[date] if date else []).parquet(f"{root}/{name}")
+
+
+def commit(spark: SparkSession, root: str, seq: int, attempt: str, batch: str | None,
+           tables: list[tuple[str, str | None, int | None, int | None]], mode: str = "append") -> None:
+    """One small file that says what an attempt has written: all of it or nothing."""
+    _append(spark, root, [(seq, attempt, None, batch, *table) for table in tables], mode)
+
+
+def begin(spark: SparkSession, root: str, seq: int, attempt: str) -> None:
+    """Says that an attempt may add rows, which count once it commits."""
+    _append(spark, root, [(seq, None, attempt, None, None, None, None, None)], "append")
+
+
+def _append(spark: SparkSession, root: str, rows: list[tuple], mode: str) -> None:
+    schema = spark.createDataFrame([], COMMITS).schema
+    columns = [pa.array(values, pa.string() if f.dataType.simpleString() == "string" else pa.int64())
+               for f, values in zip(schema, zip(*rows, strict=True), strict=True)]
+    spark.createDataFrame(pa.table(columns, schema.names)).select(
+        *[F.col(f.name).cast(f.dataType) for f in schema]).coalesce(1).write.mode(mode).parquet(f"{root}/commits")

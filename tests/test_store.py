@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldbeat.operators import changes, chat
 from fieldbeat.plans.daily_job import run_daily
 from fieldbeat.schema import LATEST, SCHEMAS
+from fieldbeat.sources import store as store_module
 from fieldbeat.sources.store import Store
 from fieldbeat.sources.tables import Tables, conform, newest, write_tables
 from fieldbeat.streaming.feed import apply_feed
@@ -48,22 +49,22 @@ class Lost(Exception):
 
 @pytest.fixture
 def dying(monkeypatch):
-    """Lets a method of Store die at its n-th call, before or after it does its work."""
+    """Lets a step of a batch die at its n-th call, before or after it does its work."""
 
-    def at(method, call=1, after=False):
-        real, calls = getattr(Store, method), [0]
+    def at(step, call=1, after=False):
+        real, calls = getattr(store_module, step), [0]
 
-        def wrapped(self, *args):
+        def wrapped(*args, **named):
             calls[0] += 1
             if calls[0] == call and not after:
                 raise Lost
-            result = real(self, *args)
+            result = real(*args, **named)
             if calls[0] == call:
                 raise Lost
             return result
 
-        monkeypatch.setattr(Store, method, wrapped)
-        return lambda: monkeypatch.setattr(Store, method, real)
+        monkeypatch.setattr(store_module, step, wrapped)
+        return lambda: monkeypatch.setattr(store_module, step, real)
 
     return at
 
@@ -80,7 +81,8 @@ def test_round_trip(store, make_tables, rows_of):
 def test_reads_of_one_day_touch_one_partition(store):
     today = store.tables().daily_scores.where(F.col("score_date") == F.lit(AS_OF))
     plan = today._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(score_date" in plan
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "score_date" in filters and "slot" in filters
 
 
 def test_write_replaces_only_the_dates_given(store, rows_of):
@@ -244,17 +246,25 @@ def test_numbers_run_on_without_the_history(store, make_df, rows_of):
     assert "Subquery" not in str(plan)
 
 
-@pytest.mark.parametrize(("method", "call", "after"), [
-    ("_save", 1, False), ("_save", 1, True), ("_staged", 1, True), ("_staged", 2, True), ("_staged", 3, False),
-    ("_save", 2, False), ("_save", 2, True)])
-def test_interrupted_changes_finish_without_repeating(store, make_df, rows_of, dying, method, call, after):
-    """A dies at some point, B runs, A is called again: both are stored, each once."""
+STEPS = [("begin", 1, False), ("begin", 1, True), ("add_rows", 1, True), ("add_rows", 2, False), ("add_rows", 2, True),
+         ("replace_dates", 1, False), ("replace_dates", 1, True), ("commit", 1, False)]
+
+
+@pytest.mark.parametrize(("step", "call", "after"), [*STEPS, ("commit", 1, True)])
+def test_interrupted_changes_are_stored_once(store, make_df, rows_of, dying, step, call, after):
+    """A dies at some point, which changes nothing unless it has committed; B runs, A is called
+    again: both are stored, each once."""
     one = make_df(STATUS, [status(1, "r01", "NEW"), status(2, "r02", "DONE")])
     two = make_df(STATUS, [status(1, "r03", "DONE")])
-    revive = dying(method, call, after)
+    before = dict(rows_of(store.tables().recommendations, "id", "status"))
+    revive = dying(step, call, after)
     with pytest.raises(Lost):
         store.apply(updates(one), "A")
     revive()
+    if (step, after) != ("commit", True):
+        assert dict(rows_of(store.tables().recommendations, "id", "status")) == before
+        assert store.tables().audit_logs.isEmpty()
+        assert store.tables().visit_history.count() == len(MODEL["visit_history"])
     assert store.apply(updates(two), "B")
     store.apply(updates(one), "A")
     tables = store.tables()
@@ -274,19 +284,40 @@ def test_a_recommendation_without_a_date_is_updated(store, make_df, rows_of):
     assert left.where("recommendation_date IS NULL").count() == 0 and left.count() == 8
 
 
+def test_replaced_rows_take_two_places_at_most(store, make_df, rows_of, tmp_path):
+    """A date's folder is overwritten by the change after the next one."""
+    for n in range(4):
+        assert store.apply(updates(make_df(STATUS, [status(1, "r01", ("NEW", "DONE")[n % 2])])), f"b{n}")
+        assert dict(rows_of(store.tables().recommendations, "id", "status"))["r01"] == ("New", "Done")[n % 2]
+    folders = [p for p in (tmp_path / "tables/recommendations").glob("slot=*/*") if p.is_dir()]
+    assert len(folders) <= 2 * len({p.name for p in folders})
+    logs = [p.name for p in (tmp_path / "tables/audit_logs").iterdir() if p.is_dir()]
+    assert logs == [f"created_on={AS_OF}"]
+
+
+def test_a_table_may_become_empty(store, spark):
+    users = store.tables().users
+    every = spark.createDataFrame(users.collect(), users.schema)
+    for rows in (every.limit(0), every, every.limit(0)):
+        store.write("users", rows)
+        assert store.tables().users.count() == rows.count()
+
+
 def test_scratch_is_empty_after_a_batch(store, make_df, spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(Store, "scratch", lambda self, name=None: f"{tmp_path}/scratch/{name}")
+    monkeypatch.setattr(Store, "scratch", lambda self, name: f"{tmp_path}/scratch/{name}")
     store.apply(updates(make_df(STATUS, [status(1, "r01", "NEW")])), "A")
     run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day")
     assert list((tmp_path / "scratch").iterdir()) == []
 
 
-@pytest.mark.parametrize(("method", "call"), [("_save", 1), ("_staged", 2), ("_save", 2)])
-def test_an_interrupted_daily_job_finishes_without_rolling_on(store, make_df, rows_of, dying, method, call):
-    revive = dying(method, call, True)
+@pytest.mark.parametrize(("step", "call", "after"), [
+    ("replace_table", 2, True), ("replace_dates", 1, True), ("commit", 1, False), ("commit", 1, True)])
+def test_an_interrupted_daily_job_rolls_on_once(store, make_df, rows_of, dying, step, call, after):
+    revive = dying(step, call, after)
     with pytest.raises(Lost):
         run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day")
     revive()
+    assert run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day") == (step != "commit" or not after)
     assert not run_daily(store, make_df(DELTAS, []), AS_OF, NOW, "day")
     today = store.tables().merchant_signals.where(F.col("signal_date") == F.lit(AS_OF))
     assert dict(rows_of(today, "merchant_id", "days_since_visit"))["m01"] == 2
