@@ -40,17 +40,22 @@ def _one_per_key(
     return batch.groupBy(*keys).agg(*aggregates).select(*keys, *picked).select(*batch.columns)
 
 
-def insert_ignore(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column
-) -> DataFrame:
-    """ON CONFLICT DO NOTHING: the first batch row of each key the target does not have.
+def new_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """The first batch row of each key the target does not have; a null in a key meets nothing.
 
     ``order`` must sort as the rows came: ids by their number (``id_number``), not as text.
     """
     fresh = _one_per_key(batch, keys, order, ()).join(
         target.select(*keys), list(keys), "left_anti"
     )
-    return target.unionByName(fresh.select(*target.columns))
+    return fresh.select(*target.columns)
+
+
+def insert_ignore(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column
+) -> DataFrame:
+    """ON CONFLICT DO NOTHING: the target, and the ``new_rows`` of the batch."""
+    return target.unionByName(new_rows(target, batch, keys, order))
 
 
 def upsert(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
@@ -50,6 +51,40 @@ def audit_page(
     )
 
 
+def audit_details(
+    tables: Tables, caller: Caller, fields: Mapping[str, str], action: str | None = None
+) -> DataFrame:
+    """Audit rows with fields of their details: ``fields`` gives each one's path and type.
+
+    Details are free text, most of it JSON objects of whatever form the action has. They are
+    parsed once, as a variant; a field is null where the details are not JSON, do not have it, or
+    hold a value that is not of its type.
+    """
+    caller.require("Admin")
+    logs = tables.audit_logs
+    if action:
+        logs = logs.where(contains_text(F.col("action"), action))
+    parsed = logs.withColumn("_details", F.try_parse_json("details"))
+    return parsed.select(
+        "id", "user_id", "action", "resource", "resource_id", "created_at",
+        F.col("_details").isNotNull().alias("is_json"),
+        *[F.try_variant_get("_details", path, kind).alias(path.rpartition(".")[2])
+          for path, kind in fields.items()])
+
+
+def audit_by_detail(
+    tables: Tables, caller: Caller, path: str, value: str, limit: int = 50
+) -> DataFrame:
+    """Newest audit rows whose details have this text at this path."""
+    caller.require("Admin")
+    found = F.try_variant_get(F.try_parse_json("details"), path, "string") == value
+    logs = tables.audit_logs.where(found)
+    names = tables.users.select(F.col("id").alias("user_id"), F.col("full_name").alias("user"))
+    page = logs.orderBy(*_newest()).limit(clamp(limit, 200)).join(names, "user_id", "left")
+    return page.orderBy(*_newest()).select(
+        "id", "action", "resource", "resource_id", "details", "created_at", "user")
+
+
 def list_users(
     tables: Tables,
     caller: Caller,

@@ -10,7 +10,7 @@ import re
 from datetime import date
 
 from fieldbeat.schema import ID_PREFIX, RULES
-from fieldbeat.sources.testdata import DAMAGE_ID, DAMAGE_STEP, damages
+from fieldbeat.sources.testdata import DAMAGE_ID, DAMAGE_STEP, LANDING_STEP, damages
 
 AS_OF = "DATE '2024-01-30'"
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -899,6 +899,47 @@ QUERIES_SQL |= {
 }
 
 
+CTES |= {
+    "landed": f"""
+        SELECT *, {num('id', 'ms9')} % {LANDING_STEP} AS kind FROM next_signals
+        UNION ALL
+        SELECT * REPLACE ('ms10' || CAST({num('id', 'ms')} AS VARCHAR) AS id, signal_date + 1 AS signal_date,
+            transaction_volume + 1 AS transaction_volume), {num('id', 'ms')} % 19 AS kind
+        FROM signals""",
+    "all_logs": f"""
+        SELECT id, action, resource, resource_id, details, created_at, user_id FROM logs
+        UNION ALL
+        SELECT id, action, resource, resource_id, details, created_at, user_id FROM ({QUERIES_SQL['m07_audit']})""",
+}
+QUERIES_SQL |= {
+    "s02_landed": f"""
+        SELECT id, {SIGNAL_COLUMNS}, created_at FROM signals
+        UNION ALL
+        SELECT id, {SIGNAL_COLUMNS}, created_at FROM (
+            SELECT * FROM landed
+            WHERE kind NOT BETWEEN 1 AND 5
+                AND (merchant_id, signal_date) NOT IN (SELECT merchant_id, signal_date FROM signals)
+            QUALIFY row_number() OVER (PARTITION BY merchant_id, signal_date ORDER BY {num('id', 'ms')}) = 1)""",
+    "q11_details": """
+        SELECT id, action, resource, resource_id, json_valid(details) AS is_json,
+            CAST(json_extract_string(details, '$.k') AS BIGINT) AS k,
+            json_extract_string(details, '$.dsp_name') AS dsp_name,
+            json_extract_string(details, '$.assigned_dsp_id') AS assigned_dsp_id
+        FROM all_logs""",
+    "q11_by_detail": f"""
+        SELECT l.id, action, resource, resource_id, details, l.created_at, u.full_name AS user
+        FROM all_logs l LEFT JOIN users u ON u.id = l.user_id
+        WHERE json_extract_string(details, '$.assigned_dsp_id') = 'u08'
+        ORDER BY l.created_at DESC, {num('l.id', 'al')} LIMIT 100""",
+    "s02_bad_rows": """
+        SELECT 'merchant_signals' AS table_name,
+            CASE WHEN kind = 5 THEN 'xx' || id ELSE id END AS id,
+            CASE kind WHEN 1 THEN 'unreadable' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'merchant_id not null'
+                WHEN 4 THEN 'campaign_status allowed' ELSE 'id form' END AS reason
+        FROM landed WHERE kind BETWEEN 1 AND 5""",
+}
+
+
 # The model's tables by name, for the integrity rules.
 MODEL_SQL = {
     "users": "users", "merchants": "merchants", "merchant_signals": "signals",

@@ -21,6 +21,7 @@ from fieldbeat.operators import (
 )
 from fieldbeat.operators.scope import Caller, active
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
+from fieldbeat.sources import landing
 from fieldbeat.sources.store import Store
 from fieldbeat.sources.tables import conform, write_tables
 from fieldbeat.sources.testdata import AS_OF, NOW, TestData
@@ -161,6 +162,37 @@ def _stored(d: TestData) -> DataFrame:
         .unionByName(rows("visit_history", "outcome", "dsp_id", "visit_date")))
 
 
+def _landed(d: TestData) -> Store:
+    """A store of signals after two deliveries of files, each taken once, and a third call."""
+    root = f"{shared_folder(d.spark)}/landed-{uuid.uuid4().hex}"
+    write_tables(d.tables, f"{root}/store", ("merchant_signals",))
+    store = Store(d.spark, f"{root}/store")
+    lines = d.landed_lines()
+    for delivery in (0, 1, 2):
+        part = lines.where(F.col("_signal") % 2 == delivery).select("line")
+        part.write.mode("append").text(f"{root}/files")
+        landing.take_files(store, f"{root}/files", "merchant_signals", SIGNAL_KEYS, f"{root}/seen",
+                           source="files").awaitTermination()
+    return store
+
+
+def _bad_rows(d: TestData) -> DataFrame:
+    return _landed(d).tables().bad_rows.select(
+        "table_name", F.regexp_extract("row", '"id":"([^"]*)"', 1).alias("id"), "reason")
+
+
+def _details(d: TestData) -> DataFrame:
+    """Of the stored audit rows and of new ones, whose details have other fields."""
+    logs = d.tables.audit_logs.unionByName(_m07(d).audit)
+    return admin.audit_details(d.tables.replace(audit_logs=logs), ADMIN, {
+        "$.k": "bigint", "$.dsp_name": "string", "$.assigned_dsp_id": "string"}).drop("user_id", "created_at")
+
+
+def _by_detail(d: TestData) -> DataFrame:
+    logs = d.tables.audit_logs.unionByName(_m07(d).audit)
+    return admin.audit_by_detail(d.tables.replace(audit_logs=logs), ADMIN, "$.assigned_dsp_id", "u08", 100)
+
+
 def _view(name: str) -> Query:
     def query(d: TestData) -> DataFrame:
         manager.register_views(d.tables, AS_OF)
@@ -212,6 +244,8 @@ QUERIES: dict[str, Query] = {
     "q11_audit": lambda d: admin.audit_trail(d.tables, ADMIN),
     "q11_audit_filtered": lambda d: admin.audit_trail(d.tables, ADMIN, "view", 200),
     "q11_audit_page": lambda d: admin.audit_page(d.tables, ADMIN, "_data"),
+    "q11_details": _details,
+    "q11_by_detail": _by_detail,
     "q12_dsp": lambda d: dashboards.dsp_dashboard(d.tables, DSP, AS_OF),
     "q12_dsp_all": lambda d: dashboards.dashboards_for_all(d.tables, "DSP", AS_OF),
     "q13_manager": lambda d: dashboards.manager_dashboard(d.tables, MANAGER, AS_OF),
@@ -282,6 +316,8 @@ QUERIES: dict[str, Query] = {
     "s01_conform_scores": lambda d: conform("daily_scores", d.database_scores()),
     "s01_conform_messages": lambda d: conform("chat_messages", d.database_sessions()),
     "s01_conform_audit": lambda d: conform("audit_logs", d.database_logs()),
+    "s02_landed": lambda d: _landed(d).tables().merchant_signals,
+    "s02_bad_rows": _bad_rows,
     "s03_insert_ignore": lambda d: _insert(d, d.tables.merchant_signals),
     "s03_twice": lambda d: _insert(d, _insert(d, d.tables.merchant_signals)),
     "s04_upsert": lambda d: _upsert(d, d.tables.merchant_signals),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +152,9 @@ class Store:
             metrics.append(F.collect_set(date_text(name)).alias("dates"))
         seen = Observation()
         write(rows.observe(seen, *metrics))
-        found = seen.get
+        try:
+            found = seen.get
+        except Py4JJavaError:  # a plan that is known to be empty has no metrics
+            found = {}
         last = max(before or 0, found.get("last") or 0) if name in ID_PREFIX else None
         return last, set(found.get("dates") or ())

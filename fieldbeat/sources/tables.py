@@ -142,6 +142,7 @@ class State:
     slots: dict[tuple[str, str | None], int]
     last: dict[str, int]
     dead: list[str]
+    names: set[str]
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> State:
@@ -155,7 +156,8 @@ class State:
             max((r["seq"] for r in rows), default=0),
             {(r["table_name"], r["date"]): r["slot"] for r in named if r["slot"] is not None},
             {r["table_name"]: r["last"] for r in named if r["date"] is None and r["last"] is not None},
-            sorted({a for r in rows for a in r["began"]} - done))
+            sorted({a for r in rows for a in r["began"]} - done),
+            {r["table_name"] for r in named})
 
     def slot(self, name: str, date: str | None = None) -> int:
         return self.slots.get((name, date), GONE if name in LATEST else 0)
@@ -172,7 +174,10 @@ def date_text(name: str) -> Column:
 def read_table(spark: SparkSession, root: str, name: str, state: State) -> DataFrame:
     """The committed rows of a stored table. Which slots hold them is a filter on folders alone."""
     path, schema = f"{root}/{name}", table_schema(name)
-    columns = spark.createDataFrame([], schema).columns
+    empty = spark.createDataFrame([], schema)
+    columns = empty.columns
+    if name == "bad_rows" and name not in state.names:
+        return empty
     if name in ADDED_TABLES:
         log = f", {LOG_DATE[name][0]} date" if name in LOG_DATE else ""
         rows = spark.read.schema(f"{schema}, {ATTEMPT_COLUMN} string{log}").parquet(path)

@@ -36,6 +36,9 @@ EVENT_OUTCOMES = {
 }
 
 
+# Landed rows are damaged by the remainder of their number by this step, the second of a key by
+# another one.
+LANDING_STEP = 17
 # The remainder of a row's number by this step tells which rule it breaks, if any.
 DAMAGE_STEP = 17
 DAMAGE_ID = {"chat_messages": "session_id"}
@@ -444,6 +447,26 @@ class TestData:
         })
         return first.unionByName(second)
 
+    def landed_lines(self) -> DataFrame:
+        """``next_day_signals`` as lines of JSON, with the number of the signal they come from.
+        Some are damaged, by the remainder of that number, the second row of a key by another step
+        than the first: cut off, a text for a number, a missing merchant, a status that is not
+        allowed, an id of another form."""
+        second = F.col("id").startswith("ms10")
+        rows = self.next_day_signals().withColumn(
+            "_signal", F.substr("id", F.when(second, 5).otherwise(4)).cast("bigint"))
+        kind = F.col("_signal") % F.when(second, 19).otherwise(LANDING_STEP)
+        rows = rows.withColumn("_kind", kind).withColumns({
+            "merchant_id": F.when(F.col("_kind") != 3, F.col("merchant_id")),
+            "campaign_status": F.when(F.col("_kind") == 4, "none of these").otherwise(F.col("campaign_status")),
+            "id": F.when(F.col("_kind") == 5, F.concat(F.lit("xx"), "id")).otherwise(F.col("id")),
+        })
+        line = F.to_json(F.struct(*self.tables.merchant_signals.columns))
+        text = F.regexp_replace(line, '"transaction_volume":[0-9-]+', '"transaction_volume":"many"')
+        cut = F.concat(F.lit('{"id":"'), "id", F.lit('"'))
+        return rows.select("_signal", F.when(F.col("_kind") == 1, cut).when(
+            F.col("_kind") == 2, text).otherwise(line).alias("line"))
+
     # Rows as a database has them
 
     def _zoned(self, table: DataFrame, **changes: Column) -> DataFrame:
