@@ -4,7 +4,8 @@ A piece of text starts as single bytes in a linked list. Every adjacent pair wit
 in the bucket of its rank. A bitmap over the ranks, with a second bitmap over its words, gives
 the lowest rank that waits by two find-first-set steps. An entry whose pair has changed since
 is stale and skipped. A merge costs the same in a piece of any length, so very long pieces (a
-hundred thousand letters without a space) take time in proportion to their length.
+hundred thousand letters without a space) take time in proportion to their length. The new
+pieces of some megabyte of text go through one queue together.
 """
 
 from __future__ import annotations
@@ -13,18 +14,19 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from fieldbeat.llm.shared import in_batches, lists, replaced, slices, texts, with_fields
 
-#: Distinct pieces a Python worker remembers; bounds its memory, not the result.
-REMEMBERED = 500_000
+#: Distinct pieces a Python worker remembers before it starts anew; bounds its memory, not the
+#: result.
+REMEMBERED = 300_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 48
 #: A bitmap word has 2**8 bits, a top-level word has one bit for each of them.
@@ -40,96 +42,149 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.words = [0] * ((max(self.tokens, default=0) >> WORD_BITS) + 1)
+        # The bytes of all tokens in a row, and where each one's are.
+        count = max(self.tokens, default=-1) + 1
+        self.places, self.sizes = np.full(count, -1, np.int32), np.zeros(count, np.int32)
+        self.data = np.frombuffer(b"".join(self.tokens.values()), np.uint8)
+        at = 0
+        for rank, token in self.tokens.items():
+            self.places[rank], self.sizes[rank] = at, len(token)
+            at += len(token)
+        self.two_bytes = np.full(1 << 16, -1)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.two_bytes[token[0] * 256 + token[1]] = rank
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece: its own, or those left after all merges, lowest rank first."""
-        if piece in self.ranks or not piece:
-            return (self.ranks[piece],) if piece else ()
-        get, words, n = self.ranks.get, self.words, len(piece)
-        end = list(range(1, n + 1))  # of the token that starts here
-        before = list(range(-1, n))  # where the token before starts
-        waiting = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts here
-        waiting[-1] = -1
-        buckets: dict[int, int | list[int]] = {}  # a position, or a heap of several
-        top = 0
-        for i, rank in enumerate(waiting):
-            if rank < 0:
-                continue
-            bucket = buckets.get(rank)
-            if bucket is None:
-                buckets[rank] = i
-                words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
-                top |= 1 << (rank >> WORD_BITS)
-            elif type(bucket) is int:
-                buckets[rank] = [bucket, i]
-            else:
-                bucket.append(i)
+        return tuple(self.encode_all([piece])[0])
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece. Pieces share one queue but never merge with each other: of each
+        one the pairs go by rank, and from left to right, as they would alone."""
+        known = [self.ranks.get(p) for p in pieces]
+        open_pieces = [p for p, i in zip(pieces, known, strict=True) if i is None and p]
+        merged = iter(self._merged(open_pieces) if open_pieces else ())
+        return [[i] if i is not None else next(merged) if p else []
+                for p, i in zip(pieces, known, strict=True)]
+
+    def _merged(self, pieces: list[bytes]) -> list[list[int]]:
+        get, words = self.ranks.get, self.words
+        # All pieces in one text, with a place between them at which nothing merges.
+        text = b"\0".join(pieces) + b"\0"
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stops = np.cumsum(sizes + 1) - 1
+        n = len(text)
+        stop = bytearray(n)
+        np.frombuffer(stop, np.uint8)[stops] = 1
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        first = np.full(n, -1)
+        first[:-1] = self.two_bytes[data[:-1] * 256 + data[1:]]
+        first[stops], first[stops - 1] = -1, -1
+        before = np.arange(-1, n - 1)
+        before[0], before[stops[:-1] + 1] = -1, -1
+        end, before, waiting = list(range(1, n + 1)), before.tolist(), first.tolist()
+        # The places of each rank, in order; a bit for each rank that waits.
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, cuts = np.unique(first[at], return_index=True)
+        buckets = dict(zip(ranks.tolist(), map(np.ndarray.tolist, np.split(at, cuts[1:])), strict=True)) if len(at) else {}
+        top, bucket_of = 0, buckets.get
+        for rank in buckets:
+            words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
+            top |= 1 << (rank >> WORD_BITS)
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
             rank = (w << WORD_BITS) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            i = bucket if type(bucket) is int else heappop(bucket)
-            if i is bucket or not bucket:
-                del buckets[rank]
-                words[w] = word = word & (word - 1)
-                if not word:
-                    top &= top - 1
-            if waiting[i] != rank:
-                continue
-            j = end[i]
-            k = end[i] = end[j]
-            before[k] = i
-            waiting[j] = -1
-            # The pairs of the new token with the one after it and the one before it.
-            h, last = i, end[k] if k < n else 0
-            while h >= 0:
-                waiting[h] = rank = get(piece[h:last], -1) if last else -1
-                if rank >= 0:
-                    bucket = buckets.get(rank)
-                    if bucket is None:
-                        buckets[rank] = h
-                        words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
-                        top |= 1 << (rank >> WORD_BITS)
-                    elif type(bucket) is int:
-                        buckets[rank] = [bucket, h] if bucket <= h else [h, bucket]
-                    else:
-                        heappush(bucket, h)
-                if h < i:
+            words[w] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            places = buckets.pop(rank)
+            places.sort()
+            lowest = rank
+            for done, i in enumerate(places, 1):
+                if waiting[i] != rank:
+                    continue
+                j = end[i]
+                k = end[i] = end[j]
+                waiting[j] = -1
+                # The pairs of the new token with the one after it and the one before it.
+                if stop[k]:
+                    waiting[i] = -1
+                else:
+                    before[k] = i
+                    waiting[i] = new = get(text[i : end[k]], -1)
+                    if new >= 0:
+                        bucket = bucket_of(new)
+                        if bucket is not None:
+                            bucket.append(i)
+                        else:
+                            buckets[new] = [i]
+                            w = new >> WORD_BITS
+                            if not words[w]:
+                                top |= 1 << w
+                            words[w] |= 1 << (new & WORD_MASK)
+                            if new < lowest:
+                                lowest = new
+                h = before[i]
+                if h >= 0:
+                    waiting[h] = new = get(text[h:k], -1)
+                    if new >= 0:
+                        bucket = bucket_of(new)
+                        if bucket is not None:
+                            bucket.append(h)
+                        else:
+                            buckets[new] = [h]
+                            w = new >> WORD_BITS
+                            if not words[w]:
+                                top |= 1 << w
+                            words[w] |= 1 << (new & WORD_MASK)
+                            if new < lowest:
+                                lowest = new
+                if lowest < rank and done < len(places):
+                    # A lower rank comes first; the rest of this one waits again.
+                    buckets[rank] = places[done:]
+                    words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
+                    top |= 1 << (rank >> WORD_BITS)
                     break
-                h, last = before[i], k
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(ids)
+        out, i = [], 0
+        for size in sizes.tolist():
+            last, ids = i + size, []
+            while i < last:
+                ids.append(get(text[i : end[i]]))
+                i = end[i]
+            out.append(ids)
+            i += 1
+        return out
 
 
 class Remembered(dict):
-    """Ids by piece of text, as the bytes of 32-bit numbers."""
+    """Ids by piece of text, as the bytes of 32-bit numbers; those of long pieces only for one
+    part of a batch."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.long = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.vocabulary.encode(piece.encode())).tobytes()
-        if len(self) < REMEMBERED and len(piece) <= REMEMBERED_CHARS:
-            self[piece] = ids
-        return ids
+        return self.long[piece]
 
+    def learn(self, pieces: set[str]) -> None:
+        self.long = {}
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = list(pieces.difference(self))
+        for piece, ids in zip(new, self.vocabulary.encode_all([p.encode() for p in new]), strict=True):
+            (self if len(piece) <= REMEMBERED_CHARS else self.long)[piece] = array("i", ids).tobytes()
 
-@lru_cache(maxsize=2)
+
+@lru_cache(maxsize=1)
 def _remembered(lines: bytes) -> Remembered:
     """One per worker and vocabulary, kept from task to task."""
     return Remembered(Vocabulary(lines))
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(lines: bytes) -> Vocabulary:
-    return Vocabulary(lines)
-
-
 def read_ranks(path: str) -> bytes:
     """The rank file's lines, read by the driver. A vocabulary has some ten thousand entries
     whatever the size of the data, so tasks get it by broadcast."""
@@ -142,28 +197,38 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str, colu
     find, known = regex.compile(pattern).findall, _remembered(ranks)
     for batch in batches:
         for part in slices(batch, column):
-            found = [
-                np.frombuffer(b"".join(map(known.__getitem__, find(t))), np.int32)
-                for t in texts(part, column)
-            ]
+            pieces = [find(t) for t in texts(part, column)]
+            known.learn(set().union(*pieces))
+            found = [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in pieces]
             ids = lists(np.concatenate(found), [len(x) for x in found], pa.int32())
             yield replaced(part, **{to: ids})
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ranks: bytes, column: str,
              to: str) -> Iterator[pa.RecordBatch]:
-    token = _vocabulary(ranks).tokens.__getitem__
+    """Copies the bytes of all tokens of some texts at once, from one array that has them all."""
+    vocabulary = _remembered(ranks).vocabulary
+    places, sizes, data = vocabulary.places, vocabulary.sizes, vocabulary.data
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             values = part.column(column)
-            flat = values.flatten().to_pylist()
-            sizes = values.value_lengths().fill_null(0).to_pylist()
-            decoded, at = [], 0
-            for size in sizes:
-                decoded.append(b"".join(map(token, flat[at : at + size])))
-                at += size
-            yield replaced(part, **{to: pa.array(decoded, pa.binary())})
+            flat = values.flatten()
+            if flat.null_count or len(flat) and not (
+                    0 <= pc.min(flat).as_py() and pc.max(flat).as_py() < len(places)
+                    and places[flat.to_numpy()].min() >= 0):
+                raise KeyError("an id is not in the vocabulary")
+            ids = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = sizes[ids]
+            ends = np.cumsum(size)
+            moved = np.repeat(places[ids] - (ends - size), size)
+            moved += np.arange(len(moved), dtype=moved.dtype)
+            counts = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+            decoded = pa.Array.from_buffers(
+                pa.large_binary(), len(part), [None, pa.py_buffer(cuts.astype(np.int64)),
+                                               pa.py_buffer(data[moved])])
+            yield replaced(part, **{to: decoded.cast(pa.binary())})
 
 
 def _ids(name: str) -> StructField:
