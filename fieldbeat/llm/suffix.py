@@ -8,7 +8,8 @@ The others are sorted twice, by what follows the anchor and by what comes before
 common extensions to both sides, found by binary search over polynomial prefix hashes and then
 verified on the bytes, tell which strings around the anchor both have. What neighbours leave
 open, which only happens where neither has both the longest extensions, is compared with the
-seed's commonest context, and after that settled by comparing those single strings.
+seed's commonest context, and after that settled by looking for those single strings in the
+seed's other contexts; which of these are equal is told by their bytes.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ from fieldbeat.llm.shared import (
 
 #: Bytes a task hashes at once.
 HASHED_BYTES = 1 << 20
+#: Contexts of a seed that a task compares with its open strings, and how many of these it knows by
+#: hash; both bound its memory, not the result.
+PART, MOST_OPEN = 4096, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -281,25 +285,58 @@ def _compared(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.Record
             ["seed", "context", "after", "before", "starts", "open", "lo", "hi"])
 
 
-def _strings(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordBatch]:
-    """The single strings at the open starts of a seed, as two hashes, and whether the context
-    itself leaves the start open."""
+def _string(after: bytes, before: bytes, start: int, z: Sizes) -> bytes | None:
+    """The string that starts so many bytes before the anchor, if the text has all of it."""
+    if start <= len(before) and z.length - start <= len(after):
+        return before[:start][::-1] + after[: z.length - start]
+    return None
+
+
+def _own_strings(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordBatch]:
+    """Start and hash of the strings that contexts leave open, and into how many parts their seed's
+    contexts are split."""
     for batch in batches:
-        out: list[tuple] = []
-        names = ("seed", "context", "after", "before", "starts", "open")
-        columns = (batch.column(n).to_pylist() for n in names)
-        for seed, context, after, before, starts, left_open in zip(*columns, strict=True):
-            own = set(left_open or ())
-            for s in starts:
-                if s <= len(before) and z.length - s <= len(after):
-                    string = before[:s][::-1] + after[: z.length - s]
-                    out.append((seed, context, s, s in own, xxhash.xxh3_64_intdigest(string) - (1 << 63),
-                                xxhash.xxh64_intdigest(string) - (1 << 63)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            ["seed", "context", "start", "open", "h1", "h2"])
+        columns = (batch.column(n).to_pylist() for n in ("seed", "after", "before", "open", "parts"))
+        out = [
+            (seed, start, xxhash.xxh3_64_intdigest(string) - (1 << 63), parts)
+            for seed, after, before, left_open, parts in zip(*columns, strict=True) for start in left_open
+            if (string := _string(after, before, start, z)) is not None]
+        yield _batch(out, {"seed": pa.int64(), "start": pa.int32(), "hash": pa.int64(), "parts": pa.int64()})
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
+def _matched(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordBatch]:
+    """Rows come by seed and part: first the strings that are open in the seed, as start and hash,
+    then contexts. A row for each string of a context that is one of the open ones, its own
+    included, with its bytes. Beyond a bound, all of a seed's strings count as open."""
+    here, known, every = None, set(), False
+    kinds = {"seed": pa.int64(), "context": pa.int64(), "start": pa.int32(), "open": pa.bool_(),
+             "string": pa.binary()}
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch, out = whole.slice(at, 1024), []
+            columns = (batch.column(n).to_pylist() for n in (
+                "seed", "part", "start", "hash", "context", "after", "before", "starts", "open"))
+            for seed, part, start, code, context, after, before, starts, left_open in zip(*columns, strict=True):
+                if here != (seed, part):
+                    here, known, every = (seed, part), set(), False
+                if after is None:
+                    every = every or len(known) >= MOST_OPEN
+                    if not every:
+                        known.add((start, code))
+                    continue
+                own = set(left_open or ())
+                for s in starts:
+                    string = _string(after, before, s, z)
+                    if string is not None and (
+                            every or (s, xxhash.xxh3_64_intdigest(string) - (1 << 63)) in known):
+                        out.append((seed, context, s, s in own, string))
+            yield _batch(out, kinds)
 
 
 def _repeated(docs: DataFrame, z: Sizes) -> DataFrame:
@@ -323,7 +360,7 @@ def _repeated(docs: DataFrame, z: Sizes) -> DataFrame:
             F.min(F.struct("k1", "k2", "place")).alias("at")))
     wanted = classes.where("mixed").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(
         F.col("at.place").alias("place"), "seed", "context", "n")).alias("wanted"))
-    once = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    once = docs.where(F.octet_length("text") >= z.length).groupBy("k1", "k2").agg(F.first("text").alias("text"))
     contexts = stage(in_batches(
         once.join(wanted, ["k1", "k2"]).select("text", "wanted"), lambda b: _contexts(b, z),
         "seed long, context long, n long, after binary, before binary"))
@@ -383,11 +420,22 @@ def _settle(contexts: DataFrame, z: Sizes) -> DataFrame:
     asked = stage(in_batches(asked.join(common_ones, "seed"), lambda b: _compared(b, z), fields))
     starts = stage(asked.select("seed", F.explode("open").alias("start")).groupBy("seed").agg(
         F.collect_set("start").alias("still")))
-    left = asked.join(starts, "seed").withColumn("starts", F.array_intersect("starts", "still"))
+    left = asked.join(starts, "seed").withColumn("starts", F.array_intersect("starts", "still")).where(
+        "size(starts) > 0").drop("still", "lo", "hi")
+    parts = left.groupBy("seed").agg((F.floor(F.count("*") / PART) + 1).alias("parts"))
+    left = stage(left.join(parts, "seed"))
+    # Strings that are open meet all contexts of their seed that may have them; few do.
+    own = in_batches(left.where("size(open) > 0"), lambda b: _own_strings(b, z),
+                     "seed long, start int, hash long, parts long")
+    asking = own.distinct().select(
+        "seed", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "start", "hash")
+    asked_of = left.select("seed", F.pmod("context", "parts").alias("part"), "context", "after", "before",
+                           "starts", "open")
+    both = asking.unionByName(asked_of, allowMissingColumns=True).repartition("seed", "part")
     strings = stage(in_batches(
-        left.where("size(starts) > 0").drop("still", "lo", "hi"), lambda b: _strings(b, z),
-        "seed long, context long, start int, open boolean, h1 long, h2 long"))
-    string = ["seed", "start", "h1", "h2"]
+        both.sortWithinPartitions("seed", "part", F.col("after").isNotNull()), lambda b: _matched(b, z),
+        "seed long, context long, start int, open boolean, string binary"))
+    string = ["seed", "start", "string"]
     twice = stage(strings.groupBy(*string).agg(
         F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select(*string))
     more = strings.where("open").join(twice, string, "left_semi").groupBy("seed", "context").agg(
