@@ -42,41 +42,88 @@ UNSEEN = HIDDEN - {"head"}
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset(
     "nav header footer aside form menu button select textarea dialog title".split())
-#: Names in classes, ids and roles that tell what is not the article.
-NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|"
-    r"disclaimer|disqus|footer|header|legal|masthead|menu|nav|navbar|navigation|newsletter|notices?|"
-    r"pagination|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|"
-    r"subscribe|toolbar|widget)(?:$|[^a-z])")
+#: Words in classes, ids and roles that tell what inside an article is not part of it, and words
+#: that say nothing beside them. A name counts if it has one of the first and none but these.
+NAMES = frozenset(
+    "ad ads adsbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments"
+    " complementary consent contentinfo cookie cookies disclaimer discussion disqus footer header legal"
+    " masthead menu nav navbar navigation newsletter notice notices pagination popup promo related replies"
+    " reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+NEUTRAL = frozenset(
+    "area bar block body bottom box buttons container content form inner item items left links list main outer"
+    " page panel post posts reader right section slot text top unit user wrap wrapper".split())
 #: What every page with a block of the article has.
 ARTICLE = r"(?i)<(?:article|main)[\s/>]"
 LANDMARKS = frozenset({"content", "boilerplate"})
 
 
+def _says_boilerplate(names: str) -> bool:
+    """Whether one of the names (classes, ids and role) is made of such words only."""
+    for name in names.split():
+        words = [w for w in re.split("[^a-z]+", name) if w]
+        if not NAMES.isdisjoint(words) and all(w in NAMES or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
+class Node:
+    """An open element, and what it and those around it are to a block inside: the role of the
+    nearest one that has a role, all tags, the innermost that breaks lines, and whether one links.
+
+    The element decides its role; names do for other elements inside an article, or where there is no
+    article around.
+    """
+
+    __slots__ = ("tag", "names", "parent", "role", "tags", "leaf", "links")
+
+    def __init__(self, tag: str = "", names: str = "", parent: Node | None = None):
+        self.tag, self.names, self.parent = tag, names, parent
+        around = ("none", frozenset(), "", False) if parent is None else (
+            parent.role, parent.tags, parent.leaf, parent.links)
+        self.role, self.tags, self.leaf, self.links = around
+        if tag in BOILERPLATE:
+            self.role = "boilerplate"
+        elif tag in CONTENT:
+            self.role = "content"
+        elif names and _says_boilerplate(names):
+            self.role = "boilerplate"
+        if tag and tag not in self.tags:
+            self.tags = self.tags | {tag}
+        if tag in BREAKS:
+            self.leaf = tag
+        self.links = self.links or tag == "a"
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, its open elements (tag, classes and ids) and its linked characters."""
+    """A leaf block: its text, the innermost open element, and its linked characters."""
 
     text: str
-    path: list[tuple[str, str]]
+    node: Node
     linked: int
 
 
+#: Elements whose start ends an open one of the same kind, unless a list or table is nearer.
+IMPLIED = {"li": "li", "dd": "dd", "dt": "dt", "td": "td", "th": "td", "tr": "tr", "option": "option"}
+
+
 class Blocks(HTMLParser):
-    """Collects the blocks of a page; ends that are missing are closed as browsers do."""
+    """Collects the blocks of a page; ends that are missing are closed as browsers do. Time and
+    memory grow with the page, however deep it is."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.path: list[tuple[str, str]] = []
+        self.path: list[Node] = [Node()]
+        self.open: dict[str, list[int]] = {}  # where in the path a tag is open
         self.pieces: list[str] = []
         self.linked = 0
-        self.hidden = 0  # open elements of HIDDEN, other than head
+        self.hidden = 0  # open elements of UNSEEN
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.blocks.append(Block(text, list(self.path), self.linked))
+            self.blocks.append(Block(text, self.path[-1], self.linked))
         self.pieces, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -84,15 +131,15 @@ class Blocks(HTMLParser):
             pass  # it breaks nothing that shows
         elif tag in BREAKS:
             self.flush()
-            inner = {"li": "li", "dd": "dd", "dt": "dt", "td": "td", "th": "td", "tr": "tr", "option": "option"}
-            if tag in inner:
-                self._close(inner[tag], {"ul", "ol", "dl", "table", "select"})
-            self._close("p", {"td", "th", "li", "button"})
+            if tag in IMPLIED:
+                self._close(IMPLIED[tag], ("ul", "ol", "dl", "table", "select"))
+            self._close("p", ("td", "th", "li", "button"))
         else:
             self.pieces.append(" " if tag == "br" else "")
         if tag not in VOID:
             names = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-            self.path.append((tag, names))
+            self.open.setdefault(tag, []).append(len(self.path))
+            self.path.append(Node(tag, names, self.path[-1]))
             self.hidden += tag in UNSEEN
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -103,31 +150,34 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BREAKS and not self._inside_hidden(tag):
             self.flush()
-        self._close(tag, set())
+        self._close(tag)
 
     def _inside_hidden(self, tag: str) -> bool:
         """Whether the innermost open element of this tag is in a hidden one."""
-        if not self.hidden:
+        if not self.hidden or not self.open.get(tag):
             return False
-        first = next(i for i, (t, _) in enumerate(self.path) if t in UNSEEN)
-        return any(t == tag for t, _ in self.path[first:])
+        return self.open[tag][-1] >= min(self.open[t][0] for t in UNSEEN if self.open.get(t))
 
-    def _close(self, tag: str, limits: set[str]) -> None:
+    def _close(self, tag: str, limits: tuple[str, ...] = ()) -> None:
         """Closes the innermost open element of this tag, unless one of the limits is nearer;
         with limits, the close is implied and does not reach out of a hidden element."""
-        for i in range(len(self.path) - 1, -1, -1):
-            if self.path[i][0] == tag:
-                self.hidden -= sum(t in UNSEEN for t, _ in self.path[i:])
-                del self.path[i:]
-                return
-            if self.path[i][0] in limits or limits and self.path[i][0] in UNSEEN:
+        places = self.open.get(tag)
+        if not places:
+            return
+        at = places[-1]
+        for other in (*limits, *UNSEEN) if limits else ():
+            if other != tag and self.open.get(other) and self.open[other][-1] > at:
                 return
+        for node in self.path[at:]:
+            self.open[node.tag].pop()
+            self.hidden -= node.tag in UNSEEN
+        del self.path[at:]
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
             return
         self.pieces.append(data)
-        if any(t == "a" for t, _ in self.path):
+        if self.path[-1].links:
             self.linked += len(data)
 
 
@@ -140,25 +190,13 @@ def blocks(html: str) -> list[Block]:
     return parser.blocks
 
 
-def _landmark(block: Block) -> str:
-    """The role of the nearest ancestor that has one."""
-    for tag, names in reversed(block.path):
-        if tag in BOILERPLATE or (names and NAMES.search(names)):
-            return "boilerplate"
-        if tag in CONTENT:
-            return "content"
-    return "none"
-
-
 def features(block: Block, position: float) -> list[str]:
-    tags = [t for t, _ in block.path]
-    words = block.text.split()
-    size = min(len(words).bit_length(), 7)
+    size = min((block.text.count(" ") + 1).bit_length(), 7)
     return [
         "bias",
-        f"landmark={_landmark(block)}",
-        *(f"in={t}" for t in set(tags) if t not in ("html", "body", "b", "i", "em", "strong")),
-        f"tag={next((t for t in reversed(tags) if t in BREAKS), '')}",
+        f"landmark={block.node.role}",
+        *(f"in={t}" for t in block.node.tags if t not in ("html", "body", "b", "i", "em", "strong")),
+        f"tag={block.node.leaf}",
         f"words={size}",
         f"links={round(4 * block.linked / max(1, len(block.text)))}",
         f"ends={block.text[-1] in '.!?:;”\"»…'}",
@@ -170,7 +208,7 @@ def features(block: Block, position: float) -> list[str]:
 
 def labels(page: list[Block]) -> list[int]:
     """1 for blocks that the markup says are the article's."""
-    return [int(_landmark(b) == "content") for b in page]
+    return [int(b.node.role == "content") for b in page]
 
 
 def _sequence(page: list[Block]) -> list[list[str]]:
@@ -193,12 +231,12 @@ def _moved(page: list[Block]) -> list[Block]:
     elements = "h2 h3 li blockquote pre td dd figcaption div p p p".split()
     moved = []
     for i, b in enumerate(page):
-        path = b.path
-        if path and i % 3 == 2:
-            path = [*path[:-1], wrappers[i // 3 % len(wrappers)], path[-1]]
-        elif path and i % 3 == 1:
-            path = [*path[:-1], (elements[i // 3 % len(elements)], path[-1][1])]
-        moved.append(Block(b.text, path, b.linked))
+        node, around = b.node, b.node.parent
+        if around is not None and i % 3 == 2:
+            node = Node(node.tag, node.names, Node(*wrappers[i // 3 % len(wrappers)], around))
+        elif around is not None and i % 3 == 1:
+            node = Node(elements[i // 3 % len(elements)], node.names, around)
+        moved.append(Block(b.text, node, b.linked))
     return moved
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -52,6 +54,36 @@ def test_other_parts_of_an_article(crf):
     assert got == ["Head & line", LONG, LONG, LONG, "one two <b> é"]
 
 
+@pytest.mark.parametrize("start", [
+    '<main class="content no-sidebar">', '<article class="post tag-related">', '<article id="legal-news">',
+    '<article class="sponsored">', '<article><div class="legal-news">', '<article><div class="commented has-comments">',
+    '<article><section id="share-of-voice">', '<body class="nav"><article role="main">'])
+def test_names_do_not_lose_articles(crf, start):
+    page = f"<nav><a href=x>Home</a></nav>{start}<h1>Headline</h1><p>{LONG}</p><p>{LONG}</p></div></article></main><footer>(c) x</footer>"
+    assert pages.main_text(page, crf).split("\n")[-3:] == ["Headline", LONG, LONG]
+
+
+@pytest.mark.parametrize("names", [
+    "class=comments", 'class="user-discussion"', "id=comments-list", 'class="x ad-slot-2"', "class=adsbox",
+    "role=complementary", 'class="reader-comments"', "class=cookie_notice", "class=newsletter-form"])
+def test_names_that_are_not_the_article(crf, names):
+    page = f"<article><h1>Headline</h1><p>{LONG}</p><p>{LONG}</p><section {names}><p>{LONG}</p><p>{LONG}</p></section></article>"
+    assert pages.main_text(page, crf) == f"Headline\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("part", [
+    "<span>text <h2>word</h2>", "<div><p>text", "<b><i>x", "<ul><li>one", "<a href=x>link <h3>w</h3>", "</p></div>x"])
+def test_very_long_pages_without_ends(crf, part):
+    page = "<article>" + part * (2_000_000 // len(part))
+    tracemalloc.start()
+    started = time.process_time()
+    found = pages.blocks(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and len(pages.features(found[-1], 1.0)) < 20
+    assert time.process_time() - started < 60 and peak < 300 << 20  # traced, which slows it tenfold
+
+
 def test_pages_without_landmarks(crf):
     page = f"<body><div>Home</div><h1>The headline of it</h1><p>{LONG}<p>{LONG}</p><div class=ad>Buy now.</div><footer>(c)</footer>"
     assert pages.main_text(page, crf).split("\n")[-2:] == [LONG, LONG]
