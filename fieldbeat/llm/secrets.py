@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and formats learned from what they find.
 
 Values that the patterns find are labelled credentials. A bounded sample of each kind becomes
-a prefix tree, whose statistically compatible states are merged into a probabilistic automaton
-(by Hoeffding's bound on the frequencies of stopping and of each next character). Two more
-automata are learned from samples of the other tokens, short and long ones. Every token is a
-candidate, and a credential if it fits a format as well as labelled values do that the format
-was not learned from, and if the format explains it better than the other tokens' automata do.
+a prefix tree of classes of characters, whose statistically compatible states are merged into a
+probabilistic automaton (by Hoeffding's bound on the frequencies of stopping and of each next
+class). Two more automata are learned from samples of the other tokens, short and long ones.
+Every token is a candidate, and a credential if it fits a format as well as labelled values do
+that the format was not learned from, if that gives it 40 bits at least, and if the format explains
+it better than the other tokens' automata do.
 
 No bar depends on how many candidates are credentials: those that fit a format are left out of
 what the other tokens' automata learn. Plain words and numbers always stay in.
@@ -50,8 +51,12 @@ PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9+/_=-]+")
 NUMBER = re.compile(r"[0-9+/_=-]+")
 #: Distinct values of a kind, and other tokens, that automata are learned from.
 SAMPLE_ROWS = 400
-#: Confidence of the merge test.
-MERGE_ALPHA = 0.05
+#: A kind with fewer distinct values teaches nothing.
+LEAST_VALUES = 20
+#: Confidence of the merge test, and the words that either state must have for it to tell.
+MERGE_ALPHA, LEAST_COUNT = 0.05, 20
+#: Added to the count of every character of a class that a state has seen.
+SMOOTH = 0.05
 #: Probability of a character that a state has never seen.
 UNSEEN = 1e-4
 #: Least mean gain a character over the other tokens' automata, in nats.
@@ -60,6 +65,9 @@ LEAST_GAIN = 1.0
 #: a character, less a margin; never below that of random characters less LEAST_GAIN.
 FIT_QUANTILE, MARGIN = 0.05, 0.25
 LEAST_FIT = -log(64) - LEAST_GAIN
+#: A credential is hard to guess: characters that its format gives 40 bits at least.
+MOST_GUESSABLE = -40 * log(2)
+DIGITS, SMALL, CAPITALS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Candidates that are scored at once.
 TOKENS_AT_ONCE = 1 << 16
@@ -84,85 +92,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def folded(token: str) -> str:
+    """A token whose letters are all capital, in small ones: a format's case is free as a whole."""
+    return token.lower() if token == token.upper() else token
+
+
+def _kind(char: str) -> str:
+    """The class of a character: digit, small letter, capital, or the character itself."""
+    return "0" if char in DIGITS else "a" if char in SMALL else "A" if char in CAPITALS else char
+
+
 class Automaton:
-    """A probabilistic automaton: per state what follows, where to, and how often it stops."""
+    """A probabilistic automaton over classes of characters, with each state's own frequencies of
+    the characters of a class, and how often it stops.
+
+    The prefix tree of the values' classes is merged level by level: a state joins the first one of
+    its level that it is compatible with. States of different levels stay apart, so a format
+    keeps its length.
+    """
 
     def __init__(self, words: Sequence[str]):
-        self.moves: list[dict[str, int]] = [{}]
-        self.counts: list[Counter] = [Counter()]
-        self.stops: list[int] = [0]
-        for word in words:
-            state = 0
-            for char in word:
-                self.counts[state][char] += 1
-                state = self.moves[state].get(char) or self._grow(state, char)
-            self.stops[state] += 1
-        self._merge_all()
-
-    def _grow(self, state: int, char: str) -> int:
-        self.moves[state][char] = new = len(self.moves)
-        self.moves.append({})
-        self.counts.append(Counter())
-        self.stops.append(0)
-        return new
-
-    def _total(self, state: int) -> int:
-        return self.stops[state] + self.counts[state].total()
-
-    def _compatible(self, a: int, b: int) -> bool:
-        """Whether no frequency below the two states differs by more than chance allows."""
-        pairs = [(a, b)]
+        words = [folded(w) for w in words]
+        kinds = ["".join(map(_kind, w)) for w in words]
+        # The words that pass each state of a level, the largest first.
+        level = [list(range(len(words)))]
+        self.rows: list[tuple[dict[str, tuple[float, int]], float]] = []
+        first, depth = 0, 0
+        while level:
+            after: list[list[int]] = []
+            moves = [self._following(state, kinds, depth) for state in level]
+            # Children join in order of size, so that small ones find the large ones settled.
+            targets: dict[tuple[int, str], int] = {}
+            children = sorted(((i, c) for i, m in enumerate(moves) for c in m), key=lambda x: (
+                -len(moves[x[0]][x[1]]), x))
+            for i, c in children:
+                child = moves[i][c]
+                at = next((j for j, other in enumerate(after)
+                           if self._compatible(child, other, kinds, depth + 1)), None)
+                if at is None:
+                    at = len(after)
+                    after.append([])
+                after[at] = after[at] + child
+                targets[i, c] = at
+            for i, state in enumerate(level):
+                self.rows.append(self._row(
+                    state, moves[i], words, depth, {c: first + len(level) + targets[i, c] for c in moves[i]}))
+            first += len(level)
+            level, depth = after, depth + 1
+
+    @staticmethod
+    def _following(state: list[int], kinds: list[str], depth: int) -> dict[str, list[int]]:
+        """The words that go on, by the class of their next character."""
+        out: dict[str, list[int]] = {}
+        for w in state:
+            if depth < len(kinds[w]):
+                out.setdefault(kinds[w][depth], []).append(w)
+        return out
+
+    def _compatible(self, a: list[int], b: list[int], kinds: list[str], depth: int) -> bool:
+        """Whether no frequency of classes or of stopping differs by more than chance allows, here
+        and further on, as far as both have enough words to tell."""
+        pairs = [(a, b, depth)]
         while pairs:
-            a, b = pairs.pop()
-            n, m = self._total(a), self._total(b)
-            if not n or not m:
+            a, b, depth = pairs.pop()
+            n, m = len(a), len(b)
+            if min(n, m) < LEAST_COUNT:
                 continue
             bound = sqrt(log(2 / MERGE_ALPHA) / 2) * (1 / sqrt(n) + 1 / sqrt(m))
-            x, y = self.counts[a], self.counts[b]
-            if abs(self.stops[a] / n - self.stops[b] / m) > bound:
-                return False
-            if any(abs(x[c] / n - y[c] / m) > bound for c in x.keys() | y.keys()):
+            x, y = self._following(a, kinds, depth), self._following(b, kinds, depth)
+            shares = [(len(x.get(c, ())), len(y.get(c, ()))) for c in x.keys() | y.keys()]
+            shares.append((n - sum(s for s, _ in shares), m - sum(t for _, t in shares)))
+            if any(abs(s / n - t / m) > bound for s, t in shares):
                 return False
-            pairs += [(self.moves[a][c], s) for c, s in self.moves[b].items() if c in self.moves[a]]
+            pairs += [(x[c], y[c], depth + 1) for c in x.keys() & y.keys()]
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to the state a."""
-        pairs = [(a, b)]
-        while pairs:
-            a, b = pairs.pop()
-            self.stops[a] += self.stops[b]
-            self.counts[a] += self.counts[b]
-            for char, below in self.moves[b].items():
-                if char in self.moves[a]:
-                    pairs.append((self.moves[a][char], below))
-                else:
-                    self.moves[a][char] = below
-
-    def _merge_all(self) -> None:
-        """Takes states in the order of the tree: merges each into one that is settled already
-        and compatible, or settles it."""
-        settled = [0]
-        while True:
-            edge = next(((s, c, t) for s in settled for c, t in sorted(self.moves[s].items())
-                         if t not in settled), None)
-            if edge is None:
-                break
-            state, char, new = edge
-            match = next((s for s in settled if self._compatible(s, new)), None)
-            if match is None:
-                settled.append(new)
-            else:
-                self.moves[state][char] = match
-                self._fold(match, new)
-        index = {s: i for i, s in enumerate(settled)}
-        self.rows = [
-            ({c: (log(self.counts[s][c] / self._total(s)), index[t])
-              for c, t in self.moves[s].items()},
-             log(max(self.stops[s] / max(1, self._total(s)), UNSEEN)))
-            for s in settled
-        ]
-        del self.moves, self.counts, self.stops
+    @staticmethod
+    def _row(state: list[int], moves: dict[str, list[int]], words: list[str], depth: int,
+             targets: dict[str, int]) -> tuple[dict[str, tuple[float, int]], float]:
+        """For each character its log probability and the next state, and that of stopping."""
+        out, n = {}, len(state)
+        for c, passing in moves.items():
+            members = {"0": DIGITS, "a": SMALL, "A": CAPITALS}.get(c, c)
+            counts = Counter(words[w][depth] for w in passing)
+            whole = len(passing) + SMOOTH * len(members)
+            for char in members:
+                share = (counts[char] + SMOOTH) / whole
+                out[char] = log(max(share * len(passing) / n, UNSEEN)), targets[c]
+        stops = n - sum(map(len, moves.values()))
+        return out, log(max(stops / max(1, n), UNSEEN))
 
     def score(self, word: str) -> float:
         """Log likelihood; a character its state has never seen costs log UNSEEN and stays."""
@@ -172,7 +190,7 @@ class Automaton:
     def parts(self, word: str, least: float = float("-inf")) -> tuple[float, float]:
         """Log likelihoods of the characters and of stopping; given up below ``least``."""
         total, state, unseen, rows = 0.0, 0, log(UNSEEN), self.rows
-        for char in word:
+        for char in folded(word):
             step = rows[state][0].get(char)
             if step is None:
                 total += unseen
@@ -192,12 +210,13 @@ class Formats:
     other: list[Automaton] = field(default_factory=list)
 
     def fitting(self, token: str) -> float:
-        """The best log likelihood of the formats that the token fits; -inf if it fits none."""
+        """The best log likelihood of the formats that the token fits; -inf if it fits none, or is
+        too short for a credential of the format."""
         best = float("-inf")
         for automaton, fit in self.kinds:
             least = fit * len(token)
             chars, stop = automaton.parts(token, least)
-            if chars >= least:
+            if least <= chars <= MOST_GUESSABLE:
                 best = max(best, chars + stop)
         return best
 
@@ -215,8 +234,6 @@ def _format(values: Sequence[str]) -> tuple[Automaton, float]:
     """The automaton of labelled values, and the fit it asks for: each half of the values is
     scored by an automaton of the other half."""
     halves = values[::2], values[1::2]
-    if not halves[1]:
-        return Automaton(values), LEAST_FIT
     fits = sorted(
         automaton.parts(v)[0] / len(v)
         for automaton, half in ((Automaton(halves[1]), halves[0]), (Automaton(halves[0]), halves[1]))
@@ -272,13 +289,14 @@ def learn(found: DataFrame) -> Formats:
     """Automata from the result of ``find_base``: a bounded sample of distinct values a kind.
 
     Sampled by hash, so the same values give the same automata in any order of rows. A kind
-    without values has no automaton; without any, no candidate is a secret.
+    with fewer than LEAST_VALUES has no automaton; without any, no candidate is a secret.
     """
     labelled = found.select(F.inline("values"))
     others = found.select(F.explode("candidates.token").alias("value"))
     formats = Formats([])
     for kind in KINDS:
-        if values := _sampled(labelled.where(F.col("kind") == kind)):
+        values = _sampled(labelled.where(F.col("kind") == kind))
+        if len(values) >= LEAST_VALUES:
             formats.kinds.append(_format(values))
     if formats.kinds:
         for part in (F.length("value") < LONG, F.length("value") >= LONG):

@@ -56,6 +56,63 @@ def test_automaton_is_a_distribution_of_its_language():
     assert len(automaton.rows) < 20
 
 
+def hexes(r, n, size):
+    return ["".join(r.choice("0123456789abcdef") for _ in range(size)) for _ in range(n)]
+
+
+def test_a_format_keeps_its_length():
+    automaton = secrets.Automaton(hexes(random.Random(1), 300, 40))
+    depth, state = 0, 0
+    while automaton.rows[state][0]:
+        assert math.exp(automaton.rows[state][1]) <= secrets.UNSEEN * 1.01    # no value stops before
+        state = next(iter(automaton.rows[state][0].values()))[1]
+        depth += 1
+    assert depth == 40 and math.exp(automaton.rows[state][1]) == 1
+    two = secrets.Automaton([f"{'key' if i % 2 else '77'}-{h}" for i, h in enumerate(hexes(random.Random(2), 400, 8))])
+    assert two.score("key-0123abcd") > two.score("77-0123abcd") - 10 > two.score("0123abcd-key")
+
+
+WORDS = "decade facade effaced defaced deadbeef accede beaded a3f91c2 2b1e5a 1f3870b 0042 v1.2.3 2024-01-30".split()
+
+
+def test_words_and_short_ids_are_no_credentials(spark):
+    """Of 300 values of 40 hexadecimal digits; the same in capitals is one."""
+    r = random.Random(8)
+    plain = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(6, 14))) for _ in range(2000)]
+    texts = [f"token = {h}" for h in hexes(r, 300, 40)] + [f"the {w} and {r.choice(plain)}" for w in WORDS * 5]
+    texts += [f"{a} {b}" for a, b in zip(plain, plain[1:], strict=False)]
+    capitals = [f"see {h.upper()} there" for h in hexes(r, 40, 40)]
+    df = spark.createDataFrame(list(enumerate([*texts, *capitals])), "doc_id long, text string")
+    found = secrets.find_base(df)
+    rows = secrets.add_learned(found, secrets.learn(found)).collect()
+    hits = {r["doc_id"] for r in rows if any(s["kind"] == secrets.LEARNED for s in r["spans"])}
+    assert hits == set(range(len(texts), len(texts) + len(capitals)))
+
+
+def test_unseen_credentials_of_a_labelled_format(spark):
+    """Nearly a third of the long tokens are keys like the labelled ones, without a keyword."""
+    r = random.Random(6)
+    key = lambda: "sk_" + "".join(r.choice("ABCDEFGHJKLMNPQRSTabcdefghjkmnpqrst23456789") for _ in range(24))
+    syllables = ["the", "an", "er", "ing", "on", "re", "th", "Er", "In"]
+    plain = ["".join(r.choice(syllables) for _ in range(r.randrange(3, 12))) for _ in range(700)]
+    plain += ["_".join(r.choice(syllables) for _ in range(r.randrange(2, 7))) for _ in range(200)]
+    plain += [f"{r.choice(syllables)}-{r.randrange(10**6)}" for _ in range(100)]
+    texts = [f"api_key = {key()}" for _ in range(200)] + [f"a {p} b" for p in plain]
+    unseen = [f"use {key()} now" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate([*texts, *unseen])), "doc_id long, text string")
+    found = secrets.find_base(df)
+    rows = secrets.add_learned(found, secrets.learn(found)).collect()
+    hits = {r["doc_id"] for r in rows if any(s["kind"] == secrets.LEARNED for s in r["spans"])}
+    right = sum(i >= len(texts) for i in hits)
+    assert right >= 0.9 * len(unseen) and right >= 0.95 * len(hits)
+
+
+def test_too_few_values_teach_nothing(spark):
+    texts = [f"token = {h}" for h in hexes(random.Random(3), secrets.LEAST_VALUES - 1, 40)]
+    found = secrets.find_base(spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string"))
+    assert secrets.learn(found).kinds == []
+
+
 def corpus():
     r = random.Random(9)
     keys = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(160)]
