@@ -3,8 +3,9 @@
 What the patterns find are the seeds. The words before a seed are a lexical pattern. Patterns
 and the identifiers they come with form a graph: a pattern is as good as its identifiers, an
 identifier as good as its patterns, and a few rounds pass scores from one to the other. Unseen
-identifiers behind a pattern with enough seeds and confidence are personal data, too; they become
-seeds, which may give more patterns, until none is added.
+identifiers behind a pattern with enough seeds are personal data, too, if seeds are a large
+enough share of all identifiers behind it, or of those of the same form; they become seeds, which
+may give more patterns, until nothing is added.
 
 Only DataFrame functions; a regular expression's places come from the lengths of its matches
 and of the gaps between them.
@@ -41,8 +42,9 @@ CONTEXT_WORDS, CONTEXT_CHARS = 2, 64
 #: Gaps that a context reaches over (so a list's items have the words before the list), and the
 #: word that stands for the start of the text.
 CONTEXT_GAPS, START = 32, "\ue000"
-#: Distinct seeds a pattern needs, its least confidence, and rounds of scoring.
-SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 3
+#: Distinct seeds a pattern needs, their least share of what is judged, of all identifiers behind it,
+#: and of those in the form of a seed, and rounds of scoring.
+SEEDS, SOUND, SHARE, LIKE_SHARE, ROUNDS = 5, 0.7, 0.4, 0.1, 3
 #: Lengths are summed in blocks, so a text with n matches takes about n * (64 + n / 4096) steps.
 BLOCK = 64
 
@@ -150,48 +152,63 @@ def _failed(value: Column) -> Column:
     return address | card
 
 
+def _shape(value: Column) -> Column:
+    """The form of an identifier: runs of digits and of letters, and what is between them."""
+    return F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
+
+
 def patterns(found: DataFrame) -> DataFrame:
-    """(pattern, confidence): the patterns to trust, from the result of ``find_base``.
+    """(pattern, confidence, any_form, shapes): the patterns to trust, from the result of ``find_base``.
 
-    Counted over distinct identifiers of a pattern, so copies of a text weigh as one. Against a
-    pattern are identifiers that fail a base check, and those that also stand behind contexts
-    of mostly such ones; all others are unknown and say nothing until other patterns do.
-    Unseen identifiers of trusted patterns are seeds of the next round.
+    Counted over distinct identifiers of a pattern, so copies of a text weigh as one. A pattern is
+    sound if few of its identifiers fail a base check, or also stand behind contexts of mostly such
+    ones. A sound pattern tells all identifiers behind it if its seeds have SHARE of them, and
+    those of a form that its seeds have (``shapes``) if they have LIKE_SHARE of these. What it tells
+    are seeds of the next round, until a round tells no more.
     """
     def pairs(column: Column) -> DataFrame:
         rows = found.select(F.explode(column).alias("s"))
         return rows.select(_pattern(F.col("s.before")).alias("pattern"), F.col("s.value").alias("value")
                            ).where(F.col("pattern").isNotNull()).distinct()
 
-    base = stage(
-        pairs(F.concat(*[F.col(k) for k in KINDS])).groupBy("pattern").agg(F.count("*").alias("seeds")))
+    # The shapes that identifiers may have, too, are few: one for each number of groups.
+    shape = F.when(~F.col("value").rlike("[@+\\x20]"), _shape(F.col("value")))
+    base = stage(pairs(F.concat(*[F.col(k) for k in KINDS])).groupBy("pattern").agg(
+        F.count("*").alias("seeds"), F.collect_set(shape).alias("shapes")))
     every = stage(_judged(pairs(F.col("unknown")).withColumn("failed", _failed(F.col("value"))), base))
-    seeds, unknown, known = base, every, 0
+    seeds, unknown, told = base.select("pattern", "seeds"), every, None
     while True:
-        trusted = _trusted(seeds.where(F.col("seeds") >= SEEDS), unknown)
-        before, known = known, trusted.count()
-        if known == before:
+        trusted = stage(_trusted(seeds.where(F.col("seeds") >= SEEDS), unknown, base.select("pattern", "shapes")))
+        now = split_join(every.where("against = 0"), trusted, "pattern").where(
+            F.col("any_form") | F.array_contains("shapes", _shape(F.col("value")))).select("value").distinct()
+        if told is not None:
+            now = now.unionByName(told).distinct()
+        now = stage(now)
+        more = now.join(told, "value", "left_anti") if told is not None else now
+        if more.isEmpty():
             return trusted
-        found_now = stage(split_join(
-            every.where("against = 0"), trusted.select("pattern"), "pattern").select("value").distinct())
-        more = split_join(every, found_now, "value").groupBy("pattern").agg(F.count("*").alias("more"))
-        seeds = stage(base.join(more, "pattern", "full").select("pattern", (
+        told = now
+        counts = split_join(every, told, "value").groupBy("pattern").agg(F.count("*").alias("more"))
+        seeds = stage(base.join(counts, "pattern", "full").select("pattern", (
             F.coalesce("seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("seeds")))
-        unknown = every.join(found_now, "value", "left_anti").select(every.columns)
+        unknown = every.join(told, "value", "left_anti").select(every.columns)
 
 
-def _trusted(strong: DataFrame, every: DataFrame) -> DataFrame:
-    """The patterns with enough confidence among the strong ones."""
+def _trusted(strong: DataFrame, every: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The patterns to trust among the strong ones."""
     unknown = stage(split_join(every, strong.select("pattern"), "pattern"))
     scored = unknown.withColumn("score", F.lit(0.0))
+    strong = strong.join(shapes, "pattern", "left").withColumn("shapes", F.coalesce("shapes", F.array().cast("array<string>")))
     for _ in range(ROUNDS):
-        rated = _rated(strong, scored)
+        rated = _rated(strong, scored).select("pattern", "confidence")
         # All patterns but the best speak for a value: one pattern does not confirm itself.
         doubt = F.log(1 - F.col("confidence"))
         of_value = split_join(unknown, rated, "pattern").groupBy("value").agg(
             (1 - F.exp(F.sum(doubt) - F.min(doubt))).alias("score"))
         scored = stage(split_join(unknown, of_value, "value").select("pattern", "value", "against", "score"))
-    return stage(_rated(strong, scored).where(F.col("confidence") >= CONFIDENCE))
+    rated = _rated(strong, scored)
+    return rated.where((F.col("sound") >= SOUND) & ((F.col("confidence") >= SHARE) | (F.col("like_share") >= LIKE_SHARE))
+                       ).select("pattern", "confidence", (F.col("confidence") >= SHARE).alias("any_form"), "shapes")
 
 
 def _judged(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -200,20 +217,27 @@ def _judged(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     failures = every.where("failed").groupBy("pattern").agg(F.count("*").alias("failures"))
     count = F.coalesce("seeds", F.lit(0))
     contrary = failures.where(F.col("failures") >= SEEDS).join(seeds, "pattern", "left").where(
-        count / (count + F.col("failures") + 1) < 1 - CONFIDENCE).select("pattern")
+        count / (count + F.col("failures") + 1) < 1 - SOUND).select("pattern")
     denied = split_join(every, contrary, "pattern").select("value").distinct().withColumn("denied", F.lit(True))
     return split_join(every, denied, "value", "left").select(
         "pattern", "value", (F.col("failed") | F.col("denied").isNotNull()).cast("int").alias("against"))
 
 
 def _rated(strong: DataFrame, scored: DataFrame) -> DataFrame:
-    """A pattern's confidence: the share of what speaks for it, seeds at 1, with one more against."""
-    sums = scored.groupBy("pattern").agg(
-        F.sum("score").alias("gain"), F.sum(F.col("against") * (1 - F.col("score"))).alias("loss"))
-    gain, loss = F.coalesce("gain", F.lit(0.0)), F.coalesce("loss", F.lit(0.0))
+    """A pattern's confidence: the share of its identifiers that are seeds or that other patterns
+    speak for, with one more against; the same among those of a form that its seeds have; and
+    among those that something speaks for or against (``sound``)."""
+    with_shapes = split_join(scored, strong.select("pattern", "shapes"), "pattern")
+    open_ = 1 - F.col("score")
+    like = F.array_contains("shapes", _shape(F.col("value"))).cast("int")
+    sums = with_shapes.groupBy("pattern").agg(
+        F.sum("score").alias("gain"), F.sum(F.col("against") * open_).alias("loss"),
+        F.sum(open_).alias("open"), F.sum(like * open_).alias("like"))
+    gain, loss, left, like_left = (F.coalesce(c, F.lit(0.0)) for c in ("gain", "loss", "open", "like"))
     good = F.col("seeds") + gain
     return strong.join(sums, "pattern", "left").select(
-        "pattern", (good / (good + loss + 1)).alias("confidence"))
+        "pattern", "shapes", (good / (good + left + 1)).alias("confidence"),
+        (good / (good + like_left + 1)).alias("like_share"), (good / (good + loss + 1)).alias("sound"))
 
 
 def find(df: DataFrame, column: str = "text") -> DataFrame:
@@ -226,12 +250,13 @@ def find(df: DataFrame, column: str = "text") -> DataFrame:
     found = stage(
         find_base(pack(df.select(*kept, column), column), column).drop(column)
         .withColumn("row", F.monotonically_increasing_id()))
-    trusted = patterns(found).select("pattern")
+    trusted = patterns(found).select("pattern", "any_form", "shapes")
     seen = found.select("row", F.explode("unknown").alias("s")).select(
-        "row", _pattern(F.col("s.before")).alias("pattern"), _span(LEARNED, F.col("s")).alias("span"))
+        "row", _pattern(F.col("s.before")).alias("pattern"), _shape(F.col("s.value")).alias("shape"),
+        _span(LEARNED, F.col("s")).alias("span"))
     more = (
         split_join(seen.where(F.col("pattern").isNotNull()), trusted, "pattern")
-        .groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("more")))
+        .where(F.col("any_form") | F.array_contains("shapes", F.col("shape"))).groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("more")))
     base = F.concat(*[_spans(k) for k in KINDS])
     joined = found.select("rest", "row", base.alias("base")).join(more, "row", "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))

@@ -84,6 +84,31 @@ def test_as_many_unseen_identifiers_as_seeds(spark):
     assert all(got[i][0] == got[i][1] for i in range(first, len(texts)))
 
 
+@pytest.mark.parametrize("n", [200, 5000])
+def test_dates_behind_a_phrase_with_few_seeds(spark, n):
+    """Not one is marked, also where the phrase stands before phone numbers now and then."""
+    texts = [f"we call the desk at +49 30 {1234567 + i}" for i in range(6)]
+    texts += [f"we open the desk at {2000 + i // 300}-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}" for i in range(n)]
+    texts += [f"their card number is {c} now" for c in luhn_cards(9)]
+    texts += [f"the version number is {i}.{i % 7}.{1000 + i} now" for i in range(n)]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(b == s for b, s in got.values())
+
+
+def test_unseen_cards_among_many_numbers(spark):
+    """Of a form that the seeds have, identifiers are found beside many of another form."""
+    known = luhn_cards(1000)
+    unseen = [f"{c[:4]}-{c[4:8]}-{c[8:15]}" for c in luhn_cards(1500)[1000:]]      # too short to be a card
+    dashed = [f"{c[:4]}-{c[4:8]}-{c[8:]}" for c in luhn_cards(1800)[1500:]]
+    texts = [f"the account number is {c} as said" for c in [*known, *unseen, *dashed]]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sum(got[i][1].startswith("context:") for i in range(1000, 1500)) >= 450
+    texts += [f"the account number is v{i}.{i % 10}.{i % 7} of it" for i in range(6000)]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sum(got[i][1].startswith("context:") for i in range(1000, 1500)) >= 450
+    assert all(got[i] == ("", "") for i in range(1800, len(texts)))
+
+
 def test_contexts_at_text_starts_and_in_lists(spark):
     cards = luhn_cards(30)
     texts = [f"account number {c}" for c in cards[:10]] + ["account number K12-3456"]
