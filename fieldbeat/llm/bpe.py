@@ -26,9 +26,12 @@ from fieldbeat.llm.shared import in_batches, lists, replaced, slices, texts, wit
 
 #: Distinct pieces a Python worker remembers before it starts anew; bounds its memory, not the
 #: result.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 48
+#: Text bytes whose new pieces go through one queue, and from how many bytes of these on all
+#: places of a rank merge at once.
+TOGETHER, MANY_BYTES = 2 << 20, 1 << 16
 #: A bitmap word has 2**8 bits, a top-level word has one bit for each of them.
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -50,6 +53,17 @@ class Vocabulary:
         for rank, token in self.tokens.items():
             self.places[rank], self.sizes[rank] = at, len(token)
             at += len(token)
+        # What each two tokens merge to, and which tokens may merge on at a rank below their own.
+        self.count, get = count, self.ranks.get
+        found = [(a * count + b, rank) for token, rank in self.ranks.items() for i in range(1, len(token))
+                 if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None]
+        found.sort()
+        self.pairs = np.array([k for k, _ in found] + [np.iinfo(np.int64).max], np.int64)
+        self.merged_to = np.array([r for _, r in found] + [-1], np.int64)
+        self.early = np.zeros(count, bool)
+        for part in (self.pairs[:-1] // max(1, count), self.pairs[:-1] % max(1, count)):
+            self.early[part[self.merged_to[:-1] < part]] = True
+        self.bytes = np.array([get(bytes([b]), -2) for b in range(256)], np.int64)
         self.two_bytes = np.full(1 << 16, -1)
         for token, rank in self.ranks.items():
             if len(token) == 2:
@@ -64,7 +78,8 @@ class Vocabulary:
         one the pairs go by rank, and from left to right, as they would alone."""
         known = [self.ranks.get(p) for p in pieces]
         open_pieces = [p for p, i in zip(pieces, known, strict=True) if i is None and p]
-        merged = iter(self._merged(open_pieces) if open_pieces else ())
+        few = sum(map(len, open_pieces)) < MANY_BYTES
+        merged = iter((self._merged if few else self._merged_together)(open_pieces) if open_pieces else ())
         return [[i] if i is not None else next(merged) if p else []
                 for p, i in zip(pieces, known, strict=True)]
 
@@ -159,6 +174,95 @@ class Vocabulary:
         return out
 
 
+    def _merged_together(self, pieces: list[bytes]) -> list[list[int]]:
+        """The same for many pieces, by the same queue: all places of the rank that is next merge
+        at once. Places that would overlap take turns from the left, and where merging a rank may
+        let a lower one wait, only the first place of each piece merges before the queue is asked
+        again."""
+        words = self.words
+        text = b"\0".join(pieces) + b"\0"
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stops = np.cumsum(sizes + 1) - 1
+        n = len(text)
+        stop = np.zeros(n, bool)
+        stop[stops] = True
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        waiting = np.full(n, -1)
+        waiting[:-1] = self.two_bytes[data[:-1] * 256 + data[1:]]
+        waiting[stops], waiting[stops - 1] = -1, -1
+        tokens, owner = self.bytes[data], np.repeat(np.arange(len(pieces)), sizes + 1)
+        end, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        before[0], before[stops[:-1] + 1] = -1, -1
+        buckets: dict[int, list[np.ndarray]] = {}
+        top = 0
+
+        def wait(ranks: np.ndarray, places: np.ndarray) -> None:
+            nonlocal top
+            order = ranks.argsort(kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, part in zip(ranks[[0, *cuts]].tolist(), np.split(places, cuts), strict=True):
+                if rank in buckets:
+                    buckets[rank].append(part)
+                else:
+                    buckets[rank] = [part]
+                    words[rank >> WORD_BITS] |= 1 << (rank & WORD_MASK)
+                    top |= 1 << (rank >> WORD_BITS)
+
+        at = np.flatnonzero(waiting >= 0)
+        if len(at):
+            wait(waiting[at], at)
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            rank = (w << WORD_BITS) + (word & -word).bit_length() - 1
+            words[w] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            parts = buckets.pop(rank)
+            places = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            places = np.unique(places[waiting[places] == rank])
+            if not len(places):
+                continue
+            # Of places that follow each other the first, the third … merge.
+            if self.early[rank]:
+                first = np.unique(owner[places], return_index=True)[1]
+                later, i = np.delete(places, first), places[first]
+                if len(later):
+                    wait(np.full(len(later), rank), later)
+            else:
+                index = np.arange(len(places))
+                begins = np.ones(len(places), bool)
+                begins[1:] = end[places[:-1]] != places[1:]
+                i = places[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0]
+            j = end[i]
+            k = end[j]
+            tokens[i], end[i], waiting[j], tokens[j] = rank, k, -1, -1
+            before[k] = i
+            after = np.where(stop[k], -1, self.pair_ranks(rank, tokens[k]))
+            waiting[i] = after
+            h = before[i]
+            left = h >= 0
+            h = h[left]
+            ahead = self.pair_ranks(tokens[h], rank)
+            waiting[h] = ahead
+            ranks, moved = np.concatenate([after, ahead]), np.concatenate([i, h])
+            good = ranks >= 0
+            if good.any():
+                wait(ranks[good], moved[good])
+        alive = (tokens >= 0) & ~stop
+        counts = np.bincount(owner[alive], minlength=len(pieces))
+        ids = tokens[alive].tolist()
+        ends = np.cumsum(counts).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def pair_ranks(self, first: np.ndarray | int, second: np.ndarray | int) -> np.ndarray:
+        """The rank that each two tokens merge to, or -1."""
+        wanted = np.asarray(first * self.count + second)
+        place = np.searchsorted(self.pairs, wanted)
+        return np.where(self.pairs[place] == wanted, self.merged_to[place], -1)
+
+
 class Remembered(dict):
     """Ids by piece of text, as the bytes of 32-bit numbers; those of long pieces only for one
     part of a batch."""
@@ -196,7 +300,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str, colu
              to: str) -> Iterator[pa.RecordBatch]:
     find, known = regex.compile(pattern).findall, _remembered(ranks)
     for batch in batches:
-        for part in slices(batch, column):
+        for part in slices(batch, column, TOGETHER):
             pieces = [find(t) for t in texts(part, column)]
             known.learn(set().union(*pieces))
             found = [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in pieces]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 
@@ -54,6 +55,35 @@ def test_equal_ranks_go_from_left_to_right(whole):
         assert list(vocabulary.encode(piece.encode())) == whole.encode_ordinary(piece)
 
 
+def test_many_pieces_at_once(whole):
+    """In one queue, whichever way it is worked off."""
+    vocabulary, r = bpe.Vocabulary(RANKS), random.Random(5)
+    alphabet = "etaoinshrdlucmfw ,.ABC019=-"
+    pieces = ["".join(r.choice("aab") if r.random() < 0.4 else r.choice(alphabet) if r.random() < 0.9
+                      else chr(r.randrange(33, 0x2FFF)) for _ in range(r.randrange(1, 40))) for _ in range(6000)]
+    pieces += ["a" * 999, "ab" * 5000, "aaab" * 777, "=" * 1001, "", "the", "x" * 30_001]
+    want = [whole.encode_ordinary(p) for p in pieces]
+    assert sum(map(len, pieces)) > bpe.MANY_BYTES
+    assert vocabulary.encode_all([p.encode() for p in pieces]) == want
+    for run in (vocabulary._merged, vocabulary._merged_together):
+        some = [(p.encode(), w) for p, w in zip(pieces, want) if p]
+        assert run([p for p, _ in some]) == [w for _, w in some]
+
+
+def test_a_rank_that_lets_a_lower_one_wait():
+    """Merging b and c lets a, bc merge before the next b and c of the piece, which it overlaps."""
+    tokens = [bytes([b]) for b in range(256)] + [b"abcb", b"bc", b"abc", b"cb"]
+    lines = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    vocabulary = bpe.Vocabulary(lines)
+    reference = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary.ranks, special_tokens={})
+    r = random.Random(2)
+    pieces = ["".join(r.choice("abc") for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    want = [reference.encode_ordinary(p) for p in pieces]
+    some = [(p.encode(), w) for p, w in zip(pieces, want) if p.encode() not in vocabulary.ranks]
+    for run in (vocabulary._merged, vocabulary._merged_together):
+        assert run([p for p, _ in some]) == [w for _, w in some]
+
+
 def test_very_long_piece():
     vocabulary = bpe.Vocabulary(RANKS)
     piece = "".join(random.Random(2).choice("abcdefgh") for _ in range(200_000)).encode()
