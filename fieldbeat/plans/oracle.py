@@ -891,6 +891,9 @@ QUERIES_SQL |= {
         SELECT id, user_id, action, resource, resource_id, details,
             '10.0.0.' || CAST({num('id', 'al')} % 250 AS VARCHAR) AS ip_address, created_at
         FROM logs""",
+    "q06_find_indexed": QUERIES_SQL["q06_find"],
+    "q10_search_indexed": QUERIES_SQL["q10_search"],
+    "q10_search_manager_indexed": QUERIES_SQL["q10_search_manager"],
     "s03_twice": QUERIES_SQL["s03_insert_ignore"],
     "s04_twice": QUERIES_SQL["s04_upsert"],
     "s05_area_view": QUERIES_SQL["q15_area"],

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, StructType
 
-from fieldbeat.functions.columns import as_json, id_number
+from fieldbeat.functions.columns import as_json, clean_name, id_number
 from fieldbeat.functions.merge import insert_ignore, upsert
 from fieldbeat.operators import (
-    admin, changes, chat, context, dashboards, manager, merchants, quality, scope, scoring,
+    admin, changes, chat, context, dashboards, manager, merchants, quality, scope, scoring, text_index,
 )
 from fieldbeat.operators.scope import Caller, active
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
 from fieldbeat.sources import landing
 from fieldbeat.sources.store import Store
-from fieldbeat.sources.tables import conform, write_tables
+from fieldbeat.sources.tables import Tables, conform, write_tables
 from fieldbeat.sources.testdata import AS_OF, NOW, TestData
 
 ADMIN = Caller("u01", "Admin")
@@ -193,6 +193,13 @@ def _by_detail(d: TestData) -> DataFrame:
     return admin.audit_by_detail(d.tables.replace(audit_logs=logs), ADMIN, "$.assigned_dsp_id", "u08", 100)
 
 
+def _indexed(d: TestData, text: str, fields: tuple[str, ...] = text_index.FIELDS) -> Tables:
+    """The tables, with the merchants that an index over all of them leaves for this text."""
+    path = f"{shared_folder(d.spark)}/index-{uuid.uuid4().hex}"
+    text_index.write_index(d.tables.merchants, path)
+    return text_index.candidates(d.tables, text_index.read_index(d.spark, path), text, fields)
+
+
 def _view(name: str) -> Query:
     def query(d: TestData) -> DataFrame:
         manager.register_views(d.tables, AS_OF)
@@ -236,11 +243,16 @@ QUERIES: dict[str, Query] = {
     "q05_history_all": lambda d: merchants.merchant_history(d.tables, ADMIN),
     "q05_history_manager": lambda d: merchants.merchant_history(d.tables, MANAGER),
     "q06_find": lambda d: merchants.find_merchant(d.tables, NAME, ADMIN),
+    "q06_find_indexed": lambda d: merchants.find_merchant(
+        _indexed(d, clean_name(NAME), ("merchant_name",)), NAME, ADMIN),
     "q07_score": lambda d: merchants.merchant_score(d.tables, NAME, ADMIN, AS_OF),
     "q08_recs": lambda d: merchants.merchant_recommendations(d.tables, NAME, ADMIN, AS_OF),
     "q09_visits": lambda d: merchants.merchant_visits(d.tables, NAME, ADMIN),
     "q10_search": lambda d: merchants.search_merchants(d.tables, "asia", ADMIN, AS_OF),
     "q10_search_manager": lambda d: merchants.search_merchants(d.tables, "Build", MANAGER, AS_OF),
+    "q10_search_indexed": lambda d: merchants.search_merchants(_indexed(d, "asia"), "asia", ADMIN, AS_OF),
+    "q10_search_manager_indexed": lambda d: merchants.search_merchants(
+        _indexed(d, "Build"), "Build", MANAGER, AS_OF),
     "q11_audit": lambda d: admin.audit_trail(d.tables, ADMIN),
     "q11_audit_filtered": lambda d: admin.audit_trail(d.tables, ADMIN, "view", 200),
     "q11_audit_page": lambda d: admin.audit_page(d.tables, ADMIN, "_data"),
