@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from datetime import date, datetime, timedelta
 from decimal import Decimal
@@ -52,14 +53,14 @@ def dying(monkeypatch):
     """Lets a step of a batch die at its n-th call, before or after it does its work."""
 
     def at(step, call=1, after=False):
-        real, calls = getattr(store_module, step), [0]
+        real, numbers = getattr(store_module, step), itertools.count(1)
 
         def wrapped(*args, **named):
-            calls[0] += 1
-            if calls[0] == call and not after:
+            number = next(numbers)  # steps on several tables run at once
+            if number == call and not after:
                 raise Lost
             result = real(*args, **named)
-            if calls[0] == call:
+            if number == call:
                 raise Lost
             return result
 
