@@ -894,7 +894,10 @@ QUERIES_SQL |= {
     "q06_find_indexed": QUERIES_SQL["q06_find"],
     "q10_search_indexed": QUERIES_SQL["q10_search"],
     "q10_search_manager_indexed": QUERIES_SQL["q10_search_manager"],
+    "m07_bucketed": QUERIES_SQL["m07_merchants"],
+    "s03_bucketed": QUERIES_SQL["s03_insert_ignore"],
     "s03_twice": QUERIES_SQL["s03_insert_ignore"],
+    "s04_bucketed": QUERIES_SQL["s04_upsert"],
     "s04_twice": QUERIES_SQL["s04_upsert"],
     "s05_area_view": QUERIES_SQL["q15_area"],
     "s05_dsp_view": QUERIES_SQL["q19_dsp"],

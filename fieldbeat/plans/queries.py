@@ -21,7 +21,9 @@ from fieldbeat.operators import (
 )
 from fieldbeat.operators.scope import Caller, active
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
+from fieldbeat.schema import SCHEMAS
 from fieldbeat.sources import landing
+from fieldbeat.sources.buckets import BucketTable
 from fieldbeat.sources.store import Store
 from fieldbeat.sources.tables import Tables, conform, write_tables
 from fieldbeat.sources.testdata import AS_OF, NOW, TestData
@@ -200,6 +202,34 @@ def _indexed(d: TestData, text: str, fields: tuple[str, ...] = text_index.FIELDS
     return text_index.candidates(d.tables, text_index.read_index(d.spark, path), text, fields)
 
 
+def _bucketed(d: TestData, name: str, keys: list[str]) -> BucketTable:
+    table = BucketTable(d.spark, f"{shared_folder(d.spark)}/buckets-{uuid.uuid4().hex}", SCHEMAS[name], keys, 16)
+    table.create(getattr(d.tables, name))
+    return table
+
+
+def _insert_bucketed(d: TestData) -> DataFrame:
+    table = _bucketed(d, "merchant_signals", SIGNAL_KEYS)
+    for batch in ("one", "two", "one"):
+        table.insert_ignore(d.next_day_signals(), _by_id_number(), batch)
+    return table.rows()
+
+
+def _upsert_bucketed(d: TestData) -> DataFrame:
+    table = _bucketed(d, "merchant_signals", SIGNAL_KEYS)
+    for batch in ("one", "two", "one"):
+        table.upsert(d.next_day_signals(), UPDATED_SIGNAL_COLUMNS, _by_id_number(), batch)
+    return table.rows()
+
+
+def _assigned_bucketed(d: TestData) -> DataFrame:
+    """Merchants in buckets of their id, after assignments that read and write only theirs."""
+    table, batch = _bucketed(d, "merchants", ["id"]), d.assignments()
+    table.change(batch.select(F.col("merchant_id").alias("id")), lambda merchants: changes.assign_merchants(
+        d.tables.replace(merchants=merchants), batch, NOW).table)
+    return table.rows()
+
+
 def _view(name: str) -> Query:
     def query(d: TestData) -> DataFrame:
         manager.register_views(d.tables, AS_OF)
@@ -319,6 +349,7 @@ QUERIES: dict[str, Query] = {
     "m07_audit": lambda d: _m07(d).audit,
     "m07_results": lambda d: _m07(d).results,
     "m07_rejects": lambda d: _m07(d).rejects,
+    "m07_bucketed": _assigned_bucketed,
     "m08_recs": lambda d: _m08(d).table,
     "m08_results": lambda d: _m08(d).results,
     "m08_rejects": lambda d: _m08(d).rejects,
@@ -332,8 +363,10 @@ QUERIES: dict[str, Query] = {
     "s02_bad_rows": _bad_rows,
     "s03_insert_ignore": lambda d: _insert(d, d.tables.merchant_signals),
     "s03_twice": lambda d: _insert(d, _insert(d, d.tables.merchant_signals)),
+    "s03_bucketed": _insert_bucketed,
     "s04_upsert": lambda d: _upsert(d, d.tables.merchant_signals),
     "s04_twice": lambda d: _upsert(d, _upsert(d, d.tables.merchant_signals)),
+    "s04_bucketed": _upsert_bucketed,
     "s05_area_view": _view("v_area_summary"),
     "s05_dsp_view": _view("v_dsp_performance"),
     "s06_ids": lambda d: d.event_ids(),
