@@ -15,6 +15,10 @@ from fieldbeat.sources.tables import Tables
 COUNTS = ("total_merchants", "high_priority", "recommended_visits")
 
 
+def is_high() -> Column:
+    return F.col("priority_score") >= HIGH_PRIORITY
+
+
 def _flagged(tables: Tables, merchants: DataFrame, as_of: date, some: bool = False) -> DataFrame:
     """Active merchants with one flag per count.
 
@@ -22,8 +26,7 @@ def _flagged(tables: Tables, merchants: DataFrame, as_of: date, some: bool = Fal
     multiply rows and the distinct counts become plain ones. With ``some`` they are narrowed
     to the given merchants even before that.
     """
-    high = tables.daily_scores.where(
-        (F.col("score_date") == day(as_of)) & (F.col("priority_score") >= HIGH_PRIORITY))
+    high = tables.daily_scores.where((F.col("score_date") == day(as_of)) & is_high())
     visit = tables.recommendations.where(
         (F.col("recommendation_date") == day(as_of)) & F.col("status").isin(*OPEN_STATUSES))
 
@@ -71,9 +74,14 @@ def dashboards_for_all(tables: Tables, role: str, as_of: date) -> DataFrame:
     """
     owners = _flagged(tables, tables.merchants, as_of).groupBy(
         F.col("assigned_dsp_id").alias("owner_id")).agg(*_counts())
-    viewers = tables.users.where(F.col("role") == role).select(F.col("id").alias("viewer_id"))
+    return per_viewer(tables.users, owners, role)
+
+
+def per_viewer(users: DataFrame, owners: DataFrame, role: str) -> DataFrame:
+    """Sums of each viewer of a role over the owners (owner_id, counts) of the viewer's merchants."""
+    viewers = users.where(F.col("role") == role).select(F.col("id").alias("viewer_id"))
     return (
-        viewers.join(viewer_owners(tables.users), "viewer_id")
+        viewers.join(viewer_owners(users), "viewer_id")
         .join(owners, "owner_id", "left")
         .groupBy("viewer_id")
         .agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in COUNTS])

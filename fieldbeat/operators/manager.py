@@ -17,7 +17,7 @@ WEEKLY_VISIT_TARGET = 10
 UNKNOWN_AREA = "Unknown"
 
 
-def _per_merchant(tables: Tables, as_of: date) -> DataFrame:
+def per_merchant(tables: Tables, as_of: date) -> DataFrame:
     """One row per active merchant with the day's score and recommendation counts.
 
     In the KPI views a merchant counts once per recommendation of the day, so its score
@@ -46,7 +46,7 @@ def _per_merchant(tables: Tables, as_of: date) -> DataFrame:
     )
 
 
-def _kpi_sums() -> list[Column]:
+def kpi_sums() -> list[Column]:
     scored = F.when(F.col("priority_score").isNotNull(), F.col("weight"))
     sums = [F.sum(c).alias(c) for c in ("actions", "done", "new", "in_progress")]
     return [
@@ -62,9 +62,13 @@ def area_summary(tables: Tables, as_of: date) -> DataFrame:
 
     Grouped per DSP first, so the distinct DSPs of an area are its rows of that step.
     """
+    return area_kpis(per_merchant(tables, as_of).groupBy("region", "area", "assigned_dsp_id").agg(
+        *kpi_sums()))
+
+
+def area_kpis(per_dsp: DataFrame) -> DataFrame:
+    """KPIs per (region, area) from sums per (region, area, DSP)."""
     parts = ("merchants", "score_sum", "score_n", "actions", "done", "new", "in_progress")
-    per_dsp = _per_merchant(tables, as_of).groupBy("region", "area", "assigned_dsp_id").agg(
-        *_kpi_sums())
     return per_dsp.groupBy("region", "area").agg(
         F.count("assigned_dsp_id").alias("total_dsps"), *[F.sum(c).alias(c) for c in parts]
     ).select(
@@ -81,8 +85,13 @@ def area_summary(tables: Tables, as_of: date) -> DataFrame:
 
 def dsp_performance(tables: Tables, as_of: date) -> DataFrame:
     """KPIs per active DSP with at least one active merchant."""
-    portfolios = _per_merchant(tables, as_of).groupBy("assigned_dsp_id").agg(*_kpi_sums())
-    reps = tables.users.where((F.col("role") == "DSP") & F.col("is_active")).select(
+    return dsp_kpis(
+        tables.users, per_merchant(tables, as_of).groupBy("assigned_dsp_id").agg(*kpi_sums()))
+
+
+def dsp_kpis(users: DataFrame, portfolios: DataFrame) -> DataFrame:
+    """KPIs per active DSP from sums per DSP."""
+    reps = users.where((F.col("role") == "DSP") & F.col("is_active")).select(
         F.col("id").alias("assigned_dsp_id"), F.col("full_name").alias("dsp_name"),
         "region", "area")
     return reps.join(portfolios, "assigned_dsp_id").select(

@@ -946,6 +946,25 @@ QUERIES_SQL |= {
 }
 
 
+def _after(sql: str) -> str:
+    """The SQL over the tables after the status changes and the assignments."""
+    for name in ("areas", "performance", "joined", "merchants", "recs"):
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}_after", sql)
+    return sql
+
+
+CTES |= {
+    "recs_after": QUERIES_SQL["m01_recs"], "merchants_after": QUERIES_SQL["m07_merchants"],
+    "joined_after": _after(CTES["joined"]), "areas_after": _after(CTES["areas"]),
+    "performance_after": _after(CTES["performance"]),
+}
+QUERIES_SQL |= {
+    "s05_kept": _after(QUERIES_SQL["q15_area"]),
+    "s05_kept_dsps": _after(QUERIES_SQL["q19_dsp"]),
+    "s05_kept_dashboards": _after(QUERIES_SQL["q13_manager_all"]),
+}
+
+
 # The model's tables by name, for the integrity rules.
 MODEL_SQL = {
     "users": "users", "merchants": "merchants", "merchant_signals": "signals",

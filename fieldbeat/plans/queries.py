@@ -20,7 +20,9 @@ from fieldbeat.operators import (
     admin, changes, chat, context, dashboards, manager, merchants, quality, scope, scoring, text_index,
 )
 from fieldbeat.operators.scope import Caller, active
+from fieldbeat.plans import kept_rollups
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
+from fieldbeat.plans.kept_rollups import KeptRollups
 from fieldbeat.schema import SCHEMAS
 from fieldbeat.sources import landing
 from fieldbeat.sources.buckets import BucketTable
@@ -230,6 +232,16 @@ def _assigned_bucketed(d: TestData) -> DataFrame:
     return table.rows()
 
 
+def _kept(d: TestData) -> KeptRollups:
+    """Kept roll-ups after status changes and assignments, each offered twice."""
+    kept = KeptRollups(d.spark, f"{shared_folder(d.spark)}/kept-{uuid.uuid4().hex}", 16)
+    kept.create(d.tables, AS_OF)
+    for _ in range(2):
+        kept.take_statuses(kept_rollups.status_changes(d.tables, _m01(d).results, AS_OF), "statuses")
+        kept.take_assignments(kept_rollups.assignments(_m07(d).results), "assignments")
+    return kept
+
+
 def _view(name: str) -> Query:
     def query(d: TestData) -> DataFrame:
         manager.register_views(d.tables, AS_OF)
@@ -369,6 +381,9 @@ QUERIES: dict[str, Query] = {
     "s04_bucketed": _upsert_bucketed,
     "s05_area_view": _view("v_area_summary"),
     "s05_dsp_view": _view("v_dsp_performance"),
+    "s05_kept": lambda d: _kept(d).area_summary(),
+    "s05_kept_dsps": lambda d: _kept(d).dsp_performance(d.tables.users),
+    "s05_kept_dashboards": lambda d: _kept(d).dashboards_for_all(d.tables.users, "Manager"),
     "s06_ids": lambda d: d.event_ids(),
     "s07_json": _json_rows,
     "d01_violations": lambda d: quality.check_constraints(d.damaged()),

@@ -53,16 +53,22 @@ class BucketTable:
     def bucket(self) -> Column:
         return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
 
+    def has(self, batch: str) -> bool:
+        commits = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+        return not commits.where(F.col("batch") == batch).isEmpty()
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets of these keys: as many numbers as there are buckets at most."""
+        return sorted(r["n"] for r in keys.select(self.bucket().alias("n")).distinct().collect())
+
     def change(self, keys: DataFrame, build: Callable[[DataFrame], DataFrame],
                batch: str | None = None) -> bool:
         """Replaces the buckets of ``keys`` by what ``build`` makes of their rows; False if a batch
         of this name is stored already. ``build`` adds rows only with keys of these buckets."""
-        commits = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
-        if batch is not None and not commits.where(F.col("batch") == batch).isEmpty():
+        if batch is not None and self.has(batch):
             return False
         state = State.read(self.spark, self.root)
-        # As many numbers as there are buckets at most, here and below.
-        touched = sorted(r["n"] for r in keys.select(self.bucket().alias("n")).distinct().collect())
+        touched = self.touched(keys)
         ones = [b for b in touched if str(b) in state.dates("rows", 1)]
         done = []
         if touched:
