@@ -33,11 +33,12 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
-def narrow(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def narrow(table: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """A smaller table that still has all rows whose key occurs in ``wanted``.
 
     Compares hashes: few long numbers are cheap to broadcast, so for a small ``wanted`` the
     table is read once and not shuffled. The join that follows compares the keys themselves.
     """
-    hashes = wanted.select(F.xxhash64(key).alias("_hash")).distinct()
-    return table.withColumn("_hash", F.xxhash64(key)).join(hashes, "_hash", "left_semi").drop("_hash")
+    hashed = F.xxhash64(*keys)
+    hashes = wanted.select(hashed.alias("_hash")).distinct()
+    return table.withColumn("_hash", hashed).join(hashes, "_hash", "left_semi").drop("_hash")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from fieldbeat.schema import ID_PREFIX, RULES
+from fieldbeat.schema import ID_PREFIX, PARTITION_COLUMN, RULES
 from fieldbeat.sources.testdata import DAMAGE_ID, DAMAGE_STEP, LANDING_STEP, damages
 
 AS_OF = "DATE '2024-01-30'"
@@ -894,6 +894,8 @@ QUERIES_SQL |= {
     "q06_find_indexed": QUERIES_SQL["q06_find"],
     "q10_search_indexed": QUERIES_SQL["q10_search"],
     "q10_search_manager_indexed": QUERIES_SQL["q10_search_manager"],
+    "q11_stored": QUERIES_SQL["q11_audit"],
+    "q11_stored_filtered": QUERIES_SQL["q11_audit_filtered"],
     "m07_bucketed": QUERIES_SQL["m07_merchants"],
     "s03_bucketed": QUERIES_SQL["s03_insert_ignore"],
     "s03_twice": QUERIES_SQL["s03_insert_ignore"],
@@ -990,19 +992,20 @@ def _damaged(name: str) -> str:
     return f"(SELECT * REPLACE ({changed}) FROM {MODEL_SQL[name]})"
 
 
-def _violations(name: str) -> list[str]:
+def _violations(name: str, new: str = "TRUE") -> list[str]:
+    """The rules that rows with ``new`` break."""
     table, rules, found = f"damaged_{name}", RULES[name], []
 
     def by_value(rule: str, column: str, where: str) -> str:
         return (f"SELECT '{name}' AS table_name, '{rule}' AS rule, {column} AS value, count(*) AS n"
-                f" FROM {table} WHERE {where} GROUP BY {column}")
+                f" FROM {table} WHERE {new} AND {where} GROUP BY {column}")
 
     for key in rules.unique:
         text = " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in key)
         known = " AND ".join(f"{c} IS NOT NULL" for c in key)
         found.append(f"SELECT '{name}', '{','.join(key)} unique', {text}, count(*) FROM {table}"
-                     f" WHERE {known} GROUP BY {', '.join(key)} HAVING count(*) > 1")
-    found += [f"SELECT '{name}', '{c} not null', NULL, count(*) FROM {table} WHERE {c} IS NULL"
+                     f" WHERE {known} GROUP BY {', '.join(key)} HAVING count(*) > 1 AND bool_or({new})")
+    found += [f"SELECT '{name}', '{c} not null', NULL, count(*) FROM {table} WHERE {new} AND {c} IS NULL"
               " HAVING count(*) > 0" for c in rules.not_null]
     found += [by_value(f"{c} allowed", c, f"{c} NOT IN ({', '.join(map(repr, values))})")
               for c, values in rules.allowed.items()]
@@ -1018,6 +1021,11 @@ QUERIES_SQL["d01_violations"] = "SELECT table_name, rule, value, n FROM (" + " U
     ["SELECT '' AS table_name, '' AS rule, '' AS value, 0 AS n WHERE FALSE"]
     + [sql for name in RULES for sql in _violations(name)]) + ")"
 
+QUERIES_SQL["d01_batch"] = "SELECT table_name, rule, value, n FROM (" + " UNION ALL ".join(
+    ["SELECT '' AS table_name, '' AS rule, '' AS value, 0 AS n WHERE FALSE"]
+    + [sql for name, c in (PARTITION_COLUMN | {"audit_logs": "created_at"}).items()
+       for sql in _violations(name, f"coalesce(CAST({c} AS DATE) = {AS_OF}, TRUE)")]) + ")"
+
 
 def _words(sql: str) -> set[str]:
     return set(re.findall(r"\w+", sql))

@@ -23,7 +23,7 @@ from fieldbeat.operators.scope import Caller, active
 from fieldbeat.plans import kept_rollups
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
 from fieldbeat.plans.kept_rollups import KeptRollups
-from fieldbeat.schema import SCHEMAS
+from fieldbeat.schema import PARTITION_COLUMN, SCHEMAS
 from fieldbeat.sources import landing
 from fieldbeat.sources.buckets import BucketTable
 from fieldbeat.sources.store import Store
@@ -197,6 +197,13 @@ def _by_detail(d: TestData) -> DataFrame:
     return admin.audit_by_detail(d.tables.replace(audit_logs=logs), ADMIN, "$.assigned_dsp_id", "u08", 100)
 
 
+def _logged(d: TestData) -> Tables:
+    """Audit rows and users, stored."""
+    root = f"{shared_folder(d.spark)}/logged-{uuid.uuid4().hex}"
+    write_tables(d.tables, root, ("users", "audit_logs"))
+    return Tables.from_parquet(d.spark, root)
+
+
 def _indexed(d: TestData, text: str, fields: tuple[str, ...] = text_index.FIELDS) -> Tables:
     """The tables, with the merchants that an index over all of them leaves for this text."""
     path = f"{shared_folder(d.spark)}/index-{uuid.uuid4().hex}"
@@ -242,6 +249,14 @@ def _kept(d: TestData) -> KeptRollups:
     return kept
 
 
+def _batch_violations(d: TestData) -> DataFrame:
+    """The damaged rows of the last day as a batch, added to those of the days before."""
+    damaged = d.damaged()
+    new = {name: F.coalesce(F.col(c).cast("date") == AS_OF, F.lit(True)) for name, c in BATCH_DATE.items()}
+    stored = damaged.replace(**{name: getattr(damaged, name).where(~is_new) for name, is_new in new.items()})
+    return quality.check_batch(stored, {name: getattr(damaged, name).where(is_new) for name, is_new in new.items()})
+
+
 def _view(name: str) -> Query:
     def query(d: TestData) -> DataFrame:
         manager.register_views(d.tables, AS_OF)
@@ -268,6 +283,7 @@ def _upsert(d: TestData, target: DataFrame) -> DataFrame:
     return upsert(target, d.next_day_signals(), SIGNAL_KEYS, UPDATED_SIGNAL_COLUMNS, _by_id_number())
 
 
+BATCH_DATE = PARTITION_COLUMN | {"audit_logs": "created_at"}
 SIGNAL_KEYS = ["merchant_id", "signal_date"]
 
 QUERIES: dict[str, Query] = {
@@ -300,6 +316,8 @@ QUERIES: dict[str, Query] = {
     "q11_audit_page": lambda d: admin.audit_page(d.tables, ADMIN, "_data"),
     "q11_details": _details,
     "q11_by_detail": _by_detail,
+    "q11_stored": lambda d: admin.audit_trail(_logged(d), ADMIN),
+    "q11_stored_filtered": lambda d: admin.audit_trail(_logged(d), ADMIN, "view", 200),
     "q12_dsp": lambda d: dashboards.dsp_dashboard(d.tables, DSP, AS_OF),
     "q12_dsp_all": lambda d: dashboards.dashboards_for_all(d.tables, "DSP", AS_OF),
     "q13_manager": lambda d: dashboards.manager_dashboard(d.tables, MANAGER, AS_OF),
@@ -387,5 +405,6 @@ QUERIES: dict[str, Query] = {
     "s06_ids": lambda d: d.event_ids(),
     "s07_json": _json_rows,
     "d01_violations": lambda d: quality.check_constraints(d.damaged()),
+    "d01_batch": _batch_violations,
     "f01_entitlements": lambda d: scope.entitlements(d.tables.users, d.tables.merchants),
 }

@@ -23,6 +23,7 @@ from fieldbeat.schema import (
     ADDED_TABLES, ATTEMPT_COLUMN, BAD_ROWS, ID_PREFIX, LATEST, LOG_DATE, PARTITION_COLUMN, SCHEMAS,
 )
 
+Days = Callable[[int], tuple[DataFrame, bool]]
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # the directory of rows whose date is null
 COMMITS = ("seq bigint, attempt string, began string, batch string, table_name string, date string, "
            "slot int, last bigint")
@@ -39,12 +40,14 @@ class Tables:
     ``read`` maps a table name to its DataFrame and is called once per table. ``latest_signals``
     and ``latest_scores`` hold each merchant's newest row; they are read if ``read`` has them
     (they are named in ``stored``), else found in the whole history. ``last`` has the highest id
-    numbers that are known; others are looked for in the table.
+    numbers that are known; others are looked for in the table. ``days`` reads the newest days of
+    logs that are stored by date.
     """
 
     def __init__(self, read: Callable[[str], DataFrame], last: Mapping[str, int] | None = None,
-                 stored: Iterable[str] = ()):
+                 stored: Iterable[str] = (), days: Mapping[str, Days] | None = None):
         self._read, self._last, self._stored = read, dict(last or {}), frozenset(stored)
+        self._days = dict(days or {})
         self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -62,20 +65,27 @@ class Tables:
             return F.lit(self._last[name])
         return last_number(getattr(self, name), ID_PREFIX[name])
 
+    def newest_days(self, name: str, n: int) -> tuple[DataFrame, bool]:
+        """Rows of a log's ``n`` newest dates and those without a date, and whether there are older
+        ones. All rows where the log is not stored by date."""
+        return self._days[name](n) if name in self._days else (getattr(self, name), False)
+
     def replace(self, **frames: DataFrame) -> Tables:
         """A copy with some tables exchanged, e.g. for the results of a change set."""
         changed = set(frames) | {n for n, table in LATEST.items() if table in frames}
         return Tables(
             lambda name: frames[name] if name in frames else getattr(self, name),
             {n: last for n, last in self._last.items() if n not in frames},
-            (self._stored - changed) | (LATEST.keys() & frames.keys()))
+            (self._stored - changed) | (LATEST.keys() & frames.keys()),
+            {n: days for n, days in self._days.items() if n not in frames})
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
         """The tables below ``root``, as ``write_tables`` and ``Store`` leave them."""
         state = State.read(spark, root)
         return cls(lambda name: read_table(spark, root, name, state), state.last,
-                   {name for name in LATEST if state.slot(name) >= 0})
+                   {name for name in LATEST if state.slot(name) >= 0},
+                   {name: partial(newest_days, spark, root, name, state) for name in LOG_DATE})
 
     @classmethod
     def from_jdbc(
@@ -171,8 +181,20 @@ def date_text(name: str) -> Column:
     return F.coalesce(F.col(PARTITION_COLUMN[name]).cast("string"), F.lit(NO_DATE))
 
 
-def read_table(spark: SparkSession, root: str, name: str, state: State) -> DataFrame:
-    """The committed rows of a stored table. Which slots hold them is a filter on folders alone."""
+def newest_days(spark: SparkSession, root: str, name: str, state: State, n: int) -> tuple[DataFrame, bool]:
+    """See ``Tables.newest_days``. The dates are the names of folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    start = f"{LOG_DATE[name][0]}="
+    names = (folder.getPath().getName() for folder in found)
+    dates = sorted((d.removeprefix(start) for d in names if d.startswith(start) and NO_DATE not in d), reverse=True)
+    since = dates[n - 1] if len(dates) > n else None
+    return read_table(spark, root, name, state, since), since is not None
+
+
+def read_table(spark: SparkSession, root: str, name: str, state: State, since: str | None = None) -> DataFrame:
+    """The committed rows of a stored table. Which slots hold them is a filter on folders alone, as is
+    ``since``, a log's first date to read; rows without a date are read, too."""
     path, schema = f"{root}/{name}", table_schema(name)
     empty = spark.createDataFrame([], schema)
     columns = empty.columns
@@ -183,6 +205,9 @@ def read_table(spark: SparkSession, root: str, name: str, state: State) -> DataF
         rows = spark.read.schema(f"{schema}, {ATTEMPT_COLUMN} string{log}").parquet(path)
         if state.dead:
             rows = rows.where(~F.col(ATTEMPT_COLUMN).isin(state.dead))
+        if since is not None:
+            date = F.col(LOG_DATE[name][0])
+            rows = rows.where(date.isNull() | (date >= F.lit(since).cast("date")))
     elif name in PARTITION_COLUMN:
         rows = spark.read.schema(f"{schema}, slot int").parquet(path)
         text, current = date_text(name), F.lit(0)

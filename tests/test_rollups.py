@@ -8,6 +8,7 @@ import pytest
 
 from fieldbeat.operators import dashboards, manager, quality
 from fieldbeat.operators.scope import Caller
+from fieldbeat.schema import SCHEMAS
 from tests.small import AS_OF, MERCHANTS, MODEL, SCORES, USERS, merchant, rec, score
 
 ADMIN, MANAGER = Caller("u01", "Admin"), Caller("u02", "Manager")
@@ -155,3 +156,23 @@ def test_violations(make_tables, rows_of):
         ("merchants", "assigned_dsp_id not null", None, 1),
         ("daily_scores", "merchant_id,score_date unique", "m01,2024-01-30", 2),
     ], key=str)
+
+
+def test_a_batch_is_checked_by_its_own_rows(make_tables, make_df, rows_of):
+    stored = [*MODEL["recommendations"], rec(20, 99), rec(21, 1, "Odd")]  # broken before the batch
+    tables = make_tables(**{**MODEL, "recommendations": stored})
+    new_users = [{"id": "u50", "email": "a", "password_hash": "x", "full_name": "x", "role": "DSP",
+                  "manager_id": "u51"}, {"id": "u51", "email": "a", "password_hash": "x", "full_name": "x",
+                                         "role": "DSP", "manager_id": "u52"}]
+    new_recs = [rec(1, 2), rec(30, 98), rec(31, 98), rec(32, 3, "Odd"), rec(34, 3) | {"id": None},
+                rec(33, 1, status_updated_by="u50")]
+    added = {"users": make_df(SCHEMAS["users"], new_users),
+             "recommendations": make_df(SCHEMAS["recommendations"], new_recs)}
+    got = rows_of(quality.check_batch(tables, added), "table_name", "rule", "value", "n")
+    assert sorted(map(str, got)) == sorted(map(str, [
+        ("users", "email unique", "a", 2), ("users", "manager_id in users", "u52", 1),
+        ("recommendations", "id unique", "r01", 2), ("recommendations", "id not null", None, 1),
+        ("recommendations", "merchant_id in merchants", "m98", 2),
+        ("recommendations", "status allowed", "Odd", 1)]))
+    nothing = {name: rows.limit(0) for name, rows in added.items()}
+    assert rows_of(quality.check_batch(tables, nothing)) == []
