@@ -41,6 +41,21 @@ def test_against_all_products(spark, kind):
     assert search(df, 100, 5) == plain(vectors, range(0, n, 100), 5)
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_many_pivots_and_rings(spark, monkeypatch, clustered):
+    monkeypatch.setattr(topk, "CHUNK", 16)  # as many pivots and rings as a large table has
+    seen, index = [], topk._index
+    monkeypatch.setattr(topk, "_index", lambda *a: seen.append(index(*a)) or seen[-1])
+    r = np.random.default_rng(5)
+    data = r.integers(-99, 99, (2400, 6))
+    if clustered:
+        data = r.integers(-300, 300, (20, 6))[r.integers(0, 20, 2400)] + r.integers(-2, 3, (2400, 6))
+    vectors = {i: data[i].tolist() for i in range(len(data))}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<long>")
+    assert search(df, 100, 5) == plain(vectors, range(0, len(data), 100), 5)
+    assert len(seen[0][0].pivots) >= 8 and len(seen[0][0].ids) > len(seen[0][0].pivots)
+
+
 def test_large_numbers(spark):
     vectors = {i: [10**9 - i, i * 7919, -(10**9)] for i in range(60)}
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<long>")
