@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldbeat.operators import dashboards, manager
 from fieldbeat.plans import kept_rollups
@@ -106,6 +107,22 @@ def test_only_touched_merchants_are_written(kept, tables, make_df):
     assert len({b for b, found in files(kept.merchants).items() if found != before.get(b)}) == 1
 
 
+def test_plan_of_the_difference(spark, kept, tables, make_df):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        changes = kept_rollups.status_changes(tables, results(make_df, [(2, "Done")]), AS_OF)
+        rows = kept.merchants.rows()
+        more = changes.select("id", F.col("done").alias("_done"))
+        new = rows.join(more, "id", "left").withColumn("done", F.col("done") + F.coalesce("_done", F.lit(0)))
+        difference = kept_rollups.add((kept_rollups.sums(new), 1), (kept_rollups.sums(rows), -1))
+        plan = difference._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "MapInPandas"):
+        assert node not in plan
+    assert "Bucketed: true" in plan and "partial_sum" in plan
+
+
 def test_no_merchants(spark, make_tables, make_df, tmp_path):
     tables = make_tables(users=MODEL["users"])
     made = KeptRollups(spark, str(tmp_path / "kept"), 4)

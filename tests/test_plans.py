@@ -20,16 +20,22 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+# These store before they read: their jobs run while the query is built, and what is left is a read.
+# ``test_kept_rollups`` and ``test_buckets`` look at the plans that do the work.
+STORED = {"s05_kept", "s05_kept_dsps", "s05_kept_dashboards", "s03_bucketed", "s04_bucketed", "m07_bucketed"}
+PLANNED = [name for name in QUERIES if name not in STORED]
+
+
 @pytest.fixture(scope="module")
 def plans(spark):
     # Without broadcasts, as for tables of any size.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    texts = {name: physical(contract.queries()[name](spark, SF_DIR)) for name in QUERIES}
+    texts = {name: physical(contract.queries()[name](spark, SF_DIR)) for name in PLANNED}
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     return texts
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", PLANNED)
 def test_no_python_and_no_cross_join(plans, name):
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval",
                  "BatchEvalPython", "MapInPandas", "FlatMapGroups"):
