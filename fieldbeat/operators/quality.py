@@ -32,6 +32,13 @@ def _row_rules(rules: Rules) -> list[tuple[str, str | None, Column]]:
     return found + [(f"{c} in {parent}", parent, F.col(c)) for c, parent in rules.references.items()]
 
 
+def ruled_columns(name: str) -> list[str]:
+    """The columns of a table that its rules read."""
+    rules = RULES[name]
+    return sorted({c for key in rules.unique for c in key}.union(
+        rules.not_null, rules.allowed, rules.references, rules.max_length))
+
+
 def _broken_rows(name: str, table: DataFrame) -> DataFrame:
     """(table_name, rule, parent, value, n): rows that break rules on single rows, counted per value,
     and all references, which have a ``parent``."""

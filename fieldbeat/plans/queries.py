@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from fieldbeat.operators.scope import Caller, active
 from fieldbeat.plans import kept_rollups
 from fieldbeat.plans.daily_job import UPDATED_SIGNAL_COLUMNS, next_signals
 from fieldbeat.plans.kept_rollups import KeptRollups
-from fieldbeat.schema import PARTITION_COLUMN, SCHEMAS
+from fieldbeat.schema import PARTITION_COLUMN, RULES, SCHEMAS
 from fieldbeat.sources import landing
 from fieldbeat.sources.buckets import BucketTable
 from fieldbeat.sources.store import Store
@@ -250,11 +250,33 @@ def _kept(d: TestData) -> KeptRollups:
 
 
 def _batch_violations(d: TestData) -> DataFrame:
-    """The damaged rows of the last day as a batch, added to those of the days before."""
-    damaged = d.damaged()
-    new = {name: F.coalesce(F.col(c).cast("date") == AS_OF, F.lit(True)) for name, c in BATCH_DATE.items()}
-    stored = damaged.replace(**{name: getattr(damaged, name).where(~is_new) for name, is_new in new.items()})
-    return quality.check_batch(stored, {name: getattr(damaged, name).where(is_new) for name, is_new in new.items()})
+    """The damaged rows of the last day as a batch, added to those of the days before.
+
+    Both are stored first, as rows that come in and rows that are there, and so are the ids they
+    refer to. A filter on the damaged
+    date would be moved below the expressions that damage it, and repeat all of them for each raw
+    row, in each of the reads.
+    """
+    damaged, root = d.damaged(), f"{shared_folder(d.spark)}/damaged-{uuid.uuid4().hex}"
+
+    def store(name: str, columns: Sequence[str | Column], *by: str) -> DataFrame:
+        rows = getattr(damaged, name).select(*columns)
+        rows.write.partitionBy(*by).parquet(f"{root}/{name}")
+        return d.spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    def flagged(name: str, date_column: str) -> list[str | Column]:
+        is_new = F.coalesce(F.col(date_column).cast("date") == AS_OF, F.lit(True))
+        return [*quality.ruled_columns(name), is_new.cast("int").alias("_new")]
+
+    # One after the other: the plans of all of them together are large.
+    rows = {name: store(name, flagged(name, c), "_new") for name, c in BATCH_DATE.items()}
+    parents = {parent for name in rows for parent in RULES[name].references.values()} - rows.keys()
+    ids = {parent: store(parent, ["id"]) for parent in sorted(parents)}
+
+    def part(new: int) -> dict[str, DataFrame]:
+        return {name: table.where(F.col("_new") == new).drop("_new") for name, table in rows.items()}
+
+    return quality.check_batch(damaged.replace(**part(0), **ids), part(1))
 
 
 def _view(name: str) -> Query:
